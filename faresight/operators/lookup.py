@@ -29,6 +29,13 @@ def enrich_airports(df: DataFrame, airports: DataFrame,
     return out.drop("__dep", "__arr")
 
 
+def airports_by_country(airports: DataFrame, country: str) -> DataFrame:
+    """Airports of a country, compared case-insensitively; NULL country
+    never matches (B8)."""
+    return airports.where(F.col("country").isNotNull()
+                          & (F.lower("country") == F.lower(F.lit(country))))
+
+
 def attach_route_popularity(df: DataFrame, dep: str = "departure_airport",
                             arr: str = "arrival_airport",
                             out: str = "route_popularity") -> DataFrame:

@@ -204,11 +204,11 @@ SELECT event_id,
       'facebook.com', 'doubleclick', 'ads', 'conversion'])[CAST(event_id % 10 + 1 AS INTEGER)]
     ELSE '' END AS url,
   event_type <> 'error' AS success,
-  coalesce(CAST(value * 1000 AS BIGINT), 0) AS duration,
+  coalesce(CAST(trunc(value * 1000) AS BIGINT), 0) AS duration,
   CASE WHEN event_id % 6 = 0 THEN NULL ELSE 'ok' END AS results,
   event_id % 4 AS n_screenshots, user_id % 9 AS n_steps,
   strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS start_time,
-  CASE WHEN event_type = 'error' THEN strftime(ts + to_milliseconds(coalesce(CAST(value * 1000 AS BIGINT), 0)),
+  CASE WHEN event_type = 'error' THEN strftime(ts + to_milliseconds(coalesce(CAST(trunc(value * 1000) AS BIGINT), 0)),
        '%Y-%m-%dT%H:%M:%S.%gZ') END AS error_time,
   substr('SGNHANDADCXRPQCVDOHUIHPHVDHVII', CAST(1 + 3 * (user_id % 10) AS INTEGER), 3) || ' → ' ||
   substr('HANSGNDADPQCCXRVDOHUIHPHVDHVII', CAST(1 + 3 * (event_id % 10) AS INTEGER), 3) AS route
