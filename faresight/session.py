@@ -21,7 +21,8 @@ def get_spark(master: str | None = None, app: str = "faresight",
               shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with faresight's defaults."""
-    b = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    b = (SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false"))
     if master:
         b = b.master(master)
     if shuffle_partitions:
