@@ -1 +1,86 @@
-"""Registered queries."""
+"""Registered queries: fare model."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from faresight.operators import clean as cl
+from faresight.operators import model as md
+from faresight.operators.features import prediction_features, training_features
+from faresight.operators.joins import lookup_join
+from faresight.plans import fixtures as fx
+from faresight.plans.common import R4, cleaned, r4
+from faresight.plans.oracle import with_ctes
+from faresight.plans.registry import query
+from faresight.schema import FEATURE_COLUMNS
+
+
+@query("model_metrics", with_ctes(["fares"], f"""
+, f AS (SELECT CAST(price AS DOUBLE) AS y,
+               avg(CAST(price AS DOUBLE)) OVER (PARTITION BY departure_airport, arrival_airport) AS p
+        FROM fares)
+, m AS (SELECT avg(y) AS my FROM f)
+SELECT {R4('avg(abs(y - p))')} AS mae, {R4('sqrt(avg((y - p) * (y - p)))')} AS rmse,
+       {R4('1 - sum((y - p) * (y - p)) / sum((y - my) * (y - my))')} AS r2
+FROM f, m"""))
+def model_metrics(spark, sf_dir):
+    """Metrics (I7) of the route-mean baseline on the cleaned fares."""
+    f = cleaned(spark, sf_dir).fares
+    means = f.groupBy("departure_airport", "arrival_airport").agg(
+        F.avg(F.col("price").cast("double")).alias("prediction"))
+    scored = lookup_join(f, means, ["departure_airport", "arrival_airport"])
+    m = md.regression_metrics(scored.withColumn("label", F.col("price")))
+    return m.select(*[r4(c).alias(c) for c in m.columns])
+
+
+def _matrix(spark, sf_dir):
+    fr = training_features(cleaned(spark, sf_dir).fares)
+    f = cl.drop_incomplete_features(fr.features, FEATURE_COLUMNS, "price")
+    f = md.fold_column(md.train_test_flag(f))
+    return md.feature_matrix(f, keep=["is_train", "fold"]), fr
+
+
+@query("decision_tree_eval")
+def decision_tree_eval(spark, sf_dir):
+    """Train, cross-validate (5 folds) and score the decision tree with the
+    reference's settings (I1, I2, I5, I6, I7); best-model pick (F3)."""
+    mx, _ = _matrix(spark, sf_dir)
+    metrics, _ = md.evaluate_models(mx.cache(), kinds=("Decision Tree",), folds=5)
+    return md.best_model(metrics)
+
+
+@query("top_importances")
+def top_importances(spark, sf_dir):
+    """Ten most important features of the fitted tree (F2)."""
+    mx, _ = _matrix(spark, sf_dir)
+    model = md.make_estimator("Decision Tree").fit(mx.where("is_train"))
+    return md.top_importances(md.feature_importances(spark, model))
+
+
+@query("batch_predict")
+def batch_predict(spark, sf_dir):
+    """Predict every raw history row with the tree trained on the 80 %
+    split: training means for popularity, unseen categories 0, bad
+    times 0, then the price clip (I8, G20)."""
+    mx, fr = _matrix(spark, sf_dir)
+    model = md.make_estimator("Decision Tree").fit(mx.where("is_train"))
+    rows = fx.fare_raw(spark, sf_dir)
+    feats = prediction_features(rows, fr.encoders, fr.popularity)
+    out = md.batch_predict(model, feats, cleaned(spark, sf_dir).price_stats)
+    return out.select("event_id", "raw_prediction", "prediction")
+
+
+@query("stream_ingest_fares")
+def stream_ingest_fares(spark, sf_dir):
+    """Runs arrive as two drops of JSON files; an availableNow stream
+    appends their history rows; the result is read back (A10)."""
+    import uuid
+    from faresight.session import scratch_path
+    from faresight.streaming.ingest import ingest_stream
+    base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    src, sink, ck = base + "/in", base + "/out", base + "/ckpt"
+    runs = fx.runs(spark, sf_dir)
+    for part in (0, 1):
+        runs.where(F.col("run_id") % 2 == part).write.mode("append").json(src)
+        ingest_stream(spark, src, sink, ck)
+    return spark.read.parquet(sink)
