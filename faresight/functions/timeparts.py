@@ -104,19 +104,22 @@ def dmy_parts(x) -> tuple[Column, Column, Column, Column]:
     ok3 = F.size(parts) == 3
 
     def num(i):
-        return F.regexp_extract(parts.getItem(i), _PARSE_INT, 1).try_cast("int")
+        return F.regexp_extract(F.get(parts, i), _PARSE_INT, 1).try_cast("int")
 
     d, m, y = num(0), num(1), num(2)
-    valid = ok3 & d.isNotNull() & m.isNotNull() & y.isNotNull() \
-        & y.between(1, 9999)
+    valid = (ok3 & y.between(1, 9999) & m.between(-12000, 12000)
+             & d.between(-400000, 400000))
     return valid, d, m, y
 
 
 def dmy_to_date(x) -> Column:
     """'DD/MM/YYYY' -> date with JavaScript roll-over (31/02 -> 03/03)."""
     valid, d, m, y = dmy_parts(x)
-    base = F.make_date(y, F.lit(1), F.lit(1))
-    return F.when(valid, F.date_add(F.add_months(base, m - 1), d - 1))
+    # Parts are replaced by harmless values where invalid, so ANSI mode
+    # never raises inside the unused branch.
+    safe = lambda c, v: F.when(valid, c).otherwise(F.lit(v))
+    base = F.make_date(safe(y, 2000), F.lit(1), F.lit(1))
+    return F.when(valid, F.date_add(F.add_months(base, safe(m, 1) - 1), safe(d, 1) - 1))
 
 
 def dmy_to_iso(x) -> Column:

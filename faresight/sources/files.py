@@ -18,7 +18,7 @@ from faresight.schema import (AIRPORT_SCHEMA, CRAWL_RUN, FARE_COLUMNS,
 __all__ = [
     "scan_fare_history", "coerce_fare_types", "scan_fare_layouts",
     "reconcile_layouts", "scan_airports", "scan_search_requests",
-    "scan_crawl_runs", "flatten_runs", "append_fare_history",
+    "scan_crawl_runs", "corrupt_records", "flatten_runs", "append_fare_history",
     "append_crawl_runs", "write_report", "read_report",
 ]
 
@@ -80,7 +80,7 @@ def scan_search_requests(spark: SparkSession, path: str,
                          keep_raw: bool = True) -> DataFrame:
     """Nested JSON search requests (A4). The raw text is kept beside the
     parsed struct so absent and explicit-null fields stay apart."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     parsed = raw.select(F.col("value").alias("raw"),
                         F.from_json("value", SEARCH_REQUEST).alias("r"))
     cols = [F.col("r.*")] + ([F.col("raw")] if keep_raw else [])
@@ -101,6 +101,16 @@ def scan_crawl_runs(spark: SparkSession, path: str) -> DataFrame:
             .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
 
 
+def corrupt_records(runs: DataFrame) -> DataFrame:
+    """Unparsable run files, for reporting. A parsed column is read along
+    with the corrupt-record column, which Spark requires of raw JSON."""
+    # A corrupt row has every parsed field NULL; testing one of them keeps
+    # a parsed column in the scan, which Spark requires of raw JSON.
+    return (runs.where(F.col("_corrupt_record").isNotNull()
+                       & F.col("total_days_crawled").isNull())
+            .select("_corrupt_record"))
+
+
 def flatten_runs(runs: DataFrame, keep=("run_id",)) -> DataFrame:
     """All days' price options when ``daily_results`` is non-empty, else
     the top-level ``prices``, else nothing (A11)."""
