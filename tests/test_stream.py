@@ -18,6 +18,9 @@ def test_stream_equals_batch(spark, tmp_path):
     streamed = spark.read.parquet(sink)
     batch = history_projection(flatten_runs(runs), None, batch_ts="x")
     cols = ["run_id", "flight_number", "flight_date", "departure_time", "classes"]
-    a = sorted(tuple(r) for r in streamed.select(*cols).collect())
-    b = sorted(tuple(r) for r in batch.select(*cols).collect())
+    def key(t):
+        return tuple("" if x is None else str(x) for x in t)
+
+    a = sorted((tuple(r) for r in streamed.select(*cols).collect()), key=key)
+    b = sorted((tuple(r) for r in batch.select(*cols).collect()), key=key)
     assert a == b and len(a) > 0
