@@ -144,9 +144,13 @@ def _js(x) -> Column:
 
 def search_url(dep, arr, departure_date, adult, child, infant) -> Column:
     """Search URL: route + date without slashes, then passengers."""
-    return F.format_string(
-        SEARCH_URL, _js(dep), _js(arr), F.replace(_c(departure_date), F.lit("/"), F.lit("")),
-        _js(adult), _js(child), _js(infant))
+    date = F.replace(_c(departure_date), F.lit("/"), F.lit(""))
+    parts = [_js(dep), _js(arr), _js(date), _js(adult), _js(child), _js(infant)]
+    pieces = SEARCH_URL.split("%s")
+    out = [F.lit(pieces[0])]
+    for p, lit in zip(parts, pieces[1:]):
+        out += [p, F.lit(lit)]
+    return F.concat(*out)
 
 
 def route_label(dep, arr) -> Column:

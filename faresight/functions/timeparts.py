@@ -14,7 +14,7 @@ __all__ = [
     "parse_timestamp", "parse_flight_date", "weekday", "days_in_advance",
     "is_weekend", "booking_category", "time_to_minutes", "flight_duration",
     "time_of_day", "airline_code", "dmy_parts", "dmy_to_date", "dmy_to_iso",
-    "next_dmy", "fallback_flight_date", "iso_millis",
+    "next_dmy", "fallback_flight_date", "iso_millis", "date_to_iso",
 ]
 
 MICROS_PER_DAY = 86_400_000_000
@@ -122,9 +122,14 @@ def dmy_to_date(x) -> Column:
     return F.when(valid, F.date_add(F.add_months(base, safe(m, 1) - 1), safe(d, 1) - 1))
 
 
+def date_to_iso(d) -> Column:
+    """date -> ISO text of its UTC midnight."""
+    return F.date_format(_c(d), "yyyy-MM-dd'T'00:00:00.000'Z'")
+
+
 def dmy_to_iso(x) -> Column:
     """'DD/MM/YYYY' -> ISO text of UTC midnight; bad input NULL."""
-    return F.date_format(dmy_to_date(x), "yyyy-MM-dd'T'00:00:00.000'Z'")
+    return date_to_iso(dmy_to_date(x))
 
 
 def next_dmy(x) -> Column:

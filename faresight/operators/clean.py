@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from faresight.functions.timeparts import parse_flight_date, parse_timestamp
 from faresight.operators.joins import cross_one_row
 from faresight.operators.stats import price_bounds, price_stats
+from faresight.session import materialize
 
 
 def dedupe_exact(df: DataFrame) -> DataFrame:
@@ -78,10 +79,19 @@ class CleanResult:
     fares: DataFrame
 
 
-def clean_fares(raw: DataFrame, price: str = "price") -> CleanResult:
+def clean_fares(raw: DataFrame, price: str = "price",
+                reuse_dedupe: bool = True) -> CleanResult:
     """The reference's stage order: dedupe -> bounds -> IQR filter ->
-    price stats -> create_at -> flight_date -> plane."""
+    price stats -> create_at -> flight_date -> plane.
+
+    The deduped table feeds both the quartiles and the rows; Catalyst
+    pushes the later not-NULL filters below the row-side dedupe, so the
+    two sides would not share one shuffle. With ``reuse_dedupe`` it is
+    written once to the shared folder and read by both.
+    """
     deduped = dedupe_exact(raw)
+    if reuse_dedupe and not raw.isStreaming:
+        deduped = materialize(deduped, "deduped")
     bounds = price_bounds(deduped, price)
     filtered = filter_price_iqr(deduped, bounds, price)
     stats = price_stats(filtered, bounds, price)

@@ -31,7 +31,7 @@ def fit_label_encoders(df: DataFrame, cols: list[str]) -> DataFrame:
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # Materialized once: both branches below must see the same ranges.
     ranged = materialize(vals.repartitionByRange(n, "attribute", "value")
-                         .withColumn("__pid", F.spark_partition_id()))
+                         .withColumn("__pid", F.spark_partition_id()), "vocab")
     local = ranged.withColumn(
         "__rn", F.row_number().over(
             Window.partitionBy("__pid", "attribute").orderBy("value")))

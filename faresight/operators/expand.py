@@ -7,18 +7,23 @@ from pyspark.sql import functions as F
 
 from faresight.functions import timeparts as tp
 from faresight.schema import SEARCH_DAYS
+from faresight.session import spread
 
 
 def expand_search_days(requests: DataFrame, date: str = "departure_date",
                        days: int = SEARCH_DAYS) -> DataFrame:
     """Each request becomes ``days`` consecutive search days (H1), with a
-    0-based ``day_index`` and the day as 'DD/MM/YYYY'. A per-row
-    generator: no shuffle, output grows linearly."""
-    d0 = tp.dmy_to_date(date)
-    seq = F.sequence(d0, F.date_add(d0, days - 1))
-    return (requests.select("*", F.posexplode(seq).alias("day_index", "__day"))
-            .withColumn("search_date", F.date_format("__day", "dd/MM/yyyy"))
-            .drop("__day"))
+    0-based ``day_index``, the day as a date (``search_day``) and as
+    'DD/MM/YYYY' text. A per-row generator: no shuffle, output grows
+    linearly; the request date is parsed once, before the expansion."""
+    # Each input row becomes ``days`` rows: make sure the generator runs
+    # on every core even when the requests come from one large split.
+    reqs = spread(requests).withColumn("__d0", tp.dmy_to_date(date))
+    out = reqs.select("*", F.posexplode(F.array_repeat(F.lit(0), days))
+                      .alias("day_index", "__z"))
+    return (out.withColumn("search_day", F.date_add("__d0", F.col("day_index")))
+            .withColumn("search_date", F.date_format("search_day", "dd/MM/yyyy"))
+            .drop("__d0", "__z"))
 
 
 def result_fallback(sources: list[tuple[int, str, DataFrame]],

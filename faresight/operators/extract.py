@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faresight.functions import text as tx
+from faresight.session import spread
 
 # --- fixed values (the reference's noise lists) ---------------------------
 LOG_NOISE_TERMS = ["CORS", "Failed to load resource", "net::ERR_FAILED",
@@ -33,7 +34,7 @@ def booking_fields(df: DataFrame, text: str = "text") -> DataFrame:
     option is usable (G10, G11)."""
     dep, arr = tx.booking_times(text)
     price = tx.labelled_price(text)
-    return df.withColumns({
+    return spread(df).withColumns({
         "flight_number": tx.booking_flight_number(text),
         "departure_time": dep, "arrival_time": arr,
         "classes": tx.booking_class(text),
@@ -61,7 +62,7 @@ def page_info(pages: DataFrame, html: str = "html", url: str = "url") -> DataFra
     valid = (~title.isin("", "about:blank") & F.col(url).isNotNull()
              & ~F.col(url).isin("", "about:blank")
              & (F.instr(F.lower(F.col(html)), "<body") > 0))
-    return pages.withColumns({"title": title, "page_text": tx.page_text(html),
+    return spread(pages).withColumns({"title": title, "page_text": tx.page_text(html),
                               "has_results": tx.page_has_results(html),
                               "valid": valid})
 

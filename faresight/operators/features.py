@@ -16,6 +16,7 @@ from faresight.operators.lookup import (attach_airline_popularity,
                                         attach_route_popularity)
 from faresight.operators.stats import popularity_stats
 from faresight.schema import CATEGORICAL_COLUMNS, FEATURE_COLUMNS
+from faresight.session import materialize
 
 
 def add_time_features(df: DataFrame, on_bad: str = "null") -> DataFrame:
@@ -53,7 +54,8 @@ class FeatureResult:
 def training_features(fares: DataFrame) -> FeatureResult:
     """Training path: real popularity counts, encoders fitted on the
     cleaned fares (before incomplete rows are dropped), bad times NULL."""
-    df = add_time_features(fares, on_bad="null")
+    # Read four times (two counts, the encoder fit, the rows): written once.
+    df = materialize(add_time_features(fares, on_bad="null"), "fare_time")
     df = attach_airline_popularity(attach_route_popularity(df))
     pop = popularity_stats(df)
     enc = fit_label_encoders(df, CATEGORICAL_COLUMNS)

@@ -13,24 +13,31 @@ from faresight.session import materialize
 BROADCAST_ROW_LIMIT = 2_000_000
 
 
-def checked_small(small: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT
-                  ) -> tuple[DataFrame, bool]:
-    """Materialize ``small`` in the shared checkpoint folder, count it
-    from there, and say whether it may be broadcast."""
+def checked_small(small: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT,
+                  bound: int | None = None) -> tuple[DataFrame, bool]:
+    """Say whether ``small`` may be broadcast.
+
+    ``bound`` is a row bound known by construction (a fixed list, a
+    one-row aggregate); otherwise the table is materialized in the shared
+    folder and counted from there (parquet metadata, no recomputation).
+    """
+    if bound is not None:
+        return small, bound <= max_rows
     if small.isStreaming:
         return small, False
-    small = materialize(small)
+    small = materialize(small, "lookup")
     return small, small.count() <= max_rows
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "left",
-                max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+                max_rows: int = BROADCAST_ROW_LIMIT, bound: int | None = None
+                ) -> DataFrame:
     """Join ``big`` to a lookup table.
 
     Broadcast when the materialized lookup holds at most ``max_rows``
     rows; otherwise a shuffle join that AQE may split for skewed keys.
     """
-    small, ok = checked_small(small, max_rows)
+    small, ok = checked_small(small, max_rows, bound)
     return big.join(F.broadcast(small) if ok else small, on, how)
 
 

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from faresight.operators.joins import lookup_join
 from faresight.operators.stats import route_counts
+from faresight.session import spread
 
 
 def enrich_airports(df: DataFrame, airports: DataFrame,
                     dep: str = "departure_airport",
-                    arr: str = "arrival_airport") -> DataFrame:
+                    arr: str = "arrival_airport",
+                    airport_bound: int | None = None) -> DataFrame:
     """Add city and airport name for departure and arrival.
 
     Codes match case-insensitively, as the reference's lookup does.
@@ -24,8 +26,8 @@ def enrich_airports(df: DataFrame, airports: DataFrame,
                  F.col("city").alias("arrival_city"),
                  F.col("airport_name").alias("arrival_airport_name"))
     out = df.withColumn("__dep", F.upper(dep)).withColumn("__arr", F.upper(arr))
-    out = lookup_join(out, d, "__dep")
-    out = lookup_join(out, r, "__arr")
+    out = lookup_join(out, d, "__dep", bound=airport_bound)
+    out = lookup_join(out, r, "__arr", bound=airport_bound)
     return out.drop("__dep", "__arr")
 
 
@@ -72,7 +74,8 @@ def aircraft_lookup(df: DataFrame, base_map: DataFrame, current_map: DataFrame,
 
 
 def airport_mention(texts: DataFrame, airports: DataFrame,
-                    text: str = "text", pos: str = "doc_id") -> DataFrame:
+                    text: str = "text", pos: str = "doc_id",
+                    airport_bound: int | None = None) -> DataFrame:
     """Per airport: how many texts name it by code, city or airport name
     (substring), and the first such text by position (D6).
 
@@ -80,12 +83,13 @@ def airport_mention(texts: DataFrame, airports: DataFrame,
     tested against each airport in place; texts are never shuffled whole.
     """
     a = airports.select("code", "city", "airport_name")
-    t = texts.select(pos, text)
+    # Every text is tested against every airport: spread the texts first.
+    t = spread(texts.select(pos, text))
     cond = ((F.instr(F.col(text), F.col("code")) > 0)
             | (F.instr(F.col(text), F.col("city")) > 0)
             | (F.instr(F.col(text), F.col("airport_name")) > 0))
     from faresight.operators.joins import checked_small
-    a, ok = checked_small(a)
+    a, ok = checked_small(a, bound=airport_bound)
     if not ok:
         raise ValueError("airport list too large to broadcast for a theta join")
     hits = t.join(F.broadcast(a), cond, "inner").select("code", pos)

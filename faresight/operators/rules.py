@@ -167,7 +167,8 @@ def _codes(airports: DataFrame, upper: bool) -> DataFrame:
 
 
 def validate_route(df: DataFrame, airports: DataFrame, strict: bool = False,
-                   dep="departure_airport", arr="arrival_airport") -> DataFrame:
+                   dep="departure_airport", arr="arrival_airport",
+                   airport_bound: int | None = None) -> DataFrame:
     """Both codes in the airport list and not the same airport.
 
     ``strict=False`` (C5): codes match case-insensitively and sameness is
@@ -175,7 +176,7 @@ def validate_route(df: DataFrame, airports: DataFrame, strict: bool = False,
     required, exact match, sameness on the raw text. The code list is
     broadcast behind a size check.
     """
-    codes, small = checked_small(_codes(airports, upper=not strict))
+    codes, small = checked_small(_codes(airports, upper=not strict), bound=airport_bound)
     kd = codes.select(F.col("__k").alias("__dq"), F.lit(True).alias("__dhit"))
     ka = codes.select(F.col("__k").alias("__aq"), F.lit(True).alias("__ahit"))
     if small:
@@ -202,9 +203,10 @@ def validate_route(df: DataFrame, airports: DataFrame, strict: bool = False,
 
 
 def route_supported(df: DataFrame, airports: DataFrame, dep="departure_airport",
-                    arr="arrival_airport") -> DataFrame:
+                    arr="arrival_airport", airport_bound: int | None = None) -> DataFrame:
     """Boolean: both codes known (case-insensitive), different airports."""
-    v = validate_route(df, airports, strict=False, dep=dep, arr=arr)
+    v = validate_route(df, airports, strict=False, dep=dep, arr=arr,
+                       airport_bound=airport_bound)
     return v.withColumn("route_supported", F.col("route_ok")).drop("route_ok", "route_error")
 
 

@@ -34,6 +34,7 @@ URL_NOISE = ["analytics", "tracking", "measurement", "google-analytics",
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table (pruning and filters reach its parquet scan)."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 

@@ -15,7 +15,7 @@ from faresight.operators.lookup import aircraft_lookup, airport_mention
 from faresight.plans import fixtures as fx
 from faresight.plans.oracle import with_ctes
 from faresight.plans.registry import query
-from faresight.sources.airports import airports_df
+from faresight.sources.airports import AIRPORT_ROWS, airports_df
 from faresight.sources.files import flatten_runs, reconcile_layouts
 
 _OPT = ("run_id, search_date, flight_number, departure_airport, arrival_airport, flight_date, "
@@ -179,7 +179,8 @@ FROM documents d JOIN airports a
   ON instr(d.text, a.code) > 0 OR instr(d.text, a.city) > 0 OR instr(d.text, a.airport_name) > 0
 GROUP BY a.code"""))
 def airport_mention_q(spark, sf_dir):
-    return airport_mention(fx.table(spark, sf_dir, "documents"), airports_df(spark))
+    return airport_mention(fx.table(spark, sf_dir, "documents"), airports_df(spark),
+                           airport_bound=AIRPORT_ROWS)
 
 
 @query("execution_stats", with_ctes(["crawl_log"], """

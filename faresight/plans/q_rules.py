@@ -13,7 +13,8 @@ from faresight.operators.lookup import enrich_airports
 from faresight.plans import fixtures as fx
 from faresight.plans.oracle import with_ctes
 from faresight.plans.registry import query
-from faresight.sources.airports import airports_df
+from faresight.operators.joins import lookup_join
+from faresight.sources.airports import AIRPORT_ROWS, airports_df
 
 
 def _js_num(c):
@@ -80,13 +81,15 @@ FROM requests r {join}""")
 
 @query("route_known", _route_sql(False))
 def route_known(spark, sf_dir):
-    v = ru.validate_route(fx.requests(spark, sf_dir), airports_df(spark), strict=False)
+    v = ru.validate_route(fx.requests(spark, sf_dir), airports_df(spark), strict=False,
+                          airport_bound=AIRPORT_ROWS)
     return v.select("request_id", "route_ok", "route_error")
 
 
 @query("route_strict", _route_sql(True))
 def route_strict(spark, sf_dir):
-    v = ru.validate_route(fx.requests(spark, sf_dir), airports_df(spark), strict=True)
+    v = ru.validate_route(fx.requests(spark, sf_dir), airports_df(spark), strict=True,
+                          airport_bound=AIRPORT_ROWS)
     return v.select("request_id", "route_ok", "route_error")
 
 
@@ -99,7 +102,8 @@ LEFT JOIN airports d ON upper(f.departure_airport) = upper(d.code)
 LEFT JOIN airports a ON upper(f.arrival_airport) = upper(a.code)
 GROUP BY 1, 2, 3"""))
 def route_supported(spark, sf_dir):
-    s = ru.route_supported(fx.fare_raw(spark, sf_dir), airports_df(spark))
+    s = ru.route_supported(fx.fare_raw(spark, sf_dir), airports_df(spark),
+                           airport_bound=AIRPORT_ROWS)
     return (s.groupBy("departure_airport", "arrival_airport", "route_supported")
             .agg(F.count(F.lit(1)).alias("rows")))
 
@@ -127,7 +131,7 @@ SELECT c.code, a.city, a.airport_name, a.country,
 FROM codes c LEFT JOIN airports a ON c.code = a.code"""))
 def airports_validated(spark, sf_dir):
     codes = fx.requests(spark, sf_dir).select(F.col("departure_airport").alias("code")).distinct()
-    rows = codes.join(airports_df(spark), "code", "left")
+    rows = lookup_join(codes, airports_df(spark), "code", bound=AIRPORT_ROWS)
     v = ru.validate_airports(rows)
     return v.select("code", "city", "airport_name", "country",
                     F.array_join("missing_fields", ", ").alias("missing"), "code_warning")
@@ -140,7 +144,8 @@ FROM fare_raw f
 LEFT JOIN airports d ON upper(f.departure_airport) = upper(d.code)
 LEFT JOIN airports a ON upper(f.arrival_airport) = upper(a.code)"""))
 def enrich_airports_q(spark, sf_dir):
-    e = enrich_airports(fx.fare_raw(spark, sf_dir), airports_df(spark))
+    e = enrich_airports(fx.fare_raw(spark, sf_dir), airports_df(spark),
+                        airport_bound=AIRPORT_ROWS)
     return e.select("event_id", "departure_city", "departure_airport_name",
                     "arrival_city", "arrival_airport_name")
 
@@ -154,8 +159,7 @@ def airports_by_country(spark, sf_dir):
     from faresight.operators.lookup import airports_by_country as abc
     a = abc(airports_df(spark), "VIỆT NAM").select(F.upper("code").alias("__k"))
     r = fx.requests(spark, sf_dir).withColumn("__k", F.upper("departure_airport"))
-    from faresight.operators.joins import lookup_join
-    return (lookup_join(r, a.distinct(), "__k", "left_semi")
+    return (lookup_join(r, a.distinct(), "__k", "left_semi", bound=AIRPORT_ROWS)
             .groupBy("departure_airport").agg(F.count(F.lit(1)).alias("rows")))
 
 
@@ -174,7 +178,7 @@ def search_days(spark, sf_dir):
     days = expand_search_days(fx.requests(spark, sf_dir))
     return days.select(
         "request_id", "day_index", "search_date",
-        tp.dmy_to_iso("search_date").alias("search_date_iso"),
-        tp.next_dmy("search_date").alias("next_date"),
+        tp.date_to_iso("search_day").alias("search_date_iso"),
+        F.date_format(F.date_add("search_day", 1), "dd/MM/yyyy").alias("next_date"),
         tx.search_url("departure_airport", "arrival_airport", "search_date",
                       "adult", "child", "infant").alias("search_url"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,16 +55,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder.
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as parquet under the shared checkpoint folder and
+    read it back.
 
-    Used for small derived tables (encoders, counts, bounds) that are
-    read more than once; survives executor loss, unlike a local one.
+    Used for intermediates read more than once (deduped fares, feature
+    frames, encoders, counts): the upstream shuffle runs once, lineage is
+    cut (a lost executor re-reads files instead of recomputing), and the
+    reader gets exact sizes for broadcast decisions.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
     return os.path.join(ensure_checkpoint_dir(spark), "faresight", name)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread rows over the cluster's cores when a scan yields too few
+    partitions (a large file with a single row group).
+
+    With many input splits -- the normal case on a cluster -- this is a
+    no-op and adds no shuffle; with fewer partitions than cores, one
+    round-robin exchange lets CPU-heavy per-row work (regexes, text
+    joins) use every core instead of one task.
+    """
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)

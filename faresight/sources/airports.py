@@ -32,6 +32,9 @@ AIRPORTS = [
 # ---------------------------------------------------------------------------
 
 
+AIRPORT_ROWS = len(AIRPORTS)
+
+
 def airports_df(spark: SparkSession) -> DataFrame:
     """The built-in airport list as a (broadcastable) dimension table."""
     return spark.createDataFrame(AIRPORTS, AIRPORT_SCHEMA)
