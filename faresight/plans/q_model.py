@@ -84,3 +84,56 @@ def stream_ingest_fares(spark, sf_dir):
         runs.where(F.col("run_id") % 2 == part).write.mode("append").json(src)
         ingest_stream(spark, src, sink, ck)
     return spark.read.parquet(sink)
+
+
+_ENC_COLS = ["flight_number", "departure_airport", "arrival_airport", "classes",
+             "type_of_plane", "airline"]
+
+
+def _pred_sql() -> str:
+    from faresight.plans.oracle import minutes_sql
+    enc = "\n".join(
+        f"LEFT JOIN (SELECT value AS v_{c}, code AS c_{c} FROM encoders WHERE attribute = '{c}') e_{c} "
+        f"ON coalesce(p.{c}, 'nan') = e_{c}.v_{c}" for c in _ENC_COLS)
+    tod = ("CASE WHEN floor(dm / 60) >= 6 AND floor(dm / 60) < 12 THEN 0 "
+           "WHEN floor(dm / 60) >= 12 AND floor(dm / 60) < 18 THEN 1 "
+           "WHEN floor(dm / 60) >= 18 AND floor(dm / 60) < 22 THEN 2 ELSE 3 END")
+    days = "floor(date_diff('microsecond', c, f) / 86400000000)"
+    return with_ctes(["fare_raw", "encoders", "features"], f"""
+, pop AS (SELECT avg(route_popularity) AS rp, avg(airline_popularity) AS ap FROM features)
+, p AS (SELECT event_id, flight_number, departure_airport, arrival_airport, classes, type_of_plane,
+          substr(flight_number, 1, 2) AS airline,
+          TRY_CAST(create_at AS TIMESTAMP) AS c, TRY_CAST(flight_date AS TIMESTAMP) AS f,
+          coalesce({minutes_sql('departure_time')}, 0) AS dm,
+          coalesce({minutes_sql('arrival_time')}, 0) AS am
+        FROM fare_raw)
+SELECT p.event_id,
+  {", ".join(f"CAST(coalesce(c_{c}, 0) AS BIGINT) AS {c}_encoded" for c in _ENC_COLS)},
+  CAST(coalesce(hour(c), 0) AS BIGINT) AS create_hour,
+  CAST(coalesce(isodow(c) - 1, 0) AS BIGINT) AS create_day_of_week,
+  CAST(coalesce(month(c), 0) AS BIGINT) AS create_month,
+  CAST(coalesce(month(f), 0) AS BIGINT) AS flight_month,
+  CAST(coalesce(isodow(f) - 1, 0) AS BIGINT) AS flight_day_of_week,
+  CAST(coalesce({days}, 0) AS BIGINT) AS days_in_advance,
+  CAST(dm AS BIGINT) AS departure_minutes,
+  CAST(CASE WHEN am - dm < 0 THEN am - dm + 1440 ELSE am - dm END AS BIGINT) AS flight_duration,
+  CAST(coalesce(CAST(isodow(c) - 1 >= 5 AS INTEGER), 0) AS BIGINT) AS is_weekend_booking,
+  CAST(coalesce(CAST(isodow(f) - 1 >= 5 AS INTEGER), 0) AS BIGINT) AS is_weekend_flight,
+  CAST(CASE WHEN {days} < 7 THEN 0 WHEN {days} < 30 THEN 1 WHEN {days} < 90 THEN 2 ELSE 3 END AS BIGINT)
+    AS booking_category,
+  CAST({tod} AS BIGINT) AS departure_time_category,
+  {R4('pop.rp')} AS route_popularity, {R4('pop.ap')} AS airline_popularity
+FROM p CROSS JOIN pop
+{enc}""")
+
+
+@query("prediction_features", _pred_sql())
+def prediction_features_q(spark, sf_dir):
+    """Prediction-path features (I8) for every raw history row, with the
+    encoders and popularity means of the cleaned training fares."""
+    fr = training_features(cleaned(spark, sf_dir).fares)
+    p = prediction_features(fx.fare_raw(spark, sf_dir), fr.encoders, fr.popularity)
+    ints = [c for c in FEATURE_COLUMNS if c not in ("route_popularity", "airline_popularity")]
+    return p.select("event_id", *[F.col(c).cast("bigint").alias(c) for c in ints],
+                    r4("route_popularity").alias("route_popularity"),
+                    r4("airline_popularity").alias("airline_popularity"))
