@@ -14,7 +14,7 @@ __all__ = [
     "parse_timestamp", "parse_flight_date", "weekday", "days_in_advance",
     "is_weekend", "booking_category", "time_to_minutes", "flight_duration",
     "time_of_day", "airline_code", "dmy_parts", "dmy_to_date", "dmy_to_iso",
-    "next_dmy", "fallback_flight_date", "iso_millis", "date_to_iso",
+    "next_dmy", "fallback_flight_date", "iso_millis", "date_to_iso", "utc_now_iso",
 ]
 
 MICROS_PER_DAY = 86_400_000_000
@@ -142,6 +142,13 @@ def fallback_flight_date(flight_date, search_date) -> Column:
     return F.coalesce(_c(flight_date), dmy_to_iso(search_date))
 
 
+def utc_now_iso() -> Column:
+    """The current instant as UTC ISO text, whatever the session zone."""
+    now = F.convert_timezone(None, F.lit("UTC"),
+                             F.current_timestamp().cast("timestamp_ntz"))
+    return iso_millis(now)
+
+
 def iso_millis(ts) -> Column:
     """timestamp -> 'yyyy-MM-ddTHH:mm:ss.SSSZ' (JavaScript toISOString)."""
     return F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

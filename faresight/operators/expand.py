@@ -55,7 +55,7 @@ def history_projection(options: DataFrame, requests: DataFrame | None = None,
     out = options.select(
         request,
         F.lit(batch_ts).cast("string").alias("created_at") if batch_ts else
-        tp.iso_millis(F.current_timestamp().cast("timestamp_ntz")).alias("created_at"),
+        tp.utc_now_iso().alias("created_at"),
         "flight_number", "aircraft_type", "departure_airport", "arrival_airport",
         tp.fallback_flight_date("flight_date", "search_date").alias("flight_date"),
         "departure_time", "arrival_time", "classes",

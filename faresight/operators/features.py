@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from faresight.functions import timeparts as tp
 from faresight.operators.encode import apply_label_encoders, fit_label_encoders
 from faresight.operators.joins import cross_one_row
-from faresight.operators.lookup import (attach_airline_popularity,
-                                        attach_route_popularity)
+from faresight.operators.lookup import attach_popularity
 from faresight.operators.stats import popularity_stats
 from faresight.schema import CATEGORICAL_COLUMNS, FEATURE_COLUMNS
 from faresight.session import materialize
@@ -56,7 +55,7 @@ def training_features(fares: DataFrame) -> FeatureResult:
     cleaned fares (before incomplete rows are dropped), bad times NULL."""
     # Read four times (two counts, the encoder fit, the rows): written once.
     df = materialize(add_time_features(fares, on_bad="null"), "fare_time")
-    df = attach_airline_popularity(attach_route_popularity(df))
+    df = attach_popularity(df)
     pop = popularity_stats(df)
     enc = fit_label_encoders(df, CATEGORICAL_COLUMNS)
     df = apply_label_encoders(df, enc, CATEGORICAL_COLUMNS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faresight.session import materialize
+from faresight.session import materialize_counted
 
 # Largest lookup table (rows) that is broadcast. Lookup tables here are
 # narrow (a key and one or two values), so this stays well under the
@@ -25,8 +25,8 @@ def checked_small(small: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT,
         return small, bound <= max_rows
     if small.isStreaming:
         return small, False
-    small = materialize(small, "lookup")
-    return small, small.count() <= max_rows
+    small, rows = materialize_counted(small, "lookup")
+    return small, rows <= max_rows
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "left",

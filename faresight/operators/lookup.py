@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faresight.operators.joins import lookup_join
+from faresight.operators.joins import checked_small, lookup_join
 from faresight.operators.stats import route_counts
 from faresight.session import spread
 
@@ -60,6 +60,28 @@ def attach_airline_popularity(df: DataFrame, airline: str = "airline",
     return j.withColumn(out, F.coalesce(F.col(out), F.lit(0)).cast("bigint"))
 
 
+def attach_popularity(df: DataFrame, dep: str = "departure_airport",
+                      arr: str = "arrival_airport", airline: str = "airline") -> DataFrame:
+    """D2 and D3 together: route and airline counts from one aggregation
+    pass (grouping sets), one checked lookup table, two broadcast joins.
+    NULL keys are not counted and give 0."""
+    g = (df.groupingSets([[dep, arr], [airline]], dep, arr, airline)
+         .agg(F.count(F.lit(1)).alias("__n"), F.grouping_id().alias("__g")))
+    # grouping_id: bit set for each column left out; (dep, arr) set -> 1, (airline) -> 6
+    counts, small = checked_small(g)
+    routes = (counts.where((F.col("__g") == 1) & F.col(dep).isNotNull()
+                           & F.col(arr).isNotNull())
+              .select(dep, arr, F.col("__n").alias("route_popularity")))
+    airlines = (counts.where((F.col("__g") == 6) & F.col(airline).isNotNull())
+                .select(airline, F.col("__n").alias("airline_popularity")))
+    if small:
+        routes, airlines = F.broadcast(routes), F.broadcast(airlines)
+    out = df.join(routes, [dep, arr], "left").join(airlines, airline, "left")
+    return out.withColumns({
+        "route_popularity": F.coalesce("route_popularity", F.lit(0)).cast("bigint"),
+        "airline_popularity": F.coalesce("airline_popularity", F.lit(0)).cast("bigint")})
+
+
 def aircraft_lookup(df: DataFrame, base_map: DataFrame, current_map: DataFrame,
                     keys=("run_id", "flight_number"),
                     aircraft: str = "aircraft_type") -> DataFrame:
@@ -88,7 +110,6 @@ def airport_mention(texts: DataFrame, airports: DataFrame,
     cond = ((F.instr(F.col(text), F.col("code")) > 0)
             | (F.instr(F.col(text), F.col("city")) > 0)
             | (F.instr(F.col(text), F.col("airport_name")) > 0))
-    from faresight.operators.joins import checked_small
     a, ok = checked_small(a, bound=airport_bound)
     if not ok:
         raise ValueError("airport list too large to broadcast for a theta join")

@@ -70,6 +70,18 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def materialize_counted(df: DataFrame, name: str = "table") -> tuple[DataFrame, int]:
+    """``materialize`` that also returns the row count, observed during
+    the same write job (no second pass)."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
+    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), int(obs.get["rows"])
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
     return os.path.join(ensure_checkpoint_dir(spark), "faresight", name)

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faresight.functions.timeparts import iso_millis
+from faresight.functions.timeparts import utc_now_iso
 from faresight.schema import (AIRPORT_SCHEMA, CRAWL_RUN, FARE_COLUMNS,
                               FARE_RAW_SCHEMA, SEARCH_REQUEST, WRITER10_COLUMNS,
                               WRITER10_SCHEMA, WRITER13_COLUMNS, WRITER13_SCHEMA,
@@ -134,8 +134,7 @@ def append_fare_history(df: DataFrame, path: str, batch_ts=None,
     """Append history rows (A6): one ``created_at`` stamp per batch, a
     row's own ``created_at`` wins. Written as parquet partitioned by the
     flight day so reads prune by date."""
-    stamp = F.lit(batch_ts) if batch_ts is not None else iso_millis(
-        F.current_timestamp().cast("timestamp_ntz"))
+    stamp = F.lit(batch_ts) if batch_ts is not None else utc_now_iso()
     cols = [c for c in WRITER13_COLUMNS if c in df.columns or c == "created_at"]
     own = F.col("created_at") if "created_at" in df.columns else F.lit(None).cast("string")
     out = df.withColumn("created_at", F.coalesce(own, stamp)).select(

@@ -134,3 +134,8 @@ def test_text_match_modes(spark):
     assert one(spark, tx.text_match("x", "The", exact=True, case_sensitive=True),
                [(" The ",), ("the",)]) == [True, False]
     del df
+
+
+def test_utc_now_iso_shape(spark):
+    v = spark.range(1).select(tp.utc_now_iso().alias("t")).first().t
+    assert len(v) == 24 and v[10] == "T" and v.endswith("Z")
