@@ -70,6 +70,15 @@ def feature_projection(df: DataFrame, features: list[str],
     return df.select(*[c for c in features if c in df.columns], *(keep or []))
 
 
+def parse_ok(create_at: str = "create_at", flight_date: str = "flight_date",
+             plane: str = "type_of_plane") -> F.Column:
+    """True when a row survives B3-B5 (the same tests as the stages)."""
+    stripped = F.regexp_replace(F.col(plane), r"(?U)^\s+|\s+$", "")
+    return F.coalesce(parse_timestamp(create_at).isNotNull()
+                      & parse_flight_date(flight_date).isNotNull()
+                      & stripped.isNotNull() & (stripped != ""), F.lit(False))
+
+
 @dataclass
 class CleanResult:
     deduped: DataFrame

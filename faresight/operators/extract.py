@@ -3,8 +3,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,14 +79,16 @@ def filter_url_noise(df: DataFrame, url: str = "url") -> DataFrame:
 def text_match_summary(df: DataFrame, modes, text: str = "text",
                        pos: str = "doc_id") -> DataFrame:
     """For each (name, term, exact, case_sensitive) mode: matching rows and
-    the first match by position (B9), all in one scan."""
+    the first match by position (B9). One scan and one aggregate; its
+    single row is exploded into one row per mode."""
     aggs = []
     for name, term, exact, cs in modes:
         m = tx.text_match(text, term, exact, cs)
         aggs += [F.count_if(m).alias(f"{name}__n"),
                  F.min(F.when(m, F.col(pos))).alias(f"{name}__first")]
     wide = df.agg(*aggs)
-    rows = [wide.select(F.lit(name).alias("mode"), F.col(f"{name}__n").alias("matches"),
-                        F.col(f"{name}__first").alias("first_" + pos))
-            for name, *_ in modes]
-    return reduce(DataFrame.unionByName, rows)
+    per_mode = F.array(*[F.struct(F.lit(name).alias("mode"),
+                                  F.col(f"{name}__n").alias("matches"),
+                                  F.col(f"{name}__first").alias("first_" + pos))
+                         for name, *_ in modes])
+    return wide.select(F.inline(per_mode))

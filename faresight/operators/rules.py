@@ -245,18 +245,22 @@ def null_profile(df: DataFrame) -> DataFrame:
     return wide.unpivot([], df.columns, "column", "null_count")
 
 
-def row_accounting(raw: DataFrame, deduped: DataFrame, filtered: DataFrame,
-                   clean: DataFrame) -> DataFrame:
-    """Rows in, duplicates, outliers, unparsable rows and rows out.
-
-    Each count is a global aggregate; Spark plans the four as one job
-    with the shared scans reused.
-    """
-    def n(df, name):
-        return df.agg(F.count(F.lit(1)).alias(name))
-
-    r = (n(raw, "rows_in").crossJoin(n(deduped, "__d")).crossJoin(n(filtered, "__f"))
-         .crossJoin(n(clean, "rows_out")))
-    return r.select("rows_in", (F.col("rows_in") - F.col("__d")).alias("duplicates"),
-                    (F.col("__d") - F.col("__f")).alias("outliers"),
-                    (F.col("__f") - F.col("rows_out")).alias("unparsable"), "rows_out")
+def row_accounting(raw: DataFrame, deduped: DataFrame, bounds: DataFrame,
+                   price: str = "price") -> DataFrame:
+    """Rows in, duplicates, outliers, unparsable rows and rows out (C10):
+    one count over the raw rows and one flagged aggregate (``count_if``)
+    over the deduped rows -- two scans, one job."""
+    from faresight.operators.clean import parse_ok
+    from faresight.operators.joins import cross_one_row
+    n_in = raw.agg(F.count(F.lit(1)).alias("rows_in"))
+    p = F.col(price).cast("double")
+    b = bounds.select(F.col("lower_bound").alias("__lo"), F.col("upper_bound").alias("__hi"))
+    inb = F.coalesce(~F.isnan(p) & p.between(F.col("__lo"), F.col("__hi")), F.lit(False))
+    flags = cross_one_row(deduped, b).agg(
+        F.count(F.lit(1)).alias("__d"),
+        F.count_if(~inb).alias("outliers"),
+        F.count_if(inb & ~parse_ok()).alias("unparsable"),
+        F.count_if(inb & parse_ok()).alias("rows_out"))
+    return n_in.crossJoin(flags).select(
+        "rows_in", (F.col("rows_in") - F.col("__d")).alias("duplicates"),
+        "outliers", "unparsable", "rows_out")

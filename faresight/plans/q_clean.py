@@ -124,7 +124,7 @@ SELECT (SELECT count(*) FROM fare_raw_copies) AS rows_in,
 def row_accounting(spark, sf_dir):
     from faresight.operators.rules import row_accounting as ra
     c = cleaned(spark, sf_dir)
-    return ra(fx.fare_raw_with_copies(spark, sf_dir), c.deduped, c.filtered, c.fares)
+    return ra(fx.fare_raw_with_copies(spark, sf_dir), c.deduped, c.bounds)
 
 
 @query("airline_counts", with_ctes(["fare_time"], """
