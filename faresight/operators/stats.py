@@ -15,6 +15,61 @@ ERROR_EXTRACT = "Failed to extract booking details for price option {i}"
 # ---------------------------------------------------------------------------
 
 
+def exact_quantiles(df: DataFrame, col, probs: list[float]) -> DataFrame:
+    """Exact quantiles with linear interpolation (pandas / ``quantile_cont``),
+    computed without a single task holding all values.
+
+    Values are counted per distinct value (partial aggregate), the
+    distinct values range-partitioned and materialized once; each value's
+    rank interval is its running count inside its range plus the counts
+    of all lower ranges (one row per partition). Only the rows holding the
+    wanted ranks reach the final one-row answer. Returns one row with a
+    column ``q{i}`` per probability (NULL when there are no values).
+    """
+    from pyspark.sql import Window
+
+    from faresight.session import materialize_counted
+    spark = df.sparkSession
+    v = (F.col(col) if isinstance(col, str) else col).cast("double")
+    counts = (df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+              .groupBy("v").agg(F.count(F.lit(1)).alias("c")))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged, _ = materialize_counted(
+        counts.repartitionByRange(parts, "v").withColumn("pid", F.spark_partition_id()),
+        "quantile_values")
+    sizes = ranged.groupBy("pid").agg(F.sum("c").alias("n"))
+    offsets = sizes.select(
+        "pid", F.coalesce(F.sum("n").over(Window.orderBy("pid").rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0)).alias("off"),
+        F.sum("n").over(Window.partitionBy()).alias("total"))
+    run = F.sum("c").over(Window.partitionBy("pid").orderBy("v")
+                          .rowsBetween(Window.unboundedPreceding, 0))
+    cum = (ranged.join(F.broadcast(offsets), "pid")
+           .withColumn("end", F.col("off") + run)
+           .withColumn("start", F.col("end") - F.col("c")))
+    # 0-based ranks needed: floor and ceil of (total - 1) * p for each p.
+    wanted = []
+    for i, pr in enumerate(probs):
+        h = (F.col("total") - 1) * F.lit(float(pr))
+        wanted.append(F.struct(F.lit(i).alias("i"), F.floor(h).alias("lo"),
+                               F.ceil(h).alias("hi"), (h - F.floor(h)).alias("frac")))
+    ranks = offsets.limit(1).select(F.explode(F.array(*wanted)).alias("w")).select("w.*")
+    hit_lo = ranks.join(cum, (F.col("lo") >= F.col("start")) & (F.col("lo") < F.col("end"))) \
+        .select("i", "frac", F.col("v").alias("v_lo"))
+    hit_hi = ranks.join(cum, (F.col("hi") >= F.col("start")) & (F.col("hi") < F.col("end"))) \
+        .select("i", F.col("v").alias("v_hi"))
+    q = (hit_lo.join(hit_hi, "i")
+         .select("i", (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo")))
+                 .alias("q")))
+    # Pivot the few answer rows into one row; absent answers stay NULL.
+    one = spark.range(1).select(*[F.lit(None).cast("double").alias(f"q{i}")
+                                  for i in range(len(probs))])
+    got = q.agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"__q{i}")
+                  for i in range(len(probs))])
+    return one.crossJoin(got).select(*[F.coalesce(f"__q{i}", f"q{i}").alias(f"q{i}")
+                                       for i in range(len(probs))])
+
+
 def _quartiles(p, method: str, accuracy: int):
     if method == "exact":
         # Exact, linear interpolation (as pandas). The aggregation buffer
@@ -28,10 +83,20 @@ def _quartiles(p, method: str, accuracy: int):
 
 def price_bounds(df: DataFrame, price: str = "price", method: str = "exact",
                  accuracy: int = 10000) -> DataFrame:
-    """One row: q1, q3, iqr, lower_bound, upper_bound."""
+    """One row: q1, q3, iqr, lower_bound, upper_bound.
+
+    ``exact`` is the distributed exact quantile; ``exact_single`` the
+    ``percentile`` aggregate (its final task holds one entry per distinct
+    price); ``approx`` the sketch (``percentile_approx``).
+    """
     p = F.col(price).cast("double")
-    q = df.agg(_quartiles(p, method, accuracy).alias("q"))
-    q1, q3 = F.col("q").getItem(0), F.col("q").getItem(1)
+    if method == "exact":
+        q = exact_quantiles(df, price, [0.25, 0.75])
+        q1, q3 = F.col("q0"), F.col("q1")
+    else:
+        q = df.agg(_quartiles(p, "exact" if method == "exact_single" else method,
+                              accuracy).alias("q"))
+        q1, q3 = F.col("q").getItem(0), F.col("q").getItem(1)
     return q.select(
         q1.alias("q1"), q3.alias("q3"), (q3 - q1).alias("iqr"),
         (q1 - 1.5 * (q3 - q1)).alias("lower_bound"),
@@ -52,20 +117,22 @@ def price_stats(filtered: DataFrame, bounds: DataFrame,
 def describe_price(df: DataFrame, price: str = "price") -> DataFrame:
     """count, mean, std, min, 25/50/75 %, max with exact percentiles."""
     p = F.col(price).cast("double")
-    q = F.percentile(p, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(
-        F.count(p).alias("count"), F.avg(p).alias("mean"),
-        F.stddev_samp(p).alias("std"), F.min(p).alias("min"),
-        q.getItem(0).alias("p25"), q.getItem(1).alias("p50"),
-        q.getItem(2).alias("p75"), F.max(p).alias("max"))
+    base = df.agg(F.count(p).alias("count"), F.avg(p).alias("mean"),
+                  F.stddev_samp(p).alias("std"), F.min(p).alias("min"),
+                  F.max(p).alias("max"))
+    q = exact_quantiles(df, price, [0.25, 0.5, 0.75])
+    return base.crossJoin(q).select(
+        "count", "mean", "std", "min", F.col("q0").alias("p25"),
+        F.col("q1").alias("p50"), F.col("q2").alias("p75"), "max")
 
 
 def distribution_summary(df: DataFrame, price: str = "price") -> DataFrame:
     """rows, min, max, mean, median."""
     p = F.col(price).cast("double")
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.min(p).alias("min"),
-                  F.max(p).alias("max"), F.avg(p).alias("mean"),
-                  F.percentile(p, 0.5).alias("median"))
+    base = df.agg(F.count(F.lit(1)).alias("rows"), F.min(p).alias("min"),
+                  F.max(p).alias("max"), F.avg(p).alias("mean"))
+    return base.crossJoin(exact_quantiles(df, price, [0.5]).select(
+        F.col("q0").alias("median")))
 
 
 def route_counts(df: DataFrame, dep: str = "departure_airport",

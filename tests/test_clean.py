@@ -43,3 +43,19 @@ def test_results_stable_under_repartition(spark):
     a = sorted(map(tuple, st.route_counts(cl.clean_fares(raw).fares).collect()))
     b = sorted(map(tuple, st.route_counts(cl.clean_fares(raw.repartition(7)).fares).collect()))
     assert a == b
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+    rng = np.random.default_rng(7)
+    cases = [rng.integers(0, 50, 997).astype(float).tolist(),   # many duplicates
+             rng.normal(0, 1, 500).tolist(),
+             [3.0], [1.0, 2.0], [5.0, 5.0, 5.0, 9.0]]
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    for vals in cases:
+        df = spark.createDataFrame([(x,) for x in vals] + [(None,)], "p double").repartition(3)
+        got = st.exact_quantiles(df, "p", probs).first()
+        want = np.quantile(np.array(vals), probs)
+        assert np.allclose([got[f"q{i}"] for i in range(len(probs))], want)
+    empty = spark.createDataFrame([(None,)], "p double")
+    assert st.exact_quantiles(empty, "p", [0.5]).first().q0 is None
