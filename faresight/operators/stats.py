@@ -15,29 +15,47 @@ ERROR_EXTRACT = "Failed to extract booking details for price option {i}"
 # ---------------------------------------------------------------------------
 
 
-def exact_quantiles(df: DataFrame, col, probs: list[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation (pandas / ``quantile_cont``),
-    computed without a single task holding all values.
-
-    Values are counted per distinct value (partial aggregate), the
-    distinct values range-partitioned and materialized once; each value's
-    rank interval is its running count inside its range plus the counts
-    of all lower ranges (one row per partition). Only the rows holding the
-    wanted ranks reach the final one-row answer. Returns one row with a
-    column ``q{i}`` per probability (NULL when there are no values).
+# Distinct values up to which the final quantile step may run in one task.
+SINGLE_TASK_DISTINCT_LIMIT = 1_000_000
+
+
+def exact_quantiles(df: DataFrame, col, probs: list[float],
+                    single_task_limit: int = SINGLE_TASK_DISTINCT_LIMIT) -> DataFrame:
+    """Exact quantiles with linear interpolation (pandas / ``quantile_cont``).
+
+    Values are first counted per distinct value (partial aggregate) and
+    written once to the shared folder; the number of distinct values is
+    observed during that write. When it is at most ``single_task_limit``
+    the answer is one ``percentile(value, p, count)`` aggregate over those
+    rows (a proven bound on what the final task holds). Otherwise the
+    distinct values are range-partitioned and each one's rank interval is
+    its running count inside its range plus the counts of all lower ranges,
+    so no task holds all values. Returns one row, ``q{i}`` per probability
+    (NULL when there are no values).
     """
-    from pyspark.sql import Window
-
     from faresight.session import materialize_counted
-    spark = df.sparkSession
     v = (F.col(col) if isinstance(col, str) else col).cast("double")
     counts = (df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
               .groupBy("v").agg(F.count(F.lit(1)).alias("c")))
+    counts, n_distinct = materialize_counted(counts, "quantile_counts")
+    if n_distinct <= single_task_limit:
+        q = counts.agg(F.percentile("v", F.array(*[F.lit(float(x)) for x in probs]),
+                                    F.col("c")).alias("__q"))
+        return q.select(*[F.col("__q").getItem(i).alias(f"q{i}") for i in range(len(probs))])
+    return _ranged_quantiles(counts, probs)
+
+
+def _ranged_quantiles(counts: DataFrame, probs: list[float]) -> DataFrame:
+    """Quantiles from (v, c) rows with no task holding all values."""
+    from pyspark.sql import Window
+
+    from faresight.session import materialize
+    spark = counts.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged, _ = materialize_counted(
-        counts.repartitionByRange(parts, "v").withColumn("pid", F.spark_partition_id()),
-        "quantile_values")
+    ranged = materialize(counts.repartitionByRange(parts, "v")
+                         .withColumn("pid", F.spark_partition_id()), "quantile_ranges")
     sizes = ranged.groupBy("pid").agg(F.sum("c").alias("n"))
+    # One row per range partition: ranked in one task, tiny by construction.
     offsets = sizes.select(
         "pid", F.coalesce(F.sum("n").over(Window.orderBy("pid").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0)).alias("off"),
@@ -61,7 +79,6 @@ def exact_quantiles(df: DataFrame, col, probs: list[float]) -> DataFrame:
     q = (hit_lo.join(hit_hi, "i")
          .select("i", (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo")))
                  .alias("q")))
-    # Pivot the few answer rows into one row; absent answers stay NULL.
     one = spark.range(1).select(*[F.lit(None).cast("double").alias(f"q{i}")
                                   for i in range(len(probs))])
     got = q.agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"__q{i}")

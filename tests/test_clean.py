@@ -54,8 +54,10 @@ def test_exact_quantiles_match_numpy(spark):
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
     for vals in cases:
         df = spark.createDataFrame([(x,) for x in vals] + [(None,)], "p double").repartition(3)
-        got = st.exact_quantiles(df, "p", probs).first()
         want = np.quantile(np.array(vals), probs)
-        assert np.allclose([got[f"q{i}"] for i in range(len(probs))], want)
+        for limit in (st.SINGLE_TASK_DISTINCT_LIMIT, 0):   # one-task path and ranged path
+            got = st.exact_quantiles(df, "p", probs, single_task_limit=limit).first()
+            assert np.allclose([got[f"q{i}"] for i in range(len(probs))], want)
     empty = spark.createDataFrame([(None,)], "p double")
     assert st.exact_quantiles(empty, "p", [0.5]).first().q0 is None
+    assert st.exact_quantiles(empty, "p", [0.5], single_task_limit=0).first().q0 is None
