@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faresight.operators.joins import checked_small
-from faresight.session import materialize
+from faresight.session import materialize, materialize_counted
 
 
 def category_text(col) -> F.Column:
@@ -17,26 +17,45 @@ def category_text(col) -> F.Column:
     return F.coalesce(c.cast("string"), F.lit("nan"))
 
 
-def fit_label_encoders(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Encoder table (column, value, code): code = 0-based rank of the
-    value among the column's sorted distinct texts (F1).
+# Vocabulary size up to which one task per attribute may rank the values.
+SINGLE_TASK_VOCAB_LIMIT = 1_000_000
 
-    Only distinct values reach the ranking; the rank of each value is
-    computed inside its range partition plus the row count of all lower
-    partitions, so no single task ever holds a whole vocabulary.
+
+def fit_label_encoders(df: DataFrame, cols: list[str], with_size: bool = False,
+                       single_task_limit: int = SINGLE_TASK_VOCAB_LIMIT):
+    """Encoder table (attribute, value, code): code = 0-based rank of the
+    value among the attribute's sorted distinct texts (F1).
+
+    Only distinct values reach the ranking. They are written once to the
+    shared folder and counted during that write; up to
+    ``single_task_limit`` values a per-attribute ``dense_rank`` ranks them
+    (a proven bound), beyond it each value's rank is its position inside
+    its range partition plus the sizes of all lower ranges, so no task
+    holds a whole vocabulary. ``with_size`` also returns the table's row
+    count, which callers pass on as a broadcast bound.
     """
     parts = [df.select(F.lit(c).alias("attribute"), category_text(c).alias("value"))
              for c in cols]
-    vals = reduce(DataFrame.unionByName, parts).distinct()
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    vals, n = materialize_counted(reduce(DataFrame.unionByName, parts).distinct(), "vocab")
+    if n <= single_task_limit:
+        enc = vals.select("attribute", "value", (F.dense_rank().over(
+            Window.partitionBy("attribute").orderBy("value")) - 1).cast("int").alias("code"))
+    else:
+        enc = _ranged_codes(vals)
+    return (enc, n) if with_size else enc
+
+
+def _ranged_codes(vals: DataFrame) -> DataFrame:
+    """Codes for very large vocabularies without a per-attribute window."""
+    n = max(1, int(vals.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # Materialized once: both branches below must see the same ranges.
     ranged = materialize(vals.repartitionByRange(n, "attribute", "value")
-                         .withColumn("__pid", F.spark_partition_id()), "vocab")
+                         .withColumn("__pid", F.spark_partition_id()), "vocab_ranges")
     local = ranged.withColumn(
         "__rn", F.row_number().over(
             Window.partitionBy("__pid", "attribute").orderBy("value")))
     sizes = ranged.groupBy("__pid", "attribute").agg(F.count(F.lit(1)).alias("__n"))
-    # One row per (partition, column): tiny, ranked in one task.
+    # One row per (partition, attribute): tiny, ranked in one task.
     offsets = sizes.withColumn(
         "__off", F.coalesce(F.sum("__n").over(
             Window.partitionBy("attribute").orderBy("__pid")
@@ -48,10 +67,11 @@ def fit_label_encoders(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def apply_label_encoders(df: DataFrame, encoders: DataFrame, cols: list[str],
                          unseen_code: int = 0, suffix: str = "_encoded",
-                         flag_unseen: bool = False) -> DataFrame:
+                         flag_unseen: bool = False, bound: int | None = None) -> DataFrame:
     """Add ``<col>_encoded`` by lookup; unseen values get ``unseen_code``
-    (0, the same code as the first class, as the reference does) (D5)."""
-    encoders, small = checked_small(encoders)
+    (0, the same code as the first class, as the reference does) (D5).
+    ``bound`` is the encoder table's known size (from the fit)."""
+    encoders, small = checked_small(encoders, bound=bound)
     out = df
     for c in cols:
         e = (encoders.where(F.col("attribute") == c)

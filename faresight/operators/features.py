@@ -57,8 +57,8 @@ def training_features(fares: DataFrame) -> FeatureResult:
     df = materialize(add_time_features(fares, on_bad="null"), "fare_time")
     df = attach_popularity(df)
     pop = popularity_stats(df)
-    enc = fit_label_encoders(df, CATEGORICAL_COLUMNS)
-    df = apply_label_encoders(df, enc, CATEGORICAL_COLUMNS)
+    enc, vocab = fit_label_encoders(df, CATEGORICAL_COLUMNS, with_size=True)
+    df = apply_label_encoders(df, enc, CATEGORICAL_COLUMNS, bound=vocab)
     return FeatureResult(df, enc, pop)
 
 

@@ -19,7 +19,9 @@ def test_encoder_many_values(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     try:
         df = spark.range(5000).selectExpr("lpad(cast(id * 7919 % 5000 as string), 5, '0') AS x")
-        codes = sorted((r.value, r.code) for r in fit_label_encoders(df, ["x"]).collect())
-        assert [c for _, c in codes] == list(range(5000))
+        for limit in (1_000_000, 0):    # one task per attribute, and ranged
+            enc = fit_label_encoders(df, ["x"], single_task_limit=limit)
+            codes = sorted((r.value, r.code) for r in enc.collect())
+            assert [c for _, c in codes] == list(range(5000))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
