@@ -109,10 +109,9 @@ def cross_validate(train: DataFrame, estimator, folds: int = 5,
     # Fold numbers come from the row hash; fold them into range for ``folds``.
     model = cv.fit(train.withColumn("fold", F.pmod(F.col("fold"), F.lit(folds)).cast("int")))
     mean = float(model.avgMetrics[0])
+    # PySpark reports the population std over folds (numpy, ddof=0), the
+    # same as the reference's ``cv_scores.std()``.
     std = float(model.stdMetrics[0]) if model.stdMetrics else 0.0
-    # Spark reports the sample std over folds; the reference reports the
-    # population std: scale by sqrt((k-1)/k).
-    std = std * ((folds - 1) / folds) ** 0.5
     return mean, std
 
 
