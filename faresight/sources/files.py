@@ -130,10 +130,13 @@ def flatten_runs(runs: DataFrame, keep=("run_id",)) -> DataFrame:
 
 
 def append_fare_history(df: DataFrame, path: str, batch_ts=None,
-                        partition_by: str | None = "flight_day") -> None:
+                        partition_by: str | None = "flight_day",
+                        fmt: str = "parquet") -> None:
     """Append history rows (A6): one ``created_at`` stamp per batch, a
-    row's own ``created_at`` wins. Written as parquet partitioned by the
-    flight day so reads prune by date."""
+    row's own ``created_at`` wins, the folder is created when missing.
+    Parquet (default) is partitioned by the flight day so reads prune by
+    date; ``fmt='csv'`` writes the 13-column layout with a header in each
+    new file set, readable by ``scan_fare_layouts``."""
     stamp = F.lit(batch_ts) if batch_ts is not None else utc_now_iso()
     cols = [c for c in WRITER13_COLUMNS if c in df.columns or c == "created_at"]
     own = F.col("created_at") if "created_at" in df.columns else F.lit(None).cast("string")
@@ -143,7 +146,12 @@ def append_fare_history(df: DataFrame, path: str, batch_ts=None,
     w = out.write.mode("append")
     if partition_by:
         w = w.partitionBy(partition_by)
-    w.parquet(path)
+    if fmt == "csv":
+        w.option("header", True).csv(path)
+    elif fmt == "parquet":
+        w.parquet(path)
+    else:
+        raise ValueError("fmt must be 'parquet' or 'csv'")
 
 
 def append_crawl_runs(runs: DataFrame, path: str) -> None:

@@ -105,3 +105,18 @@ def test_report_round_trip(spark, tmp_path):
     fl.append_crawl_runs(df, str(tmp_path / "runs"))
     fl.append_crawl_runs(df, str(tmp_path / "runs"))
     assert spark.read.json(str(tmp_path / "runs")).count() == 2
+
+
+def test_append_history_csv_reads_back_as_layout(spark, tmp_path):
+    p = str(tmp_path / "hist_csv")
+    df = spark.createDataFrame(
+        [(None, "VJ1", "A321", "SGN", "HAN", "2025-07-05T00:00:00.000Z", "08:00", "10:00",
+          "Eco", "100", "2", "1", "0")],
+        "created_at string, flight_number string, aircraft_type string, departure_airport string,"
+        " arrival_airport string, flight_date string, departure_time string, arrival_time string,"
+        " classes string, price string, adult string, child string, infant string")
+    fl.append_fare_history(df, p, batch_ts="2025-07-11T00:00:00.000Z", partition_by=None,
+                           fmt="csv")
+    back = fl.scan_fare_layouts(spark, path13=p).first()
+    assert (back.create_at, back.type_of_plane, back.adult) == (
+        "2025-07-11T00:00:00.000Z", "A321", 2)
