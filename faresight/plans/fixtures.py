@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faresight.functions.timeparts import iso_millis
+from faresight.operators.extract import LOG_NOISE_TERMS as LOG_NOISE
+from faresight.operators.extract import URL_NOISE_TERMS as URL_NOISE
 
 # --- fixed values (fixture construction, shared with the SQL oracle) ------
 AIRLINE_BY_EVENT = {"click": "VJ", "view": "VN", "purchase": "QH",
@@ -24,12 +26,6 @@ ARR_CODES = "HANSGNDADPQCCXRVDOHUIHPHVDHVII"
 CLASSES = ["Eco", "Deluxe", "Business", "SkyBoss"]
 REQ_DEP_CODES = "SGNhanDADXXXPQC"
 REQ_ARR_CODES = "HANSGNDADCXRPQC"
-LOG_NOISE = ["CORS", "Failed to load resource", "net::ERR_FAILED",
-             "REACT_APP_", "JSHandle@object", "DOMNodeInserted",
-             "Retargeting", "cdn-media.vinbase.ai"]
-URL_NOISE = ["analytics", "tracking", "measurement", "google-analytics",
-             "gtag", "googletagmanager", "facebook.com", "doubleclick",
-             "ads", "conversion"]
 # ---------------------------------------------------------------------------
 
 

@@ -7,11 +7,20 @@ reads the same parquet views and derives everything in plain SQL.
 
 from __future__ import annotations
 
+from faresight.operators.extract import LOG_NOISE_TERMS, URL_NOISE_TERMS
+from faresight.sources.airports import AIRPORTS
+
 TIME_RE = r"^\s*([+-]?\d+)\s*:\s*([+-]?\d+)\s*$"
 
 CTES: dict[str, tuple[str, list[str]]] = {}
 
 
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+
+
 def cte(name: str, sql: str, deps: list[str] | None = None) -> None:
     CTES[name] = (sql, deps or [])
 
@@ -191,17 +200,15 @@ SELECT run_id, search_date, departure_airport, arrival_airport,
   END AS error
 FROM run_days""", ["run_days"])
 
-cte("crawl_log", """
+_CRAWL_LOG = """
 SELECT event_id,
   CASE WHEN event_type IN ('click', 'view') THEN 'log' WHEN event_type = 'purchase' THEN 'warning'
        WHEN event_type = 'error' THEN 'error' ELSE 'debug' END AS type,
   'message ' || CAST(event_id AS VARCHAR) || CASE WHEN event_id % 3 = 0 THEN ' ' ||
-    (['CORS', 'Failed to load resource', 'net::ERR_FAILED', 'REACT_APP_', 'JSHandle@object',
-      'DOMNodeInserted', 'Retargeting', 'cdn-media.vinbase.ai'])[CAST(event_id % 8 + 1 AS INTEGER)]
+    ([{LOG_TERMS}])[CAST(event_id % 8 + 1 AS INTEGER)]
     ELSE '' END AS message,
   'https://www.example.com/p/' || CAST(event_id AS VARCHAR) || CASE WHEN event_id % 4 = 0 THEN '?src=' ||
-    (['analytics', 'tracking', 'measurement', 'google-analytics', 'gtag', 'googletagmanager',
-      'facebook.com', 'doubleclick', 'ads', 'conversion'])[CAST(event_id % 10 + 1 AS INTEGER)]
+    ([{URL_TERMS}])[CAST(event_id % 10 + 1 AS INTEGER)]
     ELSE '' END AS url,
   event_type <> 'error' AS success,
   coalesce(CAST(trunc(value * 1000) AS BIGINT), 0) AS duration,
@@ -212,7 +219,10 @@ SELECT event_id,
        '%Y-%m-%dT%H:%M:%S.%gZ') END AS error_time,
   substr('SGNHANDADCXRPQCVDOHUIHPHVDHVII', CAST(1 + 3 * (user_id % 10) AS INTEGER), 3) || ' → ' ||
   substr('HANSGNDADPQCCXRVDOHUIHPHVDHVII', CAST(1 + 3 * (event_id % 10) AS INTEGER), 3) AS route
-FROM events""")
+FROM events"""
+cte("crawl_log", _CRAWL_LOG
+    .replace("{LOG_TERMS}", ", ".join(_sql_text(t) for t in LOG_NOISE_TERMS))
+    .replace("{URL_TERMS}", ", ".join(_sql_text(t) for t in URL_NOISE_TERMS)))
 
 cte("attempts", """
 SELECT event_id // 6 AS request_id, CAST(event_id % 6 + 1 AS INTEGER) AS attempt,
@@ -220,28 +230,9 @@ SELECT event_id // 6 AS request_id, CAST(event_id % 6 + 1 AS INTEGER) AS attempt
   CASE WHEN event_type = 'error' THEN 'attempt failed: event ' || CAST(event_id AS VARCHAR) END AS error
 FROM events""")
 
-AIRPORT_ROWS = """
-SELECT * FROM (VALUES
- ('SGN', 'Tp. Hồ Chí Minh', 'Sân bay quốc tế Tân Sơn Nhất', 'Việt Nam'),
- ('HAN', 'Hà Nội', 'Sân bay quốc tế Nội Bài', 'Việt Nam'),
- ('DAD', 'Đà Nẵng', 'Sân bay quốc tế Đà Nẵng', 'Việt Nam'),
- ('CXR', 'Khánh Hòa', 'Sân bay quốc tế Cam Ranh', 'Việt Nam'),
- ('PQC', 'Phú Quốc', 'Sân bay quốc tế Phú Quốc', 'Việt Nam'),
- ('VDO', 'Quảng Ninh', 'Sân bay quốc tế Vân Đồn', 'Việt Nam'),
- ('HUI', 'Huế', 'Sân bay Phú Bài', 'Việt Nam'),
- ('HPH', 'Hải Phòng', 'Sân bay Cát Bi', 'Việt Nam'),
- ('VDH', 'Đồng Hới', 'Sân bay Đồng Hới', 'Việt Nam'),
- ('VII', 'Vinh', 'Sân bay Vinh', 'Việt Nam'),
- ('THD', 'Thanh Hóa', 'Sân bay Thọ Xuân', 'Việt Nam'),
- ('DLI', 'Đà Lạt', 'Sân bay Liên Khương', 'Việt Nam'),
- ('BMV', 'Buôn Ma Thuột', 'Sân bay Buôn Ma Thuột', 'Việt Nam'),
- ('PLE', 'Pleiku', 'Sân bay Pleiku', 'Việt Nam'),
- ('UIH', 'Quy Nhơn', 'Sân bay Phù Cát', 'Việt Nam'),
- ('TBB', 'Tuy Hòa', 'Sân bay Tuy Hòa', 'Việt Nam'),
- ('VCA', 'Cần Thơ', 'Sân bay Cần Thơ', 'Việt Nam'),
- ('CAH', 'Cà Mau', 'Sân bay Cà Mau', 'Việt Nam'),
- ('VKG', 'Rạch Giá', 'Sân bay Rạch Giá', 'Việt Nam'),
- ('DIN', 'Điện Biên', 'Sân bay Điện Biên Phủ', 'Việt Nam')
-) AS t(code, city, airport_name, country)"""
+# The airport dimension as inline VALUES, built from its one definition.
+AIRPORT_ROWS = ("SELECT * FROM (VALUES\n" + ",\n".join(
+    "(" + ", ".join(_sql_text(v) for v in row) + ")" for row in AIRPORTS)
+    + "\n) AS t(code, city, airport_name, country)")
 
 cte("airports", AIRPORT_ROWS)
