@@ -87,17 +87,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "faresight", name)
 
 
+# Inputs with at least this many partitions are never re-spread: they are
+# already parallel, and a full shuffle of a large input would cost more.
+SPREAD_MAX_INPUT_PARTITIONS = 200
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Spread rows over the cluster's cores when a scan yields too few
     partitions (a large file with a single row group).
 
-    With many input splits -- the normal case on a cluster -- this is a
-    no-op and adds no shuffle; with fewer partitions than cores, one
-    round-robin exchange lets CPU-heavy per-row work (regexes, text
-    joins) use every core instead of one task.
+    Only inputs with fewer partitions than cores -- and fewer than
+    ``SPREAD_MAX_INPUT_PARTITIONS`` -- get one round-robin exchange, so
+    CPU-heavy per-row work (regexes, text joins, row generators) uses every
+    core instead of one task. Inputs that are already split, the normal
+    case on a cluster, are returned unchanged with no shuffle.
     """
     spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= want:
+    if df.isStreaming:
+        return df
+    try:
+        want = min_partitions or spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session)
+        return df
+    if have >= min(want, SPREAD_MAX_INPUT_PARTITIONS):
         return df
     return df.repartition(want)

@@ -139,3 +139,25 @@ def test_text_match_modes(spark):
 def test_utc_now_iso_shape(spark):
     v = spark.range(1).select(tp.utc_now_iso().alias("t")).first().t
     assert len(v) == 24 and v[10] == "T" and v.endswith("Z")
+
+
+def test_time_to_minutes_matches_python_int_rule(spark):
+    """Property: for text over digits, signs, spaces, tabs and colons, the
+    Spark expression equals Python's ``map(int, s.split(':'))`` rule."""
+    import random
+
+    def py_rule(s):
+        try:
+            h, m = map(int, s.split(":"))
+            return h * 60 + m
+        except ValueError:
+            return None
+
+    rng = random.Random(11)
+    alphabet = "0123456789+- \t:"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 8)))
+             for _ in range(2000)]
+    texts += ["%d:%d" % (rng.randint(-30, 30), rng.randint(-99, 99)) for _ in range(500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
+    got = {r.i: r.y for r in df.select("i", tp.time_to_minutes("x").alias("y")).collect()}
+    assert all(got[i] == py_rule(t) for i, t in enumerate(texts))
