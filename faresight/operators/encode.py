@@ -42,6 +42,9 @@ def fit_label_encoders(df: DataFrame, cols: list[str], with_size: bool = False,
             Window.partitionBy("attribute").orderBy("value")) - 1).cast("int").alias("code"))
     else:
         enc = _ranged_codes(vals)
+    # Written once: each encoded column reads its slice (a pushed filter)
+    # instead of recomputing the ranking per lookup.
+    enc = materialize(enc, "encoders")
     return (enc, n) if with_size else enc
 
 
