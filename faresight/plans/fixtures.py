@@ -231,3 +231,26 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~failed).alias("success"),
         F.when(failed, F.concat(F.lit("attempt failed: event "), eid.cast("string")))
         .alias("error"))
+
+
+def request_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each request as raw JSON text, with absent keys, explicit nulls and
+    values of the wrong JSON type (for the structure check on raw JSON)."""
+    r = requests(spark, sf_dir)
+    k = F.col("request_id")
+
+    def js(c):
+        return F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), c, F.lit('"')))
+
+    fc = (F.when(k % 7 == 0, F.lit(',"find_cheapest":"yes"'))
+          .when(k % 13 == 0, F.lit(',"find_cheapest":null'))
+          .when(k % 2 == 0, F.lit(',"find_cheapest":true')).otherwise(F.lit("")))
+    dd = F.when(k % 11 == 0, F.lit("20250101")).otherwise(js(F.col("departure_date")))
+    so = F.when(k % 31 == 0, F.lit("")).otherwise(F.concat(
+        F.lit(',"search_options":{"trip_type":'), js(F.col("trip_type")), fc,
+        F.lit(',"departure_date":'), dd, F.lit("}")))
+    dep = F.when(k % 37 == 0, F.lit("")).otherwise(
+        F.concat(F.lit('"departure_airport":'), js(F.col("departure_airport")), F.lit(",")))
+    raw = F.concat(F.lit("{"), dep, F.lit('"arrival_airport":'), js(F.col("arrival_airport")),
+                   so, F.lit(',"adult":'), js(F.col("adult")), F.lit("}"))
+    return r.select("request_id", raw.alias("raw"))

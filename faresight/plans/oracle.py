@@ -236,3 +236,20 @@ AIRPORT_ROWS = ("SELECT * FROM (VALUES\n" + ",\n".join(
     + "\n) AS t(code, city, airport_name, country)")
 
 cte("airports", AIRPORT_ROWS)
+
+cte("request_json", """
+SELECT request_id,
+  '{' || CASE WHEN request_id % 37 = 0 THEN ''
+              ELSE '"departure_airport":' || CASE WHEN departure_airport IS NULL THEN 'null'
+                   ELSE '"' || departure_airport || '"' END || ',' END
+  || '"arrival_airport":' || CASE WHEN arrival_airport IS NULL THEN 'null' ELSE '"' || arrival_airport || '"' END
+  || CASE WHEN request_id % 31 = 0 THEN ''
+          ELSE ',"search_options":{"trip_type":' || CASE WHEN trip_type IS NULL THEN 'null' ELSE '"' || trip_type || '"' END
+               || CASE WHEN request_id % 7 = 0 THEN ',"find_cheapest":"yes"'
+                       WHEN request_id % 13 = 0 THEN ',"find_cheapest":null'
+                       WHEN request_id % 2 = 0 THEN ',"find_cheapest":true' ELSE '' END
+               || ',"departure_date":' || CASE WHEN request_id % 11 = 0 THEN '20250101'
+                    WHEN departure_date IS NULL THEN 'null' ELSE '"' || departure_date || '"' END
+               || '}' END
+  || ',"adult":' || CASE WHEN adult IS NULL THEN 'null' ELSE '"' || adult || '"' END || '}' AS raw
+FROM requests""", ["requests"])

@@ -182,3 +182,37 @@ def search_days(spark, sf_dir):
         F.date_format(F.date_add("search_day", 1), "dd/MM/yyyy").alias("next_date"),
         tx.search_url("departure_airport", "arrival_airport", "search_date",
                       "adult", "child", "infant").alias("search_url"))
+
+
+_JSON_SQL = with_ctes(["request_json"], """
+, t AS (SELECT request_id,
+   json_type(raw, '$.departure_airport') AS dep_t, json_extract_string(raw, '$.departure_airport') AS dep_v,
+   json_type(raw, '$.arrival_airport') AS arr_t, json_extract_string(raw, '$.arrival_airport') AS arr_v,
+   json_type(raw, '$.search_options') AS so_t,
+   json_extract_string(raw, '$.search_options.trip_type') AS trip_v,
+   json_type(raw, '$.search_options.find_cheapest') AS fc_t,
+   json_extract_string(raw, '$.search_options.find_cheapest') AS fc_v,
+   json_type(raw, '$.search_options.departure_date') AS dd_t,
+   json_extract_string(raw, '$.search_options.departure_date') AS dd_v
+  FROM request_json)
+, b AS (SELECT *, (coalesce(dep_t, '') <> 'VARCHAR' OR trim(coalesce(dep_v, '')) = '') AS bad_dep,
+               (coalesce(arr_t, '') <> 'VARCHAR' OR trim(coalesce(arr_v, '')) = '') AS bad_arr FROM t)
+SELECT request_id,
+  CASE WHEN bad_dep AND bad_arr THEN '@MISS@departure_airport, arrival_airport'
+       WHEN bad_dep THEN '@MISS@departure_airport'
+       WHEN bad_arr THEN '@MISS@arrival_airport'
+       WHEN so_t = 'OBJECT' AND coalesce(trip_v, '') <> '' AND trip_v NOT IN ('oneway', 'roundtrip')
+         THEN 'Invalid trip_type: ' || trip_v || '. Must be ''oneway'' or ''roundtrip'''
+       WHEN so_t = 'OBJECT' AND fc_t IS NOT NULL AND fc_t <> 'BOOLEAN'
+         THEN 'Invalid find_cheapest: ' || coalesce(fc_v, 'null') || '. Must be boolean'
+       WHEN so_t = 'OBJECT' AND dd_v IS NOT NULL AND dd_v NOT IN ('', '0', 'false') AND dd_t <> 'VARCHAR'
+         THEN 'Invalid departure_date: ' || dd_v || '. Must be string'
+  END AS structure_error
+FROM b""").replace("@MISS@", _MISS)
+
+
+@query("request_json_structure", _JSON_SQL)
+def request_json_structure(spark, sf_dir):
+    """C2 on raw request JSON: absent vs null vs wrong JSON type."""
+    return ru.json_type_errors(fx.request_json(spark, sf_dir)).select(
+        "request_id", "structure_error")
