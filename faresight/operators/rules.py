@@ -104,13 +104,10 @@ def validate_request_structure(df: DataFrame, dep="departure_airport",
 def json_type_errors(df: DataFrame, raw: str = "raw") -> DataFrame:
     """C2 on raw request JSON, telling absent from null and text from
     other JSON types (VARIANT)."""
-    v = F.parse_json(F.col(raw))
-
     def typ(path):
         x = F.expr(f"variant_get(parse_json({raw}), '{path}')")
         return F.when(x.isNull(), F.lit("absent")).otherwise(F.schema_of_variant(x))
 
-    del v
     dep_t, arr_t = typ("$.departure_airport"), typ("$.arrival_airport")
     dep_v = F.get_json_object(F.col(raw), "$.departure_airport")
     arr_v = F.get_json_object(F.col(raw), "$.arrival_airport")

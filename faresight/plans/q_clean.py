@@ -11,10 +11,10 @@ from faresight.operators import stats as st
 from faresight.operators.encode import apply_label_encoders, fit_label_encoders
 from faresight.operators.features import training_features
 from faresight.operators.joins import cross_one_row
-from faresight.operators.model import split_key, train_test_flag
+from faresight.operators.model import train_test_flag
 from faresight.plans import fixtures as fx
 from faresight.plans.common import R4, TS, bigint_cols, cleaned, r4, ts_text
-from faresight.plans.oracle import ENC, FARE_COLS, with_ctes
+from faresight.plans.oracle import FARE_COLS, with_ctes
 from faresight.plans.registry import query
 from faresight.schema import CATEGORICAL_COLUMNS, FEATURE_COLUMNS
 

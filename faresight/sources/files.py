@@ -36,13 +36,6 @@ def coerce_fare_types(df: DataFrame) -> DataFrame:
     return df.withColumn("price", F.col("price").try_cast("decimal(18,2)"))
 
 
-def _layout_of(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """Rows of ``path`` that have exactly ``width`` fields."""
-    text = spark.read.text(path)
-    n = F.size(F.split(F.col("value"), ","))
-    return text.where(n == width)
-
-
 def scan_fare_layouts(spark: SparkSession, path13: str | None = None,
                       path10: str | None = None) -> DataFrame:
     """Read 13-column and 10-column history files, each under its own
