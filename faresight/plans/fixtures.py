@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faresight.functions.timeparts import iso_millis
+from faresight.session import spread
 from faresight.operators.extract import LOG_NOISE_TERMS as LOG_NOISE
 from faresight.operators.extract import URL_NOISE_TERMS as URL_NOISE
 
@@ -48,8 +49,10 @@ def _utc(ts: Column) -> Column:
 
 
 def fare_raw(spark: SparkSession, sf_dir: str, keep_id: bool = True) -> DataFrame:
-    """The dirty fare history (analysis layout), one row per event."""
-    e = table(spark, sf_dir, "events")
+    """The dirty fare history (analysis layout), one row per event.
+    Each row takes several string and date expressions, so the scan is
+    spread over the cores when it arrives as one split."""
+    e = spread(table(spark, sf_dir, "events"))
     eid, uid, ts = F.col("event_id"), F.col("user_id"), _utc(F.col("ts"))
     prefix = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v))
                           for k, v in AIRLINE_BY_EVENT.items()])
