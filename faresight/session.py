@@ -83,8 +83,11 @@ def materialize_counted(df: DataFrame, name: str = "table") -> tuple[DataFrame,
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for intermediate tables."""
-    return os.path.join(ensure_checkpoint_dir(spark), "faresight", name)
+    """A path for an intermediate table under the shared checkpoint folder,
+    grouped per application (``<dir>/faresight/<application id>/<name>``)
+    so a finished job's scratch can be expired as one folder."""
+    app = spark.sparkContext.applicationId or "app"
+    return os.path.join(ensure_checkpoint_dir(spark), "faresight", app, name)
 
 
 # Inputs with at least this many partitions are never re-spread: they are

@@ -120,3 +120,23 @@ def test_append_history_csv_reads_back_as_layout(spark, tmp_path):
     back = fl.scan_fare_layouts(spark, path13=p).first()
     assert (back.create_at, back.type_of_plane, back.adult) == (
         "2025-07-11T00:00:00.000Z", "A321", 2)
+
+
+def test_history_date_filter_prunes_partitions(spark, tmp_path):
+    import contextlib
+    import io
+    p = str(tmp_path / "hist_pruned")
+    rows = [(None, f"VJ{i}", "A321", "SGN", "HAN", f"2025-07-0{1 + i % 3}T00:00:00.000Z",
+             "08:00", "10:00", "Eco", "100", "1", "0", "0") for i in range(9)]
+    df = spark.createDataFrame(
+        rows, "created_at string, flight_number string, aircraft_type string,"
+        " departure_airport string, arrival_airport string, flight_date string,"
+        " departure_time string, arrival_time string, classes string, price string,"
+        " adult string, child string, infant string")
+    fl.append_fare_history(df, p, batch_ts="2025-07-11T00:00:00.000Z")
+    q = spark.read.parquet(p).where(F.col("flight_day") == "2025-07-02").select("flight_number")
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        q.explain()
+    assert "PartitionFilters: [isnotnull(flight_day" in buf.getvalue()
+    assert q.count() == 3
