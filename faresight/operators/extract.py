@@ -26,12 +26,13 @@ def _holds_any(col: str, terms: list[str]) -> F.Column:
                     lambda t: F.instr(F.col(col), t) > 0)
 
 
-def booking_fields(df: DataFrame, text: str = "text") -> DataFrame:
+def booking_fields(df: DataFrame, text: str = "text", fallback: bool = True) -> DataFrame:
     """Flight number, times, fare class and total price (normalised,
     decimal) from booking-panel text; ``price_found`` tells whether the
-    option is usable (G10, G11)."""
+    option is usable (G10, G11). ``fallback=False`` drops the trip-price
+    fallback, as the capture path that is actually run does."""
     dep, arr = tx.booking_times(text)
-    price = tx.labelled_price(text)
+    price = tx.labelled_price(text, fallback=fallback)
     return spread(df).withColumns({
         "flight_number": tx.booking_flight_number(text),
         "departure_time": dep, "arrival_time": arr,

@@ -85,6 +85,8 @@ def test_booking_fields_and_fallback_price(spark):
         ("VJ1170", "23:35", "01:45", "Eco", Decimal("1290000.00")),
         (None, None, None, None, None)]
     assert [r.price_found for r in out] == [True, True, False]
+    strict = booking_fields(df, fallback=False).collect()
+    assert [r.price_found for r in strict] == [False, True, False]
 
 
 def test_generic_extraction(spark):
