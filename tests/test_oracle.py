@@ -7,7 +7,7 @@ import __spark_entry__ as E
 from tests.conftest import SMOKE
 from tools.oracle_check import TABLES, digest
 
-SLOW = {"decision_tree_eval"}
+SLOW = {"decision_tree_eval", "model_comparison"}
 
 
 @pytest.fixture(scope="module")
