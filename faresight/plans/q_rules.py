@@ -216,3 +216,18 @@ def request_json_structure(spark, sf_dir):
     """C2 on raw request JSON: absent vs null vs wrong JSON type."""
     return ru.json_type_errors(fx.request_json(spark, sf_dir)).select(
         "request_id", "structure_error")
+
+
+@query("request_dates", with_ctes(["requests"], """
+SELECT request_id,
+  strftime(strptime(departure_date, '%d/%m/%Y'), '%Y-%m-%dT00:00:00.000Z') AS departure_iso,
+  strftime(strptime(departure_date, '%d/%m/%Y') + INTERVAL 1 DAY, '%d/%m/%Y') AS next_date,
+  strftime(strptime(return_date, '%d/%m/%Y'), '%Y-%m-%dT00:00:00.000Z') AS return_iso
+FROM requests"""))
+def request_dates(spark, sf_dir):
+    """Text dates of each request: DD/MM/YYYY to ISO (G14) and the next
+    search day as DD/MM/YYYY (G15), parsed from the text itself."""
+    r = fx.requests(spark, sf_dir)
+    return r.select("request_id", tp.dmy_to_iso("departure_date").alias("departure_iso"),
+                    tp.next_dmy("departure_date").alias("next_date"),
+                    tp.dmy_to_iso("return_date").alias("return_iso"))
