@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faresight.functions import text as tx
+from faresight.functions.timeparts import airline_code
 from faresight.operators import clean as cl
 from faresight.operators import stats as st
 from faresight.operators.encode import apply_label_encoders, fit_label_encoders
@@ -131,7 +132,7 @@ def row_accounting(spark, sf_dir):
 SELECT airline, count(*) AS airline_count FROM fare_time
 WHERE airline IS NOT NULL GROUP BY 1"""))
 def airline_counts(spark, sf_dir):
-    f = cleaned(spark, sf_dir).fares.withColumn("airline", F.substring("flight_number", 1, 2))
+    f = cleaned(spark, sf_dir).fares.withColumn("airline", airline_code("flight_number"))
     return st.airline_counts(f)
 
 

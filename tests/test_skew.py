@@ -27,3 +27,21 @@ def test_hot_route_popularity_exact_and_broadcast(spark):
     plan = buf.getvalue()
     assert plan.count("BroadcastHashJoin") == 2
     assert "SortMergeJoin" not in plan and "Window" not in plan
+
+
+def test_single_popularity_joins_equal_combined(spark):
+    from faresight.operators.lookup import (attach_airline_popularity,
+                                            attach_route_popularity)
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 4 == 0, F.lit(None)).otherwise(
+            F.concat(F.lit("D"), (F.col("id") % 7).cast("string"))).alias("departure_airport"),
+        F.concat(F.lit("A"), (F.col("id") % 5).cast("string")).alias("arrival_airport"),
+        F.when(F.col("id") % 6 == 0, F.lit(None)).otherwise(
+            F.concat(F.lit("L"), (F.col("id") % 3).cast("string"))).alias("airline"),
+        "id")
+    cols = ["id", "route_popularity", "airline_popularity"]
+    a = sorted(tuple(r) for r in attach_popularity(df).select(*cols).collect())
+    b = sorted(tuple(r) for r in attach_airline_popularity(attach_route_popularity(df))
+               .select(*cols).collect())
+    assert a == b
+    assert min(r[1] for r in a) == 0      # NULL departure gives 0
