@@ -13,33 +13,43 @@ from pyspark.sql import types as T
 
 from faresight.functions import text as tx
 from faresight.operators.expand import history_projection
+from faresight.operators.rules import route_supported
 from faresight.schema import CRAWL_RUN
+from faresight.sources.airports import AIRPORT_ROWS, airports_df
 from faresight.sources.files import flatten_runs
 
 RUN_FILE_SCHEMA = T.StructType([T.StructField("run_id", T.LongType())] + CRAWL_RUN.fields)
 
 
 def stream_history_rows(spark: SparkSession, source_dir: str,
-                        max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming DataFrame of history rows from run files in ``source_dir``."""
+                        max_files_per_trigger: int | None = None,
+                        check_routes: bool = True) -> DataFrame:
+    """Streaming DataFrame of history rows from run files in ``source_dir``.
+
+    Each row also carries ``route_supported`` (C7): a stream-static join
+    with the fixed airport list, broadcast, so the stream is not shuffled.
+    """
     r = spark.readStream.schema(RUN_FILE_SCHEMA)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     runs = r.json(source_dir)
     opts = flatten_runs(runs, keep=("run_id",))
     rows = history_projection(opts, None, batch_ts=None)
-    return rows.withColumn("price", tx.price_text_to_decimal("price"))
+    rows = rows.withColumn("price", tx.price_text_to_decimal("price"))
+    if check_routes:
+        rows = route_supported(rows, airports_df(spark), airport_bound=AIRPORT_ROWS)
+    return rows
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, sink_dir: str,
                   checkpoint_dir: str, dedupe_watermark: str | None = None,
-                  available_now: bool = True):
+                  available_now: bool = True, check_routes: bool = True):
     """Run the ingest: append history rows as parquet. ``available_now``
     processes everything present and stops (scheduled runs); otherwise
     the query keeps running. With ``dedupe_watermark`` (e.g. '1 day'),
     repeated rows within the watermark are dropped; the reference itself
     never dedupes on write, so it is off by default."""
-    rows = stream_history_rows(spark, source_dir)
+    rows = stream_history_rows(spark, source_dir, check_routes=check_routes)
     if dedupe_watermark:
         rows = (rows.withColumn("__ts", F.col("created_at").try_cast("timestamp"))
                 .withWatermark("__ts", dedupe_watermark)

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from faresight.operators.expand import history_projection
+from faresight.operators.rules import route_supported
+from faresight.sources.airports import AIRPORT_ROWS, airports_df
 from faresight.plans import fixtures as fx
 from faresight.sources.files import flatten_runs
 from faresight.streaming.ingest import ingest_stream
@@ -16,8 +18,10 @@ def test_stream_equals_batch(spark, tmp_path):
         runs.where(F.col("run_id") % 2 == part).write.mode("append").json(src)
         ingest_stream(spark, src, sink, ck)
     streamed = spark.read.parquet(sink)
-    batch = history_projection(flatten_runs(runs), None, batch_ts="x")
-    cols = ["run_id", "flight_number", "flight_date", "departure_time", "classes"]
+    batch = route_supported(history_projection(flatten_runs(runs), None, batch_ts="x"),
+                            airports_df(spark), airport_bound=AIRPORT_ROWS)
+    cols = ["run_id", "flight_number", "flight_date", "departure_time", "classes",
+            "route_supported"]
     def key(t):
         return tuple("" if x is None else str(x) for x in t)
 
