@@ -37,6 +37,15 @@ def fit_label_encoders(df: DataFrame, cols: list[str], with_size: bool = False,
     parts = [df.select(F.lit(c).alias("attribute"), category_text(c).alias("value"))
              for c in cols]
     vals, n = materialize_counted(reduce(DataFrame.unionByName, parts).distinct(), "vocab")
+    enc = rank_vocabulary(vals, n, single_task_limit)
+    return (enc, n) if with_size else enc
+
+
+def rank_vocabulary(vals: DataFrame, n: int,
+                    single_task_limit: int = SINGLE_TASK_VOCAB_LIMIT) -> DataFrame:
+    """Codes for a distinct (attribute, value) table of at most ``n`` rows:
+    per-attribute ``dense_rank`` up to the limit, ranged beyond it; the
+    result is written once."""
     if n <= single_task_limit:
         enc = vals.select("attribute", "value", (F.dense_rank().over(
             Window.partitionBy("attribute").orderBy("value")) - 1).cast("int").alias("code"))
@@ -44,8 +53,7 @@ def fit_label_encoders(df: DataFrame, cols: list[str], with_size: bool = False,
         enc = _ranged_codes(vals)
     # Written once: each encoded column reads its slice (a pushed filter)
     # instead of recomputing the ranking per lookup.
-    enc = materialize(enc, "encoders")
-    return (enc, n) if with_size else enc
+    return materialize(enc, "encoders")
 
 
 def _ranged_codes(vals: DataFrame) -> DataFrame:

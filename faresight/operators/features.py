@@ -5,14 +5,16 @@ reference's two paths differ."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faresight.functions import timeparts as tp
-from faresight.operators.encode import apply_label_encoders, fit_label_encoders
-from faresight.operators.joins import cross_one_row
-from faresight.operators.lookup import attach_popularity
+from faresight.operators.encode import (apply_label_encoders, category_text,
+                                        rank_vocabulary)
+from faresight.operators.joins import BROADCAST_ROW_LIMIT, cross_one_row
+from faresight.operators.lookup import group_counts, grouping_id_of, join_popularity
 from faresight.operators.stats import popularity_stats
 from faresight.schema import CATEGORICAL_COLUMNS, FEATURE_COLUMNS
 from faresight.session import materialize
@@ -53,12 +55,20 @@ class FeatureResult:
 def training_features(fares: DataFrame) -> FeatureResult:
     """Training path: real popularity counts, encoders fitted on the
     cleaned fares (before incomplete rows are dropped), bad times NULL."""
-    # Read four times (two counts, the encoder fit, the rows): written once.
+    # Read twice (the counts pass and the rows): written once.
     df = materialize(add_time_features(fares, on_bad="null"), "fare_time")
-    df = attach_popularity(df)
+    # One aggregation pass gives route counts, airline counts and every
+    # categorical vocabulary (one grouping set each).
+    sets = [["departure_airport", "arrival_airport"]] + [[c] for c in CATEGORICAL_COLUMNS]
+    counts, n, cols = group_counts(df, sets)
+    df = join_popularity(df, counts, cols, n <= BROADCAST_ROW_LIMIT)
     pop = popularity_stats(df)
-    enc, vocab = fit_label_encoders(df, CATEGORICAL_COLUMNS, with_size=True)
-    df = apply_label_encoders(df, enc, CATEGORICAL_COLUMNS, bound=vocab)
+    vocab = reduce(DataFrame.unionByName, [
+        counts.where(F.col("__g") == grouping_id_of(cols, [c]))
+        .select(F.lit(c).alias("attribute"), category_text(c).alias("value"))
+        for c in CATEGORICAL_COLUMNS])
+    enc = rank_vocabulary(vocab, n)
+    df = apply_label_encoders(df, enc, CATEGORICAL_COLUMNS, bound=n)
     return FeatureResult(df, enc, pop)
 
 

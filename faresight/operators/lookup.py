@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faresight.operators.joins import checked_small, lookup_join
+from faresight.operators.joins import BROADCAST_ROW_LIMIT, checked_small, lookup_join
 from faresight.operators.stats import route_counts
-from faresight.session import spread
+from faresight.session import materialize_counted, spread
 
 
 def enrich_airports(df: DataFrame, airports: DataFrame,
@@ -60,19 +60,37 @@ def attach_airline_popularity(df: DataFrame, airline: str = "airline",
     return j.withColumn(out, F.coalesce(F.col(out), F.lit(0)).cast("bigint"))
 
 
-def attach_popularity(df: DataFrame, dep: str = "departure_airport",
-                      arr: str = "arrival_airport", airline: str = "airline") -> DataFrame:
-    """D2 and D3 together: route and airline counts from one aggregation
-    pass (grouping sets), one checked lookup table, two broadcast joins.
-    NULL keys are not counted and give 0."""
-    g = (df.groupingSets([[dep, arr], [airline]], dep, arr, airline)
+def grouping_id_of(cols: list[str], group: list[str]) -> int:
+    """``grouping_id()`` of a grouping set: one bit per column left out,
+    the first column being the most significant bit."""
+    n = len(cols)
+    return sum(1 << (n - 1 - i) for i, c in enumerate(cols) if c not in group)
+
+
+def group_counts(df: DataFrame, sets: list[list[str]]) -> tuple[DataFrame, int, list[str]]:
+    """Row counts for several grouping sets in one aggregation pass,
+    written once to the shared folder with its row count observed.
+
+    Returns (table with the grouping columns, ``__n`` and ``__g``, its row
+    count, the column order that ``grouping_id_of`` needs).
+    """
+    cols = list(dict.fromkeys(c for g in sets for c in g))
+    g = (df.groupingSets(sets, *cols)
          .agg(F.count(F.lit(1)).alias("__n"), F.grouping_id().alias("__g")))
-    # grouping_id: bit set for each column left out; (dep, arr) set -> 1, (airline) -> 6
-    counts, small = checked_small(g)
-    routes = (counts.where((F.col("__g") == 1) & F.col(dep).isNotNull()
-                           & F.col(arr).isNotNull())
+    counts, n = materialize_counted(g, "group_counts")
+    return counts, n, cols
+
+
+def join_popularity(df: DataFrame, counts: DataFrame, cols: list[str], small: bool,
+                    dep: str = "departure_airport", arr: str = "arrival_airport",
+                    airline: str = "airline") -> DataFrame:
+    """Attach route and airline counts from a ``group_counts`` table;
+    NULL keys are not counted and give 0."""
+    routes = (counts.where((F.col("__g") == grouping_id_of(cols, [dep, arr]))
+                           & F.col(dep).isNotNull() & F.col(arr).isNotNull())
               .select(dep, arr, F.col("__n").alias("route_popularity")))
-    airlines = (counts.where((F.col("__g") == 6) & F.col(airline).isNotNull())
+    airlines = (counts.where((F.col("__g") == grouping_id_of(cols, [airline]))
+                             & F.col(airline).isNotNull())
                 .select(airline, F.col("__n").alias("airline_popularity")))
     if small:
         routes, airlines = F.broadcast(routes), F.broadcast(airlines)
@@ -82,6 +100,15 @@ def attach_popularity(df: DataFrame, dep: str = "departure_airport",
         "airline_popularity": F.coalesce("airline_popularity", F.lit(0)).cast("bigint")})
 
 
+def attach_popularity(df: DataFrame, dep: str = "departure_airport",
+                      arr: str = "arrival_airport", airline: str = "airline") -> DataFrame:
+    """D2 and D3 together: route and airline counts from one aggregation
+    pass (grouping sets), one checked lookup table, two broadcast joins.
+    NULL keys are not counted and give 0."""
+    counts, n, cols = group_counts(df, [[dep, arr], [airline]])
+    return join_popularity(df, counts, cols, n <= BROADCAST_ROW_LIMIT, dep, arr, airline)
+
+
 def aircraft_lookup(df: DataFrame, base_map: DataFrame, current_map: DataFrame,
                     keys=("run_id", "flight_number"),
                     aircraft: str = "aircraft_type") -> DataFrame:
