@@ -172,7 +172,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("2024-01-01T00:00:00.000Z").alias("timestamp"), "search_date",
                  "departure_airport", "arrival_airport",
                  F.lit("fixture").alias("source"),
-                 F.size("__p").cast("bigint").alias("total_flights"),
+                 F.size(F.array_distinct(F.transform(
+                     "__p", lambda p: p["o"]["flight_number"]))).cast("bigint")
+                 .alias("total_flights"),
                  F.transform("__p", lambda p: p["o"]).alias("prices"),
                  "errors").alias("d"))
     return days.groupBy("run_id").agg(

@@ -44,11 +44,14 @@ def crawl_errors(spark, sf_dir):
 
 
 @query("daily_flight_count", with_ctes(["run_rows"], """
-SELECT search_date, departure_airport, arrival_airport, count(*) AS price_options,
+SELECT run_id, search_date, departure_airport, arrival_airport, count(*) AS price_options,
   count(DISTINCT flight_number) + max(CAST(flight_number IS NULL AS BIGINT)) AS total_flights
-FROM run_rows GROUP BY 1, 2, 3"""))
+FROM run_rows GROUP BY 1, 2, 3, 4"""))
 def daily_flight_count(spark, sf_dir):
-    return st.daily_flight_count(fx.run_rows(spark, sf_dir))
+    """Per day of a run (one search day and route): options and flights."""
+    return st.daily_flight_count(fx.run_rows(spark, sf_dir),
+                                 keys=("run_id", "search_date", "departure_airport",
+                                       "arrival_airport"))
 
 
 def _aircraft(c="aircraft_type"):
