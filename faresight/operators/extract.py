@@ -87,7 +87,8 @@ def text_match_summary(df: DataFrame, modes, text: str = "text",
         m = tx.text_match(text, term, exact, cs)
         aggs += [F.count_if(m).alias(f"{name}__n"),
                  F.min(F.when(m, F.col(pos))).alias(f"{name}__first")]
-    wide = df.agg(*aggs)
+    # Whole texts are searched once per mode: spread them over the cores.
+    wide = spread(df).agg(*aggs)
     per_mode = F.array(*[F.struct(F.lit(name).alias("mode"),
                                   F.col(f"{name}__n").alias("matches"),
                                   F.col(f"{name}__first").alias("first_" + pos))
