@@ -228,6 +228,18 @@ def crawl_errors(runs: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+def crawl_day_errors(runs: DataFrame, run: str = "run_id") -> DataFrame:
+    """Per day of a run: its error list and how many errors it has.
+    A row-wise explode of the nested days; no shuffle."""
+    days = runs.select(run, F.explode(F.col("daily_results")).alias("d"))
+    return days.select(run, F.col("d.search_date").alias("search_date"),
+                       F.col("d.departure_airport").alias("departure_airport"),
+                       F.col("d.arrival_airport").alias("arrival_airport"),
+                       F.coalesce(F.col("d.errors"), F.array().cast("array<string>"))
+                       .alias("errors"),
+                       F.coalesce(F.size("d.errors"), F.lit(0)).cast("bigint").alias("n_errors"))
+
+
 def execution_stats(outcomes: DataFrame) -> DataFrame:
     """Per crawl outcome: duration and its '12.34s' text, success, step and
     screenshot counts, has-results flag, route, start and end (E12)."""

@@ -301,3 +301,14 @@ def aircraft_name_q(spark, sf_dir):
                      F.coalesce(tx.is_direct_container(container, F.coalesce(
                          "flight_number", F.lit(""))), F.lit(False)).alias("direct_flight")
                      ).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("crawl_day_errors", with_ctes(["day_errors"], """
+SELECT run_id, search_date, departure_airport, arrival_airport,
+  coalesce(error, '') AS errors, CAST(CASE WHEN error IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_errors
+FROM day_errors"""))
+def crawl_day_errors(spark, sf_dir):
+    """Per day of a run: error list (joined as text) and error count."""
+    d = st.crawl_day_errors(fx.runs(spark, sf_dir))
+    return d.select("run_id", "search_date", "departure_airport", "arrival_airport",
+                    F.array_join("errors", "|").alias("errors"), "n_errors")
