@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from faresight.llm import decontaminate, mixing
+from faresight.llm import decontaminate, minhash, mixing
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_near_duplicates": minhash.op4_near_duplicates,
 }
 
 
@@ -19,4 +20,5 @@ def _sql(text: str) -> str:
 ORACLES = {
     "op1_decontaminate": _sql(decontaminate.SQL),
     "op3_mix_sources": _sql(mixing.SQL),
+    "op4_near_duplicates": _sql(minhash.SQL),
 }
