@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from faresight.llm import decontaminate, minhash, mixing
+from faresight.llm import decontaminate, minhash, mixing, quality, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_near_duplicates": minhash.op4_near_duplicates,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op10_quality": quality.op10_quality,
 }
 
 
