@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from faresight.llm import decontaminate, minhash, mixing, quality, toxicity
+from faresight.llm import decontaminate, embeddings, minhash, mixing, quality, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_near_duplicates": minhash.op4_near_duplicates,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op9_embeddings": embeddings.op9_embeddings,
     "op10_quality": quality.op10_quality,
 }
 
@@ -23,4 +24,5 @@ ORACLES = {
     "op1_decontaminate": _sql(decontaminate.SQL),
     "op3_mix_sources": _sql(mixing.SQL),
     "op4_near_duplicates": _sql(minhash.SQL),
+    "op9_embeddings": _sql(embeddings.SQL),
 }
