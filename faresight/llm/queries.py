@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from faresight.llm import decontaminate, embeddings, minhash, mixing, quality, toxicity
+from faresight.llm import decontaminate, embeddings, minhash, mixing, quality, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_near_duplicates": minhash.op4_near_duplicates,
+    "op5_warc": warc.op5_warc,
     "op6_toxicity": toxicity.op6_toxicity,
     "op9_embeddings": embeddings.op9_embeddings,
     "op10_quality": quality.op10_quality,
@@ -24,5 +25,6 @@ ORACLES = {
     "op1_decontaminate": _sql(decontaminate.SQL),
     "op3_mix_sources": _sql(mixing.SQL),
     "op4_near_duplicates": _sql(minhash.SQL),
+    "op5_warc": _sql(warc.SQL),
     "op9_embeddings": _sql(embeddings.SQL),
 }
