@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from faresight.llm import decontaminate, embeddings, minhash, mixing, quality, toxicity, warc
+from faresight.llm import decontaminate, embeddings, html_extract, minhash, mixing, quality, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_near_duplicates": minhash.op4_near_duplicates,
     "op5_warc": warc.op5_warc,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_html_extract": html_extract.op7_html_extract,
     "op9_embeddings": embeddings.op9_embeddings,
     "op10_quality": quality.op10_quality,
 }
