@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from faresight.llm import decontaminate, embeddings, html_extract, minhash, mixing, quality, toxicity, warc
+from faresight.llm import decontaminate, embeddings, html_extract, minhash, mixing, quality, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_html_extract": html_extract.op7_html_extract,
+    "op8_token_counts": token_counts.op8_token_counts,
     "op9_embeddings": embeddings.op9_embeddings,
     "op10_quality": quality.op10_quality,
 }
