@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from faresight.llm import decontaminate, embeddings, html_extract, minhash, mixing, quality, token_counts, toxicity, warc
+from faresight.llm import decontaminate, embeddings, html_extract, licenses, minhash, mixing, quality, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_licenses": licenses.op2_licenses,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_near_duplicates": minhash.op4_near_duplicates,
     "op5_warc": warc.op5_warc,
@@ -25,6 +26,7 @@ def _sql(text: str) -> str:
 
 ORACLES = {
     "op1_decontaminate": _sql(decontaminate.SQL),
+    "op2_licenses": _sql(licenses.SQL),
     "op3_mix_sources": _sql(mixing.SQL),
     "op4_near_duplicates": _sql(minhash.SQL),
     "op5_warc": _sql(warc.SQL),
