@@ -110,18 +110,16 @@ def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES, threshold: fl
         lambda x: x.rlike(CANDIDATE))))
     lines = rows.select(F.explode(at).alias("line")).groupBy("line").agg(F.lit(1).alias("one")).select("line")
     scored, n = materialize_counted(score_lines(lines, idf, model).where(F.col("score") >= threshold), "license_lines")
-    key = aside(docs.columns, "row")
-    found = rows.where(F.size(at) > 0).select(F.col(at), F.explode(at).alias("line")).distinct()
-    best = (found.join(small(scored, n, 256), "line").groupBy(at)
-            .agg(F.min(F.struct((-F.col("score")).alias("minus"), "license", "line")).alias(key)))
-    best, m = materialize_counted(best.select(F.col(at).alias("_lines"), F.col(key + ".license").alias("_license"),
-                                              (-F.col(key + ".minus")).alias("_score"),
-                                              F.col(key + ".line").alias("_line")), "license_best")
-    joined = rows.join(small(best, m, 512), (F.size(at) > 0) & (F.col(at) == F.col("_lines")), "left")
+    found = rows.where(F.size(at) > 0).select(F.col(at).alias("held"), F.explode(at).alias("line")).distinct()
+    best = (found.join(small(scored, n, 256), "line").groupBy("held")
+            .agg(F.min(F.struct((-F.col("score")).alias("minus"), "license", "line")).alias("b")))
+    k, lic, sco, lin = (aside([*docs.columns, at], c) for c in ("found_lines", "found_license", "found_score", "found_line"))
+    best, m = materialize_counted(best.select(F.col("held").alias(k), F.col("b.license").alias(lic),
+                                              (-F.col("b.minus")).alias(sco), F.col("b.line").alias(lin)), "license_best")
+    joined = rows.join(small(best, m, 512), (F.size(at) > 0) & (F.col(at) == F.col(k)), "left")
     names = {c: aside(docs.columns, c) for c in ("own_license", "license_score", "first_line")}
-    return joined.select(*docs.columns, F.col("_license").alias(names["own_license"]),
-                         F.col("_score").alias(names["license_score"]),
-                         F.coalesce(F.trim(F.substring_index(F.col(text), "\n", 1)) == F.col("_line"),
+    return joined.select(*docs.columns, F.col(lic).alias(names["own_license"]), F.col(sco).alias(names["license_score"]),
+                         F.coalesce(F.trim(F.substring_index(F.col(text), "\n", 1)) == F.col(lin),
                                     F.lit(False)).alias(names["first_line"]))
 
 
@@ -141,19 +139,20 @@ def ancestors(path: Column) -> Column:
 def inherit(scanned: DataFrame, path: str, own: str, score: str, is_file: Column) -> DataFrame:
     """``scanned`` with license (own or inherited) and license_dir (the
     directory it comes from, null for own ones)."""
+    at, to, origin, given = (aside(scanned.columns, c) for c in ("in_dir", "to_dir", "from_dir", "given_license"))
     files = (scanned.where(is_file & F.col(own).isNotNull() & F.col(path).isNotNull())
-             .groupBy(directory(F.col(path)).alias("_dir"))
+             .groupBy(directory(F.col(path)).alias(origin))
              .agg(F.min(F.struct((-F.col(score)).alias("minus"), F.col(own).alias("license"), F.col(path).alias("path"))).alias("b"))
-             .select(F.col("_dir").alias("_from"), F.col("b.license").alias("_given")))
+             .select(F.col(origin), F.col("b.license").alias(given)))
     files = materialize(files, "license_dirs")
-    dirs = scanned.where(F.col(path).isNotNull()).select(directory(F.col(path)).alias("_dir")).distinct()
-    nearest = (dirs.select("_dir", F.explode(ancestors(F.col("_dir"))).alias("_from")).join(files, "_from")
-               .groupBy("_dir").agg(F.max(F.struct(F.length("_from").alias("depth"), "_from", "_given")).alias("b"))
-               .select("_dir", "b._from", "b._given"))
-    out = scanned.withColumn("_at", directory(F.col(path))).join(nearest, F.col("_at") == F.col("_dir"), "left")
+    dirs = scanned.where(F.col(path).isNotNull()).select(directory(F.col(path)).alias(to)).distinct()
+    nearest = (dirs.select(to, F.explode(ancestors(F.col(to))).alias(origin)).join(files, origin)
+               .groupBy(to).agg(F.max(F.struct(F.length(origin).alias("depth"), origin, given)).alias("b"))
+               .select(to, f"b.{origin}", f"b.{given}"))
+    out = scanned.withColumn(at, directory(F.col(path))).join(nearest, F.col(at) == F.col(to), "left")
     names = {c: aside(scanned.columns, c) for c in ("license", "license_dir")}
-    return out.select(*scanned.columns, F.coalesce(F.col(own), F.col("_given")).alias(names["license"]),
-                      F.when(F.col(own).isNull(), F.col("_from")).alias(names["license_dir"]))
+    return out.select(*scanned.columns, F.coalesce(F.col(own), F.col(given)).alias(names["license"]),
+                      F.when(F.col(own).isNull(), F.col(origin)).alias(names["license_dir"]))
 
 
 def op2_licenses(spark, sf_dir: str) -> DataFrame:
