@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "normalise_price_text", "price_text_to_decimal", "booking_flight_number",
+    "strip", "normalise_price_text", "price_text_to_decimal", "booking_flight_number",
     "booking_times", "booking_class", "labelled_price", "aircraft_name",
     "is_direct_container", "generic_price", "generic_times",
     "generic_duration", "page_title", "page_text", "page_has_results",
@@ -16,29 +16,35 @@ __all__ = [
 
 # --- fixed values (must equal the reference's extraction rules) -----------
 FLIGHT_NUMBER_RE = r"(VJ\d+)"
-TIME_PAIR_RE = r"(\d{2}:\d{2})\s*-\s*(\d{2}:\d{2})"
+TIME_PAIR_RE = r"(?U)(\d{2}:\d{2})\s*-\s*(\d{2}:\d{2})"
 FARE_CLASS_RE = r"(?i)(Skyboss|Business|Deluxe|Eco)"
 TOTAL_LABEL = "Tổng tiền"
 TRIP_LABEL = "Chuyến đi"
 AIRCRAFT_RE = r"(?i)^(Airbus|Boeing)"
 PANEL_FLIGHT_RE = r"^VJ\d{3,4}$"
 DIRECT_MARKER = "Bay thẳng"
-GENERIC_PRICE_CURRENCY_RE = r"(?i)([\d,]+\s*(?:VND|₫|VNĐ))"
+GENERIC_PRICE_CURRENCY_RE = r"(?iU)([\d,]+\s*(?:VND|₫|VNĐ))"
 GENERIC_PRICE_NUMBER_RE = r"([\d,]+)"
 GENERIC_TIME_RE = r"\d{2}:\d{2}"
-GENERIC_DURATION_RE = r"(?i)(\d+h\s*\d*m?)"
+GENERIC_DURATION_RE = r"(?iU)(\d+h\s*\d*m?)"
 MONTH_HEADER_RE = r"tháng\s+(\d+)\s+(\d+)"
 SEARCH_URL = "https://baydep.vn/flights/%s%s%s/%s/%s/%s?nearby-airport=yes"
 # ---------------------------------------------------------------------------
 
 # Amount text right after a label: digits with separators, optional currency.
-_AMOUNT = r"\s*([\d][\d,.]*\s*(?:VND|₫)?)"
+_AMOUNT = r"(?U)\s*([\d][\d,.]*\s*(?:VND|₫)?)"
 
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def strip(x) -> Column:
+    """Surrounding white space of any kind removed (``trim`` takes spaces
+    only)."""
+    return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
+
+
 def normalise_price_text(x) -> Column:
     """Drop commas, 'VND' and '₫' with their spaces, trim.
 
@@ -47,7 +53,7 @@ def normalise_price_text(x) -> Column:
     s = F.regexp_replace(_c(x), ",", "")
     s = F.regexp_replace(s, r"(?U)\s*VND\s*", "")
     s = F.regexp_replace(s, r"(?U)\s*₫\s*", "")
-    s = F.trim(s)
+    s = strip(s)
     return F.when(~s.isin("0", ""), s)
 
 
@@ -84,14 +90,14 @@ def labelled_price(x, fallback: bool = True) -> Column:
 
 def aircraft_name(span_text) -> Column:
     """Span text starting Airbus/Boeing -> part before '-', trimmed."""
-    t = F.trim(_c(span_text))
-    return F.when(t.rlike(AIRCRAFT_RE), F.trim(F.split(t, "-").getItem(0)))
+    t = strip(span_text)
+    return F.when(t.rlike(AIRCRAFT_RE), strip(F.split(t, "-").getItem(0)))
 
 
 def is_direct_container(container_text, flight_number) -> Column:
     """Container holds the direct-flight marker and the flight number, and
     the flight number is VJ + 3-4 digits."""
-    fn = F.trim(_c(flight_number))
+    fn = strip(flight_number)
     return (fn.rlike(PANEL_FLIGHT_RE) & _c(container_text).contains(DIRECT_MARKER)
             & (F.instr(_c(container_text), fn) > 0))
 
@@ -142,11 +148,12 @@ def _js(x) -> Column:
     return F.coalesce(_c(x).cast("string"), F.lit("null"))
 
 
-def search_url(dep, arr, departure_date, adult, child, infant) -> Column:
-    """Search URL: route + date without slashes, then passengers."""
+def search_url(dep, arr, departure_date, adult, child, infant, base: str = SEARCH_URL) -> Column:
+    """Search URL: route + date without slashes, then passengers.
+    ``base``: the URL with %s for each part."""
     date = F.replace(_c(departure_date), F.lit("/"), F.lit(""))
     parts = [_js(dep), _js(arr), _js(date), _js(adult), _js(child), _js(infant)]
-    pieces = SEARCH_URL.split("%s")
+    pieces = base.split("%s")
     out = [F.lit(pieces[0])]
     for p, lit in zip(parts, pieces[1:]):
         out += [p, F.lit(lit)]
@@ -174,7 +181,7 @@ def text_match(text, term: str, exact: bool = False,
     """Text contains / equals ``term`` (B9). Exact mode trims the text."""
     t = _c(text)
     if exact:
-        t = F.trim(t)
+        t = strip(t)
         return t == F.lit(term) if case_sensitive else F.lower(t) == F.lit(term.lower())
     if case_sensitive:
         return F.instr(t, term) > 0

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal, localcontext
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faresight.functions.timeparts import parse_flight_date, parse_timestamp
-from faresight.operators.joins import cross_one_row
 from faresight.operators.stats import price_bounds, price_stats
 from faresight.session import materialize
 
@@ -30,12 +31,22 @@ def filter_price_iqr(df: DataFrame, bounds: DataFrame | None = None,
     """
     if bounds is None:
         bounds = price_bounds(df, price)
-    b = bounds.select(F.col("lower_bound").alias("__lo"),
-                      F.col("upper_bound").alias("__hi"))
-    p = F.col(price).cast("double")
-    return (cross_one_row(df, b)
-            .where(~F.isnan(p) & p.between(F.col("__lo"), F.col("__hi")))
-            .drop("__lo", "__hi"))
+    b = bounds.select("lower_bound", "upper_bound").first()     # one row
+    if b is None or b[0] is None or b[1] is None:
+        return df.where(F.lit(False))
+    kind = df.schema[price].dataType
+    if not isinstance(kind, T.DecimalType):
+        p = F.col(price).cast("double")
+        return df.where(~F.isnan(p) & p.between(F.lit(b[0]), F.lit(b[1])))
+    # Literals of the column's own type, so the range reaches the scan. The
+    # bounds are rounded inwards to the column's scale: same rows.
+    with localcontext() as c:
+        c.prec = 400
+        step = Decimal(1).scaleb(-kind.scale)
+        most = Decimal(10) ** (kind.precision - kind.scale) - step
+        lo = min(max(Decimal(repr(b[0])).quantize(step, ROUND_CEILING), -most), most)
+        hi = min(max(Decimal(repr(b[1])).quantize(step, ROUND_FLOOR), -most), most)
+    return df.where((F.col(price) >= F.lit(lo)) & (F.col(price) <= F.lit(hi)))
 
 
 def parse_created_at(df: DataFrame, col: str = "create_at") -> DataFrame:

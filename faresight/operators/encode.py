@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,47 +15,40 @@ def category_text(col) -> F.Column:
     return F.coalesce(c.cast("string"), F.lit("nan"))
 
 
-# Vocabulary size up to which one task per attribute may rank the values.
-SINGLE_TASK_VOCAB_LIMIT = 1_000_000
+def vocabulary(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Distinct (attribute, value) over ``cols``: one scan and one
+    aggregation, a grouping set per column. NULL and the text 'nan' are one
+    value."""
+    g = df.groupingSets([[c] for c in cols], *cols).agg(F.grouping_id().alias("__g"))
+    n = len(cols)
+    own = [F.when(F.col("__g") == (1 << n) - 1 - (1 << (n - 1 - i)),
+                  F.struct(F.lit(c).alias("attribute"), category_text(c).alias("value")))
+           for i, c in enumerate(cols)]
+    return g.select(F.coalesce(*own).alias("x")).select("x.*").distinct()
 
 
-def fit_label_encoders(df: DataFrame, cols: list[str], with_size: bool = False,
-                       single_task_limit: int = SINGLE_TASK_VOCAB_LIMIT):
+def fit_label_encoders(df: DataFrame, cols: list[str], with_size: bool = False):
     """Encoder table (attribute, value, code): code = 0-based rank of the
     value among the attribute's sorted distinct texts (F1).
 
-    Only distinct values reach the ranking. They are written once to the
-    shared folder and counted during that write; up to
-    ``single_task_limit`` values a per-attribute ``dense_rank`` ranks them
-    (a proven bound), beyond it each value's rank is its position inside
-    its range partition plus the sizes of all lower ranges, so no task
-    holds a whole vocabulary. ``with_size`` also returns the table's row
-    count, which callers pass on as a broadcast bound.
+    Only distinct values reach the ranking; each value's rank is its
+    position inside its range partition plus the sizes of all lower ranges,
+    so no task holds a whole vocabulary. ``with_size`` also returns the
+    table's row count, which callers pass on as a broadcast bound.
     """
-    parts = [df.select(F.lit(c).alias("attribute"), category_text(c).alias("value"))
-             for c in cols]
-    vals, n = materialize_counted(reduce(DataFrame.unionByName, parts).distinct(), "vocab")
-    enc = rank_vocabulary(vals, n, single_task_limit)
+    vals, n = materialize_counted(vocabulary(df, cols), "vocab")
+    enc = rank_vocabulary(vals)
     return (enc, n) if with_size else enc
 
 
-def rank_vocabulary(vals: DataFrame, n: int,
-                    single_task_limit: int = SINGLE_TASK_VOCAB_LIMIT) -> DataFrame:
-    """Codes for a distinct (attribute, value) table of at most ``n`` rows:
-    per-attribute ``dense_rank`` up to the limit, ranged beyond it; the
-    result is written once."""
-    if n <= single_task_limit:
-        enc = vals.select("attribute", "value", (F.dense_rank().over(
-            Window.partitionBy("attribute").orderBy("value")) - 1).cast("int").alias("code"))
-    else:
-        enc = _ranged_codes(vals)
-    # Written once: each encoded column reads its slice (a pushed filter)
-    # instead of recomputing the ranking per lookup.
-    return materialize(enc, "encoders")
+def rank_vocabulary(vals: DataFrame) -> DataFrame:
+    """Codes for a distinct (attribute, value) table, written once: each
+    encoded column reads its slice (a pushed filter)."""
+    return materialize(_ranged_codes(vals), "encoders")
 
 
 def _ranged_codes(vals: DataFrame) -> DataFrame:
-    """Codes for very large vocabularies without a per-attribute window."""
+    """Codes without a window over a whole attribute."""
     n = max(1, int(vals.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # Materialized once: both branches below must see the same ranges.
     ranged = materialize(vals.repartitionByRange(n, "attribute", "value")

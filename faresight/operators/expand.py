@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from faresight.functions import timeparts as tp
 from faresight.schema import SEARCH_DAYS
-from faresight.session import spread
 
 
 def expand_search_days(requests: DataFrame, date: str = "departure_date",
@@ -16,9 +15,7 @@ def expand_search_days(requests: DataFrame, date: str = "departure_date",
     0-based ``day_index``, the day as a date (``search_day``) and as
     'DD/MM/YYYY' text. A per-row generator: no shuffle, output grows
     linearly; the request date is parsed once, before the expansion."""
-    # Each input row becomes ``days`` rows: make sure the generator runs
-    # on every core even when the requests come from one large split.
-    reqs = spread(requests).withColumn("__d0", tp.dmy_to_date(date))
+    reqs = requests.withColumn("__d0", tp.dmy_to_date(date))
     out = reqs.select("*", F.posexplode(F.array_repeat(F.lit(0), days))
                       .alias("day_index", "__z"))
     return (out.withColumn("search_day", F.date_add("__d0", F.col("day_index")))
@@ -31,19 +28,21 @@ def result_fallback(sources: list[tuple[int, str, DataFrame]],
     """Per request, keep the rows of the best source that has any: script
     rows, else generic extraction, else page info (H2).
 
-    ``sources`` are (priority, name, frame) with a ``request`` column.
-    The best priority per request is a partial aggregate joined back, so
-    a request with very many rows is combined before the shuffle and
-    AQE may split it in the join.
+    ``sources`` are (priority, name, frame) with a ``request`` column; the
+    result has their columns by name (NULL where a source has none).
+    Each source drops the requests that a better one has (their distinct
+    ids, an anti join that AQE may split), so the rows of the chosen source
+    are not gathered or rewritten.
     """
-    tagged = None
-    for prio, name, df in sources:
-        t = df.select(request, F.lit(prio).alias("priority"), F.lit(name).alias("source"),
-                      F.to_json(F.struct(*[c for c in df.columns if c != request]))
-                      .alias("payload"))
-        tagged = t if tagged is None else tagged.unionByName(t)
-    best = tagged.groupBy(request).agg(F.min("priority").alias("priority"))
-    return tagged.join(best, [request, "priority"], "left_semi")
+    out = better = None
+    for prio, name, df in sorted(sources, key=lambda s: s[0]):
+        rows = df.withColumns({"priority": F.lit(prio), "source": F.lit(name)})
+        if better is not None:
+            rows = rows.join(better, request, "left_anti")
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+        ids = df.select(request)
+        better = ids.distinct() if better is None else better.unionByName(ids).distinct()
+    return out
 
 
 def history_projection(options: DataFrame, requests: DataFrame | None = None,

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faresight.functions import text as tx
-from faresight.session import spread
 
 # --- fixed values (the reference's noise lists) ---------------------------
 LOG_NOISE_TERMS = ["CORS", "Failed to load resource", "net::ERR_FAILED",
@@ -33,7 +32,7 @@ def booking_fields(df: DataFrame, text: str = "text", fallback: bool = True) ->
     fallback, as the capture path that is actually run does."""
     dep, arr = tx.booking_times(text)
     price = tx.labelled_price(text, fallback=fallback)
-    return spread(df).withColumns({
+    return df.withColumns({
         "flight_number": tx.booking_flight_number(text),
         "departure_time": dep, "arrival_time": arr,
         "classes": tx.booking_class(text),
@@ -42,13 +41,12 @@ def booking_fields(df: DataFrame, text: str = "text", fallback: bool = True) ->
     })
 
 
-def generic_flight(df: DataFrame, text: str = "text", index_col: str | None = None
-                   ) -> DataFrame:
-    """Generic extraction from result elements (G12): 1-based index, the
-    trimmed text, price with currency else first number, all HH:MM
+def generic_flight(df: DataFrame, index_col: str, text: str = "text") -> DataFrame:
+    """Generic extraction from result elements (G12): 1-based index from the
+    element's 0-based position on its page (``index_col``), the trimmed text, price with currency else first number, all HH:MM
     times, duration. Elements with empty text are skipped."""
-    t = F.trim(F.col(text))
-    idx = (F.col(index_col) + 1) if index_col else F.monotonically_increasing_id() + 1
+    t = tx.strip(text)
+    idx = F.col(index_col) + 1
     return (df.where(t != "").select(
         idx.alias("index"), t.alias("text"), tx.generic_price(text).alias("price"),
         tx.generic_times(text).alias("times"), tx.generic_duration(text).alias("duration")))
@@ -61,7 +59,7 @@ def page_info(pages: DataFrame, html: str = "html", url: str = "url") -> DataFra
     valid = (~title.isin("", "about:blank") & F.col(url).isNotNull()
              & ~F.col(url).isin("", "about:blank")
              & (F.instr(F.lower(F.col(html)), "<body") > 0))
-    return spread(pages).withColumns({"title": title, "page_text": tx.page_text(html),
+    return pages.withColumns({"title": title, "page_text": tx.page_text(html),
                               "has_results": tx.page_has_results(html),
                               "valid": valid})
 
@@ -87,8 +85,7 @@ def text_match_summary(df: DataFrame, modes, text: str = "text",
         m = tx.text_match(text, term, exact, cs)
         aggs += [F.count_if(m).alias(f"{name}__n"),
                  F.min(F.when(m, F.col(pos))).alias(f"{name}__first")]
-    # Whole texts are searched once per mode: spread them over the cores.
-    wide = spread(df).agg(*aggs)
+    wide = df.agg(*aggs)
     per_mode = F.array(*[F.struct(F.lit(name).alias("mode"),
                                   F.col(f"{name}__n").alias("matches"),
                                   F.col(f"{name}__first").alias("first_" + pos))

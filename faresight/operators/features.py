@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 from faresight.functions import timeparts as tp
 from faresight.operators.encode import (apply_label_encoders, category_text,
                                         rank_vocabulary)
-from faresight.operators.joins import BROADCAST_ROW_LIMIT, cross_one_row
+from faresight.operators.joins import BROADCAST_BYTE_LIMIT, ROW_BYTES, cross_one_row
 from faresight.operators.lookup import group_counts, grouping_id_of, join_popularity
 from faresight.operators.stats import popularity_stats
 from faresight.schema import CATEGORICAL_COLUMNS, FEATURE_COLUMNS
-from faresight.session import materialize
 
 
 def add_time_features(df: DataFrame, on_bad: str = "null") -> DataFrame:
@@ -55,19 +54,20 @@ class FeatureResult:
 def training_features(fares: DataFrame) -> FeatureResult:
     """Training path: real popularity counts, encoders fitted on the
     cleaned fares (before incomplete rows are dropped), bad times NULL."""
-    # Read twice (the counts pass and the rows): written once.
-    df = materialize(add_time_features(fares, on_bad="null"), "fare_time")
-    # One aggregation pass gives route counts, airline counts and every
-    # categorical vocabulary (one grouping set each).
+    df = add_time_features(fares, on_bad="null")
+    # One pass over the rows counts the combinations of all categories; the
+    # grouping sets (route counts, airline counts, every vocabulary) then
+    # expand that much smaller table only.
     sets = [["departure_airport", "arrival_airport"]] + [[c] for c in CATEGORICAL_COLUMNS]
     counts, n, cols = group_counts(df, sets)
-    df = join_popularity(df, counts, cols, n <= BROADCAST_ROW_LIMIT)
+    df = join_popularity(df, counts, cols, n * ROW_BYTES <= BROADCAST_BYTE_LIMIT)
     pop = popularity_stats(df)
+    # NULL becomes the text 'nan', so distinct after the mapping.
     vocab = reduce(DataFrame.unionByName, [
         counts.where(F.col("__g") == grouping_id_of(cols, [c]))
         .select(F.lit(c).alias("attribute"), category_text(c).alias("value"))
-        for c in CATEGORICAL_COLUMNS])
-    enc = rank_vocabulary(vocab, n)
+        for c in CATEGORICAL_COLUMNS]).distinct()
+    enc = rank_vocabulary(vocab)
     df = apply_label_encoders(df, enc, CATEGORICAL_COLUMNS, bound=n)
     return FeatureResult(df, enc, pop)
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faresight.operators.joins import BROADCAST_ROW_LIMIT, checked_small, lookup_join
+from faresight.operators.joins import BROADCAST_BYTE_LIMIT, ROW_BYTES, lookup_join
 from faresight.operators.stats import route_counts
-from faresight.session import materialize_counted, spread
+from faresight.session import materialize_counted
 
 
 def enrich_airports(df: DataFrame, airports: DataFrame,
@@ -18,7 +20,11 @@ def enrich_airports(df: DataFrame, airports: DataFrame,
 
     Codes match case-insensitively, as the reference's lookup does.
     """
-    a = airports.select(F.upper("code").alias("__code"), "city", "airport_name")
+    # The first airport of a code counts, in the list's order.
+    a = (airports.withColumn("__pos", F.monotonically_increasing_id())
+         .groupBy(F.upper("code").alias("__code"))
+         .agg(F.min_by(F.struct("city", "airport_name"), "__pos").alias("a"))
+         .select("__code", "a.city", "a.airport_name"))
     d = a.select(F.col("__code").alias("__dep"),
                  F.col("city").alias("departure_city"),
                  F.col("airport_name").alias("departure_airport_name"))
@@ -75,8 +81,9 @@ def group_counts(df: DataFrame, sets: list[list[str]]) -> tuple[DataFrame, int,
     count, the column order that ``grouping_id_of`` needs).
     """
     cols = list(dict.fromkeys(c for g in sets for c in g))
-    g = (df.groupingSets(sets, *cols)
-         .agg(F.count(F.lit(1)).alias("__n"), F.grouping_id().alias("__g")))
+    combos = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
+    g = (combos.groupingSets(sets, *cols)
+         .agg(F.sum("__n").alias("__n"), F.grouping_id().alias("__g")))
     counts, n = materialize_counted(g, "group_counts")
     return counts, n, cols
 
@@ -106,40 +113,60 @@ def attach_popularity(df: DataFrame, dep: str = "departure_airport",
     pass (grouping sets), one checked lookup table, two broadcast joins.
     NULL keys are not counted and give 0."""
     counts, n, cols = group_counts(df, [[dep, arr], [airline]])
-    return join_popularity(df, counts, cols, n <= BROADCAST_ROW_LIMIT, dep, arr, airline)
+    return join_popularity(df, counts, cols, n * ROW_BYTES <= BROADCAST_BYTE_LIMIT, dep, arr, airline)
 
 
 def aircraft_lookup(df: DataFrame, base_map: DataFrame, current_map: DataFrame,
                     keys=("run_id", "flight_number"),
                     aircraft: str = "aircraft_type") -> DataFrame:
     """Aircraft of each row's flight: the map taken at price time wins over
-    the one taken at page start; unknown stays NULL (D4)."""
+    the one taken at page start; unknown stays NULL (D4). The two maps become
+    one lookup with the winner chosen, and one join."""
+    keys = list(keys)
+    both = (base_map.select(*keys, F.lit(1).alias("__p"), F.col(aircraft).alias("__a"))
+            .unionByName(current_map.select(*keys, F.lit(0).alias("__p"), F.col(aircraft).alias("__a")))
+            .where(F.col("__a").isNotNull()))
+    one = both.groupBy(*keys).agg(F.min_by("__a", "__p").alias(aircraft))
+    return df.drop(aircraft).join(one, keys, "left")       # AQE picks the join
+
+
+def aircraft_at(rows: DataFrame, at_start, at_price, keys=("run_id", "flight_number"),
+                pos: str = "pos", aircraft: str = "aircraft_type") -> DataFrame:
+    """D4 where both maps come from the same captured rows: ``at_start`` and
+    ``at_price`` say which rows each capture saw; the last of a flight wins
+    in each. One grouping, one join."""
     keys = list(keys)
-    b = base_map.select(*keys, F.col(aircraft).alias("__base"))
-    c = current_map.select(*keys, F.col(aircraft).alias("__cur"))
-    j = lookup_join(lookup_join(df, b, keys), c, keys)
-    return (j.withColumn(aircraft, F.coalesce("__cur", "__base"))
-            .drop("__cur", "__base"))
+    known = F.col(aircraft).isNotNull()
+    last = [F.max_by(F.when(seen & known, F.col(aircraft)), F.when(seen & known, F.col(pos)))
+            for seen in (at_price, at_start)]
+    one = rows.where(F.col(keys[-1]).isNotNull()).groupBy(*keys).agg(F.coalesce(*last).alias("__a"))
+    return rows.join(one, keys, "left").withColumn(aircraft, F.col("__a")).drop("__a")
 
 
 def airport_mention(texts: DataFrame, airports: DataFrame,
-                    text: str = "text", pos: str = "doc_id",
-                    airport_bound: int | None = None) -> DataFrame:
+                    text: str = "text", pos: str = "doc_id") -> DataFrame:
     """Per airport: how many texts name it by code, city or airport name
     (substring), and the first such text by position (D6).
 
-    Theta join: the airport list is broadcast (checked) and every text is
-    tested against each airport in place; texts are never shuffled whole.
+    The airport list is a dimension (a file of codes): its rows become
+    blocks of literals, and each text keeps the codes that it names, so
+    texts are neither joined nor shuffled. Each block is one pass.
     """
-    a = airports.select("code", "city", "airport_name")
-    # Every text is tested against every airport: spread the texts first.
-    t = spread(texts.select(pos, text))
-    cond = ((F.instr(F.col(text), F.col("code")) > 0)
-            | (F.instr(F.col(text), F.col("city")) > 0)
-            | (F.instr(F.col(text), F.col("airport_name")) > 0))
-    a, ok = checked_small(a, bound=airport_bound)
-    if not ok:
-        raise ValueError("airport list too large to broadcast for a theta join")
-    hits = t.join(F.broadcast(a), cond, "inner").select("code", pos)
+    rows = [r for r in airports.select("code", "city", "airport_name").toLocalIterator()]
+    hits = None
+    for at in range(0, max(1, len(rows)), AIRPORT_BLOCK):
+        block = rows[at:at + AIRPORT_BLOCK]
+        named = F.array(*[F.when(_named(text, r), F.lit(r["code"])) for r in block] or [F.lit(None).cast("string")])
+        part = texts.select(F.explode(F.array_compact(named)).alias("code"), F.col(pos))
+        hits = part if hits is None else hits.unionByName(part)
     return hits.groupBy("code").agg(F.count(F.lit(1)).alias("n_texts"),
                                     F.min(pos).alias("first_" + pos))
+
+
+# Airports tested in one pass over the texts.
+AIRPORT_BLOCK = 500
+
+
+def _named(text: str, r) -> F.Column:
+    tests = [F.contains(F.col(text), F.lit(v)) for v in (r["code"], r["city"], r["airport_name"]) if v is not None]
+    return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)

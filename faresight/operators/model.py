@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faresight.schema import FEATURE_COLUMNS
+from faresight.session import materialize
 
 KEY_COLUMNS = ["create_at", "flight_number", "type_of_plane", "departure_airport",
                "arrival_airport", "flight_date", "departure_time", "arrival_time",
@@ -35,10 +36,14 @@ def train_test_flag(df: DataFrame, train_tenths: int = 8) -> DataFrame:
     return df.withColumn("is_train", _bucket(10) < train_tenths)
 
 
-def fold_column(df: DataFrame, folds: int = 5, name: str = "fold") -> DataFrame:
-    """Stable fold number 0..folds-1 from the same row hash."""
-    return df.withColumn(name, (F.conv(F.substring(split_key(), 9, 8), 16, 10)
-                                .cast("bigint") % folds).cast("int"))
+def fold_column(df: DataFrame, name: str = "fold_hash") -> DataFrame:
+    """The row hash that folds are taken from (I6), whatever their number."""
+    return df.withColumn(name, F.conv(F.substring(split_key(), 9, 8), 16, 10).cast("bigint"))
+
+
+def fold_of(fold_hash: str, folds: int) -> Column:
+    """Stable fold number 0..folds-1 of a row hash."""
+    return (F.col(fold_hash) % folds).cast("int")
 
 
 def feature_matrix(df: DataFrame, features=FEATURE_COLUMNS, label: str = "price",
@@ -58,6 +63,9 @@ RF_PARAMS = dict(numTrees=200, maxDepth=20, minInstancesPerNode=2,
 GBT_PARAMS = dict(maxIter=200, stepSize=0.1, maxDepth=8, minInstancesPerNode=2,
                   subsamplingRate=0.9, seed=42)
 DT_PARAMS = dict(maxDepth=20, minInstancesPerNode=2, seed=42)
+# Split points a feature: the largest vocabulary (flight numbers) keeps one
+# for each code; Spark's default of 32 would merge most of them.
+MAX_BINS = 1024
 MODEL_ORDER = ["Random Forest", "Gradient Boosting", "Decision Tree"]
 # ---------------------------------------------------------------------------
 
@@ -65,12 +73,12 @@ MODEL_ORDER = ["Random Forest", "Gradient Boosting", "Decision Tree"]
 # Speed settings only (they do not change the fitted model): deep trees
 # keep each row's node id cached instead of re-walking the tree per level,
 # with the cache checkpointed to the shared folder every 10 iterations.
-TREE_SPEED = dict(cacheNodeIds=True, checkpointInterval=10)
+TREE_SPEED = dict(cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024)
 
 
 def make_estimator(kind: str, **overrides):
     """Random forest (I3), gradient boosting (I4) or one tree."""
-    overrides = {**TREE_SPEED, **overrides}
+    overrides = {"maxBins": MAX_BINS, **TREE_SPEED, **overrides}
     from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor,
                                        RandomForestRegressor)
     if kind == "Random Forest":
@@ -106,8 +114,7 @@ def cross_validate(train: DataFrame, estimator, folds: int = 5,
                         estimatorParamMaps=ParamGridBuilder().build(),
                         evaluator=ev, numFolds=folds, foldCol="fold",
                         collectSubModels=False, parallelism=parallelism or folds)
-    # Fold numbers come from the row hash; fold them into range for ``folds``.
-    model = cv.fit(train.withColumn("fold", F.pmod(F.col("fold"), F.lit(folds)).cast("int")))
+    model = cv.fit(train.withColumn("fold", fold_of("fold_hash", folds)))
     mean = float(model.avgMetrics[0])
     # PySpark reports the population std over folds (numpy, ddof=0), the
     # same as the reference's ``cv_scores.std()``.
@@ -126,7 +133,7 @@ def evaluate_models(matrix: DataFrame, kinds=tuple(MODEL_ORDER), folds: int = 5,
                     overrides: dict | None = None) -> tuple[DataFrame, list[ModelRun]]:
     """Train each model on the 80 % part, cross-validate, score both parts;
     one metrics row per model (I3-I7). ``matrix`` needs ``is_train`` and
-    ``fold`` columns besides features and label."""
+    ``fold_hash`` columns besides features and label."""
     spark = matrix.sparkSession
     train = matrix.where("is_train")
     test = matrix.where("NOT is_train")
@@ -148,6 +155,20 @@ def evaluate_models(matrix: DataFrame, kinds=tuple(MODEL_ORDER), folds: int = 5,
     return spark.createDataFrame(rows), runs
 
 
+def train_best(matrix: DataFrame, kinds=tuple(MODEL_ORDER), folds: int = 5,
+               overrides: dict | None = None, features=FEATURE_COLUMNS
+               ) -> tuple[ModelRun, DataFrame, DataFrame]:
+    """Train and compare, pick the lowest CV error, and give that model, all
+    metrics and the chosen model's importances; ``model_store.save_model``
+    keeps it (I3-I7, F2, F3). The matrix is written once: every fit and
+    score reads it."""
+    matrix = materialize(matrix, "feature_matrix")
+    metrics, runs = evaluate_models(matrix, kinds, folds, overrides)
+    chosen = best_model(metrics).first()["model"]
+    run = next(r for r in runs if r.name == chosen)
+    return run, metrics, feature_importances(matrix.sparkSession, run.model, features)
+
+
 def best_model(metrics: DataFrame) -> DataFrame:
     """Lowest CV MAE; the first listed model wins ties."""
     return metrics.orderBy(F.asc("cv_mae_mean"), F.asc("ord")).limit(1)

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faresight.functions.text import strip
 from faresight.operators.joins import checked_small
 
 # --- fixed values (the reference's rule messages) -------------------------
@@ -40,7 +41,7 @@ def _truthy_text(x) -> Column:
 
 
 def _blank(x) -> Column:
-    return _c(x).isNull() | (F.trim(_c(x)) == "")
+    return _c(x).isNull() | (strip(x) == "")
 
 
 def js_number(x) -> Column:
@@ -48,8 +49,8 @@ def js_number(x) -> Column:
     numeric text -> its value, anything else NaN (here NULL)."""
     c = _c(x)
     return (F.when(c.isNull(), F.lit(0.0))
-            .when(F.trim(c) == "", F.lit(0.0))
-            .otherwise(F.trim(c).try_cast("double")))
+            .when(strip(c) == "", F.lit(0.0))
+            .otherwise(strip(c).try_cast("double")))
 
 
 def validate_airports(airports: DataFrame, index: str | None = None) -> DataFrame:
@@ -61,7 +62,7 @@ def validate_airports(airports: DataFrame, index: str | None = None) -> DataFram
     return airports.withColumns({
         "missing_fields": missing,
         "error": F.when(F.size(missing) > 0, F.concat(
-            F.lit("Airport at index "), idx, F.lit(" missing required fields: "),
+            F.lit(MSG_AIRPORT_FIELDS.split("{}")[0]), idx, F.lit(MSG_AIRPORT_FIELDS.split("{}")[1]),
             F.array_join(missing, ", "))),
         "code_warning": ~F.coalesce(F.col("code"), F.lit("")).rlike("^[A-Z]{3}$"),
     })
@@ -105,7 +106,7 @@ def json_type_errors(df: DataFrame, raw: str = "raw") -> DataFrame:
     """C2 on raw request JSON, telling absent from null and text from
     other JSON types (VARIANT)."""
     def typ(path):
-        x = F.expr(f"variant_get(parse_json({raw}), '{path}')")
+        x = F.expr(f"variant_get(try_parse_json({raw}), '{path}')")
         return F.when(x.isNull(), F.lit("absent")).otherwise(F.schema_of_variant(x))
 
     dep_t, arr_t = typ("$.departure_airport"), typ("$.arrival_airport")

@@ -4,58 +4,28 @@ key holding a third of the rows is combined map-side before it moves."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# --- fixed values (crawl error messages written by the reference) ---------
-ERROR_TIMEOUT = "Timeout: Could not find any prices on the page."
-ERROR_NO_OPTIONS = "No clickable price options found."
-ERROR_CLICK = "Failed to click price option {i}."
-ERROR_EXTRACT = "Failed to extract booking details for price option {i}"
-# ---------------------------------------------------------------------------
-
-
-# Distinct values up to which the final quantile step may run in one task.
-SINGLE_TASK_DISTINCT_LIMIT = 1_000_000
-
+from faresight.session import materialize
 
-def exact_quantiles(df: DataFrame, col, probs: list[float],
-                    single_task_limit: int = SINGLE_TASK_DISTINCT_LIMIT) -> DataFrame:
+def exact_quantiles(df: DataFrame, col, probs: list[float]) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / ``quantile_cont``).
 
-    Values are first counted per distinct value (partial aggregate) and
-    written once to the shared folder; the number of distinct values is
-    observed during that write. When it is at most ``single_task_limit``
-    the answer is one ``percentile(value, p, count)`` aggregate over those
-    rows (a proven bound on what the final task holds). Otherwise the
-    distinct values are range-partitioned and each one's rank interval is
-    its running count inside its range plus the counts of all lower ranges,
-    so no task holds all values. Returns one row, ``q{i}`` per probability
-    (NULL when there are no values).
+    Values are counted per distinct value (partial aggregate) and dealt into
+    value ranges, written once to the shared folder. A value's rank interval
+    is its running count inside its range plus the counts of all lower
+    ranges, so no task holds all values. Returns one row, ``q{i}`` per
+    probability (NULL when there are no values).
     """
-    from faresight.session import materialize_counted
     v = (F.col(col) if isinstance(col, str) else col).cast("double")
     counts = (df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
               .groupBy("v").agg(F.count(F.lit(1)).alias("c")))
-    counts, n_distinct = materialize_counted(counts, "quantile_counts")
-    if n_distinct <= single_task_limit:
-        q = counts.agg(F.percentile("v", F.array(*[F.lit(float(x)) for x in probs]),
-                                    F.col("c")).alias("__q"))
-        return q.select(*[F.col("__q").getItem(i).alias(f"q{i}") for i in range(len(probs))])
-    return _ranged_quantiles(counts, probs)
-
-
-def _ranged_quantiles(counts: DataFrame, probs: list[float]) -> DataFrame:
-    """Quantiles from (v, c) rows with no task holding all values."""
-    from pyspark.sql import Window
-
-    from faresight.session import materialize
-    spark = counts.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = materialize(counts.repartitionByRange(parts, "v")
                          .withColumn("pid", F.spark_partition_id()), "quantile_ranges")
     sizes = ranged.groupBy("pid").agg(F.sum("c").alias("n"))
-    # One row per range partition: ranked in one task, tiny by construction.
+    # One row per range: ranked in one task, tiny by construction.
     offsets = sizes.select(
         "pid", F.coalesce(F.sum("n").over(Window.orderBy("pid").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0)).alias("off"),
@@ -65,55 +35,35 @@ def _ranged_quantiles(counts: DataFrame, probs: list[float]) -> DataFrame:
     cum = (ranged.join(F.broadcast(offsets), "pid")
            .withColumn("end", F.col("off") + run)
            .withColumn("start", F.col("end") - F.col("c")))
-    # 0-based ranks needed: floor and ceil of (total - 1) * p for each p.
-    wanted = []
+    # 0-based ranks: floor and ceil of (total - 1) * p for each p. Each value
+    # says which of them it holds; a global aggregate gathers them.
+    aggs, out = [], []
     for i, pr in enumerate(probs):
         h = (F.col("total") - 1) * F.lit(float(pr))
-        wanted.append(F.struct(F.lit(i).alias("i"), F.floor(h).alias("lo"),
-                               F.ceil(h).alias("hi"), (h - F.floor(h)).alias("frac")))
-    ranks = offsets.limit(1).select(F.explode(F.array(*wanted)).alias("w")).select("w.*")
-    hit_lo = ranks.join(cum, (F.col("lo") >= F.col("start")) & (F.col("lo") < F.col("end"))) \
-        .select("i", "frac", F.col("v").alias("v_lo"))
-    hit_hi = ranks.join(cum, (F.col("hi") >= F.col("start")) & (F.col("hi") < F.col("end"))) \
-        .select("i", F.col("v").alias("v_hi"))
-    q = (hit_lo.join(hit_hi, "i")
-         .select("i", (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo")))
-                 .alias("q")))
-    one = spark.range(1).select(*[F.lit(None).cast("double").alias(f"q{i}")
-                                  for i in range(len(probs))])
-    got = q.agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"__q{i}")
-                  for i in range(len(probs))])
-    return one.crossJoin(got).select(*[F.coalesce(f"__q{i}", f"q{i}").alias(f"q{i}")
-                                       for i in range(len(probs))])
-
-
-def _quartiles(p, method: str, accuracy: int):
-    if method == "exact":
-        # Exact, linear interpolation (as pandas). The aggregation buffer
-        # is a value -> count map merged map-side, so the final task holds
-        # one entry per distinct price, not one per row.
-        return F.percentile(p, F.array(F.lit(0.25), F.lit(0.75)))
-    if method == "approx":
-        return F.percentile_approx(p, [0.25, 0.75], accuracy)
-    raise ValueError("method must be 'exact' or 'approx'")
+        for side, rank in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            aggs.append(F.max(F.when((rank >= F.col("start")) & (rank < F.col("end")), F.col("v")))
+                        .alias(f"{side}{i}"))
+        aggs.append(F.max(h - F.floor(h)).alias(f"frac{i}"))
+        lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
+        out.append((lo + F.col(f"frac{i}") * (hi - lo)).alias(f"q{i}"))
+    return cum.agg(*aggs).select(*out)
 
 
 def price_bounds(df: DataFrame, price: str = "price", method: str = "exact",
                  accuracy: int = 10000) -> DataFrame:
     """One row: q1, q3, iqr, lower_bound, upper_bound.
 
-    ``exact`` is the distributed exact quantile; ``exact_single`` the
-    ``percentile`` aggregate (its final task holds one entry per distinct
-    price); ``approx`` the sketch (``percentile_approx``).
+    ``exact`` is the distributed exact quantile, ``approx`` the sketch
+    (``percentile_approx``).
     """
-    p = F.col(price).cast("double")
     if method == "exact":
         q = exact_quantiles(df, price, [0.25, 0.75])
         q1, q3 = F.col("q0"), F.col("q1")
-    else:
-        q = df.agg(_quartiles(p, "exact" if method == "exact_single" else method,
-                              accuracy).alias("q"))
+    elif method == "approx":
+        q = df.agg(F.percentile_approx(F.col(price).cast("double"), [0.25, 0.75], accuracy).alias("q"))
         q1, q3 = F.col("q").getItem(0), F.col("q").getItem(1)
+    else:
+        raise ValueError("method must be 'exact' or 'approx'")
     return q.select(
         q1.alias("q1"), q3.alias("q3"), (q3 - q1).alias("iqr"),
         (q1 - 1.5 * (q3 - q1)).alias("lower_bound"),
@@ -261,6 +211,11 @@ def execution_stats(outcomes: DataFrame) -> DataFrame:
         .alias("endTime"))
 
 
+# --- fixed value (the reference's error of a failed attempt without text) ---
+NO_ERROR_TEXT = "Crawler failed without specific error"
+# ---------------------------------------------------------------------------
+
+
 def retry_outcome(attempts: DataFrame, request: str = "request_id",
                   attempt: str = "attempt", max_retries: int = 3) -> DataFrame:
     """First success among attempts 1..max_retries+1, else the last error
@@ -270,7 +225,7 @@ def retry_outcome(attempts: DataFrame, request: str = "request_id",
     return a.groupBy(request).agg(
         F.min(F.when(ok, F.col(attempt))).alias("success_attempt"),
         F.max(attempt).alias("attempts_made"),
-        F.max_by(F.when(~ok, F.col("error")), F.when(~ok, F.col(attempt)))
+        F.max_by(F.when(~ok, F.coalesce(F.col("error"), F.lit(NO_ERROR_TEXT))), F.when(~ok, F.col(attempt)))
         .alias("last_error"),
     ).select(
         request,

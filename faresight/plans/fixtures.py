@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faresight.functions.timeparts import iso_millis
-from faresight.session import spread
 from faresight.operators.extract import LOG_NOISE_TERMS as LOG_NOISE
 from faresight.operators.extract import URL_NOISE_TERMS as URL_NOISE
 
@@ -49,10 +48,8 @@ def _utc(ts: Column) -> Column:
 
 
 def fare_raw(spark: SparkSession, sf_dir: str, keep_id: bool = True) -> DataFrame:
-    """The dirty fare history (analysis layout), one row per event.
-    Each row takes several string and date expressions, so the scan is
-    spread over the cores when it arrives as one split."""
-    e = spread(table(spark, sf_dir, "events"))
+    """The dirty fare history (analysis layout), one row per event."""
+    e = table(spark, sf_dir, "events")
     eid, uid, ts = F.col("event_id"), F.col("user_id"), _utc(F.col("ts"))
     prefix = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v))
                           for k, v in AIRLINE_BY_EVENT.items()])
@@ -126,10 +123,16 @@ def panel_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     def s(c):
         return F.coalesce(c.cast("string"), F.lit(""))
 
-    txt = F.concat(F.lit("Tổng tiền "), s(F.floor(F.col("price")).cast("bigint")),
-                   F.lit(",000 VND "), s(F.col("flight_number")), F.lit(" "),
+    eid, amount = F.col("event_id"), F.concat(s(F.floor(F.col("price")).cast("bigint")), F.lit(",000"))
+    # white space around, a zero total with a trip price, a trip price only
+    price = (F.when(_mod(eid, 13) == 0, F.concat(F.lit("Tổng tiền 0 VND Chuyến đi "), amount, F.lit(" ₫ ")))
+             .when(_mod(eid, 17) == 0, F.concat(F.lit("Chuyến đi\n"), amount, F.lit("₫ ")))
+             .otherwise(F.concat(F.lit("Tổng tiền "), amount, F.lit(" VND "))))
+    txt = F.concat(F.when(_mod(eid, 5) == 0, F.lit("\n\t ")).otherwise(F.lit("")), price,
+                   s(F.col("flight_number")), F.lit(" "),
                    s(F.col("departure_time")), F.lit(" - "), s(F.col("arrival_time")),
-                   F.lit(" "), s(F.col("classes")))
+                   F.lit(" "), s(F.col("classes")),
+                   F.when(_mod(eid, 7) == 0, F.lit(" \n")).otherwise(F.lit("")))
     return r.select("event_id", txt.alias("text"))
 
 
@@ -234,7 +237,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (eid / 6).cast("bigint").alias("request_id"),
         (_mod(eid, 6) + 1).cast("int").alias("attempt"),
         (~failed).alias("success"),
-        F.when(failed, F.concat(F.lit("attempt failed: event "), eid.cast("string")))
+        F.when(failed & (_mod(eid, 4) != 0), F.concat(F.lit("attempt failed: event "), eid.cast("string")))
         .alias("error"))
 
 
@@ -258,4 +261,6 @@ def request_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit('"departure_airport":'), js(F.col("departure_airport")), F.lit(",")))
     raw = F.concat(F.lit("{"), dep, F.lit('"arrival_airport":'), js(F.col("arrival_airport")),
                    so, F.lit(',"adult":'), js(F.col("adult")), F.lit("}"))
+    # every 41st request is cut off in the middle
+    raw = F.when(k % 41 == 0, F.substring(raw, 1, 25)).otherwise(raw)
     return r.select("request_id", raw.alias("raw"))

@@ -175,9 +175,13 @@ FROM orders""")
 
 cte("panel_text", """
 SELECT event_id,
-  'Tổng tiền ' || coalesce(CAST(CAST(floor(price) AS BIGINT) AS VARCHAR), '') || ',000 VND '
+  CASE WHEN event_id % 5 = 0 THEN chr(10) || chr(9) || ' ' ELSE '' END
+  || CASE WHEN event_id % 13 = 0 THEN 'Tổng tiền 0 VND Chuyến đi ' || coalesce(CAST(CAST(floor(price) AS BIGINT) AS VARCHAR), '') || ',000 ₫ '
+          WHEN event_id % 17 = 0 THEN 'Chuyến đi' || chr(10) || coalesce(CAST(CAST(floor(price) AS BIGINT) AS VARCHAR), '') || ',000₫ '
+          ELSE 'Tổng tiền ' || coalesce(CAST(CAST(floor(price) AS BIGINT) AS VARCHAR), '') || ',000 VND ' END
   || coalesce(flight_number, '') || ' ' || coalesce(departure_time, '') || ' - '
-  || coalesce(arrival_time, '') || ' ' || coalesce(classes, '') AS text
+  || coalesce(arrival_time, '') || ' ' || coalesce(classes, '')
+  || CASE WHEN event_id % 7 = 0 THEN ' ' || chr(10) ELSE '' END AS text
 FROM fare_raw""", ["fare_raw"])
 
 cte("run_rows", """
@@ -227,7 +231,7 @@ cte("crawl_log", _CRAWL_LOG
 cte("attempts", """
 SELECT event_id // 6 AS request_id, CAST(event_id % 6 + 1 AS INTEGER) AS attempt,
   event_type <> 'error' AS success,
-  CASE WHEN event_type = 'error' THEN 'attempt failed: event ' || CAST(event_id AS VARCHAR) END AS error
+  CASE WHEN event_type = 'error' AND event_id % 4 <> 0 THEN 'attempt failed: event ' || CAST(event_id AS VARCHAR) END AS error
 FROM events""")
 
 # The airport dimension as inline VALUES, built from its one definition.
@@ -238,6 +242,7 @@ AIRPORT_ROWS = ("SELECT * FROM (VALUES\n" + ",\n".join(
 cte("airports", AIRPORT_ROWS)
 
 cte("request_json", """
+SELECT request_id, CASE WHEN request_id % 41 = 0 THEN substr(raw, 1, 25) ELSE raw END AS raw FROM (
 SELECT request_id,
   '{' || CASE WHEN request_id % 37 = 0 THEN ''
               ELSE '"departure_airport":' || CASE WHEN departure_airport IS NULL THEN 'null'
@@ -252,4 +257,4 @@ SELECT request_id,
                     WHEN departure_date IS NULL THEN 'null' ELSE '"' || departure_date || '"' END
                || '}' END
   || ',"adult":' || CASE WHEN adult IS NULL THEN 'null' ELSE '"' || adult || '"' END || '}' AS raw
-FROM requests""", ["requests"])
+FROM requests)""", ["requests"])

@@ -11,11 +11,11 @@ from faresight.operators.expand import history_projection, result_fallback
 from faresight.operators.extract import (booking_fields, filter_log_noise,
                                          filter_url_noise, generic_flight,
                                          page_info, text_match_summary)
-from faresight.operators.lookup import aircraft_lookup, airport_mention
+from faresight.operators.lookup import aircraft_at, aircraft_lookup, airport_mention
 from faresight.plans import fixtures as fx
 from faresight.plans.oracle import with_ctes
 from faresight.plans.registry import query
-from faresight.sources.airports import AIRPORT_ROWS, airports_df
+from faresight.sources.airports import airports_df
 from faresight.sources.files import flatten_runs, reconcile_layouts
 
 _OPT = ("run_id, search_date, flight_number, departure_airport, arrival_airport, flight_date, "
@@ -77,14 +77,29 @@ SELECT r.run_id, r.event_id, r.flight_number, coalesce(cur.a, base.a) AS aircraf
 FROM r LEFT JOIN base ON r.run_id = base.run_id AND r.flight_number = base.flight_number
 LEFT JOIN cur ON r.run_id = cur.run_id AND r.flight_number = cur.flight_number"""))
 def aircraft_lookup_q(spark, sf_dir):
+    """All rows are read; the flags say which of them each capture saw (the
+    start of the page its first half, the price time every third row)."""
     r = fx.run_rows(spark, sf_dir).withColumn("aircraft_type", _aircraft())
-    base = st.aircraft_map(r.where(F.col("event_id") % 64 < 32), pos="event_id")
-    cur = st.aircraft_map(r.where(F.col("event_id") % 3 == 0), pos="event_id")
-    rows = r.select("run_id", "event_id", "flight_number")
-    return aircraft_lookup(rows, base, cur).select(
+    return aircraft_at(r, F.col("event_id") % 64 < 32, F.col("event_id") % 3 == 0, pos="event_id").select(
         "run_id", "event_id", "flight_number", "aircraft_type")
 
 
+@query("aircraft_maps_joined", with_ctes(["run_rows"], """
+, r AS (SELECT run_id, event_id, flight_number, nullif(trim(aircraft_type), '') AS a FROM run_rows)
+, cur AS (SELECT run_id, flight_number, arg_max(a, event_id) AS a FROM r
+          WHERE flight_number IS NOT NULL AND a IS NOT NULL GROUP BY 1, 2)
+, base AS (SELECT run_id + 1 AS run_id, flight_number, a FROM cur)
+SELECT r.run_id, r.event_id, r.flight_number, coalesce(cur.a, base.a) AS aircraft_type
+FROM r LEFT JOIN base ON r.run_id = base.run_id AND r.flight_number = base.flight_number
+LEFT JOIN cur ON r.run_id = cur.run_id AND r.flight_number = cur.flight_number"""))
+def aircraft_maps_joined(spark, sf_dir):
+    """Two given maps (D4): this run's, else the run's before."""
+    r = fx.run_rows(spark, sf_dir).withColumn("aircraft_type", _aircraft())
+    cur = st.aircraft_map(r, pos="event_id")
+    base = cur.withColumn("run_id", F.col("run_id") + 1)
+    return aircraft_lookup(r, base, cur).select("run_id", "event_id", "flight_number", "aircraft_type")
+
+
 _NORM = (r"nullif(trim(regexp_replace(regexp_replace(replace({x}, ',', ''), '\s*VND\s*', '', 'g'),"
          r" '\s*₫\s*', '', 'g')), '')")
 
@@ -110,12 +125,12 @@ def booking_fields_q(spark, sf_dir):
 
 
 @query("generic_flight", with_ctes(["panel_text"], r"""
-SELECT event_id + 1 AS index, trim(text) AS text,
+SELECT event_id + 1 AS index, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text,
   coalesce(nullif(regexp_extract(text, '(?i)([\d,]+\s*(?:VND|₫|VNĐ))', 1), ''),
            nullif(regexp_extract(text, '([\d,]+)', 1), '')) AS price,
   array_to_string(regexp_extract_all(text, '\d{2}:\d{2}'), ',') AS times,
   nullif(regexp_extract(text, '(?i)(\d+h\s*\d*m?)', 1), '') AS duration
-FROM panel_text WHERE trim(text) <> ''"""))
+FROM panel_text WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''"""))
 def generic_flight_q(spark, sf_dir):
     g = generic_flight(fx.panel_text(spark, sf_dir), index_col="event_id")
     return g.select("index", "text", "price", F.array_join("times", ",").alias("times"),
@@ -182,8 +197,7 @@ FROM documents d JOIN airports a
   ON instr(d.text, a.code) > 0 OR instr(d.text, a.city) > 0 OR instr(d.text, a.airport_name) > 0
 GROUP BY a.code"""))
 def airport_mention_q(spark, sf_dir):
-    return airport_mention(fx.table(spark, sf_dir, "documents"), airports_df(spark),
-                           airport_bound=AIRPORT_ROWS)
+    return airport_mention(fx.table(spark, sf_dir, "documents"), airports_df(spark))
 
 
 @query("execution_stats", with_ctes(["crawl_log"], """
@@ -205,7 +219,7 @@ def execution_stats(spark, sf_dir):
 SELECT request_id, min(CASE WHEN success THEN attempt END) IS NOT NULL AS success,
   coalesce(min(CASE WHEN success THEN attempt END), max(attempt)) AS attempts_used,
   CASE WHEN min(CASE WHEN success THEN attempt END) IS NULL
-       THEN arg_max(error, attempt) FILTER (WHERE NOT success) END AS error
+       THEN arg_max(coalesce(error, 'Crawler failed without specific error'), attempt) FILTER (WHERE NOT success) END AS error
 FROM attempts WHERE attempt <= 4 GROUP BY request_id"""))
 def retry_outcome(spark, sf_dir):
     return st.retry_outcome(fx.attempts(spark, sf_dir), max_retries=3)
@@ -229,19 +243,24 @@ def history_projection_q(spark, sf_dir):
 @query("result_fallback", with_ctes(["run_rows", "panel_text"], """
 , src AS (
   SELECT run_id AS request_id, 1 AS priority, 'script' AS source FROM run_rows
-   WHERE total_price IS NOT NULL AND run_id % 4 <> 0
-  UNION ALL SELECT event_id // 64, 2, 'generic' FROM panel_text WHERE (event_id // 64) % 8 <> 0
+   WHERE CASE WHEN run_id % 4 <> 0 THEN total_price END IS NOT NULL
+  UNION ALL SELECT event_id // 64, 2, 'generic' FROM panel_text
+   WHERE CASE WHEN (event_id // 64) % 8 <> 0 THEN text END IS NOT NULL
   UNION ALL SELECT page_id, 3, 'page_info' FROM pages)
 , best AS (SELECT request_id, min(priority) AS priority FROM src GROUP BY 1)
 SELECT s.request_id, s.source, count(*) AS rows FROM src s
 JOIN best b ON s.request_id = b.request_id AND s.priority = b.priority GROUP BY 1, 2"""))
 def result_fallback_q(spark, sf_dir):
-    script = (fx.run_rows(spark, sf_dir)
-              .where(F.col("total_price").isNotNull() & (F.col("run_id") % 4 != 0))
-              .withColumnRenamed("run_id", "request_id"))
+    """Every fourth run's script found no price, every eighth page's generic
+    extraction no text: all rows are read, the operators' filters on those
+    values decide."""
+    script = (fx.run_rows(spark, sf_dir).withColumnRenamed("run_id", "request_id")
+              .withColumn("total_price", F.when(F.col("request_id") % 4 != 0, F.col("total_price")))
+              .where(F.col("total_price").isNotNull()))
     generic = (fx.panel_text(spark, sf_dir)
                .withColumn("request_id", (F.col("event_id") / 64).cast("bigint"))
-               .where(F.col("request_id") % 8 != 0))
+               .withColumn("text", F.when(F.col("request_id") % 8 != 0, F.col("text")))
+               .where(F.col("text").isNotNull()))
     pages = fx.table(spark, sf_dir, "pages").withColumnRenamed("page_id", "request_id")
     chosen = result_fallback([(1, "script", script), (2, "generic", generic),
                               (3, "page_info", pages.select("request_id", "url"))])

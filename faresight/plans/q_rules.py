@@ -194,7 +194,7 @@ _JSON_SQL = with_ctes(["request_json"], """
    json_extract_string(raw, '$.search_options.find_cheapest') AS fc_v,
    json_type(raw, '$.search_options.departure_date') AS dd_t,
    json_extract_string(raw, '$.search_options.departure_date') AS dd_v
-  FROM request_json)
+  FROM (SELECT request_id, CASE WHEN json_valid(raw) THEN raw END AS raw FROM request_json))
 , b AS (SELECT *, (coalesce(dep_t, '') <> 'VARCHAR' OR trim(coalesce(dep_v, '')) = '') AS bad_dep,
                (coalesce(arr_t, '') <> 'VARCHAR' OR trim(coalesce(arr_v, '')) = '') AS bad_arr FROM t)
 SELECT request_id,

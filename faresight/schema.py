@@ -91,6 +91,9 @@ CRAWL_RUN = T.StructType([
     T.StructField("prices", T.ArrayType(PRICE_OPTION)),
 ])
 
+# A run as it lies in a file: with the run's id where the writer knows it.
+RUN_FILE_SCHEMA = T.StructType([T.StructField("run_id", T.LongType())] + CRAWL_RUN.fields)
+
 SEARCH_OPTIONS = T.StructType([
     T.StructField("trip_type", T.StringType()),
     T.StructField("find_cheapest", T.BooleanType()),

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every faresight job expects; applied only where the session
 # does not already carry a value, so a cluster's own config wins.
@@ -39,8 +43,10 @@ def get_spark(master: str | None = None, app: str = "faresight",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder is configured (a shared file system); only
-    when it is unset -- local tests -- a private folder is created.
+    On a cluster the folder must be configured (a shared file system): a
+    folder of the driver's own would be another one on each executor, and
+    reads would miss rows, so its absence is an error there. Only a local
+    session -- tests -- gets a private folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -49,12 +55,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         conf_dir = tempfile.mkdtemp(prefix="faresight-ckpt-")
+        atexit.register(shutil.rmtree, conf_dir, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables. Results that have not
+    been written or collected still read them, so call it after that."""
+    folder = os.path.join(ensure_checkpoint_dir(spark), "faresight", spark.sparkContext.applicationId or "app")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as parquet under the shared checkpoint folder and
     read it back.
@@ -73,13 +91,22 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 def materialize_counted(df: DataFrame, name: str = "table") -> tuple[DataFrame, int]:
     """``materialize`` that also returns the row count, observed during
     the same write job (no second pass)."""
-    from pyspark.sql import Observation
-    from pyspark.sql import functions as F
+    out, rows, _ = materialize_sized(df, name, sized=False)
+    return out, rows
+
+
+def materialize_sized(df: DataFrame, name: str = "table", sized: bool = True
+                      ) -> tuple[DataFrame, int, int]:
+    """``materialize`` with the row count and the bytes of all values as
+    text, both observed during the write."""
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
-    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path), int(obs.get["rows"])
+    width = F.octet_length(F.concat_ws("", *[F.col(f"`{c}`").cast("string") for c in df.columns]))
+    bytes_ = F.sum(width.cast("bigint")) if sized else F.max(F.lit(0))
+    df.observe(obs, F.count(F.lit(1)).alias("rows"), bytes_.alias("bytes")).write.mode("overwrite").parquet(path)
+    got = obs.get
+    return spark.read.parquet(path), int(got["rows"]), int(got["bytes"] or 0)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -88,31 +115,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     so a finished job's scratch can be expired as one folder."""
     app = spark.sparkContext.applicationId or "app"
     return os.path.join(ensure_checkpoint_dir(spark), "faresight", app, name)
-
-
-# Inputs with at least this many partitions are never re-spread: they are
-# already parallel, and a full shuffle of a large input would cost more.
-SPREAD_MAX_INPUT_PARTITIONS = 200
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread rows over the cluster's cores when a scan yields too few
-    partitions (a large file with a single row group).
-
-    Only inputs with fewer partitions than cores -- and fewer than
-    ``SPREAD_MAX_INPUT_PARTITIONS`` -- get one round-robin exchange, so
-    CPU-heavy per-row work (regexes, text joins, row generators) uses every
-    core instead of one task. Inputs that are already split, the normal
-    case on a cluster, are returned unchanged with no shuffle.
-    """
-    spark = df.sparkSession
-    if df.isStreaming:
-        return df
-    try:
-        want = min_partitions or spark.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session)
-        return df
-    if have >= min(want, SPREAD_MAX_INPUT_PARTITIONS):
-        return df
-    return df.repartition(want)

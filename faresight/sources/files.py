@@ -5,20 +5,23 @@ side tables (A1-A9, A11)."""
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from faresight.functions.text import strip
 from faresight.functions.timeparts import utc_now_iso
-from faresight.schema import (AIRPORT_SCHEMA, CRAWL_RUN, FARE_COLUMNS,
-                              FARE_RAW_SCHEMA, SEARCH_REQUEST, WRITER10_COLUMNS,
+from faresight.schema import (AIRPORT_SCHEMA, FARE_COLUMNS,
+                              FARE_RAW_SCHEMA, RUN_FILE_SCHEMA, SEARCH_REQUEST, WRITER10_COLUMNS,
                               WRITER10_SCHEMA, WRITER13_COLUMNS, WRITER13_SCHEMA,
                               WRITER_RENAMES)
 
 __all__ = [
     "scan_fare_history", "coerce_fare_types", "scan_fare_layouts",
     "reconcile_layouts", "scan_airports", "scan_search_requests",
-    "scan_crawl_runs", "corrupt_records", "flatten_runs", "append_fare_history",
+    "scan_crawl_runs", "runs_of_text", "corrupt_records", "flatten_runs", "append_fare_history",
     "append_crawl_runs", "write_report", "read_report",
 ]
 
@@ -65,37 +68,79 @@ def reconcile_layouts(*frames: DataFrame) -> DataFrame:
 def scan_airports(spark: SparkSession, path: str) -> DataFrame:
     """Header CSV; every value trimmed, a missing value is '' (A3)."""
     df = spark.read.option("header", True).schema(AIRPORT_SCHEMA).csv(path)
-    return df.select(*[F.coalesce(F.trim(F.col(c)), F.lit("")).alias(c)
+    return df.select(*[F.coalesce(strip(c), F.lit("")).alias(c)
                        for c in df.columns])
 
 
 def scan_search_requests(spark: SparkSession, path: str,
-                         keep_raw: bool = True) -> DataFrame:
+                         keep_raw: bool = True, wholetext: bool = True) -> DataFrame:
     """Nested JSON search requests (A4). The raw text is kept beside the
-    parsed struct so absent and explicit-null fields stay apart."""
-    raw = spark.read.text(path, wholetext=True)
+    parsed struct so absent and explicit-null fields stay apart. A file is
+    one request, or with ``wholetext=False`` each of its lines."""
+    raw = spark.read.text(path, wholetext=wholetext)
     parsed = raw.select(F.col("value").alias("raw"),
                         F.from_json("value", SEARCH_REQUEST).alias("r"))
     cols = [F.col("r.*")] + ([F.col("raw")] if keep_raw else [])
     return parsed.select(*cols)
 
 
-def scan_crawl_runs(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of run summaries, days and price options (A5).
+RUNS_WITH_CORRUPT = T.StructType(RUN_FILE_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
 
-    Files that do not parse land in ``_corrupt_record``; they are kept
-    and reported, never silently replaced.
+
+def scan_crawl_runs(spark: SparkSession, path: str, layout: str = "auto") -> DataFrame:
+    """Run summaries with their days and price options (A5), from files of
+    JSON lines (as ``append_crawl_runs`` writes them; a line may also hold a
+    whole array) and files with one pretty-printed array or object.
+
+    Lines are split between tasks; a pretty-printed file is one task's.
+    ``layout``: "lines" or "array" for folders of one kind, "auto" looks at
+    the lines first and reads each file in its own way. Text that does not
+    parse lands in ``_corrupt_record``; it is kept and reported, never
+    silently replaced.
     """
-    from pyspark.sql import types as T
-    schema = T.StructType(CRAWL_RUN.fields + [
-        T.StructField("_corrupt_record", T.StringType())])
-    return (spark.read.schema(schema).option("multiLine", True)
-            .option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+    def read(files, multi):
+        return (spark.read.schema(RUNS_WITH_CORRUPT).option("multiLine", multi).option("mode", "PERMISSIVE")
+                .option("columnNameOfCorruptRecord", "_corrupt_record").json(files))
+
+    if layout in ("lines", "array"):
+        return read(path, layout == "array")
+    if layout != "auto":
+        raise ValueError("layout must be 'auto', 'lines' or 'array'")
+    # A line that opens an array or an object and does not close it starts a
+    # pretty-printed file. Only file names come back.
+    opens = F.col("value").rlike(r"^\s*\[\s*(\{[^}]*)?$|^\s*\{\s*$")
+    names = (spark.read.text(path).select("_metadata.file_path", opens.alias("o")).groupBy("file_path")
+             .agg(F.max("o").alias("o")).collect())
+    kinds = {k: [unquote(r["file_path"]) for r in names if bool(r["o"]) == k] for k in (False, True)}
+    parts = [read(files, multi) for multi, files in kinds.items() if files]
+    if not parts:
+        return spark.createDataFrame([], RUNS_WITH_CORRUPT)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def runs_of_text(value) -> F.Column:
+    """Runs in the whole text of a file, as an array: each line is parsed if
+    all of them are whole objects, else the text as one array or object. What
+    does not parse is an element with ``_corrupt_record``."""
+    lines = F.filter(F.split(value, "\n"), lambda x: strip(x) != "")
+    by_line = F.forall(lines, lambda x: strip(x).rlike(r"^\{.*\}$"))
+    pieces = F.when(by_line, lines).otherwise(F.array(value))
+    kind = T.ArrayType(RUN_FILE_SCHEMA)
+
+    def parse(piece):
+        got = F.from_json(piece, kind, {"mode": "PERMISSIVE"})
+        bad = F.array(F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in RUN_FILE_SCHEMA],
+                               piece.alias("_corrupt_record")))
+        good = F.transform(got, lambda r: F.struct(*[r[f.name].alias(f.name) for f in RUN_FILE_SCHEMA],
+                                                   F.lit(None).cast("string").alias("_corrupt_record")))
+        empty = got.isNull() | F.forall(got, lambda r: r.isNull())
+        return F.when(empty & ~strip(piece).rlike(r"^\[\s*\]$"), bad).otherwise(good)
+
+    return F.flatten(F.transform(pieces, parse))
 
 
 def corrupt_records(runs: DataFrame) -> DataFrame:
-    """Unparsable run files, for reporting. A parsed column is read along
+    """Unparsable run texts, for reporting. A parsed column is read along
     with the corrupt-record column, which Spark requires of raw JSON."""
     # A corrupt row has every parsed field NULL; testing one of them keeps
     # a parsed column in the scan, which Spark requires of raw JSON.
@@ -136,6 +181,10 @@ def append_fare_history(df: DataFrame, path: str, batch_ts=None,
     out = df.withColumn("created_at", F.coalesce(own, stamp)).select(
         *cols, *([F.substring(F.col("flight_date").cast("string"), 1, 10)
                   .alias(partition_by)] if partition_by else []))
+    if partition_by:
+        # One task a day and not a file for each task and day; AQE splits a
+        # day that is too large for one task.
+        out = out.hint("rebalance", F.col(partition_by))
     w = out.write.mode("append")
     if partition_by:
         w = w.partitionBy(partition_by)

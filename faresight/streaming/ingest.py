@@ -1,41 +1,47 @@
 """New crawl batches keep arriving as JSON files; each micro-batch is
 flattened and projected into history rows and appended (A10).
 
-The same DataFrame functions as the batch path are used, so stream
-output equals batch output for the same files.
+The same DataFrame functions as the batch path are used, so stream output
+equals batch output for the same files, in the same layout as
+``append_fare_history`` writes: batch and stream history share a folder.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from faresight.functions import text as tx
 from faresight.operators.expand import history_projection
 from faresight.operators.rules import route_supported
-from faresight.schema import CRAWL_RUN
+from faresight.schema import WRITER13_COLUMNS
 from faresight.sources.airports import AIRPORT_ROWS, airports_df
-from faresight.sources.files import flatten_runs
+from faresight.sources.files import flatten_runs, runs_of_text
 
-RUN_FILE_SCHEMA = T.StructType([T.StructField("run_id", T.LongType())] + CRAWL_RUN.fields)
+
+def stream_runs(spark: SparkSession, source_dir: str,
+                max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming run rows from files of JSON lines and of arrays alike, with
+    ``_corrupt_record`` for what does not parse. A file is read whole: one
+    arriving batch, not the history."""
+    r = spark.readStream
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.text(source_dir, wholetext=True).select(F.inline(runs_of_text(F.col("value"))))
 
 
 def stream_history_rows(spark: SparkSession, source_dir: str,
                         max_files_per_trigger: int | None = None,
-                        check_routes: bool = True) -> DataFrame:
-    """Streaming DataFrame of history rows from run files in ``source_dir``.
+                        check_routes: bool = True, requests: DataFrame | None = None,
+                        batch_ts: str | None = None) -> DataFrame:
+    """Streaming history rows from run files in ``source_dir``; passengers
+    come from ``requests`` by a stream-static join.
 
-    Each row also carries ``route_supported`` (C7): a stream-static join
-    with the fixed airport list, broadcast, so the stream is not shuffled.
+    Each row also carries ``run_id`` and, with ``check_routes``,
+    ``route_supported`` (C7): a stream-static join with the fixed airport
+    list, broadcast, so the stream is not shuffled.
     """
-    r = spark.readStream.schema(RUN_FILE_SCHEMA)
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    runs = r.json(source_dir)
-    opts = flatten_runs(runs, keep=("run_id",))
-    rows = history_projection(opts, None, batch_ts=None)
-    rows = rows.withColumn("price", tx.price_text_to_decimal("price"))
+    runs = stream_runs(spark, source_dir, max_files_per_trigger).where("_corrupt_record IS NULL")
+    rows = history_projection(flatten_runs(runs, keep=("run_id",)), requests, batch_ts=batch_ts)
     if check_routes:
         rows = route_supported(rows, airports_df(spark), airport_bound=AIRPORT_ROWS)
     return rows
@@ -43,13 +49,17 @@ def stream_history_rows(spark: SparkSession, source_dir: str,
 
 def ingest_stream(spark: SparkSession, source_dir: str, sink_dir: str,
                   checkpoint_dir: str, dedupe_watermark: str | None = None,
-                  available_now: bool = True, check_routes: bool = True):
-    """Run the ingest: append history rows as parquet. ``available_now``
-    processes everything present and stops (scheduled runs); otherwise
-    the query keeps running. With ``dedupe_watermark`` (e.g. '1 day'),
-    repeated rows within the watermark are dropped; the reference itself
-    never dedupes on write, so it is off by default."""
-    rows = stream_history_rows(spark, source_dir, check_routes=check_routes)
+                  available_now: bool = True, requests: DataFrame | None = None,
+                  batch_ts: str | None = None, keep=()):
+    """Run the ingest: append history rows as parquet in the history's
+    layout, partitioned by flight day (``keep``: further columns, such as
+    ``run_id`` or ``route_supported``). ``available_now`` processes
+    everything present and stops (scheduled runs); otherwise the query keeps
+    running. With ``dedupe_watermark`` (e.g. '1 day'), repeated rows within
+    the watermark are dropped; the reference itself never dedupes on write,
+    so it is off by default."""
+    rows = stream_history_rows(spark, source_dir, check_routes="route_supported" in keep,
+                               requests=requests, batch_ts=batch_ts)
     if dedupe_watermark:
         rows = (rows.withColumn("__ts", F.col("created_at").try_cast("timestamp"))
                 .withWatermark("__ts", dedupe_watermark)
@@ -57,7 +67,9 @@ def ingest_stream(spark: SparkSession, source_dir: str, sink_dir: str,
                     ["flight_number", "departure_airport", "arrival_airport",
                      "flight_date", "departure_time", "classes", "price"])
                 .drop("__ts"))
-    w = (rows.writeStream.format("parquet").outputMode("append")
+    rows = rows.select(*[c for c in WRITER13_COLUMNS if c in rows.columns], *keep,
+                       F.substring("flight_date", 1, 10).alias("flight_day"))
+    w = (rows.writeStream.format("parquet").outputMode("append").partitionBy("flight_day")
          .option("checkpointLocation", checkpoint_dir))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     q = w.start(sink_dir)

@@ -19,7 +19,7 @@ def _prep(spark):
     fr = training_features(c.fares)
     f = cl.drop_incomplete_features(fr.features, FEATURE_COLUMNS, "price")
     f = md.fold_column(md.train_test_flag(f))
-    return md.feature_matrix(f, keep=["is_train", "fold"]).cache(), fr, c
+    return md.feature_matrix(f, keep=["is_train", "fold_hash"]).cache(), fr, c
 
 
 def test_models_metrics_and_importances(spark):

@@ -1,5 +1,7 @@
 """Every registered query with an oracle equals its DuckDB twin (sf0.001)."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -7,7 +9,6 @@ import __spark_entry__ as E
 from tests.conftest import SMOKE
 from tools.oracle_check import TABLES, digest
 
-SLOW = {"decision_tree_eval", "model_comparison"}
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +19,12 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+def own(names):
+    """Without the training-data queries, which have tests of their own."""
+    return sorted(n for n in names if n != "pipeline" and not re.match(r"op\d+_", n))
+
+
+@pytest.mark.parametrize("name", own(E.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SMOKE)
     rows = [tuple(r) for r in df.collect()]
@@ -30,9 +36,9 @@ def test_query_matches_oracle(spark, con, name):
     assert digest(df.columns, rows) == digest(ocols, orows)
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", own(set(E.queries()) - set(E.oracle_sql())))
 def test_rows_only_queries_run(spark, name):
-    assert E.queries()[name](spark, SMOKE).count() >= 0
+    assert E.queries()[name](spark, SMOKE).count() > 0
 
 
 def test_entry(spark):

@@ -102,9 +102,32 @@ def test_report_round_trip(spark, tmp_path):
     fl.write_report(df, p)
     fl.write_report(df, p)
     assert [tuple(r) for r in fl.read_report(spark, p, "k long, v string").collect()] == [(1, "a")]
-    fl.append_crawl_runs(df, str(tmp_path / "runs"))
-    fl.append_crawl_runs(df, str(tmp_path / "runs"))
-    assert spark.read.json(str(tmp_path / "runs")).count() == 2
+
+
+def test_appended_runs_are_read_back(spark, tmp_path):
+    from faresight.plans import fixtures as fx
+    from tests.conftest import SMOKE
+    runs, folder = fx.runs(spark, SMOKE), str(tmp_path / "runs")
+    fl.append_crawl_runs(runs, folder)
+    fl.append_crawl_runs(runs, folder)
+    (tmp_path / "runs" / "pretty.json").write_text(json.dumps([{"run_id": 7, "prices": []}], indent=2))
+    (tmp_path / "runs" / "bad.json").write_text("{not json\n")
+    back = fl.scan_crawl_runs(spark, folder).cache()
+    assert fl.corrupt_records(back).count() == 1
+    assert back.where("run_id IS NOT NULL").count() == 2 * runs.count() + 1
+    assert fl.flatten_runs(back).count() == 2 * fl.flatten_runs(runs).count()
+    assert fl.scan_crawl_runs(spark, folder, layout="lines").where("daily_results IS NOT NULL").count() == 2 * runs.count()
+
+
+def test_history_is_one_file_a_day(spark, tmp_path):
+    from faresight.plans import fixtures as fx
+    from faresight.operators.expand import history_projection
+    from tests.conftest import SMOKE
+    rows = history_projection(fx.run_rows(spark, SMOKE).repartition(8), None, batch_ts="x")
+    fl.append_fare_history(rows, str(tmp_path / "h"), batch_ts="x")
+    days = [d for d in os.listdir(tmp_path / "h") if d.startswith("flight_day=")]
+    files = sum(len([f for f in os.listdir(tmp_path / "h" / d) if f.endswith(".parquet")]) for d in days)
+    assert len(days) <= files <= 1.2 * len(days) + 2
 
 
 def test_append_history_csv_reads_back_as_layout(spark, tmp_path):

@@ -16,7 +16,7 @@ def test_stream_equals_batch(spark, tmp_path):
     src, sink, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
     for part in (0, 1):
         runs.where(F.col("run_id") % 2 == part).write.mode("append").json(src)
-        ingest_stream(spark, src, sink, ck)
+        ingest_stream(spark, src, sink, ck, keep=("run_id", "route_supported"))
     streamed = spark.read.parquet(sink)
     batch = route_supported(history_projection(flatten_runs(runs), None, batch_ts="x"),
                             airports_df(spark), airport_bound=AIRPORT_ROWS)
