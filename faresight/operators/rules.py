@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faresight.functions.text import strip
+from faresight.functions.timeparts import utc_now_iso
 from faresight.operators.joins import checked_small
 
 # --- fixed values (the reference's rule messages) -------------------------
@@ -159,6 +160,30 @@ def validate_required_and_passengers(df: DataFrame, dep="departure_airport",
     return df.withColumns({"rule": rule, "error": msg})
 
 
+def json_request_rules(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """C3 + C4 on the raw JSON body of a request, where an absent key and an
+    explicit null differ: an absent count is no number and fails, a null
+    counts as 0. Text that is no JSON object gets the rule 'malformed'."""
+    keys = F.json_object_keys(F.col(raw))
+
+    def value(k):
+        return F.get_json_object(F.col(raw), f"$.{k}")
+
+    def number(k):
+        return F.when(F.array_contains(keys, k), js_number(value(k)))
+
+    a, c, i = number("adult"), number("child"), number("infant")
+    trip = F.when(F.array_contains(keys, "trip_type"), value("trip_type")).otherwise(F.lit("oneway"))
+    need = _truthy_text(value("departure_airport")) & _truthy_text(value("arrival_airport")) & _truthy_text(
+        value("departure_date"))
+    rule = (F.when(F.expr(f"try_parse_json({raw})").isNull() | keys.isNull(), "malformed")
+            .when(~need, "missing")
+            .when((trip == "roundtrip") & ~_truthy_text(value("return_date")), "return")
+            .when(a.isNull() | (a < 1), "adult").when(c.isNull() | (c < 0), "child")
+            .when(i.isNull() | (i < 0), "infant").when(i > a, "infant_exceeds_adult").otherwise("ok"))
+    return df.withColumn("rule", rule)
+
+
 def _codes(airports: DataFrame, upper: bool) -> DataFrame:
     c = F.upper("code") if upper else F.col("code")
     return airports.where(F.col("code").isNotNull()).select(c.alias("__k")).distinct()
@@ -209,10 +234,12 @@ def route_supported(df: DataFrame, airports: DataFrame, dep="departure_airport",
 
 
 def request_defaults(df: DataFrame, endpoint: bool = False,
-                     raw: str | None = None) -> DataFrame:
+                     raw: str | None = None, stamp: str | None = None) -> DataFrame:
     """Fill missing request values (C8): adult 1, child 0, infant 0,
     trip oneway, departure date 'today', find_cheapest true (config file)
-    or false (endpoint, which also upper-cases the codes). With ``raw``
+    or false (endpoint, which also upper-cases the codes, keeps a return
+    date for round trips only and adds ``updated_at``: ``stamp`` or the
+    current instant). With ``raw``
     JSON, a default applies only where the key is absent, keeping an
     explicit null as the reference's object merge does."""
     defaults = {"adult": "1", "child": "0", "infant": "0", "trip_type": "oneway",
@@ -233,7 +260,11 @@ def request_defaults(df: DataFrame, endpoint: bool = False,
             out = out.withColumn(k, F.when(absent, F.lit(v)).otherwise(F.col(k).cast("string")))
     if endpoint:
         out = out.withColumns({"departure_airport": F.upper("departure_airport"),
-                               "arrival_airport": F.upper("arrival_airport")})
+                               "arrival_airport": F.upper("arrival_airport"),
+                               "updated_at": F.lit(stamp) if stamp else utc_now_iso()})
+        if "return_date" in out.columns:
+            out = out.withColumn("return_date", F.when(
+                (F.col("trip_type") == "roundtrip") & _truthy_text("return_date"), F.col("return_date")))
     return out
 
 

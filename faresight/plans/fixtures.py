@@ -241,6 +241,25 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("error"))
 
 
+def endpoint_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each request as the raw JSON body of an endpoint call: counts that
+    are absent, null or text, and bodies that are cut off."""
+    r, k = requests(spark, sf_dir), F.col("request_id")
+
+    def pair(name, c, when=F.lit(True)):
+        text = F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null"))
+        return F.when(when, F.concat(F.lit(f'"{name}":'), text))
+
+    raw = F.concat(F.lit("{"), F.concat_ws(
+        ",", pair("departure_airport", F.col("departure_airport")), pair("arrival_airport", F.col("arrival_airport")),
+        pair("departure_date", F.col("departure_date")), pair("trip_type", F.col("trip_type"), k % 8 != 0),
+        pair("return_date", F.col("return_date"), F.col("return_date").isNotNull()),
+        pair("adult", F.when(k % 14 != 0, F.col("adult")), k % 43 != 0),
+        pair("child", F.when(k % 10 != 0, F.col("child")), k % 9 != 0),
+        pair("infant", F.when(k % 12 != 0, F.col("infant")), k % 15 != 0)), F.lit("}"))
+    return r.select("request_id", F.when(k % 41 == 0, F.substring(raw, 1, 30)).otherwise(raw).alias("raw"))
+
+
 def request_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each request as raw JSON text, with absent keys, explicit nulls and
     values of the wrong JSON type (for the structure check on raw JSON)."""

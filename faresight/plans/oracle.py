@@ -241,6 +241,21 @@ AIRPORT_ROWS = ("SELECT * FROM (VALUES\n" + ",\n".join(
 
 cte("airports", AIRPORT_ROWS)
 
+def _pair(name: str, value: str, when: str) -> str:
+    return (f"CASE WHEN {when} THEN '\"{name}\":' || coalesce('\"' || {value} || '\"', 'null') END")
+
+
+_BODY = ", ".join([
+    _pair("departure_airport", "departure_airport", "true"), _pair("arrival_airport", "arrival_airport", "true"),
+    _pair("departure_date", "departure_date", "true"), _pair("trip_type", "trip_type", "request_id % 8 <> 0"),
+    _pair("return_date", "return_date", "return_date IS NOT NULL"),
+    _pair("adult", "CASE WHEN request_id % 14 <> 0 THEN adult END", "request_id % 43 <> 0"),
+    _pair("child", "CASE WHEN request_id % 10 <> 0 THEN child END", "request_id % 9 <> 0"),
+    _pair("infant", "CASE WHEN request_id % 12 <> 0 THEN infant END", "request_id % 15 <> 0")])
+cte("endpoint_json", f"""
+SELECT request_id, CASE WHEN request_id % 41 = 0 THEN substr(raw, 1, 30) ELSE raw END AS raw
+FROM (SELECT request_id, '{{' || concat_ws(',', {_BODY}) || '}}' AS raw FROM requests)""", ["requests"])
+
 cte("request_json", """
 SELECT request_id, CASE WHEN request_id % 41 = 0 THEN substr(raw, 1, 25) ELSE raw END AS raw FROM (
 SELECT request_id,

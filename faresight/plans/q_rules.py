@@ -231,3 +231,62 @@ def request_dates(spark, sf_dir):
     return r.select("request_id", tp.dmy_to_iso("departure_date").alias("departure_iso"),
                     tp.next_dmy("departure_date").alias("next_date"),
                     tp.dmy_to_iso("return_date").alias("return_iso"))
+
+
+def _has(k):
+    return f"json_type(j, '$.{k}') IS NOT NULL"
+
+
+def _txt(k):
+    return f"json_extract_string(j, '$.{k}')"
+
+
+def _num(k):
+    return f"CASE WHEN {_has(k)} THEN {_js_num(_txt(k))} END"
+
+
+@query("request_json_rules", with_ctes(["endpoint_json"], f"""
+, p AS (SELECT request_id, CASE WHEN json_valid(raw) THEN raw END AS j FROM endpoint_json)
+, n AS (SELECT *, {_num('adult')} AS a, {_num('child')} AS c, {_num('infant')} AS i FROM p)
+SELECT request_id,
+  CASE WHEN j IS NULL THEN 'malformed'
+       WHEN NOT (coalesce({_txt('departure_airport')}, '') <> '' AND coalesce({_txt('arrival_airport')}, '') <> ''
+                 AND coalesce({_txt('departure_date')}, '') <> '') THEN 'missing'
+       WHEN {_txt('trip_type')} = 'roundtrip' AND coalesce({_txt('return_date')}, '') = '' THEN 'return'
+       WHEN a IS NULL OR a < 1 THEN 'adult' WHEN c IS NULL OR c < 0 THEN 'child'
+       WHEN i IS NULL OR i < 0 THEN 'infant' WHEN i > a THEN 'infant_exceeds_adult' ELSE 'ok' END AS rule
+FROM n"""))
+def request_json_rules(spark, sf_dir):
+    """C3, C4 on raw bodies: absent counts fail, null ones are 0."""
+    return ru.json_request_rules(fx.endpoint_json(spark, sf_dir)).select("request_id", "rule")
+
+
+def _default(k, value):
+    return f"CASE WHEN {_has(k)} THEN {_txt(k)} ELSE '{value}' END"
+
+
+@query("request_json_defaults", with_ctes(["request_json"], f"""
+, p AS (SELECT request_id, CASE WHEN json_valid(raw) THEN raw END AS j FROM request_json)
+SELECT request_id, {_default('adult', '1')} AS adult, {_default('child', '0')} AS child,
+  {_default('search_options.trip_type', 'oneway')} AS trip_type,
+  {_default('search_options.departure_date', 'today')} AS departure_date,
+  {_default('search_options.find_cheapest', 'true')} AS find_cheapest
+FROM p"""))
+def request_json_defaults(spark, sf_dir):
+    """C8 on raw JSON: a default for an absent key only, null stays null."""
+    r = fx.request_json(spark, sf_dir)
+    body = {k: F.get_json_object("raw", f"$.{p}") for k, p in (
+        ("adult", "adult"), ("child", "child"), ("infant", "infant"), ("trip_type", "search_options.trip_type"),
+        ("departure_date", "search_options.departure_date"), ("find_cheapest", "search_options.find_cheapest"))}
+    return ru.request_defaults(r.withColumns(body), raw="raw").select(
+        "request_id", "adult", "child", "trip_type", "departure_date", "find_cheapest")
+
+
+@query("endpoint_request", with_ctes(["requests"], """
+SELECT request_id, upper(departure_airport) AS departure_airport, coalesce(trip_type, 'oneway') AS trip_type,
+  CASE WHEN trip_type = 'roundtrip' AND coalesce(return_date, '') <> '' THEN return_date END AS return_date,
+  '2024-01-01T00:00:00.000Z' AS updated_at FROM requests"""))
+def endpoint_request(spark, sf_dir):
+    """C8, endpoint mode: the return date of round trips only, and the stamp."""
+    d = ru.request_defaults(fx.requests(spark, sf_dir), endpoint=True, stamp="2024-01-01T00:00:00.000Z")
+    return d.select("request_id", "departure_airport", "trip_type", "return_date", "updated_at")
