@@ -113,6 +113,8 @@ def clean_fares(raw: DataFrame, price: str = "price",
     if reuse_dedupe and not raw.isStreaming:
         deduped = materialize(deduped, "deduped")
     bounds = price_bounds(deduped, price)
+    if not raw.isStreaming:                     # one row, computed once
+        bounds = raw.sparkSession.createDataFrame([bounds.first()], bounds.schema)
     filtered = filter_price_iqr(deduped, bounds, price)
     stats = price_stats(filtered, bounds, price)
     fares = clean_plane(parse_flight_dates(parse_created_at(filtered)))

@@ -85,7 +85,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)       # no job to infer it
 
 
 def materialize_counted(df: DataFrame, name: str = "table") -> tuple[DataFrame, int]:
@@ -106,7 +106,7 @@ def materialize_sized(df: DataFrame, name: str = "table", sized: bool = True
     bytes_ = F.sum(width.cast("bigint")) if sized else F.max(F.lit(0))
     df.observe(obs, F.count(F.lit(1)).alias("rows"), bytes_.alias("bytes")).write.mode("overwrite").parquet(path)
     got = obs.get
-    return spark.read.parquet(path), int(got["rows"]), int(got["bytes"] or 0)
+    return spark.read.schema(df.schema).parquet(path), int(got["rows"]), int(got["bytes"] or 0)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
