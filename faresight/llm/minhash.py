@@ -84,11 +84,11 @@ def signatures(docs: DataFrame, doc_id: str, text: str, shingle: int = SHINGLE)
 
 
 def band_keys(reps: DataFrame) -> DataFrame:
-    """(key, rep) for each band of a signature."""
+    """(rep, band, key) for each band of a signature."""
     width = 4 * ROWS
-    return reps.select("rep", F.explode(F.transform(
+    return reps.select("rep", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
-        lambda i: F.xxhash64(F.col("sig").substr(i * width + 1, F.lit(width)), i))).alias("key"))
+        lambda i: F.xxhash64(F.col("sig").substr(i * width + 1, F.lit(width)), i))).alias("band", "key"))
 
 
 def _agreement() -> float:
@@ -97,7 +97,7 @@ def _agreement() -> float:
 
 
 def shared_buckets(keys: DataFrame) -> DataFrame:
-    """(key, rep, lead) of buckets with several members; lead: the smallest."""
+    """(key, rep, band, lead) of buckets with several members; lead: the smallest."""
     first = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last")
     return keys.join(first.select("key", "lead"), "key")
 
@@ -116,41 +116,82 @@ def signature_check(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return map_arrow(both, check, "a long, b long")
 
 
-def block_pairs(buckets: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs between components of buckets that hold more than one, beside
-    those with the bucket's first member, where signatures agree.
+def full_sets(ids: DataFrame, n: int, docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """(doc_id, shingles) of at most ``n`` ids, from their whole texts."""
+
+    def sets(b: pa.RecordBatch) -> pa.RecordBatch:
+        w = Words(b.column(1), SPACED)
+        h = w.hashes()
+        out = [shingle_set(h[w.first[i]:w.first[i + 1]], shingle).tobytes() for i in range(b.num_rows)]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "shingles"])
+
+    texts = (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+             .join(small(ids, n, 16), "doc_id", "left_semi"))
+    return materialize(map_arrow(texts, sets, "doc_id long, shingles binary"), "near_sets")
+
+
+def shared(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of a sorted set with each of others."""
+    y = np.concatenate(others)
+    hit = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+    return np.add.reduceat(hit, np.cumsum([0, *(len(o) for o in others[:-1])]), dtype=np.int64)
+
+
+def block_links(buckets: DataFrame, comps: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, text: str,
+                shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """Links (u, v) between components within buckets that hold more than
+    one, beside those of the bucket's first member.
 
     Members are dealt into blocks by a hash, and each pair of blocks is one
-    group: a group holds some 2 * BLOCK rows, whatever the bucket's size."""
+    group: a group holds some 2 * BLOCK rows, whatever the bucket's size. It
+    tests the pairs that meet in no earlier band, by signature, then on the
+    full sets, and passes on a spanning forest of the links it finds."""
     least = _agreement()
     marked = (buckets.join(comps, buckets.rep == comps.node, "left")
-              .select("key", "rep", "lead", F.coalesce("component", "rep").alias("component")))
+              .select("key", "band", "rep", "lead", F.coalesce("component", "rep").alias("component")))
     mixed = (marked.where("rep > lead").groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"))
         .where("c0 < c1").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
-    rows = (marked.where("rep > lead").join(mixed, "key")
-            .withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks"))
+    rows, n = materialize_counted(marked.where("rep > lead").join(mixed, "key").select(
+        "key", "band", "rep", "component", "blocks"), "near_mixed")
+    if not n:
+        return docs.sparkSession.createDataFrame([], "u long, v long")
+    sets = full_sets(rows.select(F.col("rep").alias("doc_id")).distinct(), n, docs, doc_id, text, shingle)
+    rows = (rows.withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks"))
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-            .select("key", "rep", "component", F.least("mine", "other").alias("i"),
+            .select("key", "band", "rep", "component", F.least("mine", "other").alias("i"),
                     F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left")))
-    rows = rows.join(reps, "rep")
+    rows = rows.join(reps, "rep").join(sets, rows.rep == sets.doc_id).drop("doc_id")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(len(group), -1)
-        rep, comp = group["rep"].to_numpy(), group["component"].to_numpy()
-        if group["i"].iloc[0] == group["j"].iloc[0]:
-            one = two = np.arange(len(group))
-        else:
-            one, two = np.flatnonzero(group["left"]), np.flatnonzero(~group["left"])
-        out = []
+        own = [np.frombuffer(s, np.uint64) for s in group["shingles"]]
+        size = np.array([len(s) for s in own])
+        rep, comp, band = group["rep"].to_numpy(), group["component"].to_numpy().copy(), group["band"].iloc[0]
+        same = group["i"].iloc[0] == group["j"].iloc[0]
+        left = group["left"].to_numpy()
+        one = np.arange(len(group)) if same else np.flatnonzero(left)
+        two = np.arange(len(group)) if same else np.flatnonzero(~left)
+        links = []
         for x in one:
-            y = two[(rep[two] > rep[x]) & (comp[two] != comp[x])] if one is two else two[comp[two] != comp[x]]
-            y = y[(sig[y] == sig[x]).mean(axis=1) >= least]
-            out.append(np.stack([np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])], 1))
-        p = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": p[:, 0], "b": p[:, 1]})
-
-    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+            y = two[comp[two] != comp[x]]
+            y = y[rep[y] > rep[x]] if same else y
+            y = y[100 * np.minimum(size[y], size[x]) >= threshold * np.maximum(size[y], size[x])]
+            if not len(y):
+                continue
+            agree = sig[y] == sig[x]
+            ok = (agree.mean(axis=1) >= least) & (agree.reshape(len(y), BANDS, ROWS).all(axis=2).argmax(axis=1) == band)
+            y = y[ok]
+            if not len(y):
+                continue
+            common = shared(own[x], [own[k] for k in y])
+            for k in y[100 * common >= threshold * (size[x] + size[y] - common)]:
+                if comp[k] != comp[x]:
+                    links.append((rep[x], rep[k]))
+                    comp[comp == comp[k]] = comp[x]
+        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+
+    return rows.groupBy("key", "i", "j").applyInPandas(compare, "u long, v long")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int = SHINGLE,
@@ -159,23 +200,14 @@ def confirm(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle:
     the pairs' members are read into sets, and one set a pair is shuffled."""
     pairs, n = materialize_counted(pairs, "near_pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-
-    def sets(b: pa.RecordBatch) -> pa.RecordBatch:
-        w = Words(b.column(1), SPACED)
-        h = w.hashes()
-        out = [shingle_set(h[w.first[i]:w.first[i + 1]], shingle).tobytes() for i in range(b.num_rows)]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "shingles"])
-
-    texts = (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-             .join(small(ids, 2 * n, 16), "doc_id", "left_semi"))
-    members = materialize(map_arrow(texts, sets, "doc_id long, shingles binary"), "near_sets")
+    members = full_sets(ids, 2 * n, docs, doc_id, text, shingle)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
+                common = int(shared(x, [y])[0]) if len(x) and len(y) else 0
                 ok.append(common > 0 and 100 * common >= threshold * (len(x) + len(y) - common))
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["u", "v"])
@@ -204,9 +236,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     same = member.join(several, "doc_id").select(F.col("rep").alias("u"), "v")
 
     comps = materialize(components(links.unionByName(same)), "near_components")
-    rest = materialize(block_pairs(buckets, comps, reps), "near_rest")
-    if not rest.isEmpty():
-        more = confirm(rest, docs, doc_id, text, shingle, threshold)
+    more = materialize(block_links(buckets, comps, reps, docs, doc_id, text, shingle, threshold), "near_links")
+    if not more.isEmpty():
         comps = materialize(components(
             comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "near_components")
     linked = member.join(comps, member.rep == comps.node, "left").select(
