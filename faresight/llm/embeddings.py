@@ -142,12 +142,11 @@ def compare(assigned: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 s &= left[a:a + 256, None] != left[None, :]
             ok[a:a + 256] = s
         np.fill_diagonal(ok, False)
-        for p, q in zip(*np.nonzero(ok)) if (home != cell).any() else ():
-            if home[p] != home[q]:                 # found in two cells: count it in the lower
-                other = home[q] if home[p] == cell else home[p]
-                seen = other in cells[p if home[p] == cell else q]
-                if seen and other < cell:
-                    ok[p, q] = False
+        for p, q in zip(*np.nonzero(ok & (home[:, None] != home[None, :]))):
+            # found in two cells: the lower one counts it
+            there, here = (q, p) if home[p] == cell else (p, q)
+            if home[there] < cell and home[there] in cells[here]:
+                ok[p, q] = False
         links = ok @ n
         lead = rep.copy()
         while True:
