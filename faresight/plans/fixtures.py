@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from faresight.functions.timeparts import iso_millis
 from faresight.operators.extract import LOG_NOISE_TERMS as LOG_NOISE
+from faresight.sources.airports import AIRPORTS
 from faresight.operators.extract import URL_NOISE_TERMS as URL_NOISE
 
 # --- fixed values (fixture construction, shared with the SQL oracle) ------
@@ -241,6 +242,31 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("error"))
 
 
+def captured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as captures: some without url, title or body, some with
+    flight results."""
+    p, k = table(spark, sf_dir, "pages"), F.col("page_id")
+    html = F.when(k % 3 == 0, F.replace("html", F.lit('class="ad"'), F.lit('class="flight ad"'))).otherwise(F.col("html"))
+    html = F.when(k % 7 == 0, F.regexp_replace(html, "<title>[^<]*</title>", "<title></title>")).otherwise(html)
+    html = F.when(k % 17 == 0, F.replace(html, F.lit("<body"), F.lit("<main"))).otherwise(html)
+    return p.select("page_id", F.when(k % 13 == 0, F.lit("about:blank")).when(k % 11 != 0, F.col("url")).alias("url"),
+                    html.alias("html"))
+
+
+def short_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, some of them one word with white space around."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    return d.withColumn("text", F.when(k % 97 == 0, F.lit("\n the\t")).when(k % 101 == 0, F.lit("The"))
+                        .otherwise(F.col("text")))
+
+
+def airport_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, every fourth with the city of an airport."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    city = F.element_at(F.array(*[F.lit(a[1]) for a in AIRPORTS]), (F.floor(k / 4) % len(AIRPORTS) + 1).cast("int"))
+    return d.withColumn("text", F.when(k % 4 == 0, F.concat("text", F.lit(" "), city)).otherwise(F.col("text")))
+
+
 def endpoint_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each request as the raw JSON body of an endpoint call: counts that
     are absent, null or text, and bodies that are cut off."""

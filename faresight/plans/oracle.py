@@ -241,6 +241,22 @@ AIRPORT_ROWS = ("SELECT * FROM (VALUES\n" + ",\n".join(
 
 cte("airports", AIRPORT_ROWS)
 
+cte("captured_pages", """
+SELECT page_id, CASE WHEN page_id % 13 = 0 THEN 'about:blank' WHEN page_id % 11 <> 0 THEN url END AS url,
+  CASE WHEN page_id % 17 = 0 THEN replace(h, '<body', '<main') ELSE h END AS html
+FROM (SELECT page_id, url, CASE WHEN page_id % 7 = 0 THEN regexp_replace(h, '<title>[^<]*</title>', '<title></title>', 'g') ELSE h END AS h
+      FROM (SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN replace(html, 'class="ad"', 'class="flight ad"') ELSE html END AS h
+            FROM pages))""")
+
+cte("short_documents", """
+SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN chr(10) || ' the' || chr(9) WHEN doc_id % 101 = 0 THEN 'The' ELSE text END AS text
+FROM documents""")
+
+_CITIES = ", ".join(_sql_text(a[1]) for a in AIRPORTS)
+cte("airport_texts", f"""
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text || ' ' || ([{_CITIES}])[CAST((doc_id // 4) % {len(AIRPORTS)} AS INTEGER) + 1]
+  ELSE text END AS text FROM documents""")
+
 def _pair(name: str, value: str, when: str) -> str:
     return (f"CASE WHEN {when} THEN '\"{name}\":' || coalesce('\"' || {value} || '\"', 'null') END")
 

@@ -146,15 +146,15 @@ for _e, _ch in _ENTITIES:
 _PAGE_TEXT = f"substr({_PAGE_TEXT}, 1, 1000)"
 
 
-@query("page_info", with_ctes([], rf"""
+@query("page_info", with_ctes(["captured_pages"], rf"""
 SELECT page_id, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title,
   {_PAGE_TEXT} AS page_text,
   regexp_matches(html, '(?i:class)\s*=\s*["''][^"'']*flight') AS has_results,
   (regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) NOT IN ('', 'about:blank')
    AND coalesce(url, '') NOT IN ('', 'about:blank') AND contains(lower(html), '<body')) AS valid
-FROM pages"""))
+FROM captured_pages"""))
 def page_info_q(spark, sf_dir):
-    p = page_info(fx.table(spark, sf_dir, "pages"))
+    p = page_info(fx.captured_pages(spark, sf_dir))
     return p.select("page_id", "url", "title", "page_text", "has_results", "valid")
 
 
@@ -178,26 +178,26 @@ def url_noise_filter(spark, sf_dir):
     return filter_url_noise(c).select("event_id", "url")
 
 
-@query("text_match", with_ctes([], """
-SELECT 'contains' AS mode, count(*) AS matches, min(doc_id) AS first_doc_id FROM documents WHERE instr(lower(text), 'the') > 0
-UNION ALL SELECT 'contains_case', count(*), min(doc_id) FROM documents WHERE instr(text, 'The') > 0
-UNION ALL SELECT 'exact', count(*), min(doc_id) FROM documents WHERE lower(trim(text)) = 'the'
-UNION ALL SELECT 'exact_case', count(*), min(doc_id) FROM documents WHERE trim(text) = 'The'"""))
+@query("text_match", with_ctes(["short_documents"], r"""
+SELECT 'contains' AS mode, count(*) AS matches, min(doc_id) AS first_doc_id FROM short_documents WHERE instr(lower(text), 'the') > 0
+UNION ALL SELECT 'contains_case', count(*), min(doc_id) FROM short_documents WHERE instr(text, 'The') > 0
+UNION ALL SELECT 'exact', count(*), min(doc_id) FROM short_documents WHERE lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) = 'the'
+UNION ALL SELECT 'exact_case', count(*), min(doc_id) FROM short_documents WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') = 'The'"""))
 def text_match_q(spark, sf_dir):
-    d = fx.table(spark, sf_dir, "documents")
+    d = fx.short_documents(spark, sf_dir)
     return text_match_summary(d, [("contains", "the", False, False),
                                   ("contains_case", "The", False, True),
                                   ("exact", "the", True, False),
                                   ("exact_case", "The", True, True)])
 
 
-@query("airport_mention", with_ctes(["airports"], """
+@query("airport_mention", with_ctes(["airports", "airport_texts"], """
 SELECT a.code, count(*) AS n_texts, min(d.doc_id) AS first_doc_id
-FROM documents d JOIN airports a
+FROM airport_texts d JOIN airports a
   ON instr(d.text, a.code) > 0 OR instr(d.text, a.city) > 0 OR instr(d.text, a.airport_name) > 0
 GROUP BY a.code"""))
 def airport_mention_q(spark, sf_dir):
-    return airport_mention(fx.table(spark, sf_dir, "documents"), airports_df(spark))
+    return airport_mention(fx.airport_texts(spark, sf_dir), airports_df(spark))
 
 
 @query("execution_stats", with_ctes(["crawl_log"], """

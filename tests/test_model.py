@@ -39,6 +39,20 @@ def test_models_metrics_and_importances(spark):
     assert md.top_importances(imp).count() == 10
 
 
+def test_train_pick_and_importances(spark):
+    mx, _, _ = _prep(spark)
+    run, metrics, imp = md.train_best(mx, kinds=("Decision Tree",), folds=2, overrides={"Decision Tree": {"maxDepth": 3}})
+    assert run.name == "Decision Tree" and metrics.count() == 1
+    assert sorted(r.feature for r in imp.collect()) == sorted(FEATURE_COLUMNS)
+
+
+def test_folds_are_even_for_any_number(spark):
+    mx, _, _ = _prep(spark)
+    for folds in (2, 3, 5):
+        n = [r["count"] for r in mx.groupBy(md.fold_of("fold_hash", folds)).count().collect()]
+        assert len(n) == folds and max(n) < 1.3 * min(n)
+
+
 def test_split_stable(spark):
     c = cl.clean_fares(fx.fare_raw_with_copies(spark, SMOKE)).fares
     a = md.train_test_flag(c).where("is_train").count()
