@@ -13,7 +13,7 @@ compared by matrix products; each linked pair counts in one cell only. Of
 each block only link counts and a spanning star of its links are passed on,
 and the stars join into components.
 
-Cells are fitted on at most ``SAMPLE`` vectors; every vector is assigned
+Cells are fitted on at most ``SAMPLE`` vectors and ``SAMPLE_BYTES``; every vector is assigned
 and compared. A cell of any size is split into blocks.
 
 Defined results: vectors that are null, empty, zero or hold null or
@@ -39,6 +39,7 @@ from faresight.llm.components import components
 
 THRESHOLD = 0.9
 SAMPLE = 40_000
+SAMPLE_BYTES = 64 << 20   # of the sample as doubles: fewer vectors of very many dimensions
 PER_CENTRE = 16           # sampled vectors for each centre, at least
 ROUNDS = 8
 DEVIATIONS = 3.0
@@ -171,8 +172,9 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
     found = None
     for dim, size in classes.groupBy("dim").count().orderBy("dim").collect():      # usually one
         own = classes.where(F.col("dim") == dim)
-        k = max(1, min(math.ceil(math.sqrt(size)), sample // PER_CENTRE))
-        got = own.orderBy(F.xxhash64("digest"), "rep").limit(min(sample, 64 * k)).select("unit").toPandas()["unit"]
+        most = max(1, min(sample, SAMPLE_BYTES // (8 * dim)))
+        k = max(1, min(math.ceil(math.sqrt(size)), most // PER_CENTRE))
+        got = own.orderBy(F.xxhash64("digest"), "rep").limit(min(most, 64 * k)).select("unit").toPandas()["unit"]
         x = np.frombuffer(b"".join(got)).reshape(len(got), -1)
         part = compare(assign(own, centres(x, k), threshold), threshold)
         found = part if found is None else found.unionByName(part)
