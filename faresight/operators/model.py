@@ -199,7 +199,7 @@ def batch_predict(model, rows_features: DataFrame, price_stats: DataFrame | None
     out = model.transform(x).withColumnRenamed("prediction", "raw_prediction")
     if price_stats is None:
         return out.withColumn("prediction", F.col("raw_prediction"))
-    s = price_stats.select(F.col("min").alias("__mn"), F.col("max").alias("__mx"))
+    s = price_stats.agg(F.min("min").alias("__mn"), F.max("max").alias("__mx"))      # one row, whatever is stored
     out = cross_one_row(out, s)
     return (out.withColumn("prediction", clip_price("raw_prediction", "__mn", "__mx"))
             .drop("__mn", "__mx"))

@@ -68,9 +68,10 @@ def load_model(spark: SparkSession, path: str) -> StoredModel:
           DEFAULT_AIRLINE_POPULARITY["mean"], DEFAULT_AIRLINE_POPULARITY["std"])],
         "d_route_mean double, d_route_std double, d_airline_mean double, d_airline_std double")
     if _exists(spark, pop_path):
-        pop = spark.read.parquet(pop_path).crossJoin(defaults).select(
-            *[F.coalesce(F.col(c), F.col("d_" + c)).alias(c)
-              for c in ("route_mean", "route_std", "airline_mean", "airline_std")])
+        names = ("route_mean", "route_std", "airline_mean", "airline_std")
+        stored = spark.read.parquet(pop_path).agg(*[F.max(c).alias(c) for c in names])      # one row, whatever is stored
+        pop = stored.crossJoin(defaults).select(
+            *[F.coalesce(F.col(c), F.col("d_" + c)).alias(c) for c in names])
     else:
         pop = defaults.select(*[F.col("d_" + c).alias(c) for c in
                                 ("route_mean", "route_std", "airline_mean", "airline_std")])
