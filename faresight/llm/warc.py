@@ -120,7 +120,7 @@ def write_archive(pages: DataFrame, folder: str, key: str = "page_id", url: str
             ["shard", "key", "url", "refers", "member"])
 
     members = map_arrow(rows, build, "shard long, key long, url string, refers long, member binary")
-    members = (members.repartition(len(starts.value) + 1, "shard")
+    members = (members.repartitionById(len(starts.value) + 1, F.col("shard").cast("int"))    # a shard, a task
                .sortWithinPartitions("shard", "key", "url", "refers", F.md5("member")).select("shard", "key", "member"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
