@@ -21,12 +21,17 @@ query reads only the columns it needs.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faresight.llm.common import ascii_lower, aside, materialize, materialize_counted, small, table
+from faresight.llm.common import aside, materialize, materialize_counted, small, table
 
 THRESHOLD = 0.5
+#: Texts that hold one of these, in lower case, may have candidate lines.
+TRIGGERS = ("licens", "licenc", "copyright", "permission", "redistribut", "public domain", "warranty", "spdx", "gpl",
+            "creative commons")
 #: Lines with one of these are candidates; every template line has one.
 CANDIDATE = r"(?i)licen[sc]e|copyright|permission|redistribut|public domain|warranty|spdx|\bgpl\b|creative commons"
 TERM = "[^a-z0-9.]+"
@@ -50,11 +55,15 @@ TEMPLATES = (
 )
 
 
+def _parts(text: Column) -> Column:
+    """Lower-case terms (letters, digits and inner points), and maybe ''."""
+    outer = r"\.+(?![a-z0-9.])|\.(?<![a-z0-9.]\.)\.*"
+    return F.split(F.regexp_replace(F.lower(text), outer, " "), TERM)
+
+
 def terms(text: Column) -> Column:
     """Lower-case terms: letters, digits and inner points."""
-    parts = F.split(ascii_lower(text), TERM)
-    parts = F.transform(parts, lambda t: F.regexp_replace(t, r"^\.+|\.+$", ""))
-    return F.filter(parts, lambda t: t != "")
+    return F.filter(_parts(text), lambda t: t != "")
 
 
 def template_table(spark, templates=TEMPLATES) -> DataFrame:
@@ -68,7 +77,7 @@ def template_table(spark, templates=TEMPLATES) -> DataFrame:
 def inverse_frequencies(docs: DataFrame, text: str, vocabulary: list[str]) -> DataFrame:
     """(term, idf): ln((1 + documents) / (1 + documents with the term)) + 1
     over all documents, for the templates' terms."""
-    own = F.array_intersect(terms(F.coalesce(F.col(text), F.lit(""))), F.array(*[F.lit(t) for t in vocabulary]))
+    own = F.array_intersect(_parts(F.coalesce(F.col(text), F.lit(""))), F.array(*[F.lit(t) for t in vocabulary]))
     seen = materialize(docs.select(F.explode(F.concat(own, F.array(F.lit(""))))).groupBy(F.col("col").alias("term"))
                        .agg(F.count(F.lit(1)).alias("df")), "license_terms")
     every = seen.where("term = ''").select(F.col("df").alias("n"))
@@ -105,12 +114,18 @@ def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES, threshold: fl
     vocabulary = [r["term"] for r in model.select("term").distinct().orderBy("term").collect()]
     idf = materialize(inverse_frequencies(docs, text, vocabulary), "license_idf")
     at = aside(docs.columns, "lines")
-    rows = docs.withColumn(at, F.array_distinct(F.filter(
-        F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.trim(x)),
-        lambda x: x.rlike(CANDIDATE))))
-    lines = rows.select(F.explode(at).alias("line")).groupBy("line").agg(F.lit(1).alias("one")).select("line")
+    own = F.array_distinct(F.filter(F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x)),
+                                    lambda x: x.rlike(CANDIDATE)))
+    # the lambda's variable holds the lower-cased text, computed once
+    maybe = F.exists(F.array(F.lower(F.col(text))),
+                     lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(t)) for t in TRIGGERS]))
+    rows = docs.withColumn(at, F.when(maybe, own).otherwise(F.array().cast("array<string>")))
+    # the distinct sets of lines, then the distinct lines: equal ones once
+    held = materialize(rows.where(F.size(at) > 0).groupBy(F.col(at).alias("held")).agg(F.count(F.lit(1)).alias("n")),
+                       "license_sets")
+    lines = held.select(F.explode("held").alias("line")).distinct()
     scored, n = materialize_counted(score_lines(lines, idf, model).where(F.col("score") >= threshold), "license_lines")
-    found = rows.where(F.size(at) > 0).select(F.col(at).alias("held"), F.explode(at).alias("line")).distinct()
+    found = held.select("held", F.explode("held").alias("line"))
     best = (found.join(small(scored, n, 256), "line").groupBy("held")
             .agg(F.min(F.struct((-F.col("score")).alias("minus"), "license", "line")).alias("b")))
     k, lic, sco, lin = (aside([*docs.columns, at], c) for c in ("found_lines", "found_license", "found_score", "found_line"))
@@ -172,8 +187,8 @@ def _values() -> str:
     return ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(TEMPLATES))
 
 
-_TERMS = ("[y FOR y IN [regexp_replace(t, '^\\.+|\\.+$', '', 'g') FOR t IN regexp_split_to_array(translate({x}, "
-          "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9.]+')] IF y <> '']")
+_TERMS = ("[y FOR y IN [regexp_replace(t, '^\\.+|\\.+$', '', 'g') FOR t IN regexp_split_to_array(lower({x}), "
+          "'[^a-z0-9.]+')] IF y <> '']")
 SQL = r"""
 WITH m AS (SELECT * FROM (VALUES {values}) v(template, license, line)),
 mt AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest({terms_line}) AS term FROM m) GROUP BY ALL),
