@@ -33,7 +33,7 @@ SCHEDULES = {
     1: ((0.0, 1.6), (0.4, 1.0), (1.0, 0.4)),
 }
 WORD = r"[^\x20\x09-\x0D]+"
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE,
