@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from faresight.session import materialize, materialize_counted, scratch_path  # noqa: F401
 
-#: Rows per Arrow batch handed to Python, and bytes where Spark knows that
-#: setting: with texts of a few kB a batch stays at some MB.
-BATCH_ROWS = "1000"
-BATCH_BYTES = "16m"
+#: Rows per Arrow batch handed to Python: with texts of a few kB a batch
+#: stays at about 1 MB, and what Python derives from it at some tens.
+BATCH_ROWS = "256"
 #: Tables are broadcast up to this many bytes (rows x stated width).
 BROADCAST_BYTES = 32 << 20
 
