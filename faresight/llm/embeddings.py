@@ -2,19 +2,20 @@
 
 Vectors are scaled to length 1 in double precision and equal ones collapse
 to one class. Cells are the nearest of k centres, fitted on a bounded
-sample. A pair can be split by the plane between two centres, so a vector
-is also compared in each cell whose plane it is within ``MARGIN`` of; a
-pair at cosine 0.9 is 0.447 apart, and one of the two is at most half of
-the part of that across the plane away. The margin of three deviations of
-that part (0.447 / sqrt(dimensions) each, for a difference in any direction)
-misses some 0.3 per cent of the pairs that are split at just 0.9, and fewer
-above; the tests measure recall against brute force. Within a cell, blocks of vectors are
-compared by matrix products; each linked pair counts in one cell only. Of
+sample. A pair can be split by the plane between two centres, and a pair at
+cosine ``t`` or above is at most sqrt(2 - 2t) apart, so one of the two is
+within half of that of the plane, in whatever direction they differ. Each
+vector is therefore also compared in every cell whose plane it is that near
+to, and no pair is lost. Neighbouring cells are packed into groups of about
+``BLOCK`` vectors and large ones split, so that a vector is copied once for a
+block and not for each cell: data without any directions of its own, where
+most planes are near, costs up to all pairs of blocks. The blocks are
+compared by matrix products; each linked pair counts in one group only. Of
 each block only link counts and a spanning star of its links are passed on,
 and the stars join into components.
 
 Cells are fitted on at most ``SAMPLE`` vectors and ``SAMPLE_BYTES``; every vector is assigned
-and compared. A cell of any size is split into blocks.
+and compared. A group of any size is split into blocks.
 
 Defined results: vectors that are null, empty, zero or hold null or
 non-finite components link with nothing; only vectors of the same number of
@@ -42,8 +43,8 @@ SAMPLE = 40_000
 SAMPLE_BYTES = 64 << 20   # of the sample as doubles: fewer vectors of very many dimensions
 PER_CENTRE = 16           # sampled vectors for each centre, at least
 ROUNDS = 8
-DEVIATIONS = 3.0
-BLOCK = 1024
+BLOCK = 4096              # vectors on each side of a product, about
+BLOCK_BYTES = 32 << 20    # of them as doubles
 
 
 def unit_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -93,72 +94,120 @@ def centres(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return c
 
 
-def assign(classes: DataFrame, c: np.ndarray, threshold: float = THRESHOLD,
-           deviations: float = DEVIATIONS) -> DataFrame:
-    """(rep, n, unit, home, cells): home cell and all cells to compare in."""
-    held = classes.sparkSession.sparkContext.broadcast(c)
-    # both ends of a pair look across: half the distance each
-    margin = deviations * math.sqrt((2 - 2 * threshold) / c.shape[1]) / 2
+def pack(x: np.ndarray, c: np.ndarray, size: int, block: int) -> np.ndarray:
+    """The group of each cell, of ``size`` vectors that fall into cells as the
+    sample ``x`` does: a chain from each centre to the nearest one left, cut
+    where a group would pass ``block`` vectors."""
+    held = np.zeros(len(c))
+    for a in range(0, len(x), 2048):
+        held += np.bincount((x[a:a + 2048] @ c.T).argmax(1), minlength=len(c))
+    held *= size / len(x)
+    near = c @ c.T
+    group, left, at, number, total = np.zeros(len(c), int), np.ones(len(c), bool), 0, 0, 0.0
+    for _ in range(len(c)):
+        if total and total + held[at] > block:
+            number, total = number + 1, 0.0
+        group[at], left[at], total = number, False, total + held[at]
+        at = int(np.where(left, near[at], -np.inf).argmax())
+    return group
+
+
+def assign(classes: DataFrame, c: np.ndarray, group: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """(rep, n, unit, home, groups): the home cell's group and all groups to
+    compare in."""
+    held = classes.sparkSession.sparkContext.broadcast((c, group))
+    # both ends of a pair look across: half the distance each, and rounding
+    margin = math.sqrt(2 - 2 * threshold) / 2 + 1e-9
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        c = held.value
+        c, group = held.value
         x = np.frombuffer(b"".join(b.column(2).to_pylist())).reshape(b.num_rows, -1)
         s = x @ c.T
         home = s.argmax(1)
         apart = np.sqrt(np.maximum(2 - 2 * (c[home] @ c.T), 1e-18))
         near = (s[np.arange(len(x)), home][:, None] - s) <= margin * apart
         near[np.arange(len(x)), home] = True
-        cells = [np.flatnonzero(r).tolist() for r in near]
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(home.astype(np.int32)),
-                                           pa.array(cells, pa.list_(pa.int32()))], ["rep", "n", "unit", "home", "cells"])
+        order = np.argsort(group, kind="stable")
+        first = np.searchsorted(group[order], np.arange(group.max() + 1))
+        groups = [np.flatnonzero(r).tolist() for r in np.logical_or.reduceat(near[:, order], first, axis=1)]
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(group[home].astype(np.int32)),
+                                           pa.array(groups, pa.list_(pa.int32()))], ["rep", "n", "unit", "home", "groups"])
 
     return map_arrow(classes.select("rep", "n", "unit"), run,
-                     "rep long, n long, unit binary, home int, cells array<int>")
+                     "rep long, n long, unit binary, home int, groups array<int>")
+
 
+def _links(ok: np.ndarray, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    """(rep, links, lead) of the rows p and q that are linked by ``ok``."""
+    rows, cols = ok.any(1), ok.any(0)
+    ok, p, q = ok[rows][:, cols], p[rows], q[cols]
+    n, most = (p["n"].to_numpy(), q["n"].to_numpy()), np.iinfo(np.int64).max
+    links = np.zeros(len(p), np.int64), np.zeros(len(q), np.int64)
+    lead = p["rep"].to_numpy().copy(), q["rep"].to_numpy().copy()
+    for a in range(0, len(p), 256):
+        part = ok[a:a + 256]
+        links[0][a:a + 256] = part @ n[1]
+        links[1][:] += n[0][a:a + 256] @ part
+    changed = bool(len(p))
+    while changed:
+        before = lead[0].copy(), lead[1].copy()
+        for a in range(0, len(p), 256):
+            part, own = ok[a:a + 256], lead[0][a:a + 256]
+            np.minimum(own, np.where(part, lead[1], most).min(1), out=own)
+            np.minimum(lead[1], np.where(part, own[:, None], most).min(0), out=lead[1])
+        changed = any((x != y).any() for x, y in zip(before, lead))
+    return pd.DataFrame({"rep": np.concatenate([p["rep"], q["rep"]]), "links": np.concatenate(links),
+                         "lead": np.concatenate(lead)})
 
-def compare(assigned: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+
+def compare(assigned: DataFrame, threshold: float = THRESHOLD, block: int | None = None) -> DataFrame:
     """(rep, links, lead) for each vector and pair of blocks in which it has
     links: how many vectors it links with there, and the smallest vector
-    that the block's links lead to."""
+    that the block's links lead to. A group's own vectors are split into
+    blocks; each meets itself (chunk 0) and the other vectors that are to be
+    compared in the group, in chunks."""
+    block = block or BLOCK
     assigned = materialize(assigned, "vector_cells")
-    rows = assigned.withColumn("cell", F.explode("cells"))
-    sizes = rows.groupBy("cell").count().select("cell", F.ceil(F.col("count") / BLOCK).alias("blocks"))
-    rows = (rows.join(sizes, "cell").withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-            .select("cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-                    (F.col("mine") <= F.col("other")).alias("left"), "rep", "n", "unit", "home", "cells"))
-
-    def blocks(g: pd.DataFrame) -> pd.DataFrame:
-        cell, same = int(g["cell"].iloc[0]), g["i"].iloc[0] == g["j"].iloc[0]
-        x = np.frombuffer(b"".join(g["unit"])).reshape(len(g), -1)
-        home, n, rep = g["home"].to_numpy(), g["n"].to_numpy(), g["rep"].to_numpy()
-        left = g["left"].to_numpy()
-        cells = [set(c) for c in g["cells"]]
-        ok = np.zeros((len(g), len(g)), bool)
-        for a in range(0, len(g), 256):
-            s = x[a:a + 256] @ x.T >= threshold
-            own = home == cell
-            s &= own[a:a + 256, None] | own[None, :]
-            if not same:
-                s &= left[a:a + 256, None] != left[None, :]
-            ok[a:a + 256] = s
-        np.fill_diagonal(ok, False)
-        for p, q in zip(*np.nonzero(ok & (home[:, None] != home[None, :]))):
-            # found in two cells: the lower one counts it
-            there, here = (q, p) if home[p] == cell else (p, q)
-            if home[there] < cell and home[there] in cells[here]:
-                ok[p, q] = False
-        links = ok @ n
-        lead = rep.copy()
-        while True:
-            new = np.minimum(lead, np.where(ok, lead[None, :], np.iinfo(np.int64).max).min(1))
-            if (new == lead).all():
-                break
-            lead = new
-        keep = links > 0
-        return pd.DataFrame({"rep": rep[keep], "links": links[keep], "lead": lead[keep]})
-
-    return rows.groupBy("cell", "i", "j").applyInPandas(blocks, "rep long, links long, lead long")
+    own = assigned.groupBy("home").agg(F.count(F.lit(1)).alias("own"), F.ceil(F.count(F.lit(1)) / block).alias("splits"))
+    seen = assigned.select(F.explode("groups").alias("home")).groupBy("home").agg(F.count(F.lit(1)).alias("seen"))
+    sizes = materialize(own.join(seen, "home").select(
+        F.col("home").alias("group"), "splits",
+        F.ceil((F.col("seen") - F.col("own") / F.col("splits")) / block).alias("chunks")), "vector_groups")
+    mine = (F.col("group") == F.col("home")) & (F.col("at") == F.col("split"))
+    rows = (assigned.join(F.broadcast(sizes.select(F.col("group").alias("home"), "splits")), "home")     # at most a row a centre
+            .select("rep", "n", "unit", "home", "groups", F.pmod(F.xxhash64("rep"), "splits").alias("split"),
+                    F.explode("groups").alias("group"))
+            .join(F.broadcast(sizes), "group")
+            .withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)))
+            .withColumn("mine", mine)
+            .withColumn("chunk", F.explode(F.when(F.col("mine"), F.sequence(F.lit(0).cast("long"), F.col("chunks"))).otherwise(
+                F.array(1 + F.pmod(F.xxhash64("rep", F.lit(1)), F.greatest("chunks", F.lit(1).cast("long")))))))
+            .select("group", "at", "chunk", "mine", "rep", "n", "unit", "home", "split",
+                    F.when(F.col("mine"), F.col("groups")).alias("groups")))
+
+    def blocks(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        group, at, chunk = (int(k) for k in key)
+        own = g["mine"].to_numpy(bool)
+        p, q = g[own], g if chunk == 0 else g[~own]
+        if not len(p) or not len(q):
+            return pd.DataFrame({"rep": [], "links": [], "lead": []}).astype("int64")
+        x, y = (np.frombuffer(b"".join(t["unit"])).reshape(len(t), -1) for t in (p, q))
+        ok = np.empty((len(p), len(q)), bool)
+        for a in range(0, len(p), 256):
+            ok[a:a + 256] = x[a:a + 256] @ y.T >= threshold
+        if chunk == 0:
+            np.fill_diagonal(ok, False)
+            found = _links(ok, p, q)
+            return found.iloc[:len(found) // 2]    # both sides are the same
+        # found in two groups' blocks: the lower one counts it
+        home, split = q["home"].to_numpy(), q["split"].to_numpy()
+        lower = np.flatnonzero((home < group) | (home == group) & (split < at))
+        names = np.unique(home[lower])
+        there = np.array([np.isin(names, s) for s in p["groups"]]).reshape(len(p), -1)
+        ok[:, lower] &= ~there[:, np.searchsorted(names, home[lower])]
+        return _links(ok, p, q)
+
+    return rows.groupBy("group", "at", "chunk").applyInPandas(blocks, "rep long, links long, lead long")
 
 
 def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
@@ -176,7 +225,8 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
         k = max(1, min(math.ceil(math.sqrt(size)), most // PER_CENTRE))
         got = own.orderBy(F.xxhash64("digest"), "rep").limit(min(most, 64 * k)).select("unit").toPandas()["unit"]
         x = np.frombuffer(b"".join(got)).reshape(len(got), -1)
-        part = compare(assign(own, centres(x, k), threshold), threshold)
+        c, block = centres(x, k), max(1, min(BLOCK, BLOCK_BYTES // (8 * dim)))
+        part = compare(assign(own, c, pack(x, c, size, block), threshold), threshold, block)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),

@@ -97,3 +97,21 @@ def test_vectors_against_all_pairs(spark):
 def test_vector_blocks(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 16)
     test_vectors_against_all_pairs(spark)
+
+
+@pytest.mark.parametrize("dim,scale", [(64, lambda i: np.where(i < 8, 1, 1e-3)), (384, lambda i: (i + 1.0) ** -0.8)])
+def test_vectors_of_few_directions(spark, dim, scale):
+    r = np.random.default_rng(4)
+    own = scale(np.arange(dim))
+    base = r.normal(size=(1500, dim)) * own
+    x = np.concatenate([base, base + r.uniform(0.1, 0.45, size=(1500, 1)) * r.normal(size=base.shape) * own])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = np.triu(u @ u.T >= 0.9, 1).sum()
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    got = embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert got.agg({"n_links": "sum"}).first()[0] == 2 * links > 2000
+
+
+def test_vectors_of_few_directions_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    test_vectors_of_few_directions(spark, 64, lambda i: np.where(i < 8, 1, 1e-3))
