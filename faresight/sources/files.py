@@ -87,6 +87,11 @@ def scan_search_requests(spark: SparkSession, path: str,
 RUNS_WITH_CORRUPT = T.StructType(RUN_FILE_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
 
 
+#: A line that opens an array or an object and does not close it starts a
+#: pretty-printed file.
+OPENS = r"^\s*\[\s*(\{[^}]*)?$|^\s*\{\s*$"
+
+
 def scan_crawl_runs(spark: SparkSession, path: str, layout: str = "auto") -> DataFrame:
     """Run summaries with their days and price options (A5), from files of
     JSON lines (as ``append_crawl_runs`` writes them; a line may also hold a
@@ -106,9 +111,7 @@ def scan_crawl_runs(spark: SparkSession, path: str, layout: str = "auto") -> Dat
         return read(path, layout == "array")
     if layout != "auto":
         raise ValueError("layout must be 'auto', 'lines' or 'array'")
-    # A line that opens an array or an object and does not close it starts a
-    # pretty-printed file. Only file names come back.
-    opens = F.col("value").rlike(r"^\s*\[\s*(\{[^}]*)?$|^\s*\{\s*$")
+    opens = F.col("value").rlike(OPENS)        # only file names come back
     names = (spark.read.text(path).select("_metadata.file_path", opens.alias("o")).groupBy("file_path")
              .agg(F.max("o").alias("o")).collect())
     kinds = {k: [unquote(r["file_path"]) for r in names if bool(r["o"]) == k] for k in (False, True)}
@@ -119,12 +122,14 @@ def scan_crawl_runs(spark: SparkSession, path: str, layout: str = "auto") -> Dat
 
 
 def runs_of_text(value) -> F.Column:
-    """Runs in the whole text of a file, as an array: each line is parsed if
-    all of them are whole objects, else the text as one array or object. What
-    does not parse is an element with ``_corrupt_record``."""
-    lines = F.filter(F.split(value, "\n"), lambda x: strip(x) != "")
-    by_line = F.forall(lines, lambda x: strip(x).rlike(r"^\{.*\}$"))
-    pieces = F.when(by_line, lines).otherwise(F.array(value))
+    """Runs in the whole text of a file, as an array, by the layout that
+    ``scan_crawl_runs`` finds: with a line that opens a value and does not
+    close it the text is one array or object, else each line is parsed on its
+    own. What does not parse is an element with ``_corrupt_record``; so is a
+    pretty-printed text that goes on after its value."""
+    lines = F.filter(F.split(value, r"[\r\n]+"), lambda x: strip(x) != "")
+    pretty = F.exists(lines, lambda x: x.rlike(OPENS))
+    pieces = F.when(pretty, F.array(value)).otherwise(lines)
     kind = T.ArrayType(RUN_FILE_SCHEMA)
 
     def parse(piece):
@@ -136,7 +141,13 @@ def runs_of_text(value) -> F.Column:
         empty = got.isNull() | F.forall(got, lambda r: r.isNull())
         return F.when(empty & ~strip(piece).rlike(r"^\[\s*\]$"), bad).otherwise(good)
 
-    return F.flatten(F.transform(pieces, parse))
+    # in brackets, text after the first value is an error and is not passed over
+    whole = F.try_parse_json(F.concat(F.lit("["), value, F.lit("]"))).isNotNull()
+    got = F.flatten(F.transform(pieces, parse))
+    rest = F.array(F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in RUN_FILE_SCHEMA],
+                            value.alias("_corrupt_record")))
+    more = pretty & ~F.exists(got, lambda r: r["_corrupt_record"].isNotNull())
+    return F.when(more, F.when(whole, got).otherwise(F.concat(got, rest))).otherwise(got)
 
 
 def corrupt_records(runs: DataFrame) -> DataFrame:

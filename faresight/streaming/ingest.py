@@ -50,14 +50,16 @@ def stream_history_rows(spark: SparkSession, source_dir: str,
 def ingest_stream(spark: SparkSession, source_dir: str, sink_dir: str,
                   checkpoint_dir: str, dedupe_watermark: str | None = None,
                   available_now: bool = True, requests: DataFrame | None = None,
-                  batch_ts: str | None = None, keep=()):
+                  batch_ts: str | None = None, keep=(), corrupt_dir: str | None = None):
     """Run the ingest: append history rows as parquet in the history's
     layout, partitioned by flight day (``keep``: further columns, such as
     ``run_id`` or ``route_supported``). ``available_now`` processes
     everything present and stops (scheduled runs); otherwise the query keeps
     running. With ``dedupe_watermark`` (e.g. '1 day'), repeated rows within
     the watermark are dropped; the reference itself never dedupes on write,
-    so it is off by default."""
+    so it is off by default. Texts that do not parse are appended to
+    ``corrupt_dir`` (``<sink_dir>_corrupt`` by default) by a query of their
+    own, with its checkpoint in ``<checkpoint_dir>_corrupt``."""
     rows = stream_history_rows(spark, source_dir, check_routes="route_supported" in keep,
                                requests=requests, batch_ts=batch_ts)
     if dedupe_watermark:
@@ -71,8 +73,13 @@ def ingest_stream(spark: SparkSession, source_dir: str, sink_dir: str,
                        F.substring("flight_date", 1, 10).alias("flight_day"))
     w = (rows.writeStream.format("parquet").outputMode("append").partitionBy("flight_day")
          .option("checkpointLocation", checkpoint_dir))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    q = w.start(sink_dir)
+    bad = (stream_runs(spark, source_dir).where("_corrupt_record IS NOT NULL").select("_corrupt_record")
+           .writeStream.format("parquet").outputMode("append")
+           .option("checkpointLocation", checkpoint_dir.rstrip("/") + "_corrupt"))
+    trigger = {"availableNow": True} if available_now else {"processingTime": "1 minute"}
+    q = w.trigger(**trigger).start(sink_dir)
+    corrupt = bad.trigger(**trigger).start(corrupt_dir or sink_dir.rstrip("/") + "_corrupt")
     if available_now:
         q.awaitTermination()
+        corrupt.awaitTermination()
     return q

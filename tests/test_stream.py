@@ -40,3 +40,26 @@ def test_stream_watermark_dedupe(spark, tmp_path):
     keys = ["flight_number", "departure_airport", "arrival_airport", "flight_date",
             "departure_time", "classes", "price"]
     assert out.count() == out.dropDuplicates(keys).count() > 0
+
+
+def test_stream_keeps_every_line(spark, tmp_path):
+    import json
+
+    from faresight.sources.files import scan_crawl_runs
+
+    def run(i):
+        return {"run_id": i, "daily_results": [{"search_date": "01/08/2025", "prices": [
+            {"flight_number": f"VJ{i}", "total_price": "10"}]}]}
+
+    src, sink, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    (tmp_path / "in").mkdir()
+    cut = json.dumps(run(3))[:40]
+    (tmp_path / "in" / "cut.json").write_text("\n".join([json.dumps(run(1)), json.dumps(run(2)), cut]))
+    (tmp_path / "in" / "arrays.json").write_text("\n".join(json.dumps([run(i), run(i + 1)]) for i in (4, 6)))
+    (tmp_path / "in" / "pretty.json").write_text(json.dumps([run(8), run(9)], indent=2))
+    ingest_stream(spark, src, sink, ck, keep=("run_id",))
+    batch = scan_crawl_runs(spark, src)
+    want = sorted(r.run_id for r in batch.where("_corrupt_record IS NULL").collect())
+    assert sorted(r.run_id for r in spark.read.parquet(sink).collect()) == want == [1, 2, 4, 5, 6, 7, 8, 9]
+    assert [r[0] for r in spark.read.parquet(sink + "_corrupt").collect()] == [cut]
+    assert [r[0] for r in batch.where("_corrupt_record IS NOT NULL").select("_corrupt_record", "run_id").collect()] == [cut]
