@@ -9,6 +9,12 @@ each kind of token how much more often it stands outside than inside. On a
 page with such a mark, words outside it score negative, and tags and side
 elements inside it hardly count.
 
+An element is a side element by its tag or role, or by its class or id. By a
+name alone it is none if it holds the page's only <article> or <main> (none
+stands outside such elements), or most of the words outside other sides ("content-sidebar-wrap" around the page), except
+that a list of comments stays one however long it is. If nothing were left,
+names count for nothing.
+
 The region's words that stand in such side elements (an advert inside an
 article) are left out. Character references are decoded, white space in a
 block becomes one space, blocks are joined by two newlines.
@@ -64,50 +70,77 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _NAME = re.compile(r"[a-z]+")
 _SIDE_NAMES = frozenset(SIDE_NAMES)
+#: Whole classes of what readers write, which can be longer than the article.
+TALK = frozenset("comment comments disqus reply replies respond".split())
 
 
-def _is_side(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is no content. A header inside an article is."""
+def _is_side(tag: str, attributes: str, inside: bool) -> str:
+    """Why an element is no content: its "kind", a "name" in its class or id,
+    or "talk", a name of comments; '' if it is content. A header inside an
+    article is, and <article> by a name that is only part of a class."""
     if tag in SIDE or (tag == "header" and not inside):
-        return True
+        return "kind"
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return ""
+    why = ""
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
             if tag not in ("html", "body", "main") and not _SIDE_NAMES.isdisjoint(_NAME.findall(value)):
-                return True
+                classes = value.split()
+                if not TALK.isdisjoint(classes):
+                    why = "talk"
+                elif not why and (tag != "article" or not _SIDE_NAMES.isdisjoint(classes)):
+                    why = "name"
         elif name == "role":
             if value in SIDE_ROLES:
-                return True
+                return "kind"
         elif name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return "kind"
         elif name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            return "kind"
+    return why
 
 
-def tokens(page: str, forms: bool = True) -> list[tuple[str, str, bool, bool]]:
+def tokens(page: str, forms: bool = True, names: bool = True) -> list[tuple[str, str, bool, bool]]:
     """(kind, text or tag, inside marked content, block boundary) in page
     order.
 
     kind: word (a run of text), link (one in a link), out (a word outside
     the content that the page marks), side (the start of a side element),
     hidden (what a side element holds) or tag. Raw elements are passed over
-    whole. ``forms``: whether a form is a side element."""
+    whole. ``forms``: whether a form is a side element; ``names``: whether an
+    element is one by its class or id."""
+    out, spared = _tokens(page, forms, names, frozenset())
+    return _tokens(page, forms, names, spared)[0] if spared else out
+
+
+def _tokens(page: str, forms: bool, names: bool,
+            spared: frozenset[int]) -> tuple[list[tuple[str, str, bool, bool]], frozenset[int]]:
+    """The tokens, and where the elements start that are no sides though
+    their names say so. ``spared``: those of an earlier pass."""
     out: list[tuple[str, str, bool, bool]] = []
-    stack: list[tuple[str, bool]] = []         # open elements: name, side
-    side = links = main = 0
+    stack: list[tuple[str, bool, int, str, int]] = []      # open elements: name, side, start, why, words before
+    side = links = main = firm = words = 0     # firm: in sides that can't be spared
+    named: list[tuple[int, int]] = []          # start and words of each that can be
+    holding: set[int] = set()                  # those that hold marked content
+    shown = False                              # marked content in no side
     at, end = 0, len(page)
 
     def text(piece: str) -> None:
+        nonlocal words
         if piece:
+            if not firm:
+                words += len(piece.split())
             out.append(("hidden" if side else "link" if links else "word", piece, main > 0, False))
 
     def leave() -> str:
-        nonlocal side, links, main
-        name, own = stack.pop()
+        nonlocal side, links, main, firm
+        name, own, start, why, before = stack.pop()
         side -= own
+        firm -= why in ("kind", "talk")
+        if why == "name":
+            named.append((start, words - before))
         links -= name == "a"
         main -= name in ("article", "main")
         return name
@@ -124,7 +157,7 @@ def tokens(page: str, forms: bool = True) -> list[tuple[str, str, bool, bool]]:
         tag = m[2].lower()
         block = tag not in INLINE
         if m[1]:                                # a closing tag closes what is open inside it
-            if any(name == tag for name, _ in stack):
+            if any(x[0] == tag for x in stack):
                 while leave() != tag:
                     pass
             out.append(("hidden" if side else "tag", tag, main > 0, block))
@@ -134,20 +167,36 @@ def tokens(page: str, forms: bool = True) -> list[tuple[str, str, bool, bool]]:
                 leave()
         elif tag in CLOSED_BY_NEXT and stack and stack[-1][0] == tag:
             leave()
-        own = tag not in RAW and tag not in VOID and (forms or tag != "form") and _is_side(tag, m[3], main > 0)
+        why = "" if tag in RAW or tag in VOID or not forms and tag == "form" else _is_side(tag, m[3], main > 0)
+        if why in ("name", "talk") and (not names or m.start() in spared):
+            why = ""
+        own = why != ""
+        if tag in ("article", "main") and not own:
+            shown |= side == 0
+            for x in reversed(stack):
+                if x[3] in ("kind", "talk"):
+                    break
+                if x[3]:
+                    holding.add(x[2])
         out.append(("hidden" if side else "side" if own else "tag", tag, main > 0, block))
         if tag in RAW:
             if not m[3].endswith("/"):
                 close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = close.end() if close else end
         elif tag not in VOID:
-            stack.append((tag, own))
+            stack.append((tag, own, m.start(), why, words))
             side += own
+            firm += why in ("kind", "talk")
             links += tag == "a"
             main += tag in ("article", "main")
+    while stack:
+        leave()
+    if shown:                                  # teasers of other articles
+        holding.clear()
+    holding.update(start for start, n in named if 2 * n > words)
     marked = any(inside for kind, _, inside, _ in out if kind == "word")
     return [("out" if marked and kind == "word" and not inside else kind, t, inside, block)
-            for kind, t, inside, block in out]
+            for kind, t, inside, block in out], frozenset(holding)
 
 
 def weight(weights: dict[str, float], kind: str, text: str, inside: bool) -> float:
@@ -179,9 +228,17 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
-    seq = tokens(page)
-    if not any(kind in ("word", "link") and t.strip() for kind, t, _, _ in seq):
-        seq = tokens(page, forms=False)         # pages that are one large form
+    for names in (True, False):                 # without names only for what would be empty
+        seq = tokens(page, names=names)
+        if not any(kind in ("word", "link") and t.strip() for kind, t, _, _ in seq):
+            seq = tokens(page, forms=False, names=names)        # pages that are one large form
+        text = _region_text(seq, weights)
+        if text:
+            break
+    return text
+
+
+def _region_text(seq: list[tuple[str, str, bool, bool]], weights: dict[str, float]) -> str:
     lo, hi = best_region([weight(weights, k, t, inside) for k, t, inside, _ in seq])
     blocks, parts = [], []
     for kind, t, _, boundary in seq[lo:hi]:

@@ -166,6 +166,21 @@ def test_side_elements_inside_and_around():
         assert html_extract.main_text(plain, html_extract.PRIOR) == f"{want}\n\n{want}"
 
 
+@pytest.mark.parametrize("wrap", ['class="content-sidebar-wrap"', 'class="has-sidebar"', 'class="page no-sidebar"',
+                                  'id="page-header-wrap"', 'class="widget-content"', 'class="widget"'])
+def test_wrappers_with_side_names(wrap):
+    body = "<p>" + "real words of the article " * 6 + "</p>"
+    want = ("real words of the article " * 6).strip()
+    talk = '<div class="comments">' + "<p>I think that too</p>" * 40 + "</div>"
+    aside = '<div class="sidebar"><p>Some other words</p></div>'
+    for own in (f"<div>{body}</div>", f"<article>{body}</article>", f'<article class="post no-sidebar">{body}</article>'):
+        page = f"<html><body><header>Site</header><div {wrap}>{own}{aside}</div>{talk}<footer>f</footer></body></html>"
+        assert html_extract.main_text(page, html_extract.PRIOR) == want
+    assert html_extract.main_text(f'<body><div class="comments">{body}</div></body>', html_extract.PRIOR) == want
+    teaser = '<div class="related"><article><p>Another page to read</p></article></div>'
+    assert html_extract.main_text(f"<body><article>{body}</article>{teaser}</body>", html_extract.PRIOR) == want
+
+
 def test_token_counts_against_all_segmentations():
     pieces = {"▁": -1, "▁a": -5, "a": -4, "b": -4, "ab": -6, "ba": -7, "bab": -9, "▁ab": -9}
     trie = token_counts.Trie(pieces)
