@@ -2,10 +2,12 @@
 
 Five transducers read a clause word by word: insult (a lexicon of words and
 word beginnings whose weights are learnt), threat (a will-like word, then a
-harm word), target (a person addressed or named), negation and reported
-speech. Composed, they give a clause one weight in one of five ways:
+harm word; "die" and "stab" are German words too and need an English will
+word, or "will" after an English pronoun), target (a person addressed or
+named), negation and reported speech. Composed, they give a clause one weight in one of five ways:
 plain, targeted, negated, reported, threat. A document's clause weights are
-summed per way, and a logistic model fitted on labelled documents turns the
+summed per way (threats beyond ``CLAUSES`` clauses in proportion to the
+length, as the labels need not tell of them), and a logistic model fitted on labelled documents turns the
 sums into a score; a way that the labels say nothing about keeps its prior
 (negation and reported speech weigh less).
 
@@ -43,11 +45,18 @@ PREFIXES = tuple(range(4, 11))          # bytes of word beginnings
 WAYS = ("plain", "targeted", "negated", "reported", "threat")
 
 # Closed word classes of the grammar.
-TARGET = "you your yours yourself u he she they them him her his their everyone people tu te toi vous du dich dir ihr sie usted ustedes tus"
+TARGET = "u her tu te toi vous du dich dir ihr sie usted ustedes tus"
+TARGET_ENGLISH = "you your yours yourself he she they them him his their everyone people"
 NEGATION = "not never no isnt arent wasnt dont doesnt nobody none neither nor without ne pas jamais nicht nie kein keine nunca jamas sin"
 REPORT = "said says say saying called calls calling quoted quote quotes wrote writes claimed claims alleged allegedly reported reports dit disait sagte sagt gesagt dijo dice"
-WILL = "will gonna ill going shall must should deserve deserves vais va werde wirst voy"
-HARM = "kill killed hurt beat destroy die stab shoot burn punch strangle tuer toten matar"
+WILL = "vais va werde wirst voy"
+WILL_ENGLISH = "gonna ill going shall must should deserve deserves"
+HARM = "kill killed hurt beat destroy shoot burn punch strangle tuer toten matar"
+HARM_ENGLISH = "die stab"               # other words in German
+#: Words from a will word to the harm, at most.
+WITHIN = 5
+#: A text of more clauses has its threats set against their number.
+CLAUSES = 10
 #: Clause ends.
 ENDS = b".!?;\n\r"
 
@@ -77,7 +86,7 @@ def _by_text(w: Words, f: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def distinct_texts(rows: DataFrame) -> DataFrame:
-    """Of labelled texts, one of each group of copies, so that words of a
+    """Of labelled texts, one of each label and group of copies, so that words of a
     copied text don't look common: texts that share their least or greatest
     shingle fingerprint count as copies."""
 
@@ -89,12 +98,12 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
             s = sequence_hashes(own, min(5, len(own))).view(np.int64) if len(own) else np.zeros(1, np.int64)
             low.append(int(s.min()))
             high.append(int(s.max()))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(low, pa.int64()), pa.array(high, pa.int64())],
-                                          ["doc_id", "low", "high"])
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(low, pa.int64()),
+                                           pa.array(high, pa.int64())], ["doc_id", "label", "low", "high"])
 
-    k = map_arrow(rows.select("doc_id", "text", "label"), keys, "doc_id long, low long, high long")
-    one = k.groupBy("low").agg(F.min(F.struct("doc_id", "high")).alias("r")).select("r.*")
-    ids = one.groupBy("high").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    k = map_arrow(rows.select("doc_id", "text", "label"), keys, "doc_id long, label int, low long, high long")
+    one = k.groupBy("label", "low").agg(F.min(F.struct("doc_id", "high")).alias("r")).select("label", "r.*")
+    ids = one.groupBy("label", "high").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     return rows.join(F.broadcast(ids), "doc_id", "left_semi")      # at most SAMPLE ids
 
 
@@ -147,14 +156,25 @@ class Transducer:
         return self.arcs.get((state, symbol)) or (self.default(state), 1.0)
 
 
-def _seen(symbol: str) -> Transducer:
-    """0 until the symbol has come, then 1."""
-    return Transducer({(0, symbol): (1, 1.0)}, lambda s: s)
+def _seen(symbols: str) -> Transducer:
+    """0 until one of the symbols has come, then 1."""
+    return Transducer({(0, x): (1, 1.0) for x in symbols}, lambda s: s)
 
 
-def _within(symbol: str, words: int) -> Transducer:
-    """Positive for so many words after the symbol."""
-    return Transducer({(s, symbol): (words + 1, 1.0) for s in range(words + 2)}, lambda s: max(0, s - 1))
+def _within(symbols: str, words: int) -> Transducer:
+    """Positive for so many words after one of the symbols."""
+    return Transducer({(s, x): (words + 1, 1.0) for s in range(words + 2) for x in symbols}, lambda s: max(0, s - 1))
+
+
+def _english(words: int) -> Transducer:
+    """The state modulo ``words + 2`` is positive for so many words after an
+    English will word, or "will" with an English pronoun before it; from
+    ``words + 2`` on such a pronoun has come."""
+    top = words + 2
+    arcs = {(s, "V"): (s // top * top + words + 1, 1.0) for s in range(2 * top)}
+    arcs |= {(s, "L"): (top + words + 1, 1.0) for s in range(top, 2 * top)}
+    arcs |= {(s, "P"): (top + max(0, s % top - 1), 1.0) for s in range(2 * top)}
+    return Transducer(arcs, lambda s: s // top * top + max(0, s % top - 1))
 
 
 class Grammar:
@@ -163,19 +183,20 @@ class Grammar:
     or harm, a weight in the way that their joint state says."""
 
     def __init__(self) -> None:
-        self.parts = (_within("N", 3), _seen("R"), _seen("T"), _within("W", 5))
+        self.parts = (_within("N", 3), _seen("R"), _seen("TP"), _within("WVL", WITHIN), _english(WITHIN))
         self.words: dict[bytes, str] = {}
-        for symbol, words in (("T", TARGET), ("N", NEGATION), ("R", REPORT), ("W", WILL), ("H", HARM)):
+        for symbol, words in (("T", TARGET), ("P", TARGET_ENGLISH), ("N", NEGATION), ("R", REPORT), ("W", WILL),
+                              ("V", WILL_ENGLISH), ("L", "will"), ("H", HARM), ("D", HARM_ENGLISH)):
             for x in words.split():
                 self.words.setdefault(x.encode(), symbol)
 
     def run(self, symbols: list[tuple[str, float]]) -> list[tuple[int, float]]:
-        state, marks, target = [0, 0, 0, 0], [], False
+        state, marks, target = [0] * len(self.parts), [], False
         for symbol, weight in symbols:
             if symbol == "I":
                 marks.append((symbol, weight, state[0], state[1]))
-            elif symbol == "H" and state[3]:
-                marks.append((symbol, 3.0, state[0], state[1]))
+            elif symbol == "H" and state[3] or symbol == "D" and state[4] % (WITHIN + 2):
+                marks.append(("H", 3.0, state[0], state[1]))
             state = [p.step(s, symbol)[0] for p, s in zip(self.parts, state)]
         target = state[2] > 0
         out = []
@@ -194,7 +215,7 @@ class Scorer:
         self.keys = self.keys[order]
         self.weights = np.array([lexicon[int(k)] for k in self.keys.view(np.int64)])
         self.grammar = Grammar()
-        harm = Words(pa.array([HARM]), ALNUM).hashes()
+        harm = Words(pa.array([f"{HARM} {HARM_ENGLISH}"]), ALNUM).hashes()
         self.harm = np.sort(harm)
 
     def clauses(self, w: Words, raw: np.ndarray) -> np.ndarray:
@@ -235,10 +256,14 @@ class Scorer:
             t = int(np.searchsorted(w.first, a, "right")) - 1
             symbols = [("I", float(weight[k])) if weight[k] > 0 else (self.grammar.words.get(w.word(k), ""), 0.0)
                        for k in range(a, z)]
-            for way, x in self.grammar.run(symbols):
+            marks = self.grammar.run(symbols)
+            for way, x in marks:
                 sums[t, way] += x
                 out[t, len(WAYS)] += 1
-            out[t, len(WAYS) + 1] += 1
+            out[t, len(WAYS) + 1] += bool(marks)
+        first = np.flatnonzero(np.diff(clause, prepend=-1))
+        held = np.bincount(np.searchsorted(w.first, first, "right") - 1, minlength=rows)[:rows]
+        sums[:, WAYS.index("threat")] /= np.maximum(1, held / CLAUSES)
         out[:, :len(WAYS)] = np.log1p(sums)
         out[:, len(WAYS):len(WAYS) + 2] = np.log1p(out[:, len(WAYS):len(WAYS) + 2])
         return out

@@ -114,6 +114,25 @@ def test_grammar_scores_clauses():
     assert p[0] > 0.5 > p[1]
 
 
+def test_clean_long_german_texts_are_no_threats():
+    noun = ("Tür", "Stadt", "Frage", "Reise", "Schule", "Arbeit", "Zeitung", "Karte")
+    text = " ".join(f"Er will die {n} sehen. Ich werde die {n} morgen holen. Du wirst den Stab der {n} finden." for n in noun)
+    scorer, way = toxicity.Scorer({}), toxicity.WAYS.index("threat")
+    long = "I will kill time. " + "The weather is fine today. " * 200
+    x = scorer.features(toxicity.pa.array([text, "You will die. He should die soon.", "They will stab you.",
+                                           "I will kill you. " * 8, long, "We met the beat of a drum."]))
+    assert x[0, :-1].tolist() == [0] * (x.shape[1] - 1)
+    assert (x[1:4, way] > 1).all() and x[4, way] < 0.2
+    assert not x[5, :-1].any()                      # a harm word alone is no mark
+    assert toxicity.sigmoid(x @ toxicity.PRIOR[:-1] + toxicity.PRIOR[-1]).round().tolist()[0::3] == [0, 1]
+
+
+def test_copies_of_both_labels_are_learnt_from(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = spark.createDataFrame([(1, text, 0), (2, text, 0), (3, text, 1)], "doc_id long, text string, label int")
+    assert sorted(r["doc_id"] for r in toxicity.distinct_texts(rows).collect()) == [1, 3]
+
+
 @pytest.mark.parametrize("module, label, least", [(toxicity, "toxic", 0.97), (quality, "quality", 0.98)])
 def test_held_out_accuracy(spark, module, label, least):
     sf = "/root/testdata/sf0.1"
