@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from faresight.llm import decontaminate, embeddings, html_extract, licenses, minhash, mixing, quality, token_counts, toxicity, warc
+from faresight.llm import (decontaminate, divergence, embeddings, html_extract, licenses, minhash, mixing, quality, resampling,
+                           token_counts, token_ids, toxicity, warc)
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_embeddings": embeddings.op9_embeddings,
     "op10_quality": quality.op10_quality,
+    "op11_resampling": resampling.op11_resampling,
+    "op12_divergence": divergence.op12_divergence,
+    "op13_token_ids": token_ids.op13_token_ids,
 }
 
 
@@ -31,4 +35,6 @@ ORACLES = {
     "op4_near_duplicates": _sql(minhash.SQL),
     "op5_warc": _sql(warc.SQL),
     "op9_embeddings": _sql(embeddings.SQL),
+    "op11_resampling": _sql(resampling.SQL),
+    "op12_divergence": _sql(divergence.SQL),
 }
