@@ -118,4 +118,5 @@ def distinct_words(words: Words) -> tuple[list[bytes], np.ndarray]:
     used = np.flatnonzero(owner >= 0)
     number = np.zeros(len(owner), np.int64)
     number[used] = np.arange(len(used))
-    return [words.word(i) for i in owner[used].tolist()], number[slot]
+    first, raw = owner[used], words.low.tobytes()
+    return [raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist())], number[slot]

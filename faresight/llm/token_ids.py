@@ -19,14 +19,16 @@ Documents are tokenized where they are read. Words between white space are
 tokenized apart, each distinct word of a task once: the tokenizer's
 normalization and pre-tokens never reach across white space, so the ids are
 those of the whole text (the tests compare). Only ids are shuffled, by
-ranges of the document id; a range is a task, which appends to files that
-roll at ``SHARD_IDS``. Files are written under a name of the task attempt;
+ranges of the document id that hold equal amounts of text; a range is a
+task, which appends to files that roll at ``SHARD_IDS``: the same documents
+give the same files whatever the partitioning. Files are written under a name of the task attempt;
 those that Spark commits get their final names, and the manifest, written
 last, says which files belong to the set and how many ids stand before each.
 
 Defined results: a null or empty text has no ids but the end id; null ids
 come last; documents with the same id stand next to each other in an order
-fixed by their ids' hash; repeated rows are written each; a very long text
+fixed by their text's hash; repeated rows are written each (rows that agree in
+id and text fall into one range, whose task streams them); a very long text
 is one document of any length (a shard rolls behind it); an empty table
 gives a set without files. Only the named columns are read.
 """
@@ -38,6 +40,7 @@ import json
 import math
 import os
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import chain
 
@@ -54,8 +57,11 @@ from faresight.llm.words import Words
 VOCABULARY = "word_bpe_49k.json"      # of the installed public vocabularies
 END_ID = 1
 SHARD_IDS = 1 << 25       # ids at which a file is closed
+RANGE_BYTES = 64 << 20    # text of a range of documents, at least
+RANGES = 1 << 14          # at most: where the text is more, ranges are larger
 MAGIC = b"EFTOKEN1"
-HELD_IDS = 1 << 21        # ids of words that a task keeps
+HELD_IDS = 1 << 22        # ids of words that a task keeps
+JOINED = 64               # words tokenized together
 DOCS = 4096               # documents read at a time
 _BLOCK = 512              # bits of each entry of a select directory
 
@@ -133,6 +139,30 @@ class Encoder:
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _tokenize(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, how many of each word): ``JOINED`` words at a time with
+        spaces between, and each id given to the word that holds its place."""
+        ids, size = [], np.zeros(len(words), np.int64)
+        parts = [words[a:a + JOINED] for a in range(0, len(words), JOINED)]
+        got = self.tokenizer.encode_batch([" ".join(part) for part in parts], add_special_tokens=False)
+        for k, (part, e) in enumerate(zip(parts, got)):
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            own = e.ids
+            at = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(own))[::2]
+            size[k * JOINED:k * JOINED + len(part)] = np.bincount(np.searchsorted(ends, at, "right"), minlength=len(part))
+            ids.append(own)
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+        upto = self.used + np.cumsum(size)
+        self.known.update(zip(words, range(len(self.size), len(self.size) + len(words))))
+        self.begin = np.concatenate([self.begin, upto - size])
+        self.size = np.concatenate([self.size, size])
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, how many of each text)."""
         words = Words(texts, _CASED)
@@ -141,17 +171,7 @@ class Encoder:
             self.forget()
         new = [w for w in names if w not in self.known]
         if new:
-            got = self.tokenizer.encode_batch_fast([w.replace(b"\xff", b"\0").decode() for w in new], add_special_tokens=False)
-            ids = [e.ids for e in got]
-            size = np.array([len(x) for x in ids], np.int64)
-            self.known.update(zip(new, range(len(self.size), len(self.size) + len(new))))
-            upto = self.used + np.cumsum(size)
-            self.begin = np.concatenate([self.begin, upto - size])
-            self.size = np.concatenate([self.size, size])
-            while upto[-1] > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.used:upto[-1]] = list(chain.from_iterable(ids))
-            self.used = int(upto[-1])
+            self._keep(new, *self._tokenize([w.replace(b"\xff", b"\0").decode() for w in new]))
         word = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[number]
         size = self.size[word]
         upto = np.concatenate([[0], np.cumsum(size)])
@@ -167,27 +187,56 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
-    """(doc_id, n_tokens, ids): ids of each document, the end id last, packed
-    little-endian in ``id_bytes`` of the vocabulary. The driver reads the
-    vocabulary file (a few MB) and hands it to the executors."""
+def range_starts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", range_bytes: int | None = None
+                 ) -> list[tuple[bool, int | None, int]]:
+    """Where each range of documents after the first starts, in the order
+    (null ids last, id, hash of the text): ranges of ``range_bytes`` of text, by
+    exact running sums, at most ``RANGES`` of them."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    order = [F.col("doc_id").isNull(), "doc_id", "hash"]
+    sizes = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("hash"),
+                        (F.octet_length(body) + F.lit(1).cast("long")).alias("bytes"))
+    placed = materialize(sizes.groupBy("doc_id", "hash").agg(F.sum("bytes").alias("bytes")).orderBy(*order)
+                         .withColumn("part", F.spark_partition_id()), "token_sizes")
+    before = placed.groupBy("part").agg(F.sum("bytes").alias("size"))
+    before = before.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("base"))
+    total = placed.agg(F.sum("bytes")).first()[0] or 0
+    step = max(range_bytes or RANGE_BYTES, math.ceil(total / RANGES))
+    upto = Window.partitionBy("part").orderBy(*order)
+    at = (placed.join(F.broadcast(before), "part")          # one row a partition
+          .withColumn("range", F.floor((F.col("base") + F.sum("bytes").over(upto) - F.col("bytes")) / step)))
+    starts = at.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("s"))
+    return [tuple(r["s"]) for r in starts.orderBy("range").collect()][1:]
+
+
+def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID,
+           starts: list | None = None) -> DataFrame:
+    """(range, doc_id, hash, n_tokens, ids): ids of each document, the end id
+    last, packed little-endian in ``id_bytes`` of the vocabulary, and the range
+    of ``starts`` it falls into. The driver reads the vocabulary file (a few
+    MB) and hands it to the executors."""
     with open(vocabulary, encoding="utf-8") as f:
         model = f.read()
     width = id_bytes(model, end_id)
-    held, name = docs.sparkSession.sparkContext.broadcast(model), hashlib.sha256(model.encode()).hexdigest()
+    held, name = docs.sparkSession.sparkContext.broadcast((model, starts or [])), hashlib.sha256(model.encode()).hexdigest()
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        model, starts = held.value
         if name not in _ENCODERS:
             _ENCODERS.clear()
-            _ENCODERS[name] = Encoder(held.value)
-        ids, size = _ENCODERS[name](b.column(1))
+            _ENCODERS[name] = Encoder(model)
+        ids, size = _ENCODERS[name](b.column(2))
         all_ids = np.insert(ids, np.cumsum(size), end_id).astype(f"<u{width}")
         cuts = np.concatenate([[0], np.cumsum(size + 1)])
         packed = pa.Array.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(cuts * width), pa.py_buffer(all_ids)])
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(size + 1), packed.cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
+        place = [bisect_right(starts, (k is None, k or 0, h), key=lambda s: (s[0], s[1] or 0, s[2]))
+                 for k, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        return pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), b.column(0), b.column(1), pa.array(size + 1),
+                                           packed.cast(pa.binary())], ["range", "doc_id", "hash", "n_tokens", "ids"])
 
-    return map_arrow(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run,
-                     "doc_id long, n_tokens long, ids binary")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"),
+                       F.col(text).alias("text"))
+    return map_arrow(rows, run, "range int, doc_id long, hash long, n_tokens long, ids binary")
 
 
 def id_bytes(model: str, end_id: int = END_ID) -> int:
@@ -253,7 +302,7 @@ class Shard:
 
 
 def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, doc_id: str = "doc_id", text: str = "text",
-                 end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
+                 end_id: int = END_ID, shard_ids: int = SHARD_IDS, range_bytes: int | None = None) -> DataFrame:
     """Tokenize ``docs`` and write them below ``folder`` (a URI that all
     executors reach); returns the manifest: number, name, docs, ids, bytes,
     base (ids before the file)."""
@@ -261,14 +310,9 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, do
     vocabulary = vocabulary or vocabulary_path()
     with open(vocabulary, encoding="utf-8") as f:
         width = id_bytes(f.read(), end_id)
-    rows = materialize(encode(docs, vocabulary, doc_id, text, end_id), "token_ids")
-    total = rows.agg(F.sum("n_tokens")).first()[0] or 0
-    # The place in the written table parts rows that repeat, so a frequent id is no single range.
-    order = [F.asc_nulls_last("doc_id"), F.asc("hash"), F.asc("row")]
-    rows = rows.select("doc_id", F.xxhash64("ids").alias("hash"), F.xxhash64(F.col("_metadata.file_name"),
-                       F.col("_metadata.row_index")).alias("row"), "ids")
-    ranged = (rows.repartitionByRange(max(1, math.ceil(total / shard_ids)), *order).sortWithinPartitions(*order)
-              .select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "ids"))
+    starts = range_starts(docs, doc_id, text, range_bytes)
+    ranged = (encode(docs, vocabulary, doc_id, text, end_id, starts).repartitionById(len(starts) + 1, F.col("range"))
+              .sortWithinPartitions(F.col("doc_id").isNull(), "doc_id", "hash").select(F.col("range").cast("long"), "doc_id", "ids"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)

@@ -80,10 +80,10 @@ def test_smoke_table(spark, tokenizer):
     assert sorted(tuple(r) for r in got) == sorted(expected(tokenizer, rows))
 
 
-@pytest.mark.parametrize("shard_ids", [1, 50, 1 << 25])
-def test_odd_rows(spark, tokenizer, odd_docs, no_docs, tmp_path, shard_ids):
+@pytest.mark.parametrize("shard_ids, range_bytes", [(1, 1), (50, 700), (1 << 25, None)])
+def test_odd_rows(spark, tokenizer, odd_docs, no_docs, tmp_path, shard_ids, range_bytes):
     folder = str(tmp_path / "t")
-    manifest = token_ids.write_shards(odd_docs, folder, shard_ids=shard_ids).orderBy("number").collect()
+    manifest = token_ids.write_shards(odd_docs, folder, shard_ids=shard_ids, range_bytes=range_bytes).orderBy("number").collect()
     got, want = read(spark, folder), expected(tokenizer, [(r[0], r[1]) for r in odd_texts()])
     assert [r[0] for r in got] == [r[0] for r in want]
     assert sorted((r[0], r[2], r[3]) for r in got if r[0] is not None) == sorted((r[0], r[2], r[3]) for r in want if r[0] is not None)
@@ -98,7 +98,7 @@ def test_odd_rows(spark, tokenizer, odd_docs, no_docs, tmp_path, shard_ids):
 
 def test_hot_id_is_split(spark, tmp_path):
     docs = spark.createDataFrame([(7, "same text here")] * 300 + [(i, "x") for i in range(-5, 5)], "doc_id long, text string")
-    manifest = token_ids.write_shards(docs.repartition(6), str(tmp_path / "t"), shard_ids=100).collect()
+    manifest = token_ids.write_shards(docs.repartition(6), str(tmp_path / "t"), shard_ids=100, range_bytes=40).collect()
     assert len(manifest) > 5 and max(m["ids"] for m in manifest) < 110
     got = read(spark, str(tmp_path / "t"))
     assert [r[0] for r in got] == [*range(-5, 5), *[7] * 300] and [r[1] for r in got[:11]] == list(range(0, 22, 2))
@@ -113,3 +113,11 @@ def test_one_document_of_a_shard(spark, tmp_path, tokenizer):
         ids, _ = shard.documents(123, 124)
         assert ids.dtype == np.uint16 and shard.doc_ids(123, 124) == [123]
         assert ids.tolist() == tokenizer.encode(docs[123][1], add_special_tokens=False).ids + [1]
+
+
+def test_same_files_whatever_the_partitioning(spark, tmp_path):
+    docs = spark.createDataFrame([(i % 60, f"text number {i} " * (i % 5)) for i in range(100)], "doc_id long, text string")
+    for name, n in (("a", 2), ("b", 7)):
+        token_ids.write_shards(docs.repartition(n), str(tmp_path / name), shard_ids=90, range_bytes=300)
+    files = [{p.name: p.read_bytes() for p in (tmp_path / name).glob("*.bin")} for name in "ab"]
+    assert len(files[0]) > 5 and files[0] == files[1]
