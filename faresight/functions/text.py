@@ -16,23 +16,23 @@ __all__ = [
 
 # --- fixed values (must equal the reference's extraction rules) -----------
 FLIGHT_NUMBER_RE = r"(VJ\d+)"
-TIME_PAIR_RE = r"(?U)(\d{2}:\d{2})\s*-\s*(\d{2}:\d{2})"
+TIME_PAIR_RE = r"(?U)([0-9]{2}:[0-9]{2})\s*-\s*([0-9]{2}:[0-9]{2})"
 FARE_CLASS_RE = r"(?i)(Skyboss|Business|Deluxe|Eco)"
 TOTAL_LABEL = "Tổng tiền"
 TRIP_LABEL = "Chuyến đi"
 AIRCRAFT_RE = r"(?i)^(Airbus|Boeing)"
 PANEL_FLIGHT_RE = r"^VJ\d{3,4}$"
 DIRECT_MARKER = "Bay thẳng"
-GENERIC_PRICE_CURRENCY_RE = r"(?iU)([\d,]+\s*(?:VND|₫|VNĐ))"
+GENERIC_PRICE_CURRENCY_RE = r"(?iU)([0-9,]+\s*(?:VND|₫|VNĐ))"
 GENERIC_PRICE_NUMBER_RE = r"([\d,]+)"
 GENERIC_TIME_RE = r"\d{2}:\d{2}"
-GENERIC_DURATION_RE = r"(?iU)(\d+h\s*\d*m?)"
+GENERIC_DURATION_RE = r"(?iU)([0-9]+h\s*[0-9]*m?)"
 MONTH_HEADER_RE = r"tháng\s+(\d+)\s+(\d+)"
 SEARCH_URL = "https://baydep.vn/flights/%s%s%s/%s/%s/%s?nearby-airport=yes"
 # ---------------------------------------------------------------------------
 
 # Amount text right after a label: digits with separators, optional currency.
-_AMOUNT = r"(?U)\s*([\d][\d,.]*\s*(?:VND|₫)?)"
+_AMOUNT = r"(?U)\s*([0-9][0-9,.]*\s*(?:VND|₫)?)"
 
 
 def _c(x) -> Column:

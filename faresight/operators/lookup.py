@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faresight.operators.joins import BROADCAST_BYTE_LIMIT, ROW_BYTES, lookup_join
+from faresight.operators.joins import BROADCAST_BYTE_LIMIT, ROW_BYTES, checked_small, lookup_join
 from faresight.operators.stats import route_counts
 from faresight.session import materialize_counted
 
@@ -148,25 +146,56 @@ def airport_mention(texts: DataFrame, airports: DataFrame,
     """Per airport: how many texts name it by code, city or airport name
     (substring), and the first such text by position (D6).
 
-    The airport list is a dimension (a file of codes): its rows become
-    blocks of literals, and each text keeps the codes that it names, so
-    texts are neither joined nor shuffled. Each block is one pass.
+    Up to ``NAMES_AT_ONCE`` names are broadcast and every text is tested for each.
+    More names are joined through a gram index: each is filed under the one
+    of its runs of ``GRAM`` characters that the fewest texts hold, texts are
+    joined on their distinct runs, and only those pairs are tested, so the
+    cost follows the matches and not texts times names. A name shorter than
+    that is its own key. The test and its result are the same either way.
     """
-    rows = [r for r in airports.select("code", "city", "airport_name").toLocalIterator()]
-    hits = None
-    for at in range(0, max(1, len(rows)), AIRPORT_BLOCK):
-        block = rows[at:at + AIRPORT_BLOCK]
-        named = F.array(*[F.when(_named(text, r), F.lit(r["code"])) for r in block] or [F.lit(None).cast("string")])
-        part = texts.select(F.explode(F.array_compact(named)).alias("code"), F.col(pos))
-        hits = part if hits is None else hits.unionByName(part)
-    return hits.groupBy("code").agg(F.count(F.lit(1)).alias("n_texts"),
-                                    F.min(pos).alias("first_" + pos))
-
-
-# Airports tested in one pass over the texts.
-AIRPORT_BLOCK = 500
-
-
-def _named(text: str, r) -> F.Column:
-    tests = [F.contains(F.col(text), F.lit(v)) for v in (r["code"], r["city"], r["airport_name"]) if v is not None]
-    return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
+    names, n = materialize_counted(airports.select("code", F.explode(F.array("code", "city", "airport_name")).alias("name"))
+                                   .where("name IS NOT NULL").distinct(), "airport_names")
+    rows = texts.select(pos, text).where(F.col(text).isNotNull())
+    found = F.contains(F.col(text), F.col("name"))
+    if n <= NAMES_AT_ONCE:
+        pairs = rows.join(F.broadcast(names), found)
+    else:
+        filed, small = checked_small(_file_names(rows, names, text))
+        held = _with_grams(rows, names, text)
+        pairs = held.join(F.broadcast(filed) if small else filed, "gram").where(found).select("code", pos).unionByName(
+            rows.join(names.where("name = ''").select("code"), F.lit(True), "cross").select("code", pos))
+    # A text with several names of an airport counts once.
+    once = pairs.groupBy("code", pos).agg(F.lit(1).alias("one"))
+    return once.groupBy("code").agg(F.count(F.lit(1)).alias("n_texts"), F.min(pos).alias("first_" + pos))
+
+
+NAMES_AT_ONCE = 256
+GRAM = 3                  # characters
+
+
+def _grams(c: str, n: int) -> F.Column:
+    """The distinct runs of n characters."""
+    return F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
+def _with_grams(rows: DataFrame, names: DataFrame, text: str) -> DataFrame:
+    """``rows`` once for each distinct run of theirs; runs shorter than
+    ``GRAM`` only where names are that short."""
+    short = [r["n"] for r in names.select(F.length("name").alias("n")).where(f"n > 0 AND n < {GRAM}").distinct().collect()]
+    every = F.concat(*[_grams(text, n) for n in (*short, GRAM)])
+    return rows.withColumn("__grams", every).select(*rows.columns, F.explode("__grams").alias("gram"))
+
+
+def _file_names(rows: DataFrame, names: DataFrame, text: str) -> DataFrame:
+    """(code, name, gram): each name under its run that the fewest texts
+    hold; names none of whose runs is in any text are left out."""
+    whole = F.length("name") < GRAM
+    keys = names.where("name <> ''").select("code", "name", F.explode(
+        F.when(whole, F.array("name")).otherwise(_grams("name", GRAM))).alias("gram"))
+    keys, small = checked_small(keys)
+    wanted = keys.select("gram").distinct()
+    counts = (_with_grams(rows, names, text).select("gram").join(F.broadcast(wanted) if small else wanted, "gram", "left_semi")
+              .groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+    runs = F.when(whole, F.lit(1)).otherwise(F.size(_grams("name", GRAM)))
+    best = keys.join(counts, "gram").groupBy("code", "name").agg(F.min(F.struct("n", "gram")).alias("k"), F.count(F.lit(1)).alias("seen"))
+    return best.where(F.col("seen") == runs).select("code", "name", F.col("k.gram").alias("gram"))

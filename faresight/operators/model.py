@@ -73,12 +73,14 @@ MODEL_ORDER = ["Random Forest", "Gradient Boosting", "Decision Tree"]
 # Speed settings only (they do not change the fitted model): deep trees
 # keep each row's node id cached instead of re-walking the tree per level,
 # with the cache checkpointed to the shared folder every 10 iterations.
-TREE_SPEED = dict(cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024)
+TREE_SPEED = dict(cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=256)
 
 
 def make_estimator(kind: str, **overrides):
     """Random forest (I3), gradient boosting (I4) or one tree."""
-    overrides = {"maxBins": MAX_BINS, **TREE_SPEED, **overrides}
+    # Boosted trees are shallow: walking them again costs less than the cache.
+    cache = {"cacheNodeIds": kind != "Gradient Boosting"}
+    overrides = {"maxBins": MAX_BINS, **TREE_SPEED, **cache, **overrides}
     from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor,
                                        RandomForestRegressor)
     if kind == "Random Forest":
@@ -90,6 +92,23 @@ def make_estimator(kind: str, **overrides):
     raise ValueError(kind)
 
 
+#: Trees of a forest that are fitted together (see ``forest_parts``).
+FOREST_PART = 20
+
+
+def forest_parts(train: DataFrame, part: int = FOREST_PART, **overrides):
+    """The random forest (I3) as (first tree's number, model) of ``part``
+    trees each, fitted one after the other with seeds of their own. A
+    forest's trees are independent, so the parts together are the forest, and
+    the driver holds the nodes of one part at a time: 200 trees of depth 20
+    are more than a small heap takes (``operators.trees`` joins the parts)."""
+    trees = overrides.pop("numTrees", RF_PARAMS["numTrees"])
+    seed = overrides.pop("seed", RF_PARAMS["seed"])
+    for first in range(0, trees, part):
+        est = make_estimator("Random Forest", numTrees=min(part, trees - first), seed=seed + first, **overrides)
+        yield first, est.fit(train)
+
+
 def regression_metrics(pred: DataFrame, label: str = "label",
                        prediction: str = "prediction") -> DataFrame:
     """MAE, RMSE, R² in one aggregate."""
@@ -186,20 +205,101 @@ def top_importances(importances: DataFrame, k: int = 10) -> DataFrame:
     return importances.orderBy(F.desc("importance"), F.asc("feature")).limit(k)
 
 
-def batch_predict(model, rows_features: DataFrame, price_stats: DataFrame | None,
-                  features=FEATURE_COLUMNS) -> DataFrame:
-    """Score prepared prediction rows, then clip by training price stats
-    (I8 + G20). ``rows_features`` comes from ``prediction_features``."""
+def score_by_model(model, features=FEATURE_COLUMNS):
+    """Scorer (rows -> rows with ``raw_prediction``) of a fitted model."""
     from pyspark.ml.feature import VectorAssembler
+
+    def scorer(rows: DataFrame) -> DataFrame:
+        present = [c for c in features if c in rows.columns]
+        x = rows.withColumns({c: F.col(c).cast("double") for c in present})
+        x = VectorAssembler(inputCols=present, outputCol="features").transform(x)
+        return model.transform(x).withColumnRenamed("prediction", "raw_prediction")
+    return scorer
+
+
+def score_by_nodes(nodes: DataFrame, trees: int, depth: int, key: str, features=FEATURE_COLUMNS, boosted: bool = False):
+    """Scorer of a node table (``operators.trees``). ``key`` names a column
+    that tells rows apart."""
+    from faresight.operators import trees as tr
+
+    def scorer(rows: DataFrame) -> DataFrame:
+        rows = materialize(rows, "score_rows")          # read twice: to walk, and to join the scores back
+        x = rows.select(key, F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
+        got = tr.score(tr.walk(x, nodes, trees, depth), key, boosted)
+        return rows.join(got.withColumnRenamed("prediction", "raw_prediction"), key)
+    return scorer
+
+
+def route_means(train: DataFrame, keys=("departure_airport", "arrival_airport"), label: str = "price") -> DataFrame:
+    """Stored statistics of the baseline: the mean label of each route, and
+    in a row with ``overall`` set that of all rows."""
+    y = F.col(label).cast("double")
+    got = train.groupingSets([list(keys), []], *keys).agg(
+        F.avg(y).alias("mean"), F.count(y).alias("n"), (F.grouping_id() > 0).alias("overall"))
+    return got.where("overall OR n > 0").drop("n")
+
+
+def score_by_means(means: DataFrame, keys=("departure_airport", "arrival_airport")):
+    """Scorer of ``route_means``: the route's mean; where the route is
+    unknown or a key is missing, that of all rows."""
+    from faresight.operators.joins import cross_one_row, lookup_join
+
+    def scorer(rows: DataFrame) -> DataFrame:
+        overall = means.where("overall").agg(F.max("mean").alias("__all"))
+        own = means.where("NOT overall").select(*keys, F.col("mean").alias("__own"))
+        out = cross_one_row(lookup_join(rows, own, list(keys)), overall)
+        return out.withColumn("raw_prediction", F.coalesce("__own", "__all")).drop("__own", "__all")
+    return scorer
+
+
+def predict(scorer, rows: DataFrame, price_stats: DataFrame | None) -> DataFrame:
+    """Score rows by any scorer, then clip by the training price stats
+    (I8 + G20); without them nothing is clipped."""
     from faresight.functions.text import clip_price
     from faresight.operators.joins import cross_one_row
-    present = [c for c in features if c in rows_features.columns]
-    x = rows_features.withColumns({c: F.col(c).cast("double") for c in present})
-    x = VectorAssembler(inputCols=present, outputCol="features").transform(x)
-    out = model.transform(x).withColumnRenamed("prediction", "raw_prediction")
+    out = scorer(rows)
     if price_stats is None:
         return out.withColumn("prediction", F.col("raw_prediction"))
     s = price_stats.agg(F.min("min").alias("__mn"), F.max("max").alias("__mx"))      # one row, whatever is stored
     out = cross_one_row(out, s)
     return (out.withColumn("prediction", clip_price("raw_prediction", "__mn", "__mx"))
             .drop("__mn", "__mx"))
+
+
+def batch_predict(model, rows_features: DataFrame, price_stats: DataFrame | None,
+                  features=FEATURE_COLUMNS) -> DataFrame:
+    """Score prepared prediction rows with a fitted model and clip
+    (I8 + G20). ``rows_features`` comes from ``prediction_features``."""
+    return predict(score_by_model(model, features), rows_features, price_stats)
+
+
+def out_of_fold_means(train: DataFrame, keys=("departure_airport", "arrival_airport"), fold: str = "fold",
+                      label: str = "price") -> DataFrame:
+    """``train`` with ``prediction``: the mean label of the row's route over
+    the other folds, from the route's sums less the fold's own (I6); where the
+    other folds lack the route, the mean of all their rows. One aggregation
+    by route and fold serves every fold; the rest works on its table."""
+    from pyspark.sql import Window
+
+    from faresight.operators.joins import lookup_join
+    y, own_keys = F.col(label).cast("double"), [f"__{k}" for k in keys]
+    held = train.withColumns({f"__{k}": F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys})      # a missing key: no route
+    own = materialize(held.groupBy(*own_keys, fold).agg(F.count(y).alias("n"), F.sum(y).alias("s")), "fold_sums")
+    by_fold = own.groupBy(fold).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    every = by_fold.agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
+    rest = by_fold.crossJoin(F.broadcast(every)).select(                                  # one row a fold
+        fold, ((F.col("all_s") - F.col("s")) / F.nullif(F.col("all_n") - F.col("n"), F.lit(0))).alias("__rest"))
+    route = Window.partitionBy(*own_keys)                                                 # a route's folds
+    others = F.nullif(F.sum("n").over(route) - F.col("n"), F.lit(0))
+    means = own.select(*own_keys, fold, ((F.sum("s").over(route) - F.col("s")) / others).alias("__mean"))
+    out = lookup_join(held, means, [*own_keys, fold]).join(F.broadcast(rest), fold)
+    return out.withColumn("prediction", F.coalesce("__mean", "__rest")).drop("__mean", "__rest", *own_keys)
+
+
+def fold_errors(scored: DataFrame, fold: str = "fold", label: str = "price") -> DataFrame:
+    """(fold, rows, mae, mean, std): the error of each fold, their mean and
+    population std (I6)."""
+    from faresight.operators.joins import cross_one_row
+    per = scored.groupBy(fold).agg(F.count(F.lit(1)).alias("rows"),
+                                   F.avg(F.abs(F.col(label).cast("double") - F.col("prediction"))).alias("mae"))
+    return cross_one_row(per, per.agg(F.avg("mae").alias("mean"), F.stddev_pop("mae").alias("std")))

@@ -45,13 +45,27 @@ def _blank(x) -> Column:
     return _c(x).isNull() | (strip(x) == "")
 
 
+# White space and numbers of JavaScript's Number() (fixed values of the language).
+_JS_SPACE = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_JS_DECIMAL = r"^[+-]?(?:Infinity|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)$"
+_JS_BASES = {16: r"^0[xX][0-9a-fA-F]+$", 8: r"^0[oO][0-7]+$", 2: r"^0[bB][01]+$"}
+_EXACT_DIGITS = {16: 15, 8: 20, 2: 63}         # of that base, in 63 bits
+
+
 def js_number(x) -> Column:
-    """JavaScript Number() of a text: NULL (null) -> 0, blank -> 0,
-    numeric text -> its value, anything else NaN (here NULL)."""
-    c = _c(x)
-    return (F.when(c.isNull(), F.lit(0.0))
-            .when(strip(c) == "", F.lit(0.0))
-            .otherwise(strip(c).try_cast("double")))
+    """JavaScript Number() of a text: NULL (null) and blank -> 0, a decimal,
+    ``Infinity`` or a 0x / 0o / 0b number -> its value, anything else NaN
+    (here NULL). Only texts of that grammar are cast: Spark's cast takes more
+    ('nan', '2d', 'inf')."""
+    c = F.btrim(_c(x), F.lit(_JS_SPACE))
+    out = F.when(c.isNull() | (c == ""), F.lit(0.0)).when(c.rlike(_JS_DECIMAL), c.try_cast("double"))
+    for base, grammar in _JS_BASES.items():
+        digits = F.substring(c, 3, 1 << 30)
+        long = F.aggregate(F.transform(F.split(digits, ""), lambda d: F.conv(d, base, 10).cast("double")),
+                           F.lit(0.0), lambda a, d: a * base + d)
+        value = F.when(F.length(c) <= _EXACT_DIGITS[base] + 2, F.conv(digits, base, 10).cast("double")).otherwise(long)
+        out = out.when(c.rlike(grammar), value)
+    return out
 
 
 def validate_airports(airports: DataFrame, index: str | None = None) -> DataFrame:
@@ -144,7 +158,9 @@ def validate_required_and_passengers(df: DataFrame, dep="departure_airport",
     """Endpoint checks, first failing rule wins (C3 + C4): required
     parameters, return date for round trips, then passenger counts as
     JavaScript numbers (non-integers pass, as in the reference)."""
-    a, c, i = js_number(adult), js_number(child), js_number(infant)
+    # each number once: the rule and its message both ask for them
+    df = df.withColumns({"__a": js_number(adult), "__c": js_number(child), "__i": js_number(infant)})
+    a, c, i = F.col("__a"), F.col("__c"), F.col("__i")
     trip_c = F.coalesce(_c(trip), F.lit("oneway"))
     rule = (F.when(~(_truthy_text(dep) & _truthy_text(arr) & _truthy_text(date)), "missing")
             .when((trip_c == "roundtrip") & ~_truthy_text(ret), "return")
@@ -157,22 +173,25 @@ def validate_required_and_passengers(df: DataFrame, dep="departure_airport",
            .when(rule == "adult", MSG_ADULT).when(rule == "child", MSG_CHILD)
            .when(rule == "infant", MSG_INFANT)
            .when(rule == "infant_exceeds_adult", MSG_INFANT_ADULT))
-    return df.withColumns({"rule": rule, "error": msg})
+    return df.withColumns({"rule": rule, "error": msg}).drop("__a", "__c", "__i")
 
 
 def json_request_rules(df: DataFrame, raw: str = "raw") -> DataFrame:
     """C3 + C4 on the raw JSON body of a request, where an absent key and an
     explicit null differ: an absent count is no number and fails, a null
-    counts as 0. Text that is no JSON object gets the rule 'malformed'."""
+    counts as 0, true as 1 and false as 0. Text that is no JSON object gets the rule 'malformed'."""
     keys = F.json_object_keys(F.col(raw))
 
     def value(k):
         return F.get_json_object(F.col(raw), f"$.{k}")
 
     def number(k):
-        return F.when(F.array_contains(keys, k), js_number(value(k)))
+        kind = F.expr(f"schema_of_variant(try_variant_get(try_parse_json({raw}), '$.{k}', 'variant'))")
+        own = F.when(kind == "BOOLEAN", (value(k) == "true").cast("double")).otherwise(js_number(value(k)))
+        return F.when(F.array_contains(keys, k), own)
 
-    a, c, i = number("adult"), number("child"), number("infant")
+    df = df.withColumns({"__a": number("adult"), "__c": number("child"), "__i": number("infant")})
+    a, c, i = F.col("__a"), F.col("__c"), F.col("__i")
     trip = F.when(F.array_contains(keys, "trip_type"), value("trip_type")).otherwise(F.lit("oneway"))
     need = _truthy_text(value("departure_airport")) & _truthy_text(value("arrival_airport")) & _truthy_text(
         value("departure_date"))
@@ -181,7 +200,7 @@ def json_request_rules(df: DataFrame, raw: str = "raw") -> DataFrame:
             .when((trip == "roundtrip") & ~_truthy_text(value("return_date")), "return")
             .when(a.isNull() | (a < 1), "adult").when(c.isNull() | (c < 0), "child")
             .when(i.isNull() | (i < 0), "infant").when(i > a, "infant_exceeds_adult").otherwise("ok"))
-    return df.withColumn("rule", rule)
+    return df.withColumn("rule", rule).drop("__a", "__c", "__i")
 
 
 def _codes(airports: DataFrame, upper: bool) -> DataFrame:

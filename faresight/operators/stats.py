@@ -4,49 +4,86 @@ key holding a third of the rows is combined map-side before it moves."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faresight.session import materialize
 
+ACCURACY = 10_000         # of the sketch that narrows the search for a rank
+AT_ONCE = 100_000         # distinct values that the driver ranks
+
+
 def exact_quantiles(df: DataFrame, col, probs: list[float]) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / ``quantile_cont``).
 
-    Values are counted per distinct value (partial aggregate) and dealt into
-    value ranges, written once to the shared folder. A value's rank interval
-    is its running count inside its range plus the counts of all lower
-    ranges, so no task holds all values. Returns one row, ``q{i}`` per
-    probability (NULL when there are no values).
+    Ranks are selected by narrowing: one aggregate counts the values and
+    sketches an interval around each wanted rank, a second counts the
+    intervals' values exactly, with everything between them as one count
+    each. Both combine map-side, and nothing is sorted, sampled or dealt by
+    ranges. An interval that still holds more than ``AT_ONCE`` distinct values is
+    narrowed again; each round leaves some 4 / ``ACCURACY`` of the rows. Returns
+    one row, ``q{i}`` per probability (NULL when there are no values).
     """
     v = (F.col(col) if isinstance(col, str) else col).cast("double")
-    counts = (df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-              .groupBy("v").agg(F.count(F.lit(1)).alias("c")))
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = materialize(counts.repartitionByRange(parts, "v")
-                         .withColumn("pid", F.spark_partition_id()), "quantile_ranges")
-    sizes = ranged.groupBy("pid").agg(F.sum("c").alias("n"))
-    # One row per range: ranked in one task, tiny by construction.
-    offsets = sizes.select(
-        "pid", F.coalesce(F.sum("n").over(Window.orderBy("pid").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)).alias("off"),
-        F.sum("n").over(Window.partitionBy()).alias("total"))
-    run = F.sum("c").over(Window.partitionBy("pid").orderBy("v")
-                          .rowsBetween(Window.unboundedPreceding, 0))
-    cum = (ranged.join(F.broadcast(offsets), "pid")
-           .withColumn("end", F.col("off") + run)
-           .withColumn("start", F.col("end") - F.col("c")))
-    # 0-based ranks: floor and ceil of (total - 1) * p for each p. Each value
-    # says which of them it holds; a global aggregate gathers them.
-    aggs, out = [], []
-    for i, pr in enumerate(probs):
-        h = (F.col("total") - 1) * F.lit(float(pr))
-        for side, rank in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            aggs.append(F.max(F.when((rank >= F.col("start")) & (rank < F.col("end")), F.col("v")))
-                        .alias(f"{side}{i}"))
-        aggs.append(F.max(h - F.floor(h)).alias(f"frac{i}"))
-        lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
-        out.append((lo + F.col(f"frac{i}") * (hi - lo)).alias(f"q{i}"))
-    return cum.agg(*aggs).select(*out)
+    values = df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    spans, n = _spans(values, probs)
+    at = {p: (n - 1) * p for p in probs} if n else {}
+    held = _ranked(values, n, {p: {math.floor(h), math.ceil(h)} for p, h in at.items()}, spans) if n else {}
+    out = []
+    for p in probs:
+        lo, hi = (held[math.floor(at[p])], held[math.ceil(at[p])]) if n else (None, None)
+        out.append(lo + (at[p] - math.floor(at[p])) * (hi - lo) if n else None)
+    return df.sparkSession.createDataFrame([tuple(out)], ", ".join(f"q{i} double" for i in range(len(probs))))
+
+
+def _spans(values: DataFrame, probs) -> tuple[dict[float, tuple[float, float]], int]:
+    """For each probability two values with its rank between them, as far
+    as the sketch can tell, and the number of values."""
+    wide = [x for p in probs for x in (max(0.0, p - 2 / ACCURACY), min(1.0, p + 2 / ACCURACY))]
+    got = values.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", wide, ACCURACY).alias("s")).first()
+    s = got["s"] or []
+    return {p: (s[2 * i], s[2 * i + 1]) for i, p in enumerate(probs)} if s else {}, got["n"]
+
+
+def _ranked(values: DataFrame, n: int, ranks: dict[float, set[int]], spans: dict) -> dict[int, float]:
+    """The values at 0-based ranks, each looked for between its span's ends."""
+    merged: list[list[float]] = []
+    for lo, hi in sorted(spans.values()):
+        if merged and lo <= merged[-1][1]:
+            merged[-1][1] = max(hi, merged[-1][1])
+        else:
+            merged.append([lo, hi])
+    # 2k + 1: inside span k; 2k: below it
+    place = F.lit(2 * len(merged))
+    for k in reversed(range(len(merged))):
+        lo, hi = (F.lit(x) for x in merged[k])
+        place = F.when(F.col("v") < lo, 2 * k).when(F.col("v") <= hi, 2 * k + 1).otherwise(place)
+    inside = F.when(F.col("place") % 2 == 1, F.col("v"))
+    counts = materialize(values.withColumn("place", place).groupBy("place", inside.alias("v"))
+                         .agg(F.count(F.lit(1)).alias("c")), "rank_counts")
+    whole = {r["place"]: (r["c"], r["values"]) for r in counts.groupBy("place").agg(
+        F.sum("c").alias("c"), F.count("v").alias("values")).collect()}          # at most two a span, and one
+    out, before = {}, 0
+    wanted = set().union(*ranks.values())
+    for k in range(2 * len(merged) + 1):
+        c, distinct = whole.get(k, (0, 0))
+        here = sorted(r - before for r in wanted if before <= r < before + c)
+        if here:
+            own = counts.where(F.col("place") == k)
+            if k % 2 and distinct <= AT_ONCE:
+                found, seen = {}, 0
+                for r in sorted((r["v"], r["c"]) for r in own.select("v", "c").collect()):
+                    found.update({h: r[0] for h in here if seen <= h < seen + r[1]})
+                    seen += r[1]
+            else:              # more values than are ranked at once, or a rank that the sketch missed
+                part = values.withColumn("place", place).where(F.col("place") == k).select("v")
+                narrower, _ = _spans(part, [h / max(1, c - 1) for h in here])
+                found = _ranked(part, c, dict(zip(narrower, ({h} for h in here))), narrower)
+            out.update({before + h: x for h, x in found.items()})
+        before += c
+    return out
 
 
 def price_bounds(df: DataFrame, price: str = "price", method: str = "exact",

@@ -25,6 +25,10 @@ AIRLINE_BY_EVENT = {"click": "VJ", "view": "VN", "purchase": "QH",
 DEP_CODES = "SGNHANDADCXRPQCVDOHUIHPHVDHVII"
 ARR_CODES = "HANSGNDADPQCCXRVDOHUIHPHVDHVII"
 CLASSES = ["Eco", "Deluxe", "Business", "SkyBoss"]
+# Passenger counts as JavaScript reads them, and texts that only look like numbers
+ODD_COUNTS = ["nan", "NaN", "2d", "1f", "inf", "Infinity", "0x2", "0X1F", "0o3", "0b1", "0x", " 3\u00a0", "1e0", ".5", "2.", "+1",
+              "-0", "1_0", "١", "- 1", ""]
+OTHER_DIGITS = "١٢:٣٤ - ١٥:٣٠ ٩٩ VND ٣h "
 REQ_DEP_CODES = "SGNhanDADXXXPQC"
 REQ_ARR_CODES = "HANSGNDADCXRPQC"
 # ---------------------------------------------------------------------------
@@ -103,7 +107,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     k, ck = F.col("o_orderkey"), F.col("o_custkey")
     dep_date = F.date_format(F.col("o_orderdate").cast("timestamp_ntz"), "dd/MM/yyyy")
-    child = (F.when(_mod(k, 23) == 0, F.lit("x"))
+    odd = F.element_at(F.array(*[F.lit(x) for x in ODD_COUNTS]), (F.floor(k / 13) % len(ODD_COUNTS) + 1).cast("int"))
+    child = (F.when(_mod(k, 23) == 0, F.lit("x")).when(_mod(k, 13) == 5, odd)
              .otherwise((_mod(ck, 3) - F.when(_mod(k, 29) == 0, 3).otherwise(0))
                         .cast("string")))
     return o.select(
@@ -117,9 +122,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(_mod(k, 3) == 0, F.lit("roundtrip")).when(_mod(k, 19) == 0, F.lit("multi"))
         .otherwise(F.lit("oneway")).alias("trip_type"),
         F.when(_mod(k, 6) == 0, dep_date).alias("return_date"),
-        _mod(ck, 4).cast("string").alias("adult"),
+        F.when(_mod(k, 13) == 2, odd).otherwise(_mod(ck, 4).cast("string")).alias("adult"),
         child.alias("child"),
-        _mod(ck, 5).cast("string").alias("infant"),
+        F.when(_mod(k, 13) == 7, odd).otherwise(_mod(ck, 5).cast("string")).alias("infant"),
     )
 
 
@@ -135,7 +140,8 @@ def panel_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = (F.when(_mod(eid, 13) == 0, F.concat(F.lit("Tổng tiền 0 VND Chuyến đi "), amount, F.lit(" ₫ ")))
              .when(_mod(eid, 17) == 0, F.concat(F.lit("Chuyến đi\n"), amount, F.lit("₫ ")))
              .otherwise(F.concat(F.lit("Tổng tiền "), amount, F.lit(" VND "))))
-    txt = F.concat(F.when(_mod(eid, 5) == 0, F.lit("\n\t ")).otherwise(F.lit("")), price,
+    txt = F.concat(F.when(_mod(eid, 5) == 0, F.lit("\n\t ")).otherwise(F.lit("")),
+                   F.when(_mod(eid, 19) == 0, F.lit(OTHER_DIGITS)).otherwise(F.lit("")), price,
                    s(F.col("flight_number")), F.lit(" "),
                    s(F.col("departure_time")), F.lit(" - "), s(F.col("arrival_time")),
                    F.lit(" "), s(F.col("classes")),

@@ -8,6 +8,7 @@ reads the same parquet views and derives everything in plain SQL.
 from __future__ import annotations
 
 from faresight.operators.extract import LOG_NOISE_TERMS, URL_NOISE_TERMS
+from faresight.plans.fixtures import ODD_COUNTS, OTHER_DIGITS
 from faresight.sources.airports import AIRPORTS
 
 TIME_RE = r"^\s*([+-]?\d+)\s*:\s*([+-]?\d+)\s*$"
@@ -167,22 +168,23 @@ SELECT o_orderkey AS request_id,
   CASE WHEN o_orderkey % 3 = 0 THEN 'roundtrip' WHEN o_orderkey % 19 = 0 THEN 'multi'
        ELSE 'oneway' END AS trip_type,
   CASE WHEN o_orderkey % 6 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') END AS return_date,
-  CAST(o_custkey % 4 AS VARCHAR) AS adult,
-  CASE WHEN o_orderkey % 23 = 0 THEN 'x'
+  CASE WHEN o_orderkey % 13 = 2 THEN {ODD} ELSE CAST(o_custkey % 4 AS VARCHAR) END AS adult,
+  CASE WHEN o_orderkey % 23 = 0 THEN 'x' WHEN o_orderkey % 13 = 5 THEN {ODD}
        ELSE CAST(o_custkey % 3 - CASE WHEN o_orderkey % 29 = 0 THEN 3 ELSE 0 END AS VARCHAR) END AS child,
-  CAST(o_custkey % 5 AS VARCHAR) AS infant
-FROM orders""")
+  CASE WHEN o_orderkey % 13 = 7 THEN {ODD} ELSE CAST(o_custkey % 5 AS VARCHAR) END AS infant
+FROM orders""".replace("{ODD}", "[" + ", ".join(f"'{x}'" for x in ODD_COUNTS) + f"][o_orderkey // 13 % {len(ODD_COUNTS)} + 1]"))
 
 cte("panel_text", """
 SELECT event_id,
   CASE WHEN event_id % 5 = 0 THEN chr(10) || chr(9) || ' ' ELSE '' END
+  || CASE WHEN event_id % 19 = 0 THEN '{OTHER}' ELSE '' END
   || CASE WHEN event_id % 13 = 0 THEN 'Tổng tiền 0 VND Chuyến đi ' || coalesce(CAST(CAST(floor(price) AS BIGINT) AS VARCHAR), '') || ',000 ₫ '
           WHEN event_id % 17 = 0 THEN 'Chuyến đi' || chr(10) || coalesce(CAST(CAST(floor(price) AS BIGINT) AS VARCHAR), '') || ',000₫ '
           ELSE 'Tổng tiền ' || coalesce(CAST(CAST(floor(price) AS BIGINT) AS VARCHAR), '') || ',000 VND ' END
   || coalesce(flight_number, '') || ' ' || coalesce(departure_time, '') || ' - '
   || coalesce(arrival_time, '') || ' ' || coalesce(classes, '')
   || CASE WHEN event_id % 7 = 0 THEN ' ' || chr(10) ELSE '' END AS text
-FROM fare_raw""", ["fare_raw"])
+FROM fare_raw""".replace("{OTHER}", OTHER_DIGITS), ["fare_raw"])
 
 cte("run_rows", """
 SELECT event_id // 64 AS run_id,

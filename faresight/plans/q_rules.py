@@ -17,9 +17,20 @@ from faresight.operators.joins import lookup_join
 from faresight.sources.airports import AIRPORT_ROWS, airports_df
 
 
+_JS_TRIM = ("chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160) || chr(5760) || list_aggregate([chr(CAST(x AS INTEGER)) FOR x IN "
+            "range(8192, 8203)], 'string_agg', '') || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288) || chr(65279)")
+
+
 def _js_num(c):
-    return (f"(CASE WHEN {c} IS NULL THEN 0.0 WHEN trim({c}) = '' THEN 0.0 "
-            f"ELSE TRY_CAST(trim({c}) AS DOUBLE) END)")
+    """JavaScript's Number() of a text, its grammar spelt out."""
+    t = f"trim({c}, {_JS_TRIM})"
+    based = " ".join(
+        f"WHEN regexp_full_match({t}, '0{x}[{digits}]+') THEN list_reduce([CAST(strpos('0123456789abcdef', d) - 1 AS DOUBLE) "
+        f"FOR d IN string_split(lower(substr({t}, 3)), '')], lambda p, q: p * {base} + q)"
+        for x, digits, base in (("[xX]", "0-9a-fA-F", 16), ("[oO]", "0-7", 8), ("[bB]", "01", 2)))
+    return (f"(CASE WHEN {c} IS NULL THEN 0.0 WHEN {t} = '' THEN 0.0 "
+            f"WHEN regexp_full_match({t}, '[+-]?(Infinity|([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?)') THEN TRY_CAST({t} AS DOUBLE) "
+            f"{based} END)")
 
 
 @query("request_rules", with_ctes(["requests"], f"""

@@ -29,4 +29,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from faresight.plans import q_clean, q_crawl, q_files, q_model, q_rules  # noqa: F401
+    from faresight.plans import q_clean, q_crawl, q_files, q_model, q_rules, q_trees  # noqa: F401

@@ -75,3 +75,28 @@ def test_lookup_is_broadcast_by_bytes(spark):
     from faresight.operators.joins import checked_small
     wide = spark.range(100).select("id", F.repeat(F.lit("x"), 2000).alias("v"))
     assert checked_small(wide, max_bytes=300_000)[1] and not checked_small(wide, max_bytes=100_000)[1]
+
+
+def test_airport_names_by_gram_index(spark, monkeypatch):
+    """Many names through the index are what testing each gives, short,
+    empty, odd and missing names among them; no name is in the plan."""
+    import random
+
+    from faresight.operators import lookup
+    r = random.Random(6)
+    names = ["".join(r.choice("abcdé 日😀") for _ in range(r.randrange(0, 6))) for _ in range(400)]
+    airports = [(f"C{i}", r.choice(names), r.choice([None, *names])) for i in range(300)]
+    texts = [(i, None if i == 5 else "".join(r.choice("abcdé 日😀xyz") for _ in range(r.randrange(40)))) for i in range(120)]
+    texts += [(7, "C17 and C18"), (7, "C17 again")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    table = spark.createDataFrame(airports, "code string, city string, airport_name string")
+    want = {}
+    for code, *more in airports:
+        hits = {i for i, t in texts if t is not None and any(x is not None and x in t for x in (code, *more))}
+        if hits:
+            want[code] = (len(hits), min(hits))
+    for limit in (10_000, 10):
+        monkeypatch.setattr(lookup, "NAMES_AT_ONCE", limit)
+        got = lookup.airport_mention(docs, table)
+        assert {r["code"]: (r["n_texts"], r["first_doc_id"]) for r in got.collect()} == want
+        assert "C17" not in got._jdf.queryExecution().executedPlan().toString()

@@ -161,3 +161,28 @@ def test_time_to_minutes_matches_python_int_rule(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
     got = {r.i: r.y for r in df.select("i", tp.time_to_minutes("x").alias("y")).collect()}
     assert all(got[i] == py_rule(t) for i, t in enumerate(texts))
+
+
+def test_quantiles_narrow_to_any_rank(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from faresight.operators import stats
+    r = random.Random(2)
+    for values in ([5.0] * 4000 + [float(x) for x in range(300)], [r.lognormvariate(0, 20) for _ in range(5000)],
+                   [r.choice([-1e300, 1e300, 0.0, 1e-300]) for _ in range(999)], [3.5], [1.0, 9.0]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double").repartition(4)
+        want = np.quantile(np.array(values), [0.0, 0.25, 0.5, 0.75, 1.0])
+        for at_once in (100_000, 20):                # ranked at once, and narrowed further
+            monkeypatch.setattr(stats, "AT_ONCE", at_once)
+            got = list(stats.exact_quantiles(df, "v", [0.0, 0.25, 0.5, 0.75, 1.0]).first())
+            assert np.allclose(got, want, rtol=1e-12, atol=0)
+    assert stats.exact_quantiles(df.limit(0), "v", [0.5]).first()["q0"] is None
+
+
+def test_only_ascii_digits_are_extracted(spark):
+    from faresight.operators.extract import generic_flight
+    text = "١٢:٣٤ - ١٥:٣٠ ٩٩ VND ٣h 10:20 - 11:30 500,000 VND 2h 5m"
+    got = generic_flight(spark.createDataFrame([(0, text)], "pos int, text string"), "pos").first()
+    assert got["times"] == ["10:20", "11:30"] and got["price"] == "500,000 VND" and got["duration"] == "2h 5m"

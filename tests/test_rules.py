@@ -72,3 +72,23 @@ def test_airport_rules(spark):
     assert v[1].missing_fields == ["city", "country"] and v[1].code_warning
     t = ru.airports_table_check(airports_df(spark)).first()
     assert (t.rows, t.invalid, t.ok) == (20, 0, True)
+
+
+def test_js_number_follows_its_grammar(spark):
+    from faresight.operators.rules import js_number
+    inf = float("inf")
+    want = {"nan": None, "NaN": None, "2d": None, "1f": None, "inf": None, "Infinity": inf, "-Infinity": -inf, "+Infinity": inf,
+            "0x10": 16.0, "0X1f": 31.0, "0o17": 15.0, "0b101": 5.0, "0x": None, "+0x1": None, "0b2": None, "": 0.0, " 　﻿3\n": 3.0,
+            "1e3": 1000.0, "1.": 1.0, ".5": 0.5, ".": None, "1_0": None, "١": None, "0x" + "f" * 16: float(2**64),
+            "0b" + "1" * 70: float(2**70), "1e400": inf, "--1": None, "1 2": None, None: 0.0, "0" * 30 + "7": 7.0}
+    df = spark.createDataFrame([(k,) for k in want], "t string")
+    assert {r["t"]: r["n"] for r in df.select("t", js_number("t").alias("n")).collect()} == want
+
+
+def test_json_booleans_are_numbers(spark):
+    from faresight.operators.rules import json_request_rules
+    head = '{"departure_airport":"A","arrival_airport":"B","departure_date":"d",'
+    rows = [(head + '"adult":true,"child":false,"infant":"1"}',), (head + '"adult":"true","child":0,"infant":0}',),
+            (head + '"adult":false,"child":0,"infant":0}',)]
+    got = json_request_rules(spark.createDataFrame(rows, "raw string").coalesce(1)).collect()
+    assert [r["rule"] for r in got] == ["ok", "adult", "adult"]
