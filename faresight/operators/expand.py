@@ -47,12 +47,13 @@ def result_fallback(sources: list[tuple[int, str, DataFrame]],
 
 def history_projection(options: DataFrame, requests: DataFrame | None = None,
                        batch_ts: str | None = None, request: str = "run_id",
-                       request_key: str = "request_id") -> DataFrame:
+                       request_key: str = "request_id", keep=()) -> DataFrame:
     """Crawl price options -> history rows (H3): ``total_price`` becomes
     ``price``, a missing flight date falls back to the search day (G19),
-    passengers come from the request, one stamp per batch."""
+    passengers come from the request, one stamp per batch. ``keep`` names
+    further columns to pass on."""
     out = options.select(
-        request,
+        request, *keep,
         F.lit(batch_ts).cast("string").alias("created_at") if batch_ts else
         tp.utc_now_iso().alias("created_at"),
         "flight_number", "aircraft_type", "departure_airport", "arrival_airport",

@@ -63,3 +63,43 @@ def test_stream_keeps_every_line(spark, tmp_path):
     assert sorted(r.run_id for r in spark.read.parquet(sink).collect()) == want == [1, 2, 4, 5, 6, 7, 8, 9]
     assert [r[0] for r in spark.read.parquet(sink + "_corrupt").collect()] == [cut]
     assert [r[0] for r in batch.where("_corrupt_record IS NOT NULL").select("_corrupt_record", "run_id").collect()] == [cut]
+
+
+def test_a_batch_that_fails_half_way_adds_nothing_twice(spark, tmp_path, monkeypatch):
+    """A failure between the two writes, and one between two moves."""
+    import json
+
+    import pytest
+    from pyspark.errors import StreamingQueryException
+
+    from faresight.streaming import ingest
+
+    def run(i):
+        return json.dumps({"run_id": i, "daily_results": [{"search_date": f"0{i}/08/2025", "prices": [
+            {"flight_number": f"VJ{i}", "total_price": "10"}]}]})
+
+    src, sink, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join([run(2 * k + 1), run(2 * k + 2), "{cut"]))
+    real, calls = ingest.append_once, []
+
+    def failing(rows, staged, folder, partition_by=None):
+        calls.append(staged)
+        if len(calls) == 2:
+            raise OSError("between the writes")
+        if len(calls) == 5:                            # written and marked, but only some files moved
+            real(rows, staged, folder, partition_by)
+            raise OSError("after the moves")
+        real(rows, staged, folder, partition_by)
+
+    monkeypatch.setattr(ingest, "append_once", failing)
+    for _ in range(2):
+        with pytest.raises(StreamingQueryException):
+            ingest_stream(spark, src, sink, ck, keep=("run_id",), max_files_per_trigger=1)
+    q = ingest_stream(spark, src, sink, ck, keep=("run_id",), max_files_per_trigger=1)
+    assert not q.isActive and len([p for p in q.recentProgress if p["numInputRows"]]) >= 1
+    assert sorted(r.run_id for r in spark.read.parquet(sink).collect()) == [1, 2, 3, 4, 5, 6]
+    assert [r[0] for r in spark.read.parquet(sink + "_corrupt").collect()] == ["{cut"] * 3
+    ingest_stream(spark, src, sink, ck, keep=("run_id",))          # nothing new
+    assert spark.read.parquet(sink).count() == 6
