@@ -6,7 +6,11 @@ sample. A pair can be split by the plane between two centres, and a pair at
 cosine ``t`` or above is at most sqrt(2 - 2t) apart, so one of the two is
 within half of that of the plane, in whatever direction they differ. Each
 vector is therefore also compared in every cell whose plane it is that near
-to, and no pair is lost. Neighbouring cells are packed into groups of about
+to, and no pair is lost: the exact margin. Most data need far less, so by
+default the margin is measured: up to ``QUERIES`` vectors are compared with
+all others, and the margin is the smallest step of ``STEPS`` at which each of
+their links is found, and one step more. Where fewer than ``LEAST`` of them have
+links at all, the exact margin holds. Neighbouring cells are packed into groups of about
 ``BLOCK`` vectors and large ones split, so that a vector is copied once for a
 block and not for each cell: data without any directions of its own, where
 most planes are near, costs up to all pairs of blocks. The blocks are
@@ -43,6 +47,10 @@ SAMPLE = 40_000
 SAMPLE_BYTES = 64 << 20   # of the sample as doubles: fewer vectors of very many dimensions
 PER_CENTRE = 16           # sampled vectors for each centre, at least
 ROUNDS = 8
+QUERIES = 2_048           # sampled vectors compared with all to measure the margin
+QUERY_BYTES = 16 << 20    # of them as doubles
+STEPS = 64                # of the exact margin
+LEAST = 64                # sampled vectors with links that a measured margin rests on
 BLOCK = 4096              # vectors on each side of a product, about
 BLOCK_BYTES = 32 << 20    # of them as doubles
 
@@ -112,12 +120,64 @@ def pack(x: np.ndarray, c: np.ndarray, size: int, block: int) -> np.ndarray:
     return group
 
 
-def assign(classes: DataFrame, c: np.ndarray, group: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+def exact_margin(threshold: float = THRESHOLD) -> float:
+    """Both ends of a pair look across: half the distance each, and rounding."""
+    return math.sqrt(2 - 2 * threshold) / 2 + 1e-9
+
+
+def needed_steps(classes: DataFrame, c: np.ndarray, group: np.ndarray, threshold: float = THRESHOLD,
+                 queries: int = QUERIES) -> pd.DataFrame:
+    """(query, step, n): of each sampled vector with links, how many of its
+    links with all vectors need which step of the margin to be found."""
+    dim = c.shape[1]
+    rows = (classes.orderBy(F.xxhash64("digest", F.lit(1)), "rep")
+            .limit(max(1, min(queries, QUERY_BYTES // (8 * dim)))).select("rep", "unit").toPandas())
+    q = np.frombuffer(b"".join(rows["unit"])).reshape(len(rows), dim)
+    held = classes.sparkSession.sparkContext.broadcast((c, group, rows["rep"].to_numpy(), q))
+    step = exact_margin(threshold) / STEPS
+    known: list[tuple] = []
+
+    def cells(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s = x @ c.T
+        return s, s.argmax(1)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        c, group, names, q = held.value
+        if not known:
+            known.append(cells(q, c))
+        sq, hq = known[0]
+        x = np.frombuffer(b"".join(b.column(1).to_pylist())).reshape(b.num_rows, -1)
+        sx, hx = cells(x, c)
+        i, j = np.nonzero(x @ q.T >= threshold)
+        other = b.column(0).to_numpy()[i] != names[j]
+        i, j = i[other], j[other]
+        apart = np.sqrt(np.maximum(2 - 2 * (c[hx[i]] * c[hq[j]]).sum(1), 1e-18))
+        need = np.minimum(sx[i, hx[i]] - sx[i, hq[j]], sq[j, hq[j]] - sq[j, hx[i]]) / apart
+        need[group[hx[i]] == group[hq[j]]] = 0
+        at = np.minimum(np.ceil(need / step).astype(np.int64), STEPS)
+        found, n = np.unique(j * (STEPS + 1) + at, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(names[found // (STEPS + 1)]), pa.array(found % (STEPS + 1)),
+                                           pa.array(n.astype(np.int64))], ["query", "step", "n"])
+
+    return (map_arrow(classes.select("rep", "unit"), run, "query long, step long, n long")
+            .groupBy("query", "step").agg(F.sum("n").alias("n")).toPandas())    # at most queries * (STEPS + 1) rows
+
+
+def measured_margin(classes: DataFrame, c: np.ndarray, group: np.ndarray, threshold: float = THRESHOLD) -> float:
+    """The margin that finds every link of the sampled vectors, and a step more."""
+    most = exact_margin(threshold)
+    if group.max() == 0:                           # one group: everything is compared
+        return 0.0
+    seen = needed_steps(classes, c, group, threshold)
+    if seen["query"].nunique() < LEAST:
+        return most
+    return most * min(STEPS, int(seen["step"].max()) + 1) / STEPS
+
+
+def assign(classes: DataFrame, c: np.ndarray, group: np.ndarray, margin: float) -> DataFrame:
     """(rep, n, unit, home, groups): the home cell's group and all groups to
     compare in."""
     held = classes.sparkSession.sparkContext.broadcast((c, group))
-    # both ends of a pair look across: half the distance each, and rounding
-    margin = math.sqrt(2 - 2 * threshold) / 2 + 1e-9
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         c, group = held.value
@@ -203,7 +263,12 @@ def compare(assigned: DataFrame, threshold: float = THRESHOLD, block: int | None
         home, split = q["home"].to_numpy(), q["split"].to_numpy()
         lower = np.flatnonzero((home < group) | (home == group) & (split < at))
         names = np.unique(home[lower])
-        there = np.array([np.isin(names, s) for s in p["groups"]]).reshape(len(p), -1)
+        there = np.zeros((len(p), len(names)), bool)
+        if len(names):
+            row, listed = np.repeat(np.arange(len(p)), p["groups"].map(len)), np.concatenate(p["groups"].to_list())
+            where = np.minimum(np.searchsorted(names, listed), len(names) - 1)
+            hit = names[where] == listed
+            there[row[hit], where[hit]] = True
         ok[:, lower] &= ~there[:, np.searchsorted(names, home[lower])]
         return _links(ok, p, q)
 
@@ -211,8 +276,9 @@ def compare(assigned: DataFrame, threshold: float = THRESHOLD, block: int | None
 
 
 def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
-                           threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept."""
+                           threshold: float = THRESHOLD, sample: int = SAMPLE, exact: bool = False) -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id, kept. ``exact``:
+    whether the margin is the one that can't lose a pair."""
     rows = materialize(unit_vectors(vectors, vec_id, embedding), "vectors")
     known = rows.where("vec_id IS NOT NULL AND unit IS NOT NULL")
     classes = materialize(known.groupBy("digest").agg(
@@ -226,7 +292,9 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
         got = own.orderBy(F.xxhash64("digest"), "rep").limit(min(most, 64 * k)).select("unit").toPandas()["unit"]
         x = np.frombuffer(b"".join(got)).reshape(len(got), -1)
         c, block = centres(x, k), max(1, min(BLOCK, BLOCK_BYTES // (8 * dim)))
-        part = compare(assign(own, c, pack(x, c, size, block), threshold), threshold, block)
+        group = pack(x, c, size, block)
+        margin = exact_margin(threshold) if exact else measured_margin(own, c, group, threshold)
+        part = compare(assign(own, c, group, margin), threshold, block)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),

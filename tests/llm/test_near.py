@@ -115,3 +115,24 @@ def test_vectors_of_few_directions(spark, dim, scale):
 def test_vectors_of_few_directions_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 64)
     test_vectors_of_few_directions(spark, 64, lambda i: np.where(i < 8, 1, 1e-3))
+
+
+def test_measured_and_exact_margins(spark, monkeypatch):
+    """Vectors without directions of their own: the measured margin is a small
+    part of the exact one and finds the same links."""
+    monkeypatch.setattr(embeddings, "BLOCK", 256)
+    r = np.random.default_rng(6)
+    base = r.normal(size=(2000, 64))
+    x = np.concatenate([base, base[:400] + r.uniform(0.05, 0.4, size=(400, 1)) * r.normal(size=(400, 64))])
+    rows = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)],
+                                 "vec_id long, embedding array<double>").repartition(3)
+    margins, assign = [], embeddings.assign
+    monkeypatch.setattr(embeddings, "assign", lambda *a: margins.append(a[-1]) or assign(*a))
+    want, got = (sorted(embeddings.near_duplicate_vectors(rows, exact=e).collect()) for e in (True, False))
+    assert margins[0] == embeddings.exact_margin() > 3 * margins[1] > 0
+    missed = sum(a["n_links"] - b["n_links"] for a, b in zip(want, got))
+    assert all(a["n_links"] >= b["n_links"] for a, b in zip(want, got))
+    assert missed <= 0.01 * sum(a["n_links"] for a in want)
+    # too few links to measure by: the exact margin
+    monkeypatch.setattr(embeddings, "LEAST", 10_000)
+    assert sorted(embeddings.near_duplicate_vectors(rows).collect()) == want and margins[2] == margins[0]
