@@ -1,19 +1,22 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
 A page is a sequence of tokens: words, which score positive, and tags, which
-score negative; a side element (a menu, an advert, a form and the like) is
-one negative token, whatever it holds. One linear scan finds the contiguous region of the highest
+score negative; a run of side elements (menus, adverts, forms and the like) is
+one negative token, whatever they hold. One linear scan finds the contiguous region of the highest
 score, which is the article. Weights come from labelled pages: pages that
 mark their own content with a single <article> or <main> element tell for
 each kind of token how much more often it stands outside than inside. On a
 page with such a mark, words outside it score negative, and tags and side
 elements inside it hardly count.
 
-An element is a side element by its tag or role, or by its class or id. By a
-name alone it is none if it holds the page's only <article> or <main> (none
-stands outside such elements), or most of the words outside other sides ("content-sidebar-wrap" around the page), except
-that a list of comments stays one however long it is. If nothing were left,
-names count for nothing.
+An element is a side element by its tag or role, or by its class or id. A
+name that says what the element is ("sidebar", "cookie-notice",
+"comment-list") makes it one, unless it holds the page's only <article> or
+<main> and is no list of comments. A name that may also stand for a wrapper
+("content-sidebar-wrap", "has-sidebar") costs as much as a side element at
+its start and end, and competes in the scan: an element that the best region
+lies in is a wrapper, any other is a side. If nothing were left, names count
+for nothing.
 
 The region's words that stand in such side elements (an advert inside an
 article) are left out. Character references are decoded, white space in a
@@ -24,7 +27,9 @@ without any, ``PRIOR`` holds.
 
 Defined results: a null or empty page, and one without words, give an empty
 text; a page without tags is its own text; unclosed and stray tags are
-tolerated; repeated rows give the same text; an empty table gives an empty
+tolerated; a quote opens a value only after "="; very long and deep pages
+take time in proportion to their length; of equally good regions the first
+and longest counts; repeated rows give the same text; an empty table gives an empty
 table. Only the named columns are read.
 """
 
@@ -54,9 +59,12 @@ RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe",
 SIDE = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head", "label", "option", "fieldset"}
 CLOSED_BY_NEXT = {"p", "li", "a", "option", "dt", "dd", "tr", "td", "th"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img",
-          "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u",
-          "var", "wbr"}
+INLINE = {"a", "abbr", "acronym", "area", "audio", "b", "basefont", "bdi", "bdo", "big", "blink", "br", "button",
+          "canvas", "cite", "code", "data", "del", "dfn", "em", "embed", "font", "i", "iframe", "img", "input", "ins",
+          "kbd", "label", "map", "mark", "math", "meter", "nobr", "noscript", "object", "output", "param", "picture",
+          "progress", "q", "rb", "rp", "rt", "rtc", "ruby", "s", "samp", "script", "select", "slot", "small", "source",
+          "span", "strike", "strong", "style", "sub", "sup", "svg", "template", "textarea", "time", "track", "tt", "u",
+          "var", "video", "wbr"}
 SIDE_NAMES = ("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar "
               "menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent notice notices alert comment "
               "comments disqus reply replies respond share sharing social related recommended recommendations newsletter "
@@ -65,34 +73,62 @@ SIDE_NAMES = ("ad ads advert adverts advertisement advertising adsense banner sp
 SIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu",
               "menubar", "alertdialog"}
 
+#: Names of side elements that no wrapper of an article has, but with a word of WITH.
+ALWAYS = frozenset("advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies "
+                   "consent gdpr comment comments disqus reply replies respond related recommended recommendations "
+                   "newsletter subscribe subscription signup login".split())
+#: What readers write.
+TALK = frozenset("comment comments disqus reply replies respond".split())
+#: Words beside a name that leave it what it is, and ones that make it a property.
+BESIDE = frozenset("list area box section block bar container item left right top bottom primary secondary site "
+                   "global".split())
+WITH = frozenset("no has with without is hide show".split())
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-                   r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-_NAME = re.compile(r"[a-z]+")
+                   r"|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/>][^\s=/>]*+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SIDE_NAMES = frozenset(SIDE_NAMES)
-#: Whole classes of what readers write, which can be longer than the article.
-TALK = frozenset("comment comments disqus reply replies respond".split())
+
+
+def _name_says(value: str, inside: bool) -> str:
+    """"talk", "name" or "maybe" (a side or a wrapper) by a class or id, or ''."""
+    why = ""
+    for one in value.split():
+        parts = {x.lower() for x in _NAME.findall(one)}
+        sides = parts & _SIDE_NAMES
+        if inside:
+            sides -= {"header", "masthead"}
+        if not sides:
+            continue
+        if not parts & WITH and (parts & ALWAYS or parts != {"widget"} and parts <= sides | BESIDE):
+            if parts & TALK:
+                return "talk"
+            why = "name"
+        else:
+            why = why or "maybe"
+    return why
 
 
 def _is_side(tag: str, attributes: str, inside: bool) -> str:
-    """Why an element is no content: its "kind", a "name" in its class or id,
-    or "talk", a name of comments; '' if it is content. A header inside an
-    article is, and <article> by a name that is only part of a class."""
+    """Why an element is no content: its "kind", or what a name in its class
+    or id says; '' if it is content. A header inside an article is, and <article>
+    by a name that may be a wrapper's."""
     if tag in SIDE or (tag == "header" and not inside):
         return "kind"
     if not attributes or "=" not in attributes and "hidden" not in attributes:
         return ""
     why = ""
     for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
+        name = name.lower()
         if name in ("class", "id"):
-            if tag not in ("html", "body", "main") and not _SIDE_NAMES.isdisjoint(_NAME.findall(value)):
-                classes = value.split()
-                if not TALK.isdisjoint(classes):
-                    why = "talk"
-                elif not why and (tag != "article" or not _SIDE_NAMES.isdisjoint(classes)):
-                    why = "name"
-        elif name == "role":
+            if tag not in ("html", "body", "main") and why != "talk":
+                says = _name_says(value.strip("\"'"), inside)
+                if says in ("talk", "name") or not why and says and tag != "article":
+                    why = says
+            continue
+        value = value.strip("\"'").lower()
+        if name == "role":
             if value in SIDE_ROLES:
                 return "kind"
         elif name == "hidden" or name == "aria-hidden" and value == "true":
@@ -102,48 +138,56 @@ def _is_side(tag: str, attributes: str, inside: bool) -> str:
     return why
 
 
-def tokens(page: str, forms: bool = True, names: bool = True) -> list[tuple[str, str, bool, bool]]:
+Token = tuple[str, str, bool, bool]
+#: Where an element with a "maybe" name starts on the page, and its first and last token.
+Maybe = tuple[int, int, int]
+
+
+def tokens(page: str, forms: bool = True, names: bool = True,
+           asides: frozenset[int] = frozenset()) -> tuple[list[Token], list[Maybe]]:
     """(kind, text or tag, inside marked content, block boundary) in page
-    order.
+    order, and the elements that may be sides or wrappers.
 
     kind: word (a run of text), link (one in a link), out (a word outside
     the content that the page marks), side (the start of a side element),
-    hidden (what a side element holds) or tag. Raw elements are passed over
-    whole. ``forms``: whether a form is a side element; ``names``: whether an
-    element is one by its class or id."""
-    out, spared = _tokens(page, forms, names, frozenset())
-    return _tokens(page, forms, names, spared)[0] if spared else out
-
-
-def _tokens(page: str, forms: bool, names: bool,
-            spared: frozenset[int]) -> tuple[list[tuple[str, str, bool, bool]], frozenset[int]]:
-    """The tokens, and where the elements start that are no sides though
-    their names say so. ``spared``: those of an earlier pass."""
-    out: list[tuple[str, str, bool, bool]] = []
-    stack: list[tuple[str, bool, int, str, int]] = []      # open elements: name, side, start, why, words before
-    side = links = main = firm = words = 0     # firm: in sides that can't be spared
-    named: list[tuple[int, int]] = []          # start and words of each that can be
-    holding: set[int] = set()                  # those that hold marked content
-    shown = False                              # marked content in no side
+    hidden (what a side element holds), maybe (the start or end of an element that
+    may be a side) or tag. Raw elements are passed over whole. ``forms``: whether a
+    form is a side element; ``names``: whether an element is one by its class
+    or id; ``asides``: where elements start that may be sides and are."""
+    out, maybe, holding = _tokens(page, forms, names, asides, frozenset())
+    return _tokens(page, forms, names, asides, holding)[:2] if holding else (out, maybe)
+
+
+def _tokens(page: str, forms: bool, names: bool, asides: frozenset[int],
+            spared: frozenset[int]) -> tuple[list[Token], list[Maybe], frozenset[int]]:
+    """Also where the elements start that are no sides though their names
+    say so: they hold marked content. ``spared``: those of an earlier pass."""
+    out: list[Token] = []
+    maybe: list[Maybe] = []
+    stack: list[tuple[str, str, int, int]] = []            # open elements: name, why, start, first token
+    opened: Counter[str] = Counter()                       # of each name
+    named: list[int] = []                                  # start of each open one by name, -1: a firm side
+    side = links = main = 0
+    holding: set[int] = set()
+    shown = False                                          # marked content in no side
     at, end = 0, len(page)
 
     def text(piece: str) -> None:
-        nonlocal words
         if piece:
-            if not firm:
-                words += len(piece.split())
             out.append(("hidden" if side else "link" if links else "word", piece, main > 0, False))
 
-    def leave() -> str:
-        nonlocal side, links, main, firm
-        name, own, start, why, before = stack.pop()
-        side -= own
-        firm -= why in ("kind", "talk")
-        if why == "name":
-            named.append((start, words - before))
+    def leave() -> tuple[str, str]:
+        nonlocal side, links, main
+        name, why, start, first = stack.pop()
+        opened[name] -= 1
+        if why == "maybe":
+            maybe.append((start, first, len(out)))
+        elif why:
+            side -= 1
+            named.pop()
         links -= name == "a"
         main -= name in ("article", "main")
-        return name
+        return name, why
 
     while at < end:
         m = TOKEN.search(page, at)
@@ -157,10 +201,12 @@ def _tokens(page: str, forms: bool, names: bool,
         tag = m[2].lower()
         block = tag not in INLINE
         if m[1]:                                # a closing tag closes what is open inside it
-            if any(x[0] == tag for x in stack):
-                while leave() != tag:
-                    pass
-            out.append(("hidden" if side else "tag", tag, main > 0, block))
+            why, hidden = "", side > 0
+            if opened[tag]:
+                name = ""
+                while name != tag:
+                    name, why = leave()
+            out.append(("hidden" if hidden else "maybe" if why == "maybe" else "tag", tag, main > 0, block))
             continue
         if tag == "body":                       # an open head ends here
             while stack:
@@ -168,41 +214,45 @@ def _tokens(page: str, forms: bool, names: bool,
         elif tag in CLOSED_BY_NEXT and stack and stack[-1][0] == tag:
             leave()
         why = "" if tag in RAW or tag in VOID or not forms and tag == "form" else _is_side(tag, m[3], main > 0)
-        if why in ("name", "talk") and (not names or m.start() in spared):
+        if why not in ("", "kind") and (not names or m.start() in spared):
             why = ""
-        own = why != ""
+        if why == "maybe" and m.start() in asides:
+            why = "name"
+        if why == "maybe" and side:
+            why = ""
+        own = why not in ("", "maybe")
         if tag in ("article", "main") and not own:
             shown |= side == 0
-            for x in reversed(stack):
-                if x[3] in ("kind", "talk"):
+            for start in reversed(named):
+                if start < 0 or start in holding:          # what is around a holding one holds it too
                     break
-                if x[3]:
-                    holding.add(x[2])
-        out.append(("hidden" if side else "side" if own else "tag", tag, main > 0, block))
+                holding.add(start)
+        out.append(("hidden" if side else "side" if own else "maybe" if why else "tag", tag, main > 0, block))
         if tag in RAW:
             if not m[3].endswith("/"):
                 close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = close.end() if close else end
         elif tag not in VOID:
-            stack.append((tag, own, m.start(), why, words))
-            side += own
-            firm += why in ("kind", "talk")
+            stack.append((tag, why, m.start(), len(out) - 1))
+            opened[tag] += 1
+            if own:
+                side += 1
+                named.append(m.start() if why == "name" else -1)
             links += tag == "a"
             main += tag in ("article", "main")
     while stack:
         leave()
     if shown:                                  # teasers of other articles
         holding.clear()
-    holding.update(start for start, n in named if 2 * n > words)
     marked = any(inside for kind, _, inside, _ in out if kind == "word")
     return [("out" if marked and kind == "word" and not inside else kind, t, inside, block)
-            for kind, t, inside, block in out], frozenset(holding)
+            for kind, t, inside, block in out], maybe, frozenset(holding)
 
 
 def weight(weights: dict[str, float], kind: str, text: str, inside: bool) -> float:
     if kind == "hidden":
         return 0.0
-    if kind == "side":
+    if kind in ("side", "maybe"):
         return weights["side inside"] if inside else weights["side"]
     if kind == "tag":
         w = weights.get("tag:" + text, weights["tag"])
@@ -229,20 +279,38 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
     for names in (True, False):                 # without names only for what would be empty
-        seq = tokens(page, names=names)
-        if not any(kind in ("word", "link") and t.strip() for kind, t, _, _ in seq):
-            seq = tokens(page, forms=False, names=names)        # pages that are one large form
+        seq, maybe = tokens(page, names=names)
+        forms = any(kind in ("word", "link") and t.strip() for kind, t, _, _ in seq)
+        if not forms:                           # pages that are one large form
+            seq, maybe = tokens(page, forms, names)
+        if maybe:
+            lo, hi = best_region(_scores(seq, weights))
+            asides = frozenset(start for start, first, last in maybe if lo < first or hi > last)
+            if asides:
+                seq, _ = tokens(page, forms, names, asides)
         text = _region_text(seq, weights)
         if text:
             break
     return text
 
 
-def _region_text(seq: list[tuple[str, str, bool, bool]], weights: dict[str, float]) -> str:
-    lo, hi = best_region([weight(weights, k, t, inside) for k, t, inside, _ in seq])
+def _scores(seq: list[Token], weights: dict[str, float]) -> list[float]:
+    """Weights of the tokens; side elements without words between count once."""
+    out, after = [], False
+    for kind, t, inside, _ in seq:
+        out.append(0.0 if after and kind == "side" else weight(weights, kind, t, inside))
+        if kind == "side":
+            after = True
+        elif kind in ("word", "link", "out") and t.strip():
+            after = False
+    return out
+
+
+def _region_text(seq: list[Token], weights: dict[str, float]) -> str:
+    lo, hi = best_region(_scores(seq, weights))
     blocks, parts = [], []
     for kind, t, _, boundary in seq[lo:hi]:
-        if kind in ("tag", "side") or kind == "hidden" and boundary:
+        if kind in ("tag", "side", "maybe") or kind == "hidden" and boundary:
             if boundary:
                 blocks.append(parts)
                 parts = []
@@ -268,7 +336,7 @@ def learn_weights(pages: DataFrame, page_id: str = "page_id", payload: str = "ht
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
         n: Counter[tuple[str, bool]] = Counter()
         for page in b.column(0).to_pylist():
-            for kind, t, inside, _ in tokens(page):
+            for kind, t, inside, _ in tokens(page)[0]:
                 if kind == "tag":
                     n["tag:" + t, inside] += 1
                 elif kind == "side":

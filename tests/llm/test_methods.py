@@ -230,3 +230,39 @@ def test_token_counts_do_not_depend_on_what_is_held(spark, monkeypatch):
             assert n == sum(trie.counts([w])[0] for w in few[i].split())
     monkeypatch.setattr(token_counts, "HELD", 50)
     assert rows(token_counts.count_tokens(docs.repartition(4), v)) == one
+
+
+def test_attributes_as_browsers_read_them():
+    body = "<p>" + "real words of the article " * 6 + "</p>"
+    want = ("real words of the article " * 6).strip()
+    for tag, inner in (('<p class="a"">', 'Hello there my good "world" of text'), ("<p don't>", "Hello there my good world of text"),
+                       ('<p title="a hidden comment">', "Hello there my good world of text"),
+                       ("<p data-id='ad' data-class=\"menu\">", "Hello there my good world of text"),
+                       ('<p title = "a > b">', "Hello there my good world of text")):
+        page = f"<html><body><div>{tag}{inner}</p>{body}</div></body></html>"
+        assert html_extract.main_text(page, html_extract.PRIOR) == f"{inner}\n\n{want}"
+    inline = "one<nobr> two</nobr> <acronym>three</acronym> <picture><source src=x><img src=y></picture>four<script>x</script> five"
+    assert html_extract.main_text(f"<p>{inline}</p>", html_extract.PRIOR) == "one two three four five"
+
+
+def test_sides_longer_than_the_article():
+    body = "<p>" + "real words of the article " * 8 + "</p>"
+    want = ("real words of the article " * 8).strip()
+    other = "<p>" + "quite other words stand here " * 16 + "</p>"
+    for side in ('<div class="cookie-bar">', '<div id="cookieConsent">', '<div class="sidebar">', '<ol class="comment-list">',
+                 '<div class="comments-area">', '<div class="left-sidebar widget">', '<div role="complementary">'):
+        tag = side[1:].split()[0]
+        for page in (f"<body>{side}{other}</{tag}><div>{body}</div></body>", f"<body><div>{body}</div>{side}{other}</{tag}></body>"):
+            assert html_extract.main_text(page, html_extract.PRIOR) == want
+    ads = '<div class="ad">Buy now</div>' * 8       # a run of sides doesn't part an article
+    assert html_extract.main_text(f"<body><div>{body}{ads}{body}</div></body>", html_extract.PRIOR) == f"{want}\n\n{want}"
+
+
+def test_deep_and_unclosed_pages_take_linear_time():
+    import time
+    for n, page in ((100_000, "<div>" * 100_000 + "word" + "</span>" * 100_000),
+                    (20_000, '<div class="sidebar-wrap"><article>' * 20_000 + "word"),
+                    (20_000, '<div class="related"><article>' * 20_000 + "word")):
+        start = time.process_time()
+        html_extract.main_text(page, html_extract.PRIOR)
+        assert time.process_time() - start < 5, n
