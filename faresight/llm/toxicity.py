@@ -1,15 +1,19 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five transducers read a clause word by word: insult (a lexicon of words and
-word beginnings whose weights are learnt), threat (a will-like word, then a
-harm word; "die" and "stab" are German words too and need an English will
-word, or "will" after an English pronoun), target (a person addressed or
-named), negation and reported speech. Composed, they give a clause one weight in one of five ways:
-plain, targeted, negated, reported, threat. A document's clause weights are
-summed per way (threats beyond ``CLAUSES`` clauses in proportion to the
-length, as the labels need not tell of them), and a logistic model fitted on labelled documents turns the
-sums into a score; a way that the labels say nothing about keeps its prior
-(negation and reported speech weigh less).
+Weighted transducers read a clause word by word, together: insult (a lexicon
+of words and word beginnings whose weights are learnt), will (a will-like word
+before a harm), English will (for harms that are other words in German),
+subject (who is to die), object (a person whom the harm meets), target (a
+person addressed or named), negation and reported speech. A path reads one
+word of the clause as its mark, an insult or a harm, and multiplies the
+weights of its arcs; a transducer without an arc for it ends the path, so a
+harm without a will word and a person is none. A clause's score in one of
+five ways (plain, targeted, negated, reported, threat) is its best path of that
+way, and a document's that of its best clause. A logistic model fitted
+on labelled documents turns these and the number of matched clauses into a
+score; a way that the labels say nothing about keeps its prior. Threats, of
+which labels need not tell, are further evidence of their own (noisy-or),
+whatever the length of the text.
 
 Only clauses in which the insult or threat lexicon matches are run through
 the grammar; the match itself is a sorted look-up of word fingerprints over
@@ -19,7 +23,8 @@ Labels are read from at most ``SAMPLE`` documents outside the held-out
 fold. Lang, source and id are never inputs.
 
 Defined results: null, empty and blank texts have no clauses and get the
-model's score of an empty document; repeated rows get the same score;
+model's score of an empty document; very long texts are read whole, clause
+by clause; of equal paths and clauses either counts; repeated rows get the same score;
 without labels of both kinds the prior weights are used; an empty table
 gives an empty table; other columns are not read.
 """
@@ -44,19 +49,38 @@ SUPPORT, LOG_ODDS = 8, 2.5
 PREFIXES = tuple(range(4, 11))          # bytes of word beginnings
 WAYS = ("plain", "targeted", "negated", "reported", "threat")
 
-# Closed word classes of the grammar.
-TARGET = "u her tu te toi vous du dich dir ihr sie usted ustedes tus"
-TARGET_ENGLISH = "you your yours yourself he she they them him his their everyone people"
-NEGATION = "not never no isnt arent wasnt dont doesnt nobody none neither nor without ne pas jamais nicht nie kein keine nunca jamas sin"
-REPORT = "said says say saying called calls calling quoted quote quotes wrote writes claimed claims alleged allegedly reported reports dit disait sagte sagt gesagt dijo dice"
-WILL = "vais va werde wirst voy"
-WILL_ENGLISH = "gonna ill going shall must should deserve deserves"
-HARM = "kill killed hurt beat destroy shoot burn punch strangle tuer toten matar"
-HARM_ENGLISH = "die stab"               # other words in German
-#: Words from a will word to the harm, at most.
-WITHIN = 5
-#: A text of more clauses has its threats set against their number.
-CLAUSES = 10
+# Closed word classes of the grammar, by symbol.
+CLASSES = {
+    "T": "u her tu te toi vous du dich dir ihr sie usted ustedes tus",
+    "U": "you",
+    "Y": "yourself yourselves",
+    "P": "he she they",
+    "O": "him them everyone people",
+    "G": "your yours his their",
+    "N": "not never no isnt arent wasnt dont doesnt nobody none neither nor without ne pas jamais nicht nie kein keine "
+         "nunca jamas sin",
+    "R": "said says say saying called calls calling quoted quote quotes wrote writes claimed claims alleged allegedly "
+         "reported reports dit disait sagte sagt gesagt dijo dice",
+    "W": "vais va werde wirst voy",
+    "V": "gonna ill going shall",
+    "E": "must should deserve deserves",
+    "L": "will",
+    "F": "all of every one each both",
+    "K": "kill",
+    "H": "hurt beat destroy shoot burn punch strangle",
+    "M": "tuer toten töten matar",
+    "S": "stab",
+    "D": "die killed",
+}
+HARMS = "KHMSD"
+#: A word read as the clause's mark: an insult, a harm, or an order to oneself.
+READINGS = {"I": ("I", "I!"), "K": ("K", "K!", "K?"), **{x: (x, x + "!") for x in "HMSD"}}
+MARKS = ("I!", "K!", "K?", "H!", "M!", "S!", "D!")
+TARGETS, OBJECTS, ENGLISH, WILLS = "TUYPOG", "TUYO", "UYPOG", "WVEL"
+#: Weights of arcs: a harm; a mark beside a target; negated or reported.
+HARM, AT_TARGET, NEGATED, REPORTED = 2.0, 1.5, 0.3, 0.3
+#: Words from a will word to the harm and from a negation to the mark, at most.
+WITHIN, NEGATION_WITHIN = 5, 3
 #: Clause ends.
 ENDS = b".!?;\n\r"
 
@@ -146,64 +170,145 @@ def learn_lexicon(rows: DataFrame) -> dict[int, float]:
 
 
 class Transducer:
-    """States and arcs (state, symbol) -> (state, weight); other symbols lead
-    to ``default(state)`` at weight 1."""
+    """Arcs (state, symbol) -> (state, weight); symbols without one of their
+    own lead to ``default(state)`` at weight 1. No path has an arc to ``None``, and none
+    a second mark after ``done`` states."""
 
-    def __init__(self, arcs: dict, default):
-        self.arcs, self.default = arcs, default
+    def __init__(self, arcs: dict, default=lambda s: s, done: tuple = ("done",)):
+        self.arcs, self.default, self.done = arcs, default, done
 
-    def step(self, state: int, symbol: str) -> tuple[int, float]:
-        return self.arcs.get((state, symbol)) or (self.default(state), 1.0)
+    def step(self, state, symbol: str):
+        """(state, weight), or None where the path ends."""
+        if state in self.done:
+            return None if symbol in MARKS else self.arcs.get((state, symbol), (state, 1.0))
+        arc = self.arcs.get((state, symbol))
+        if arc is None:
+            return self.default(state), 1.0
+        return arc if arc[0] is not None else None
 
 
-def _seen(symbols: str) -> Transducer:
-    """0 until one of the symbols has come, then 1."""
-    return Transducer({(0, x): (1, 1.0) for x in symbols}, lambda s: s)
+def _marks(arcs: dict, states, to) -> dict:
+    """The same arc for every mark that has none, from each of the states."""
+    for s in states:
+        for x in MARKS:
+            arcs.setdefault((s, x), to)
+    return arcs
 
 
-def _within(symbols: str, words: int) -> Transducer:
-    """Positive for so many words after one of the symbols."""
-    return Transducer({(s, x): (words + 1, 1.0) for s in range(words + 2) for x in symbols}, lambda s: max(0, s - 1))
+def _after(symbols: str, words: int, needs: tuple[str, ...]) -> Transducer:
+    """The state counts down the words after one of the symbols; the marks of
+    ``needs`` have an arc only while it lasts."""
+    arcs = {(s, x): (words + 1, 1.0) for s in range(words + 2) for x in symbols}
+    arcs |= {(0, x): (None, 0.0) for x in needs}
+    arcs |= {(1, x): (None, 0.0) for x in needs}
+    return Transducer(_marks(arcs, range(words + 2), ("done", 1.0)), lambda s: max(0, s - 1))
 
 
 def _english(words: int) -> Transducer:
-    """The state modulo ``words + 2`` is positive for so many words after an
-    English will word, or "will" with an English pronoun before it; from
-    ``words + 2`` on such a pronoun has come."""
+    """As ``_after`` for the harms that are German words too: an English will
+    word, or "will" after an English pronoun (from ``words + 2`` on, one has come)."""
     top = words + 2
-    arcs = {(s, "V"): (s // top * top + words + 1, 1.0) for s in range(2 * top)}
+    arcs = {(s, x): (s // top * top + words + 1, 1.0) for s in range(2 * top) for x in "VE"}
     arcs |= {(s, "L"): (top + words + 1, 1.0) for s in range(top, 2 * top)}
-    arcs |= {(s, "P"): (top + max(0, s % top - 1), 1.0) for s in range(2 * top)}
-    return Transducer(arcs, lambda s: s // top * top + max(0, s % top - 1))
+    arcs |= {(s, x): (top + max(0, s % top - 1), 1.0) for s in range(2 * top) for x in ENGLISH}
+    arcs |= {(s, x): (None, 0.0) for s in range(2 * top) if s % top < 2 for x in ("S!", "D!")}
+    return Transducer(_marks(arcs, range(2 * top), ("done", 1.0)), lambda s: s // top * top + max(0, s % top - 1))
+
+
+def _subject() -> Transducer:
+    """Who is to die: "you", or a person who must or should. States: the
+    person (0 none, 1 named, 2 addressed) and from 3 on a must."""
+    arcs = {(s, x): (s // 3 * 3 + max(s % 3, 1), 1.0) for s in range(6) for x in "PO"}
+    arcs |= {(s, "U"): (s // 3 * 3 + 2, 1.0) for s in range(6)}
+    arcs |= {(s, "E"): (3 + s % 3, 1.0) for s in range(3)}
+    arcs |= {(s, "D!"): (None, 0.0) for s in (0, 1, 3)}
+    return Transducer(_marks(arcs, range(6), ("done", 1.0)))
+
+
+def _object() -> Transducer:
+    """The mark's own weight and its person: next after an English harm (but
+    for filling words), on either side of others. It accepts in "insult" and "threat"."""
+    arcs = {("none", x): ("before", 1.0) for x in "TU"}
+    for s in ("none", "before"):
+        arcs |= {(s, "I!"): ("insult", 1.0), (s, "D!"): ("threat", HARM), (s, "K?"): ("oneself", HARM)}
+        arcs |= {(s, x): ("waits", HARM) for x in ("K!", "H!", "S!")}
+    arcs |= {("none", "M!"): ("waits", HARM), ("before", "M!"): ("threat", HARM), ("waits", "F"): ("waits", 1.0),
+             ("oneself", "Y"): ("threat", 1.0)}
+    arcs |= {("waits", x): ("threat", 1.0) for x in OBJECTS}
+    return Transducer(arcs, lambda s: "fails" if s in ("waits", "oneself") else s, ("insult", "threat", "fails"))
+
+
+def _near() -> Transducer:
+    """A target anywhere in the clause, once."""
+    return Transducer({(0, x): (1, AT_TARGET) for x in TARGETS}, done=())
+
+
+def _struck(by: Transducer, weight: float, states) -> Transducer:
+    """A mark while the state is positive leads to "struck" at ``weight``."""
+    arcs = dict(by.arcs)
+    arcs |= {(s, x): ("struck", weight) if s else ("done", 1.0) for s in states for x in MARKS}
+    return Transducer(arcs, by.default, ("done", "struck"))
+
+
+def _negation() -> Transducer:
+    n = NEGATION_WITHIN
+    return _struck(Transducer({(s, "N"): (n, 1.0) for s in range(n + 1)}, lambda s: max(0, s - 1)), NEGATED, range(n + 1))
+
+
+def _report() -> Transducer:
+    return _struck(Transducer({(0, "R"): (1, 1.0)}), REPORTED, (0, 1))
 
 
 class Grammar:
-    """The composition: one run over a clause's symbols steps the negation,
-    report, target and threat transducers together and emits, at each insult
-    or harm, a weight in the way that their joint state says."""
+    """The composition of all transducers over a clause's symbols; states of
+    it are built as clauses reach them."""
 
     def __init__(self) -> None:
-        self.parts = (_within("N", 3), _seen("R"), _seen("TP"), _within("WVL", WITHIN), _english(WITHIN))
+        self.parts = (_object(), _negation(), _report(), _near(), _after(WILLS, WITHIN, ("K!", "H!", "M!")),
+                      _english(WITHIN), _subject())
+        self.start = ("none", 0, 0, 0, 0, 0, 0)
         self.words: dict[bytes, str] = {}
-        for symbol, words in (("T", TARGET), ("P", TARGET_ENGLISH), ("N", NEGATION), ("R", REPORT), ("W", WILL),
-                              ("V", WILL_ENGLISH), ("L", "will"), ("H", HARM), ("D", HARM_ENGLISH)):
+        for symbol, words in CLASSES.items():
             for x in words.split():
                 self.words.setdefault(x.encode(), symbol)
+        self.arcs: dict = {}
+
+    def step(self, state: tuple, symbol: str):
+        """(state, product of the weights), or None where a part has no arc."""
+        key = state, symbol
+        if key not in self.arcs:
+            got = [p.step(s, symbol) for p, s in zip(self.parts, state)]
+            self.arcs[key] = None if any(x is None or x[0] == "fails" for x in got) else (
+                tuple(x[0] for x in got), math.prod(x[1] for x in got))
+        return self.arcs[key]
+
+    @staticmethod
+    def way(state: tuple) -> int | None:
+        """The way of a path that ends in this state; None if it has no mark."""
+        kind, negated, reported, near = state[:4]
+        if kind not in ("insult", "threat"):
+            return None
+        return 2 if negated == "struck" else 3 if reported == "struck" else 4 if kind == "threat" else 1 if near else 0
 
     def run(self, symbols: list[tuple[str, float]]) -> list[tuple[int, float]]:
-        state, marks, target = [0] * len(self.parts), [], False
+        """(way, weight) of the best path of each way. Symbols come with the
+        weight of an insult read as the mark."""
+        paths = {self.start: 1.0}
         for symbol, weight in symbols:
-            if symbol == "I":
-                marks.append((symbol, weight, state[0], state[1]))
-            elif symbol == "H" and state[3] or symbol == "D" and state[4] % (WITHIN + 2):
-                marks.append(("H", 3.0, state[0], state[1]))
-            state = [p.step(s, symbol)[0] for p, s in zip(self.parts, state)]
-        target = state[2] > 0
-        out = []
-        for symbol, weight, negated, reported in marks:
-            way = 2 if negated else 3 if reported else 4 if symbol == "H" else 1 if target else 0
-            out.append((way, weight))
-        return out
+            after: dict[tuple, float] = {}
+            for reading in READINGS.get(symbol, (symbol,)):
+                own = weight if reading == "I!" else 1.0
+                for state, total in paths.items():
+                    arc = self.step(state, reading)
+                    if arc is not None:
+                        after[arc[0]] = max(after.get(arc[0], 0.0), total * arc[1] * own)
+            paths = after
+        best: dict[int, float] = {}
+        for state, total in paths.items():
+            way = self.way(state)
+            if way is not None:
+                best[way] = max(best.get(way, 0.0), total)
+        return sorted(best.items())
 
 
 class Scorer:
@@ -215,7 +320,7 @@ class Scorer:
         self.keys = self.keys[order]
         self.weights = np.array([lexicon[int(k)] for k in self.keys.view(np.int64)])
         self.grammar = Grammar()
-        harm = Words(pa.array([f"{HARM} {HARM_ENGLISH}"]), ALNUM).hashes()
+        harm = Words(pa.array([" ".join(CLASSES[x] for x in HARMS)]), ALNUM).hashes()
         self.harm = np.sort(harm)
 
     def clauses(self, w: Words, raw: np.ndarray) -> np.ndarray:
@@ -227,8 +332,8 @@ class Scorer:
         return after[w.start] + text               # a new text is a new clause too
 
     def features(self, texts: pa.Array) -> np.ndarray:
-        """Per text: log-summed weight of each way, number of insult words,
-        the clauses that hold one, and log words."""
+        """Per text: log of the best clause's weight in each way, of the sum of
+        all matched clauses' best paths, of their number, and of the words."""
         w = Words(texts, ALNUM)
         h, rows = w.hashes(), len(texts)
         out = np.zeros((rows, len(WAYS) + 3))
@@ -247,7 +352,6 @@ class Scorer:
         clause = self.clauses(w, raw)
         starts = np.searchsorted(clause, clause[hit], "left")
         ends = np.searchsorted(clause, clause[hit], "right")
-        sums = np.zeros((rows, len(WAYS)))
         done = -1
         for a, z in zip(starts.tolist(), ends.tolist()):
             if a == done:                          # the clause is done
@@ -256,21 +360,27 @@ class Scorer:
             t = int(np.searchsorted(w.first, a, "right")) - 1
             symbols = [("I", float(weight[k])) if weight[k] > 0 else (self.grammar.words.get(w.word(k), ""), 0.0)
                        for k in range(a, z)]
-            marks = self.grammar.run(symbols)
-            for way, x in marks:
-                sums[t, way] += x
-                out[t, len(WAYS)] += 1
-            out[t, len(WAYS) + 1] += bool(marks)
-        first = np.flatnonzero(np.diff(clause, prepend=-1))
-        held = np.bincount(np.searchsorted(w.first, first, "right") - 1, minlength=rows)[:rows]
-        sums[:, WAYS.index("threat")] /= np.maximum(1, held / CLAUSES)
-        out[:, :len(WAYS)] = np.log1p(sums)
-        out[:, len(WAYS):len(WAYS) + 2] = np.log1p(out[:, len(WAYS):len(WAYS) + 2])
+            paths = self.grammar.run(symbols)
+            for way, x in paths:
+                out[t, way] = max(out[t, way], x)
+            if paths:
+                out[t, len(WAYS)] += max(x for _, x in paths)
+                out[t, len(WAYS) + 1] += 1
+        out[:, :len(WAYS) + 2] = np.log1p(out[:, :len(WAYS) + 2])
         return out
 
 
-#: Of the features, then the constant.
-PRIOR = np.array([1.0, 1.2, 0.3, 0.3, 1.5, 0.5, 0.3, 0.0, -2.5])
+#: Of the features, then the constant. Negated and reported paths weigh less by their arcs.
+PRIOR = np.array([1.0, 1.2, 1.0, 1.0, 1.5, 0.5, 0.3, 0.0, -2.5])
+#: Of the threat feature and a constant, where there is a threat.
+THREAT = 2.0, -2.0
+
+
+def probability(x: np.ndarray, coef: np.ndarray) -> np.ndarray:
+    """The model's score and the evidence of a threat, by noisy-or."""
+    threat = x[:, WAYS.index("threat")]
+    own = np.where(threat > 0, sigmoid(THREAT[0] * threat + THREAT[1]), 0.0)
+    return 1 - (1 - sigmoid(x @ coef[:-1] + coef[-1])) * (1 - own)
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -304,8 +414,7 @@ def score(docs: DataFrame, model: tuple[dict[int, float], np.ndarray], doc_id: s
         lexicon, coef = held.value
         if not scorer:
             scorer.append(Scorer(lexicon))
-        x = scorer[0].features(b.column(1))
-        p = sigmoid(x @ coef[:-1] + coef[-1])
+        p = probability(scorer[0].features(b.column(1)), coef)
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], ["doc_id", "score"])
 
     return map_arrow(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run,
@@ -321,7 +430,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
         lexicon, coef = held.value
         if not scorer:
             scorer.append(Scorer(lexicon))
-        return b.filter(pa.array(sigmoid(scorer[0].features(b.column(at)) @ coef[:-1] + coef[-1]) < 0.5))
+        return b.filter(pa.array(probability(scorer[0].features(b.column(at)), coef) < 0.5))
 
     return map_arrow(docs, run, docs.schema)
 

@@ -266,3 +266,44 @@ def test_deep_and_unclosed_pages_take_linear_time():
         start = time.process_time()
         html_extract.main_text(page, html_extract.PRIOR)
         assert time.process_time() - start < 5, n
+
+
+def test_grammar_against_all_paths():
+    """The best path of each way, by walking every choice of the mark through
+    every transducer apart."""
+    import math
+    g, r = toxicity.Grammar(), random.Random(8)
+    symbols = [*toxicity.CLASSES, "I", "I", "I", "", ""] + list("UULVKHDMSTYN") * 2
+    seen = set()
+    for _ in range(4000):
+        clause = [(x, r.choice([1.0, 2.5, 4.0]) if x == "I" else 0.0) for x in r.choices(symbols, k=r.randrange(1, 8))]
+        best = {}
+        for path in itertools.product(*(toxicity.READINGS.get(x, (x,)) for x, _ in clause)):
+            states, weight = list(g.start), math.prod(w for (_, w), x in zip(clause, path) if x == "I!")
+            for x in path:
+                for i, part in enumerate(g.parts):
+                    arc = part.step(states[i], x) if states[i] is not None else None
+                    states[i], w = arc or (None, 0.0)
+                    weight *= w
+            marks = sum(x in toxicity.MARKS for x in path)
+            if weight and marks == 1 and (way := g.way(tuple(states))) is not None:
+                best[way] = max(best.get(way, 0.0), weight)
+        got = dict(g.run(clause))
+        assert got.keys() == best.keys() and all(math.isclose(got[k], best[k]) for k in best), clause
+        seen |= got.keys()
+    assert seen == set(range(len(toxicity.WAYS)))
+
+
+def test_harms_need_a_person():
+    scorer, way = toxicity.Scorer({}), toxicity.WAYS.index("threat")
+    clean = ["The chef will beat the eggs. I will burn the wood. We will shoot the film.",
+             "They should beat the record. We must burn calories. He will punch the ticket.",
+             "I will kill time with you.", "The plant will die. It must die.", "Kill the process yourself.", ""]
+    threats = ["I will kill you", "I will kill you. " + "The weather is fine today. " * 2000, "kill yourself",
+               "You should be killed.", "We are gonna burn all of them!", "Ich werde dich töten", "je vais te tuer"]
+    x = scorer.features(toxicity.pa.array(clean + threats))
+    p = toxicity.probability(x, np.append(np.zeros(x.shape[1]), -4.0))
+    assert not x[:len(clean), :-1].any() and (p[:len(clean)] < 0.1).all()
+    assert (x[len(clean):, way] > 1).all() and (p[len(clean):] > 0.5).all()
+    mild = scorer.features(toxicity.pa.array(["I will never kill you", "He said I will kill you"]))
+    assert not mild[:, way].any() and mild[0, 2] > 0 < mild[1, 3]
