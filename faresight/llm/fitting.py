@@ -27,9 +27,11 @@ def labelled_sample(labels: DataFrame, label: str, bound: int, doc_id: str = "do
 
 
 def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray | None = None, ridge: float = 1.0,
-             weight: np.ndarray | None = None, rounds: int = 40) -> np.ndarray:
+             weight: np.ndarray | None = None, rounds: int = 40,
+             more: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Ridge logistic regression towards ``prior`` by Newton steps; the last
-    coefficient is the constant. Soft labels are allowed."""
+    coefficient is the constant. Soft labels are allowed. ``more``: further rows by
+    the gradient and Hessian of their loss at some coefficients (at, g, h)."""
     a = np.column_stack([x, np.ones(len(x))])
     prior = np.zeros(a.shape[1]) if prior is None else np.asarray(prior, float)
     pen = np.full(a.shape[1], ridge)
@@ -39,7 +41,8 @@ def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray | None = None, ridg
 
     def loss(c):
         z = a @ c
-        return (weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (pen * (c - prior) ** 2).sum()
+        own = (weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (pen * (c - prior) ** 2).sum()
+        return own if more is None else own + more[1] @ (c - more[0]) + 0.5 * (c - more[0]) @ more[2] @ (c - more[0])
 
     if not len(a):
         return b
@@ -48,6 +51,8 @@ def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray | None = None, ridg
         p = sigmoid(a @ b)
         g = a.T @ (weight * (p - y)) + pen * (b - prior)
         h = (a * (weight * p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag(pen)
+        if more is not None:
+            g, h = g + more[1] + more[2] @ (b - more[0]), h + more[2]
         step, t = np.linalg.solve(h, g), 1.0
         while t > 1e-4 and (new := loss(b - t * step)) > now:
             t /= 2

@@ -3,16 +3,20 @@
 The text view sees what a text says and how (repetition, symbols, case,
 word shapes); the metadata view sees what is known about the page (language,
 source, length, line layout). Each view has its own logistic classifier,
-fitted on labelled documents; over some rounds each adds the unlabelled
-documents it is most sure of, with its label, to the other's training rows.
-Both are then calibrated on labelled rows they were not fitted on and
+fitted on labelled documents; over some rounds each labels all the unlabelled
+documents that it is sure of, and the other learns from them: one pass
+sums the gradient and Hessian of their loss on Spark, for each label, and they
+enter the fit with ``SHARE`` of the weight of the labelled rows of that label,
+however many they are. Both are then calibrated on labelled rows they were not fitted on and
 combined, and all documents are scored.
 
 Fitting reads at most ``SAMPLE`` labelled documents outside the held-out
-fold and as many unlabelled ones; scoring covers every document.
+fold and all unlabelled ones; rows of equal features (copies) count once
+there. Scoring covers every document.
 
 Defined results: null, empty and blank texts, null lang, source or n_chars
-have their own feature values and get a score; repeated rows get the same
+have their own feature values and get a score; very long texts are read
+whole; documents at just ``SURE`` count as sure, and equal ones alike; repeated rows get the same
 score; without labels of both kinds every document scores the share of
 label 1 (1.0 if there are none); an empty table gives an empty table;
 columns other than the named ones are passed over or through.
@@ -21,20 +25,22 @@ columns other than the named ones are passed over or through.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faresight.llm.common import map_arrow, materialize, table
+from faresight.llm.common import arrow_batches, map_arrow, materialize, table
 from faresight.llm.fitting import held_out, labelled_sample, logistic, sigmoid
 from faresight.llm.words import SPACED, Words, utf8
 
 SAMPLE = 20_000
 ROUNDS = 4
 SURE = 0.97               # a view's label counts from this probability on
-PER_ROUND = 2_000         # pseudo-labels of a view and label a round
+SHARE = 0.5               # weight of all pseudo-labelled rows, of that of the labelled ones
+STEP, UNIT = 32, 1024     # features and weights as whole numbers, so that sums are exact
 THRESHOLD = 0.5
 LANG_SLOTS, SOURCE_SLOTS = 8, 16
 N_TEXT, N_META = 11, 6 + LANG_SLOTS + SOURCE_SLOTS
@@ -112,29 +118,46 @@ def metadata_view(lang: pa.Array, source: pa.Array, n_chars: pa.Array, texts: pa
 
 
 class View:
-    """A standardised logistic classifier."""
+    """A logistic classifier on features standardised by labelled rows."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None):
+    def __init__(self, x: np.ndarray, y: np.ndarray):
         self.mean, self.std = x.mean(0), x.std(0) + 1e-6
-        self.b = logistic((x - self.mean) / self.std, y, weight=weight)
-
-    def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.std, -10, 10) @ self.b[:-1] + self.b[-1]
+        self.x, self.y = self.scaled(x), y
+        self.b = logistic(self.x, y)
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.std, -10, 10)
 
-def _fit_view(x, y, ux, uy, uw) -> View:
-    if not len(uy):
-        return View(x, y)
-    return View(np.concatenate([x, ux]), np.concatenate([y, uy]), np.concatenate([np.ones(len(y)), uw]))
+    def logit(self, x: np.ndarray) -> np.ndarray:
+        return self.scaled(x) @ self.b[:-1] + self.b[-1]
+
+    def learn(self, sums: dict[int, tuple[int, np.ndarray, np.ndarray]]) -> None:
+        """Fit again with pseudo-labelled rows: of each label their number,
+        gradient and Hessian."""
+        g, h = np.zeros(len(self.b)), np.zeros((len(self.b), len(self.b)))
+        for label, (n, own_g, own_h) in sums.items():
+            if n:
+                weight = SHARE * (self.y == label).sum() / n
+                g, h = g + weight * own_g, h + weight * own_h
+        self.b = logistic(self.x, self.y, more=(self.b, g, h))
+
+    def sums(self, x: np.ndarray, label: int) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and Hessian of the loss of rows with this label, in whole
+        numbers of 1 / (STEP * UNIT) and 1 / (STEP * STEP * UNIT)."""
+        z = self.scaled(x)
+        p = sigmoid(z @ self.b[:-1] + self.b[-1])
+        a = np.rint(np.column_stack([z, np.ones(len(z))]) * STEP)
+        return a.T @ np.rint((p - label) * UNIT), (a * np.rint(p * (1 - p) * UNIT)[:, None]).T @ a
 
 
 class CoTrained:
     """Two views, calibrated and combined."""
 
-    def __init__(self, x: list[np.ndarray], y: np.ndarray, part: np.ndarray, u: list[np.ndarray],
-                 rounds: int = ROUNDS, sure: float = SURE, per_round: int = PER_ROUND):
-        """x, u: both views of labelled and unlabelled rows; part: False for
-        the labelled rows kept for calibration."""
+    def __init__(self, x: list[np.ndarray], y: np.ndarray, part: np.ndarray,
+                 passes: Callable[[CoTrained], list[dict]] | None = None, rounds: int = ROUNDS):
+        """x: both views of labelled rows; part: False for those kept for
+        calibration; passes: a pass over all unlabelled rows, that gives what
+        ``View.learn`` takes for each view."""
         self.constant = None
         if not len(y) or y.min() == y.max():
             self.constant = float(y.mean()) if len(y) else 1.0
@@ -144,27 +167,26 @@ class CoTrained:
             rest = part
         else:
             rest = ~part
-        given: list[dict[int, int]] = [{}, {}]      # pseudo-labels that each view learns from
-        for r in range(rounds + 1):
-            views = []
-            for v in (0, 1):
-                i = np.fromiter(given[v], int, len(given[v]))
-                lab = np.fromiter(given[v].values(), float, len(given[v]))
-                views.append(_fit_view(x[v][part], y[part], u[v][i], lab, np.full(len(i), 0.5)))
-            self.views = views
-            if r == rounds or not len(u[0]):
-                break
-            cal = [self._platt(views[v].logit(x[v][rest]), y[rest]) for v in (0, 1)]
-            for v in (0, 1):
-                z = views[v].logit(u[v])
-                p = sigmoid(cal[v][0] * z + cal[v][1])
-                for label, q in ((1, p), (0, 1 - p)):
-                    best = np.argsort(-q, kind="stable")[:per_round * (r + 1)]
-                    for i in best[q[best] >= sure].tolist():
-                        given[1 - v].setdefault(i, label)
-        self.cal = [self._platt(views[v].logit(x[v][rest]), y[rest]) for v in (0, 1)]
-        z = np.column_stack([c[0] * views[v].logit(x[v][rest]) + c[1] for v, c in enumerate(self.cal)])
+        self.views = [View(x[v][part], y[part]) for v in (0, 1)]
+
+        def calibrate() -> list[np.ndarray]:
+            return [self._platt(view.logit(x[v][rest]), y[rest]) for v, view in enumerate(self.views)]
+
+        self.cal = calibrate()
+        for _ in range(rounds if passes else 0):
+            for view, sums in zip(self.views, passes(self)):
+                view.learn(sums)
+            self.cal = calibrate()
+        z = np.column_stack([c[0] * view.logit(x[v][rest]) + c[1]
+                             for v, (view, c) in enumerate(zip(self.views, self.cal))])
         self.both = logistic(z, y[rest], np.array([0.7, 0.3, 0.0]))
+        for view in self.views:
+            del view.x, view.y                     # not part of the model
+
+    def sure(self, v: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that view v is sure of as label 0 and as label 1."""
+        p = sigmoid(self.cal[v][0] * self.views[v].logit(x) + self.cal[v][1])
+        return 1 - p >= SURE, p >= SURE
 
     @staticmethod
     def _platt(z: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -190,28 +212,85 @@ NAMES = ("text", "lang", "source", "n_chars")
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality",
         names: tuple[str, str, str, str] = NAMES, sample: int = SAMPLE) -> CoTrained:
     """names: the columns of text, lang, source and length."""
-    known = labelled_sample(labels, label, sample)
-    pool = (docs.select(F.col(doc_id).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-            .join(labels.select(F.col("doc_id")), "doc_id", "left_anti")
-            .orderBy(F.md5(F.concat(F.lit("pool"), F.col("doc_id").cast("string")))).limit(sample)
-            .select("doc_id", F.lit(-1).alias("label")))
-    ids = materialize(known.unionByName(pool), "quality_ids")         # at most 2 * sample rows
     rows = docs.select(F.col(doc_id).alias("doc_id"), *(F.col(n).alias(k) for n, k in zip(names, NAMES)))
-    rows = rows.join(F.broadcast(ids), "doc_id")
+    ids = materialize(labelled_sample(labels, label, sample), "quality_ids")
 
     def features(b: pa.RecordBatch) -> pa.RecordBatch:
         x = np.column_stack(_views(b, NAMES))
         return pa.RecordBatch.from_arrays([b.column(0), b.column(b.schema.names.index("label")),
                                            pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
-    got = map_arrow(rows, features, "doc_id long, label int, x array<double>").toPandas()
+    got = map_arrow(rows.join(F.broadcast(ids), "doc_id"), features,       # at most ``sample`` ids
+                    "doc_id long, label int, x array<double>").toPandas()
     got = got.sort_values(["doc_id", "label"], kind="stable")
     x = np.array(got["x"].tolist()).reshape(len(got), N_TEXT + N_META)
-    y, ids = got["label"].to_numpy(), got["doc_id"].to_numpy()
-    part = np.array([zlib.crc32(b"c%d" % i) % 3 > 0 for i in ids], bool)
-    lab = y >= 0
-    return CoTrained([x[lab, :N_TEXT], x[lab, N_TEXT:]], y[lab].astype(float), part[lab],
-                     [x[~lab, :N_TEXT], x[~lab, N_TEXT:]])
+    y = got["label"].to_numpy(float)
+    part = np.array([zlib.crc32(b"c%d" % i) % 3 > 0 for i in got["doc_id"]], bool)
+    both = len(np.unique(y)) == 2
+    return CoTrained([x[:, :N_TEXT], x[:, N_TEXT:]], y, part, _passes(unlabelled(rows, labels)) if both else None)
+
+
+def unlabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(x): the distinct features of all documents with an id that has no
+    label, as bytes: all but the indicators as floats, then the places of these."""
+
+    def features(b: pa.RecordBatch) -> pa.RecordBatch:
+        text, meta = _views(b, NAMES)
+        plain = np.column_stack([text, meta[:, :6]]).astype("<f4")
+        places = [np.where(part.any(1), part.argmax(1) + 1, 0) for part in (meta[:, 6:6 + LANG_SLOTS], meta[:, 6 + LANG_SLOTS:])]
+        packed = np.column_stack([plain.view(np.uint8), *places]).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in packed], pa.binary())], ["doc_id", "x"])
+
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"))
+    return materialize(map_arrow(rows.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long")), features,
+                                 "doc_id long, x binary").join(known, "doc_id", "left_anti").select("x").distinct(),
+                       "quality_unlabelled")
+
+
+def unpack(x: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of packed features."""
+    raw = np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1)
+    plain = np.ascontiguousarray(raw[:, :-2]).view("<f4").astype(float)
+    out = np.zeros((len(x), N_TEXT + N_META))
+    out[:, :N_TEXT + 6] = plain
+    for place, at in ((raw[:, -2], N_TEXT + 6), (raw[:, -1], N_TEXT + 6 + LANG_SLOTS)):
+        some = np.flatnonzero(place)
+        out[some, at + place[some].astype(int) - 1] = 1
+    return out[:, :N_TEXT], out[:, N_TEXT:]
+
+
+def _passes(pool: DataFrame) -> Callable[[CoTrained], list[dict]]:
+    """Of each view and label, the number, gradient and Hessian of the rows
+    that the other view is sure of: whole numbers, summed in any order."""
+
+    def run(model: CoTrained) -> list[dict]:
+        held = pool.sparkSession.sparkContext.broadcast(model)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = held.value
+            total: dict[tuple[int, int], np.ndarray] = {}
+            for b in batches:
+                xs = unpack(b.column(0).to_pylist())
+                for v in (0, 1):
+                    for label, rows in enumerate(model.sure(1 - v, xs[1 - v])):
+                        g, h = model.views[v].sums(xs[v][rows], label)
+                        own = np.concatenate([[rows.sum()], g, h.ravel()]).astype(np.int64)
+                        total[v, label] = total.get((v, label), 0) + own
+            for (v, label), own in total.items():
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(own), v, np.int32)), pa.array(np.full(len(own), label, np.int32)),
+                    pa.array(np.arange(len(own), dtype=np.int32)), pa.array(own)], ["view", "label", "at", "n"])
+
+        arrow_batches(pool.sparkSession)
+        got = (pool.mapInArrow(add, "view int, label int, at int, n long")
+               .groupBy("view", "label", "at").agg(F.sum("n").alias("n")).toPandas())   # some 2,300 rows
+        out: list[dict] = [{}, {}]
+        for (v, label), part in got.groupby(["view", "label"]):
+            own, k = part.sort_values("at")["n"].to_numpy(float), len(model.views[v].b)
+            out[v][int(label)] = int(own[0]), own[1:1 + k] / (STEP * UNIT), own[1 + k:].reshape(k, k) / (STEP * STEP * UNIT)
+        return out
+
+    return run
 
 
 def score(docs: DataFrame, model: CoTrained, doc_id: str = "doc_id",

@@ -307,3 +307,42 @@ def test_harms_need_a_person():
     assert (x[len(clean):, way] > 1).all() and (p[len(clean):] > 0.5).all()
     mild = scorer.features(toxicity.pa.array(["I will never kill you", "He said I will kill you"]))
     assert not mild[:, way].any() and mild[0, 2] > 0 < mild[1, 3]
+
+
+def test_pseudo_labels_of_all_documents(spark, odd_docs, labels):
+    """A pass over all unlabelled documents sums what plain numpy sums over
+    their distinct features, and a fit with the sums lowers their loss."""
+    rows = odd_docs.select("doc_id", *quality.NAMES)
+    pool = quality.unlabelled(rows, labels)
+    views = quality.unpack([r["x"] for r in pool.collect()])
+    free = rows.where("doc_id > 11").toPandas()
+    assert len(views[0]) == len(free) == 3          # ids 12 to 14, with the repeated and labelled ones gone
+    b = quality.pa.RecordBatch.from_pandas(free)
+    want = quality._views(b, quality.NAMES)
+    for got, x in zip(views, want):
+        assert np.allclose(sorted(got.tolist()), sorted(x.tolist()), atol=1e-5)
+    r = np.random.default_rng(1)
+    x = [r.normal(size=(60, quality.N_TEXT)), r.normal(size=(60, quality.N_META))]
+    y = (x[0][:, 0] + 0.1 * x[1][:, 0] > 0).astype(float)
+    model = quality.CoTrained(x, y, np.arange(60) % 3 > 0, rounds=0)
+    for v in (0, 1):
+        model.views[v].x, model.views[v].y = model.views[v].scaled(x[v]), y
+    big = spark.createDataFrame([(bytes(p),) for p in
+                                 np.column_stack([np.column_stack([x[0], x[1][:, :6]]).astype("<f4").view(np.uint8),
+                                                  np.zeros((60, 2), np.uint8)])] * 2, "x binary").repartition(5)
+    sums = quality._passes(big)(model)
+    far = quality.unpack([r["x"] for r in big.collect()])
+    for v in (0, 1):
+        for label, sure in enumerate(model.sure(1 - v, far[1 - v])):
+            n, g, h = sums[v].get(label, (0, 0, 0))
+            assert n == sure.sum()
+            if not n:
+                continue
+            a = np.column_stack([model.views[v].scaled(far[v][sure]), np.ones(n)])
+            p = quality.sigmoid(a @ model.views[v].b)
+            assert np.allclose(g, a.T @ (p - label), atol=0.05 * n) and np.allclose(
+                h, (a * (p * (1 - p))[:, None]).T @ a, atol=0.15 * n)
+    before = [view.b.copy() for view in model.views]
+    n, g, h = sums[1][1]
+    model.views[1].learn({1: sums[1][1]})
+    assert n and g @ (model.views[1].b - before[1]) <= 0
