@@ -5,7 +5,7 @@ word shapes); the metadata view sees what is known about the page (language,
 source, length, line layout). Each view has its own logistic classifier,
 fitted on labelled documents; over some rounds each labels all the unlabelled
 documents that it is sure of, and the other learns from them: one pass
-sums the gradient and Hessian of their loss on Spark, for each label, and they
+sums the gradient of their loss and a bound of its Hessian on Spark, for each label, and they
 enter the fit with ``SHARE`` of the weight of the labelled rows of that label,
 however many they are. Both are then calibrated on labelled rows they were not fitted on and
 combined, and all documents are scored.
@@ -133,7 +133,7 @@ class View:
 
     def learn(self, sums: dict[int, tuple[int, np.ndarray, np.ndarray]]) -> None:
         """Fit again with pseudo-labelled rows: of each label their number,
-        gradient and Hessian."""
+        gradient and bound of the Hessian."""
         g, h = np.zeros(len(self.b)), np.zeros((len(self.b), len(self.b)))
         for label, (n, own_g, own_h) in sums.items():
             if n:
@@ -142,12 +142,13 @@ class View:
         self.b = logistic(self.x, self.y, more=(self.b, g, h))
 
     def sums(self, x: np.ndarray, label: int) -> tuple[np.ndarray, np.ndarray]:
-        """Gradient and Hessian of the loss of rows with this label, in whole
-        numbers of 1 / (STEP * UNIT) and 1 / (STEP * STEP * UNIT)."""
+        """Gradient of the loss of rows with this label and the bound of its
+        Hessian (weight 1/4 a row, so that a step never overshoots where rows are
+        sure), in whole numbers of 1 / (STEP * UNIT) and 1 / (STEP * STEP * 4)."""
         z = self.scaled(x)
         p = sigmoid(z @ self.b[:-1] + self.b[-1])
         a = np.rint(np.column_stack([z, np.ones(len(z))]) * STEP)
-        return a.T @ np.rint((p - label) * UNIT), (a * np.rint(p * (1 - p) * UNIT)[:, None]).T @ a
+        return a.T @ np.rint((p - label) * UNIT), a.T @ a
 
 
 class CoTrained:
@@ -287,7 +288,7 @@ def _passes(pool: DataFrame) -> Callable[[CoTrained], list[dict]]:
         out: list[dict] = [{}, {}]
         for (v, label), part in got.groupby(["view", "label"]):
             own, k = part.sort_values("at")["n"].to_numpy(float), len(model.views[v].b)
-            out[v][int(label)] = int(own[0]), own[1:1 + k] / (STEP * UNIT), own[1 + k:].reshape(k, k) / (STEP * STEP * UNIT)
+            out[v][int(label)] = int(own[0]), own[1:1 + k] / (STEP * UNIT), own[1 + k:].reshape(k, k) / (STEP * STEP * 4)
         return out
 
     return run

@@ -341,8 +341,11 @@ def test_pseudo_labels_of_all_documents(spark, odd_docs, labels):
             a = np.column_stack([model.views[v].scaled(far[v][sure]), np.ones(n)])
             p = quality.sigmoid(a @ model.views[v].b)
             assert np.allclose(g, a.T @ (p - label), atol=0.05 * n) and np.allclose(
-                h, (a * (p * (1 - p))[:, None]).T @ a, atol=0.15 * n)
+                h, a.T @ a / 4, atol=0.15 * n)
     before = [view.b.copy() for view in model.views]
     n, g, h = sums[1][1]
+    rows = far[1][model.sure(0, far[0])[1]]
+    loss = np.logaddexp(0, -model.views[1].logit(rows)).sum()
     model.views[1].learn({1: sums[1][1]})
     assert n and g @ (model.views[1].b - before[1]) <= 0
+    assert np.logaddexp(0, -model.views[1].logit(rows)).sum() <= loss + 1e-6
