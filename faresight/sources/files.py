@@ -5,9 +5,8 @@ side tables (A1-A9, A11)."""
 from __future__ import annotations
 
 from functools import reduce
-from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +16,7 @@ from faresight.schema import (AIRPORT_SCHEMA, FARE_COLUMNS,
                               FARE_RAW_SCHEMA, RUN_FILE_SCHEMA, SEARCH_REQUEST, WRITER10_COLUMNS,
                               WRITER10_SCHEMA, WRITER13_COLUMNS, WRITER13_SCHEMA,
                               WRITER_RENAMES)
+from faresight.session import materialize
 
 __all__ = [
     "scan_fare_history", "coerce_fare_types", "scan_fare_layouts",
@@ -92,33 +92,120 @@ RUNS_WITH_CORRUPT = T.StructType(RUN_FILE_SCHEMA.fields + [T.StructField("_corru
 OPENS = r"^\s*\[\s*(\{[^}]*)?$|^\s*\{\s*$"
 
 
+#: A JSON string; it never spans lines, so the depth of each line is its own.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+#: Where a value ends and the next one begins, outside strings.
+_NEXT = r"(?<=[}\]])(?=\s*,?\s*[{\[])"
+
+
+def _segments(line) -> F.Column:
+    """A line cut after each value that another follows, the last piece with
+    its line end; most lines are one segment."""
+    cut = F.split(F.regexp_replace(line, f"({_STRING})|{_NEXT}", "$1\n"), "\n")
+    parts = F.when(line.rlike(r"[}\]]\s*,?\s*[{\[]"), cut).otherwise(F.array(line))
+    return F.concat(F.slice(parts, 1, F.size(parts) - 1), F.array(F.concat(F.element_at(parts, -1), F.lit("\n"))))
+
+
+def _depth(text) -> F.Column:
+    """Opening less closing braces and brackets outside strings."""
+    bare = F.regexp_replace(text, _STRING, "")
+    return F.length(F.translate(bare, "}]", "")) - F.length(F.translate(bare, "{[", ""))
+
+
+def _pretty_pieces(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(value): the texts of the records of pretty-printed files, whose lines
+    are read by byte ranges (blocks). A range's lines get their depth from
+    the sums of the ranges before it; the records that begin in a range are
+    put together there, and only the text before a range's first record and
+    its last record meet those of the next ranges.
+
+    lines: file, block, at (increasing in a block), value; blocks: file,
+    block, before (depth where it begins), level (depth of the records)."""
+    block = Window.partitionBy("file", "block")
+    along = block.orderBy("at", "part")
+    rows = lines.select("file", "block", "at", F.posexplode(_segments(F.col("value"))).alias("part", "text"))
+    rows = rows.withColumn("d", _depth(F.col("text"))).join(blocks, ["file", "block"])
+    rows = rows.withColumn("after", F.col("before") + F.sum("d").over(along))
+    start = F.when(F.col("after") - F.col("d") <= F.col("level"), F.struct("at", "part"))
+    rows = (rows.withColumn("start", start)
+            .withColumns({"first": F.last("start", ignorenulls=True).over(along), "last": F.max("start").over(block)}))
+    # a record's own lines; the two aggregates need no further shuffle
+    pieces = rows.groupBy("file", "block", "first").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "part", "text"))), lambda x: x["text"]), "").alias("text"),
+        F.min(F.struct("at", "part", (F.col("after") - F.col("d")).alias("depth")))["depth"].alias("opens"),
+        F.max(F.struct("at", "part", "after"))["after"].alias("closes"),
+        F.first("level").alias("level"), F.first("last").alias("last"))
+    inner = F.col("first").isNotNull() & (F.col("first") != F.col("last"))
+    files = Window.partitionBy("file").orderBy("block", F.col("first").asc_nulls_first())
+    # at most two pieces of each range: those that may go on
+    edges = (pieces.where(~F.coalesce(inner, F.lit(False)))
+             .withColumn("record", F.sum(F.col("first").isNotNull().cast("long")).over(files))
+             .groupBy("file", "record").agg(
+                 F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", F.col("first").isNotNull(), "text"))),
+                                          lambda x: x["text"]), "").alias("text"),
+                 F.min(F.struct("block", F.col("first").isNotNull(), "opens"))["opens"].alias("opens"),
+                 F.max(F.struct("block", F.col("first").isNotNull(), "closes"))["closes"].alias("closes"),
+                 F.first("level").alias("level")))
+    both = pieces.where(inner).select("text", "opens", "closes", "level").unionByName(
+        edges.select("text", "opens", "closes", "level"))
+    array, text = F.col("level") == 1, strip("text")
+    text = F.when(array & (F.col("opens") <= 0), F.regexp_replace(text, r"^\[\s*", "")).otherwise(text)
+    text = F.when(array, F.regexp_replace(text, r"^,\s*|\s*,$", "")).otherwise(text)
+    text = F.when(array & (F.col("closes") <= 0), F.regexp_replace(text, r"\s*\]$", "")).otherwise(text)
+    return both.select(text.alias("value")).where("value <> ''")
+
+
 def scan_crawl_runs(spark: SparkSession, path: str, layout: str = "auto") -> DataFrame:
     """Run summaries with their days and price options (A5), from files of
     JSON lines (as ``append_crawl_runs`` writes them; a line may also hold a
-    whole array) and files with one pretty-printed array or object.
-
-    Lines are split between tasks; a pretty-printed file is one task's.
-    ``layout``: "lines" or "array" for folders of one kind, "auto" looks at
-    the lines first and reads each file in its own way. Text that does not
-    parse lands in ``_corrupt_record``; it is kept and reported, never
-    silently replaced.
+    whole array) and pretty-printed files of an array, an object or several
+    of them in turn.
+
+    Both kinds are split between tasks by byte ranges: one pass sums each
+    range's braces and finds the kind of each file, a small table (a row a
+    range) that stays on the executors; the records of a pretty-printed file
+    are then put together from its lines. A file on one long line, or a
+    compressed one, is one task's, and so is a record.
+
+    ``layout``: "lines" or "array" for folders of one kind, "auto" tells each
+    file's own. Text that does not parse lands in ``_corrupt_record``, a line
+    or a record at a time; it is kept and reported, never silently replaced.
+    Braces that do not match make the rest of their file corrupt, as
+    one text or many; an empty folder gives no row.
     """
-    def read(files, multi):
-        return (spark.read.schema(RUNS_WITH_CORRUPT).option("multiLine", multi).option("mode", "PERMISSIVE")
-                .option("columnNameOfCorruptRecord", "_corrupt_record").json(files))
-
-    if layout in ("lines", "array"):
-        return read(path, layout == "array")
-    if layout != "auto":
+    if layout == "lines":
+        return (spark.read.schema(RUNS_WITH_CORRUPT).option("mode", "PERMISSIVE")
+                .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+    if layout not in ("auto", "array"):
         raise ValueError("layout must be 'auto', 'lines' or 'array'")
-    opens = F.col("value").rlike(OPENS)        # only file names come back
-    names = (spark.read.text(path).select("_metadata.file_path", opens.alias("o")).groupBy("file_path")
-             .agg(F.max("o").alias("o")).collect())
-    kinds = {k: [unquote(r["file_path"]) for r in names if bool(r["o"]) == k] for k in (False, True)}
-    parts = [read(files, multi) for multi, files in kinds.items() if files]
-    if not parts:
-        return spark.createDataFrame([], RUNS_WITH_CORRUPT)
-    return reduce(DataFrame.unionByName, parts)
+    lines = (spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value").where(strip("value") != ""))
+    pretty = F.lit(layout == "array") | F.max(F.col("value").rlike(OPENS))
+    sums = lines.groupBy("file", "block").agg(
+        pretty.alias("pretty"), F.sum(_depth(F.col("value"))).alias("d"),
+        F.min(F.struct("at", F.substring(strip("value"), 1, 1).alias("c")))["c"].alias("c"))
+    before, whole = Window.partitionBy("file").orderBy("block"), Window.partitionBy("file")
+    blocks = materialize(sums.select(
+        "file", "block", F.max("pretty").over(whole).alias("pretty"),
+        (F.sum("d").over(before) - F.col("d")).alias("before"),
+        F.when(F.first("c").over(before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) == "[", 1)
+        .otherwise(0).alias("level")), "run_blocks")
+    plain = lines.join(blocks.where("NOT pretty").select("file", "block"), ["file", "block"], "left_semi").select("value")
+    records = _pretty_pieces(lines, blocks.where("pretty").drop("pretty"))
+    return plain.unionByName(records).select(F.inline(_parse_runs(F.col("value"))))
+
+
+def _parse_runs(piece) -> F.Column:
+    """The runs of a JSON text as an array; one that does not parse is an
+    element with ``_corrupt_record``."""
+    got = F.from_json(piece, T.ArrayType(RUN_FILE_SCHEMA), {"mode": "PERMISSIVE"})
+    bad = F.array(F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in RUN_FILE_SCHEMA],
+                           piece.alias("_corrupt_record")))
+    good = F.transform(got, lambda r: F.struct(*[r[f.name].alias(f.name) for f in RUN_FILE_SCHEMA],
+                                               F.lit(None).cast("string").alias("_corrupt_record")))
+    empty = got.isNull() | F.forall(got, lambda r: r.isNull())
+    return F.when(empty & ~strip(piece).rlike(r"^\[\s*\]$"), bad).otherwise(good)
 
 
 def runs_of_text(value) -> F.Column:
@@ -130,20 +217,10 @@ def runs_of_text(value) -> F.Column:
     lines = F.filter(F.split(value, r"[\r\n]+"), lambda x: strip(x) != "")
     pretty = F.exists(lines, lambda x: x.rlike(OPENS))
     pieces = F.when(pretty, F.array(value)).otherwise(lines)
-    kind = T.ArrayType(RUN_FILE_SCHEMA)
-
-    def parse(piece):
-        got = F.from_json(piece, kind, {"mode": "PERMISSIVE"})
-        bad = F.array(F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in RUN_FILE_SCHEMA],
-                               piece.alias("_corrupt_record")))
-        good = F.transform(got, lambda r: F.struct(*[r[f.name].alias(f.name) for f in RUN_FILE_SCHEMA],
-                                                   F.lit(None).cast("string").alias("_corrupt_record")))
-        empty = got.isNull() | F.forall(got, lambda r: r.isNull())
-        return F.when(empty & ~strip(piece).rlike(r"^\[\s*\]$"), bad).otherwise(good)
 
     # in brackets, text after the first value is an error and is not passed over
     whole = F.try_parse_json(F.concat(F.lit("["), value, F.lit("]"))).isNotNull()
-    got = F.flatten(F.transform(pieces, parse))
+    got = F.flatten(F.transform(pieces, _parse_runs))
     rest = F.array(F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in RUN_FILE_SCHEMA],
                             value.alias("_corrupt_record")))
     more = pretty & ~F.exists(got, lambda r: r["_corrupt_record"].isNotNull())

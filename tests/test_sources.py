@@ -163,3 +163,70 @@ def test_history_date_filter_prunes_partitions(spark, tmp_path):
         q.explain()
     assert "PartitionFilters: [isnotnull(flight_day" in buf.getvalue()
     assert q.count() == 3
+
+
+HARD = ['plain', '}, {', 'a "quoted" ] end', '[{', 'back\\slash "}', '', 'Tân Sơn Nhất {']
+
+
+def _runs(n):
+    return [{"run_id": i, "total_days_crawled": i % 3, "prices": [
+        {"flight_number": f"VJ{i}-{j} {HARD[(i + j) % len(HARD)]}", "total_price": str(j)} for j in range(i % 4)]} for i in range(n)]
+
+
+def _seen(df):
+    return sorted((r.run_id, r.total_days_crawled, tuple((p.flight_number, p.total_price) for p in r.prices)) for r in df.collect())
+
+
+def _as_seen(runs):
+    return sorted((r["run_id"], r["total_days_crawled"], tuple((p["flight_number"], p["total_price"]) for p in r["prices"])) for r in runs)
+
+
+def test_one_pretty_array_is_read_by_many_tasks(spark, tmp_path):
+    runs = _runs(2000)
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a" / "indented.json").write_text(json.dumps(runs, indent=2))
+    values = ",\n".join(json.dumps(r) for r in runs)          # a record a line, in one array
+    (tmp_path / "b" / "rows.json").write_text("[\n" + values + "\n]\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        for folder in ("a", "b"):
+            assert spark.read.text(str(tmp_path / folder)).rdd.getNumPartitions() > 20
+            got = fl.scan_crawl_runs(spark, str(tmp_path / folder))
+            assert _seen(got) == _as_seen(runs)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_ranges_smaller_than_a_record(spark, tmp_path):
+    runs = _runs(60)
+    for name, text in {"py": json.dumps(runs, indent=4), "tight": json.dumps(runs, indent=1, separators=(",", ":")),
+                       "java": json.dumps(runs, indent=2).replace("[\n  {", "[ {").replace("},\n  {", "}, {").replace("}\n]", "} ]"),
+                       "turn": "\n".join(json.dumps(r, indent=2) for r in runs)}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.json").write_text(text)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+        try:
+            assert _seen(fl.scan_crawl_runs(spark, str(tmp_path / name))) == _as_seen(runs), name
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_kinds_of_files_and_broken_ones(spark, tmp_path):
+    runs = _runs(9)
+    d = tmp_path / "mixed"
+    d.mkdir()
+    (d / "lines.json").write_text("\n".join(json.dumps(r) for r in runs[:3]) + "\n\n{broken\n")
+    (d / "line.json").write_text(json.dumps(runs[3:5]))
+    (d / "object.json").write_text(json.dumps(runs[5], indent=2))
+    (d / "empty.json").write_text("")
+    (d / "none.json").write_text("[\n]\n")
+    cut = json.dumps(runs[6:], indent=2)
+    (d / "cut.json").write_text(cut[:cut.rindex('"prices"')])          # ends within its last record
+    got = fl.scan_crawl_runs(spark, str(d)).cache()
+    assert _seen(got.where("run_id IS NOT NULL")) == _as_seen(runs[:8])
+    bad = sorted(r[0].strip() for r in fl.corrupt_records(got).collect())
+    assert len(bad) == 2 and "{broken" in bad and any('"run_id": 8' in b for b in bad)
+    (tmp_path / "void").mkdir()
+    (tmp_path / "void" / "x.json").write_text("")
+    assert fl.scan_crawl_runs(spark, str(tmp_path / "void")).count() == 0
