@@ -99,7 +99,8 @@ def airline_code(flight_number) -> Column:
 
 
 def dmy_parts(x) -> tuple[Column, Column, Column, Column]:
-    """Split 'DD/MM/YYYY' into (valid, day, month, year) like parseInt."""
+    """Split 'DD/MM/YYYY' into (valid, day, month, year) like parseInt; the
+    years 0 to 99 are 1900 to 1999, as in JavaScript's dates."""
     parts = F.split(_c(x), "/")
     ok3 = F.size(parts) == 3
 
@@ -107,6 +108,7 @@ def dmy_parts(x) -> tuple[Column, Column, Column, Column]:
         return F.regexp_extract(F.get(parts, i), _PARSE_INT, 1).try_cast("int")
 
     d, m, y = num(0), num(1), num(2)
+    y = F.when(y.between(0, 99), y + 1900).otherwise(y)
     valid = (ok3 & y.between(1, 9999) & m.between(-12000, 12000)
              & d.between(-400000, 400000))
     return valid, d, m, y

@@ -59,6 +59,14 @@ def test_dmy_dates(spark):
         "2025-12-31T00:00:00.000Z", "2024-02-29T00:00:00.000Z", "2025-03-03T00:00:00.000Z"]
 
 
+def test_dmy_years_of_two_digits(spark):
+    data = [("05/07/25",), ("31/12/99",), ("1/1/0",), ("1/1/0070",), ("29/02/100",), ("1/1/-5",), ("1/1/",)]
+    assert one(spark, tp.dmy_to_iso("x"), data) == [
+        "1925-07-05T00:00:00.000Z", "1999-12-31T00:00:00.000Z", "1900-01-01T00:00:00.000Z", "1970-01-01T00:00:00.000Z",
+        "0100-03-01T00:00:00.000Z", None, None]
+    assert one(spark, tp.next_dmy("x"), data)[:2] == ["06/07/1925", "01/01/2000"]
+
+
 def test_fallback_flight_date(spark):
     df = spark.createDataFrame([("2025-07-05T00:00:00.000Z", "01/01/2025"),
                                 (None, "28/07/2025")], "f string, s string")
