@@ -5,6 +5,7 @@ side tables (A1-A9, A11)."""
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -158,30 +159,51 @@ def _pretty_pieces(lines: DataFrame, blocks: DataFrame) -> DataFrame:
 def scan_crawl_runs(spark: SparkSession, path: str, layout: str = "auto") -> DataFrame:
     """Run summaries with their days and price options (A5), from files of
     JSON lines (as ``append_crawl_runs`` writes them; a line may also hold a
-    whole array) and pretty-printed files of an array, an object or several
-    of them in turn.
-
-    Both kinds are split between tasks by byte ranges: one pass sums each
-    range's braces and finds the kind of each file, a small table (a row a
-    range) that stays on the executors; the records of a pretty-printed file
-    are then put together from its lines. A file on one long line, or a
-    compressed one, is one task's, and so is a record.
-
-    ``layout``: "lines" or "array" for folders of one kind, "auto" tells each
-    file's own. Text that does not parse lands in ``_corrupt_record``, a line
-    or a record at a time; it is kept and reported, never silently replaced.
-    Braces that do not match make the rest of their file corrupt, as
-    one text or many; an empty folder gives no row.
+    whole array) and pretty-printed files of an array or an object.
+
+    ``layout``: "lines" or "array" for folders of one kind; "auto" looks at
+    the lines first and reads each file in its own way, lines split between
+    tasks and a pretty-printed file by one; "ranges" also splits
+    pretty-printed files (see ``_by_ranges``), for those too large for a task.
+    Text that does not parse lands in ``_corrupt_record``; it is kept and
+    reported, never silently replaced.
     """
-    if layout == "lines":
-        return (spark.read.schema(RUNS_WITH_CORRUPT).option("mode", "PERMISSIVE")
-                .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    if layout not in ("auto", "array"):
-        raise ValueError("layout must be 'auto', 'lines' or 'array'")
+    def read(files, multi):
+        return (spark.read.schema(RUNS_WITH_CORRUPT).option("multiLine", multi).option("mode", "PERMISSIVE")
+                .option("columnNameOfCorruptRecord", "_corrupt_record").json(files))
+
+    if layout in ("lines", "array"):
+        return read(path, layout == "array")
+    if layout == "ranges":
+        return _by_ranges(spark, path)
+    if layout != "auto":
+        raise ValueError("layout must be 'auto', 'lines', 'array' or 'ranges'")
+    opens = F.col("value").rlike(OPENS)        # only file names come back
+    names = (spark.read.text(path).select("_metadata.file_path", opens.alias("o")).groupBy("file_path")
+             .agg(F.max("o").alias("o")).collect())
+    kinds = {k: [unquote(r["file_path"]) for r in names if bool(r["o"]) == k] for k in (False, True)}
+    parts = [read(files, multi) for multi, files in kinds.items() if files]
+    if not parts:
+        return spark.createDataFrame([], RUNS_WITH_CORRUPT)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _by_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """Runs of files of any size, all split between tasks by byte ranges: one
+    pass sums each range's braces and finds the kind of each file, a small
+    table (a row a range) that stays on the executors; the records of a
+    pretty-printed file are then put together from its lines. A row for each
+    line is shuffled and sorted, so this costs many times a plain read.
+
+    A file may hold several values in turn. Text that does not parse is
+    corrupt a line or a record at a time; braces that do not match make the
+    rest of their file corrupt, as one text or many. A compressed file, one
+    on one long line and a record are each one task's. An empty folder gives
+    no row."""
     lines = (spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"), "value").where(strip("value") != ""))
-    pretty = F.lit(layout == "array") | F.max(F.col("value").rlike(OPENS))
+    pretty = F.max(F.col("value").rlike(OPENS))
     sums = lines.groupBy("file", "block").agg(
         pretty.alias("pretty"), F.sum(_depth(F.col("value"))).alias("d"),
         F.min(F.struct("at", F.substring(strip("value"), 1, 1).alias("c")))["c"].alias("c"))

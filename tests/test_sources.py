@@ -192,7 +192,7 @@ def test_one_pretty_array_is_read_by_many_tasks(spark, tmp_path):
     try:
         for folder in ("a", "b"):
             assert spark.read.text(str(tmp_path / folder)).rdd.getNumPartitions() > 20
-            got = fl.scan_crawl_runs(spark, str(tmp_path / folder))
+            got = fl.scan_crawl_runs(spark, str(tmp_path / folder), layout="ranges")
             assert _seen(got) == _as_seen(runs)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
@@ -207,7 +207,7 @@ def test_ranges_smaller_than_a_record(spark, tmp_path):
         (tmp_path / name / "x.json").write_text(text)
         spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
         try:
-            assert _seen(fl.scan_crawl_runs(spark, str(tmp_path / name))) == _as_seen(runs), name
+            assert _seen(fl.scan_crawl_runs(spark, str(tmp_path / name), layout="ranges")) == _as_seen(runs), name
         finally:
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
@@ -223,10 +223,10 @@ def test_kinds_of_files_and_broken_ones(spark, tmp_path):
     (d / "none.json").write_text("[\n]\n")
     cut = json.dumps(runs[6:], indent=2)
     (d / "cut.json").write_text(cut[:cut.rindex('"prices"')])          # ends within its last record
-    got = fl.scan_crawl_runs(spark, str(d)).cache()
+    got = fl.scan_crawl_runs(spark, str(d), layout="ranges").cache()
     assert _seen(got.where("run_id IS NOT NULL")) == _as_seen(runs[:8])
     bad = sorted(r[0].strip() for r in fl.corrupt_records(got).collect())
     assert len(bad) == 2 and "{broken" in bad and any('"run_id": 8' in b for b in bad)
     (tmp_path / "void").mkdir()
     (tmp_path / "void" / "x.json").write_text("")
-    assert fl.scan_crawl_runs(spark, str(tmp_path / "void")).count() == 0
+    assert fl.scan_crawl_runs(spark, str(tmp_path / "void"), layout="ranges").count() == 0
