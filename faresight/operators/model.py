@@ -81,14 +81,15 @@ def make_estimator(kind: str, **overrides):
     # Boosted trees are shallow: walking them again costs less than the cache.
     cache = {"cacheNodeIds": kind != "Gradient Boosting"}
     overrides = {"maxBins": MAX_BINS, **TREE_SPEED, **cache, **overrides}
-    from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor,
-                                       RandomForestRegressor)
+    from pyspark.ml.regression import GBTRegressor
+
+    from faresight.operators.tree_fit import GrownForest, GrownTree
     if kind == "Random Forest":
-        return RandomForestRegressor(**{**RF_PARAMS, **overrides})
+        return GrownForest(**{**RF_PARAMS, **overrides})
     if kind == "Gradient Boosting":
         return GBTRegressor(**{**GBT_PARAMS, **overrides})
     if kind == "Decision Tree":
-        return DecisionTreeRegressor(**{**DT_PARAMS, **overrides})
+        return GrownTree(**{**DT_PARAMS, **overrides})
     raise ValueError(kind)
 
 

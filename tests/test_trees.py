@@ -80,6 +80,40 @@ def test_forest_parts(matrix):
     assert [(first, len(m.trees)) for first, m in parts] == [(0, 2), (2, 2), (4, 1)]
 
 
+@pytest.mark.parametrize("local", [1 << 15, 40])
+def test_grown_tree_is_spark_mls(spark, local, monkeypatch):
+    """One group for the whole tree, or upper levels by Spark and many subtrees: the
+    nodes are those of Spark ML, also with more values than bins and equal gains."""
+    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    from faresight.operators import tree_fit as tf
+    monkeypatch.setattr(tf, "LOCAL_ROWS", local)
+    monkeypatch.setattr(tf, "HIST_BYTES", 24 * 40 * 5)          # a few nodes a pass
+    r = random.Random(3)
+    rows = [(r.randrange(5), r.randrange(90), r.randrange(3), 7, r.choice([0, 0, 0, 1])) for _ in range(900)]
+    df = spark.createDataFrame([(Vectors.dense(x), float(100 * x[0] + x[1] % 7 * 30 + r.randrange(40))) for x in rows * 2],
+                               ["features", "label"])
+    settings = dict(maxDepth=12, maxBins=32, minInstancesPerNode=2, seed=1)
+    want, got = DecisionTreeRegressor(**settings).fit(df), tf.GrownTree(**settings).fit(df)
+    assert (got.numNodes, got.depth, got.toDebugString.split("\n")[1:]) == (
+        want.numNodes, want.depth, want.toDebugString.split("\n")[1:])
+    assert got.featureImportances.toArray().tolist() == pytest.approx(want.featureImportances.toArray().tolist(), abs=1e-12)
+
+
+def test_forest_in_parts_is_the_whole_forest(spark, matrix, monkeypatch):
+    """Trees depend on their own number only; their roots hold bootstrap draws."""
+    from faresight.operators import tree_fit as tf
+    monkeypatch.setattr(tf, "LOCAL_ROWS", 200)
+    train = matrix.where("is_train").select("features", "label")
+    nodes = {part: [t for _, m in md.forest_parts(train, part=part, numTrees=3, maxDepth=6) for t in m.trees] for part in (2, 3)}
+    assert [t.toDebugString.split("\n")[1:] for t in nodes[2]] == [t.toDebugString.split("\n")[1:] for t in nodes[3]]
+    held = [tr.node_table(spark, t).where("node = 0").first()["rows"] for t in nodes[3]]
+    n = train.count()
+    assert len({*held}) > 1 and all(abs(x - n) < 5 * math.sqrt(n) for x in held)
+    assert len({t.toDebugString for t in nodes[3]}) == 3
+
+
 def test_out_of_fold_means(spark):
     r = random.Random(2)
     rows = [(r.choice(["A", "B", None, ""]), r.choice("XY"), r.randrange(3), float(r.randrange(100))) for _ in range(60)]
