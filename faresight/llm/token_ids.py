@@ -62,6 +62,8 @@ RANGES = 1 << 14          # at most: where the text is more, ranges are larger
 MAGIC = b"EFTOKEN1"
 HELD_IDS = 1 << 22        # ids of words that a task keeps
 JOINED = 64               # words tokenized together
+MARK = "|"                # between them
+TEXT_BYTES = 4 << 20      # text encoded together
 DOCS = 4096               # documents read at a time
 _BLOCK = 512              # bits of each entry of a select directory
 
@@ -132,6 +134,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"        # a task, a core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(model)
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else -1
         self.forget()
 
     def forget(self) -> None:
@@ -140,18 +144,30 @@ class Encoder:
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _tokenize(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, how many of each word): ``JOINED`` words at a time with
-        spaces between, and each id given to the word that holds its place."""
-        ids, size = [], np.zeros(len(words), np.int64)
+        """(all ids, how many of each word): ``JOINED`` words at a time, a mark
+        behind each. Where a word gives the mark's id too, or the vocabulary has no
+        such id, ids are given out by their places."""
+        ids, size = [], []
         parts = [words[a:a + JOINED] for a in range(0, len(words), JOINED)]
-        got = self.tokenizer.encode_batch([" ".join(part) for part in parts], add_special_tokens=False)
-        for k, (part, e) in enumerate(zip(parts, got)):
-            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
-            own = e.ids
-            at = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(own))[::2]
-            size[k * JOINED:k * JOINED + len(part)] = np.bincount(np.searchsorted(ends, at, "right"), minlength=len(part))
-            ids.append(own)
-        return np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size
+        got = self.tokenizer.encode_batch_fast([" ".join([f" {MARK} ".join(part), MARK]) for part in parts], add_special_tokens=False)
+        for part, e in zip(parts, got):
+            own = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(own == self.mark)
+            if len(ends) == len(part) and ends[-1] == len(own) - 1:
+                ids.append(own[own != self.mark])
+                size.append(np.diff(ends, prepend=-1) - 1)
+            else:
+                own, n = self._by_place(part)
+                ids.append(own)
+                size.append(n)
+        return np.concatenate(ids), np.concatenate(size)
+
+    def _by_place(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, each id given to the word that holds its place."""
+        e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        at = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e.ids))[::2]
+        return np.array(e.ids, np.uint32), np.bincount(np.searchsorted(ends, at, "right"), minlength=len(words))
 
     def _keep(self, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
         upto = self.used + np.cumsum(size)
@@ -169,10 +185,13 @@ class Encoder:
         names, number = distinct_words(words)
         if self.used > HELD_IDS:
             self.forget()
-        new = [w for w in names if w not in self.known]
-        if new:
-            self._keep(new, *self._tokenize([w.replace(b"\xff", b"\0").decode() for w in new]))
-        word = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[number]
+        word = np.fromiter((self.known.get(w, -1) for w in names), np.int64, len(names))
+        at = np.flatnonzero(word < 0)
+        if len(at):
+            new = [names[i] for i in at.tolist()]
+            word[at] = np.arange(len(self.size), len(self.size) + len(new))
+            self._keep(new, *self._tokenize(b" ".join(new).replace(b"\xff", b"\0").decode().split(" ")))
+        word = word[number]
         size = self.size[word]
         upto = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.arange(upto[-1]) + np.repeat(self.begin[word] - upto[:-1], size)]
@@ -220,7 +239,21 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     width = id_bytes(model, end_id)
     held, name = docs.sparkSession.sparkContext.broadcast((model, starts or [])), hashlib.sha256(model.encode()).hexdigest()
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wait, size = [], 0
+        for b in batches:
+            if wait and size + b.nbytes > TEXT_BYTES:
+                yield pa.concat_batches(wait)
+                wait, size = [], 0
+            wait.append(b)
+            size += b.nbytes
+        if wait:
+            yield pa.concat_batches(wait)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (one(b) for b in gathered(batches) if b.num_rows)
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
         model, starts = held.value
         if name not in _ENCODERS:
             _ENCODERS.clear()
@@ -236,7 +269,8 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"),
                        F.col(text).alias("text"))
-    return map_arrow(rows, run, "range int, doc_id long, hash long, n_tokens long, ids binary")
+    arrow_batches(docs.sparkSession)
+    return rows.mapInArrow(run, "range int, doc_id long, hash long, n_tokens long, ids binary")
 
 
 def id_bytes(model: str, end_id: int = END_ID) -> int:

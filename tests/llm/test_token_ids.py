@@ -59,6 +59,35 @@ def test_ids_are_those_of_whole_texts(tokenizer):
             enc.forget()
 
 
+def test_marks_between_words(tokenizer, monkeypatch):
+    """Plain words need no places of ids; words that give the mark's id do."""
+    model = open(token_ids.vocabulary_path(), encoding="utf-8").read()
+    words = [f"w{i}x." for i in range(150)]
+    odd = [*words[:70], "|", "||", "a|b", "x|", "|y", *words[70:]]
+    for vocabulary_has_mark in (True, False):
+        enc = token_ids.Encoder(model)
+        if not vocabulary_has_mark:
+            enc.mark = -1
+        for some in (words, odd, words[:1], odd[70:71]):
+            ids, size = enc._tokenize(some)
+            got = [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])]
+            assert got == [tokenizer.encode(w, add_special_tokens=False).ids for w in some]
+    enc = token_ids.Encoder(model)
+    monkeypatch.setattr(enc, "_by_place", None)
+    assert len(enc._tokenize(words)[1]) == 150
+
+
+def test_batches_are_encoded_together(spark, tokenizer, monkeypatch):
+    """Small Arrow batches are gathered up to a size; the rows are the same."""
+    docs = spark.createDataFrame([(i, f"doc {i} |" * (i % 9)) for i in range(3000)], "doc_id long, text string").coalesce(1)
+    got = {}
+    for limit in (1, 20_000, 4 << 20):
+        monkeypatch.setattr(token_ids, "TEXT_BYTES", limit)
+        got[limit] = {r["doc_id"]: bytes(r["ids"]) for r in token_ids.encode(docs, token_ids.vocabulary_path()).collect()}
+    assert len(got[1]) == 3000 and got[1] == got[20_000] == got[4 << 20]
+    assert np.frombuffer(got[1][8], "<u2").tolist() == tokenizer.encode("doc 8 |" * 8, add_special_tokens=False).ids + [1]
+
+
 def expected(tokenizer, rows):
     """(doc_id, start, n, crc) of rows in ascending id order, nulls last."""
     out, at = [], 0
