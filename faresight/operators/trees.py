@@ -24,6 +24,7 @@ from faresight.schema import FEATURE_COLUMNS
 from faresight.session import materialize, materialize_counted, scratch_path
 
 GROUP_NODES = 1 << 18     # broadcast together; some 100 bytes each
+DEALT = 1 << 22           # walked rows of a task, about
 BOOSTED = "GBTRegressionModel"
 
 
@@ -60,6 +61,13 @@ def _code(tree, node) -> Column:
     return F.shiftleft(F.col(tree).cast("long"), 32) + F.col(node)
 
 
+def dealt(rows: DataFrame, key: str, trees: int) -> DataFrame:
+    """``rows`` shuffled by ``key`` before they are walked: a window or an
+    aggregate over a row's trees then needs no shuffle of all of them."""
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() * trees / DEALT))
+    return rows.repartition(parts, key)
+
+
 def walk(rows: DataFrame, nodes: DataFrame, trees: int, depth: int, x: str = "x", path: bool = False) -> DataFrame:
     """``rows`` once for each tree, with tree, leaf, leaf_value and weight;
     ``x`` is the array of features. ``path`` adds the nodes passed, leaf

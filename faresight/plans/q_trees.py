@@ -75,7 +75,8 @@ def _fitted(spark, sf_dir, kind) -> _Fit:
 
 def _walked(spark, sf_dir, kind):
     fit = _fitted(spark, sf_dir, kind)
-    return tr.walk(fit.matrix.select("row", "is_train", "label", "x"), fit.nodes, fit.trees, fit.depth)
+    rows = fit.matrix.select("row", "is_train", "label", "x")
+    return tr.walk(tr.dealt(rows, "row", fit.trees), fit.nodes, fit.trees, fit.depth)
 
 
 def _agreement(spark, sf_dir, kind):

@@ -114,6 +114,17 @@ def test_forest_in_parts_is_the_whole_forest(spark, matrix, monkeypatch):
     assert len({t.toDebugString for t in nodes[3]}) == 3
 
 
+def test_dealt_rows_are_not_shuffled_again(spark, matrix):
+    model = md.make_estimator("Gradient Boosting", **KINDS["Gradient Boosting"]).fit(matrix.where("is_train"))
+    rows = matrix.select("row", "label", "x")
+    walked = [tr.walk(x, tr.node_table(spark, model), 6, 3) for x in (rows, tr.dealt(rows, "row", 6))]
+    plan = tr.staged_errors(walked[1], "row")._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Window"):]
+    assert below.count("Exchange hashpartitioning(row") == 1 and "Generate" in below[:below.index("Exchange hashpartitioning(row")]
+    a, b = ({r["rounds"]: r["mae"] for r in tr.staged_errors(w, "row").collect()} for w in walked)
+    assert a == pytest.approx(b, rel=1e-12) and len(a) == 6
+
+
 def test_out_of_fold_means(spark):
     r = random.Random(2)
     rows = [(r.choice(["A", "B", None, ""]), r.choice("XY"), r.randrange(3), float(r.randrange(100))) for _ in range(60)]
