@@ -20,6 +20,7 @@ from faresight.sources import files as fl
 from faresight.streaming.ingest import ingest_stream
 
 STAMP = "2024-01-01T00:00:00.000Z"
+RUNS_PER_FILE = 1024      # of a drop of JSON lines, as the stream reads each file whole
 _KEEP_SPACES = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
@@ -129,7 +130,7 @@ def stream_ingest_fares(spark, sf_dir):
     lines = runs.where(block % 2 == 0)
     arrays = (runs.where(block % 2 == 1).groupBy(block.alias("b")).agg(F.collect_list(F.struct(*runs.columns)).alias("r"))
               .select(F.to_json("r", {"pretty": "true"}).alias("value")))
-    lines.write.mode("append").json(src)
+    lines.write.mode("append").option("maxRecordsPerFile", RUNS_PER_FILE).json(src)
     ingest_stream(spark, src, sink, ck, requests=requests, batch_ts=STAMP)
     arrays.write.mode("append").option("maxRecordsPerFile", 1).text(src)
     ingest_stream(spark, src, sink, ck, requests=requests, batch_ts=STAMP)

@@ -22,7 +22,7 @@ from faresight.session import materialize
 __all__ = [
     "scan_fare_history", "coerce_fare_types", "scan_fare_layouts",
     "reconcile_layouts", "scan_airports", "scan_search_requests",
-    "scan_crawl_runs", "runs_of_text", "corrupt_records", "flatten_runs", "append_fare_history",
+    "scan_crawl_runs", "runs_of_texts", "corrupt_records", "flatten_runs", "append_fare_history",
     "append_crawl_runs", "write_report", "read_report",
 ]
 
@@ -91,6 +91,8 @@ RUNS_WITH_CORRUPT = T.StructType(RUN_FILE_SCHEMA.fields + [T.StructField("_corru
 #: A line that opens an array or an object and does not close it starts a
 #: pretty-printed file.
 OPENS = r"^\s*\[\s*(\{[^}]*)?$|^\s*\{\s*$"
+#: The same of a whole text: any of its lines does.
+_PRETTY = r"(?:\A|[\r\n])[^\S\r\n]*+(?:\[[^\S\r\n]*+(?:\{[^}\r\n]*+)?|\{[^\S\r\n]*+)[\x85\u2028\u2029]?(?:[\r\n]|\z)"
 
 
 #: A JSON string; it never spans lines, so the depth of each line is its own.
@@ -218,35 +220,47 @@ def _by_ranges(spark: SparkSession, path: str) -> DataFrame:
     return plain.unionByName(records).select(F.inline(_parse_runs(F.col("value"))))
 
 
-def _parse_runs(piece) -> F.Column:
+def _json_runs(piece) -> F.Column:
+    return F.from_json(piece, T.ArrayType(RUN_FILE_SCHEMA), {"mode": "PERMISSIVE"})
+
+
+def _parse_runs(piece, got=None) -> F.Column:
     """The runs of a JSON text as an array; one that does not parse is an
-    element with ``_corrupt_record``."""
-    got = F.from_json(piece, T.ArrayType(RUN_FILE_SCHEMA), {"mode": "PERMISSIVE"})
-    bad = F.array(F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in RUN_FILE_SCHEMA],
-                           piece.alias("_corrupt_record")))
+    element with ``_corrupt_record``. ``got`` is read many times: a column
+    that holds ``_json_runs`` already spares as many parses."""
+    got = _json_runs(piece) if got is None else got
+    bad = F.array(_corrupt_run(piece))
     good = F.transform(got, lambda r: F.struct(*[r[f.name].alias(f.name) for f in RUN_FILE_SCHEMA],
                                                F.lit(None).cast("string").alias("_corrupt_record")))
     empty = got.isNull() | F.forall(got, lambda r: r.isNull())
     return F.when(empty & ~strip(piece).rlike(r"^\[\s*\]$"), bad).otherwise(good)
 
 
-def runs_of_text(value) -> F.Column:
-    """Runs in the whole text of a file, as an array, by the layout that
+def _corrupt_run(text) -> F.Column:
+    return F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in RUN_FILE_SCHEMA], text.alias("_corrupt_record"))
+
+
+def runs_of_texts(texts: DataFrame) -> DataFrame:
+    """Runs in the whole texts of files (``value``), by the layout that
     ``scan_crawl_runs`` finds: with a line that opens a value and does not
     close it the text is one array or object, else each line is parsed on its
-    own. What does not parse is an element with ``_corrupt_record``; so is a
-    pretty-printed text that goes on after its value."""
-    lines = F.filter(F.split(value, r"[\r\n]+"), lambda x: strip(x) != "")
-    pretty = F.exists(lines, lambda x: x.rlike(OPENS))
-    pieces = F.when(pretty, F.array(value)).otherwise(lines)
-
+    own. What does not parse is a row with ``_corrupt_record``; so is a
+    pretty-printed text that goes on after its value.
+
+    Row for row, so it serves streams too. A line is a row before it is
+    parsed, once: no task holds the runs of all lines of a file."""
+    value, pretty, piece, got = (F.col(c) for c in ("value", "pretty", "piece", "got"))
+    cut = F.when(pretty, F.array(value)).otherwise(F.split(value, r"[\r\n]+"))
+    pieces = (texts.select(value, value.rlike(_PRETTY).alias("pretty")).select(pretty, F.explode_outer(cut).alias("piece"))
+              .where(piece.rlike(r"(?U)\S")))
+    parsed = pieces.select(pretty, piece, _json_runs(piece).alias("got")).select(pretty, piece, _parse_runs(piece, got).alias("runs"))
+    runs = F.col("runs")
     # in brackets, text after the first value is an error and is not passed over
-    whole = F.try_parse_json(F.concat(F.lit("["), value, F.lit("]"))).isNotNull()
-    got = F.flatten(F.transform(pieces, _parse_runs))
-    rest = F.array(F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in RUN_FILE_SCHEMA],
-                            value.alias("_corrupt_record")))
-    more = pretty & ~F.exists(got, lambda r: r["_corrupt_record"].isNotNull())
-    return F.when(more, F.when(whole, got).otherwise(F.concat(got, rest))).otherwise(got)
+    more = (pretty & ~F.exists(runs, lambda r: r["_corrupt_record"].isNotNull())
+            & F.try_parse_json(F.concat(F.lit("["), piece, F.lit("]"))).isNull())
+    runs = F.when(more, F.concat(runs, F.array(_corrupt_run(piece)))).otherwise(runs)
+    # an outer generator, of which Spark infers no filter that would build the arrays twice
+    return parsed.select(F.explode_outer(runs).alias("r")).where("r IS NOT NULL").select("r.*")
 
 
 def corrupt_records(runs: DataFrame) -> DataFrame:

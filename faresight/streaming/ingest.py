@@ -15,7 +15,7 @@ from faresight.operators.expand import history_projection
 from faresight.operators.rules import route_supported
 from faresight.schema import WRITER13_COLUMNS
 from faresight.sources.airports import AIRPORT_ROWS, airports_df
-from faresight.sources.files import flatten_runs, runs_of_text
+from faresight.sources.files import flatten_runs, runs_of_texts
 
 
 def stream_runs(spark: SparkSession, source_dir: str,
@@ -26,7 +26,7 @@ def stream_runs(spark: SparkSession, source_dir: str,
     r = spark.readStream
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.text(source_dir, wholetext=True).select(F.inline(runs_of_text(F.col("value"))))
+    return runs_of_texts(r.text(source_dir, wholetext=True))
 
 
 def stream_history_rows(spark: SparkSession, source_dir: str,

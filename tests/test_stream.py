@@ -103,3 +103,32 @@ def test_a_batch_that_fails_half_way_adds_nothing_twice(spark, tmp_path, monkeyp
     assert [r[0] for r in spark.read.parquet(sink + "_corrupt").collect()] == ["{cut"] * 3
     ingest_stream(spark, src, sink, ck, keep=("run_id",))          # nothing new
     assert spark.read.parquet(sink).count() == 6
+
+
+def test_a_text_is_parsed_once(spark, tmp_path):
+    """A line is a row before it is parsed, and its runs are parsed once."""
+    from faresight.streaming.ingest import stream_runs
+
+    (tmp_path / "runs.json").write_text('{"run_id": 1}\n{"run_id": 2}\n')
+    asked = stream_runs(spark, str(tmp_path))._jdf.queryExecution().analyzed().toString()
+    assert asked.count("from_json(") == 1
+
+    from faresight.sources.files import runs_of_texts
+    runs = runs_of_texts(spark.read.text(str(tmp_path), wholetext=True))
+    assert runs._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert sorted(r.run_id for r in runs.collect()) == [1, 2]
+
+
+def test_odd_texts_lose_no_line(spark, tmp_path):
+    """Blank lines, empty arrays and what goes on after a pretty-printed value."""
+    texts = ['{"run_id": 1}\r\n \t\n\u00a0[]\r{"run_id": 2}\n[]\n[{"run_id": 3}, {"run_id": 4}]\nnull\n7',
+             '[\n]', '[\n {"run_id": 5}\n] x', '\n\n[ {\n"run_id": 6},\n{"run_id": 7}]\n', ' {\n"run_id": 8\n}', "", '{\n"run_id"']
+    for i, t in enumerate(texts):
+        (tmp_path / f"{i}.json").write_bytes(t.encode())
+    src, sink, ck = str(tmp_path), str(tmp_path / "_out"), str(tmp_path / "_ck")
+    from faresight.streaming.ingest import stream_runs
+    q = stream_runs(spark, src).writeStream.format("parquet").option("checkpointLocation", ck).trigger(availableNow=True).start(sink)
+    q.awaitTermination()
+    got = spark.read.parquet(sink).collect()
+    assert sorted(r.run_id for r in got if r._corrupt_record is None) == [1, 2, 3, 4, 5, 6, 7, 8]
+    assert sorted(r._corrupt_record for r in got if r._corrupt_record is not None) == sorted(["null", "7", texts[2], texts[6]])
