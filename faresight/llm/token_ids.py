@@ -18,7 +18,10 @@ found without a table of 64-bit offsets and without reading the others.
 Documents are tokenized where they are read. Words between white space are
 tokenized apart, each distinct word of a task once: the tokenizer's
 normalization and pre-tokens never reach across white space, so the ids are
-those of the whole text (the tests compare). Only ids are shuffled, by
+those of the whole text (the tests compare). Where the vocabulary's split is
+known to part letters, digits and marks and its normalization to lower-case
+(``_SPLIT``, ``_FOLD``), words are cut there too and A-Z lower-cased first,
+so that "Word," and "word" share a piece. Only ids are shuffled, by
 ranges of the document id that hold equal amounts of text; a range is a
 task, which appends to files that roll at ``SHARD_IDS``: the same documents
 give the same files whatever the partitioning. Files are written under a name of the task attempt;
@@ -42,7 +45,7 @@ import os
 import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +75,75 @@ _CASED = np.arange(256, dtype=np.uint8)
 _CASED[[0x20, 9, 10, 13]] = 0
 _CASED[0] = 0xFF          # occurs in no UTF-8 text; stands for the zero byte
 
+#: A pre-tokenizer that parts letters, digits and marks, but for an apostrophe
+#: and what follows it; and a normalizer that lower-cases character by character.
+_SPLIT = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed",
+     "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+_FOLD = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+#: Kinds of bytes: 0 white space and others that stay with their neighbours
+#: (controls, marks of special tokens, most characters beyond ASCII).
+_LETTER, _DIGIT, _SIGN, _APOSTROPHE = 1, 2, 3, 4
+_CUTS = np.zeros((5, 5), bool)            # between a byte of one kind and the next
+_CUTS[1:4, 1:4] = ~np.eye(3, dtype=bool)
+_CUTS[[_LETTER, _DIGIT], _APOSTROPHE] = True
+_FOLDED = _CASED.copy()
+_FOLDED[0x41:0x5B] += 32
+
+
+class Cutter:
+    """Words of texts, cut where the pre-tokenizer ``_SPLIT`` does whatever
+    stands around: between letters, digits and marks of ASCII (and the letters
+    of U+00C0 to U+00FF). No mark of a special token is parted from its
+    neighbours, and nothing that may combine with others."""
+
+    def __init__(self, special: list[str]):
+        self.kind = np.zeros(256, np.uint8)
+        for b in range(0x21, 0x7F):
+            c = chr(b)
+            self.kind[b] = _LETTER if c.isalpha() else _DIGIT if c.isdigit() else _APOSTROPHE if c == "'" else _SIGN
+        for b in "".join(special).encode():
+            if not chr(b).isalnum():
+                self.kind[b] = 0
+
+    @classmethod
+    def of(cls, model: str) -> Cutter | None:
+        """None if the vocabulary is of another form, or has special tokens that cuts would part."""
+        m = json.loads(model)
+        added = m.get("added_tokens") or []
+        if m.get("pre_tokenizer") != _SPLIT or m.get("normalizer") != _FOLD or any(
+                t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            return None
+        out = cls([t["content"] for t in added])
+        for t in added:
+            own = np.frombuffer(t["content"].encode(), np.uint8)
+            if len(out.cuts(own)) or out.kind[own].all():     # the latter would be lower-cased
+                return None
+        return out
+
+    def kinds(self, buf: np.ndarray) -> np.ndarray:
+        out = self.kind[buf]
+        at = np.flatnonzero(buf[:-1] == 0xC3)
+        at = at[(buf[at + 1] != 0x97) & (buf[at + 1] != 0xB7)]      # but for the signs of times and division
+        out[at] = out[at + 1] = _LETTER
+        return out
+
+    def cuts(self, buf: np.ndarray) -> np.ndarray:
+        self.last = kinds = self.kinds(buf)
+        return np.flatnonzero(_CUTS.ravel()[kinds[:-1] * np.uint8(5) + kinds[1:]]) + 1
+
+    def __call__(self, texts: pa.Array) -> Words:
+        words = Words(texts, _CASED, self.cuts)
+        cased, words.low = words.low, _FOLDED[words.low]
+        whole = np.flatnonzero((self.last == 0) & (cased != 0))
+        odd = np.unique(np.searchsorted(words.start, whole, "right") - 1)     # these keep their case
+        size = words.end[odd] - words.start[odd]
+        at = np.arange(size.sum()) + np.repeat(words.start[odd] - np.cumsum(size) + size, size)
+        words.low[at] = cased[at]
+        return words
+
 
 class EliasFano:
     """A sequence of non-decreasing integers of 0 up to 2^64 - 1."""
@@ -134,6 +206,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"        # a task, a core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(model)
+        self.cutter = Cutter.of(model)
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else -1
         self.forget()
@@ -181,11 +254,11 @@ class Encoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, how many of each text)."""
-        words = Words(texts, _CASED)
+        words = self.cutter(texts) if self.cutter else Words(texts, _CASED)
         names, number = distinct_words(words)
         if self.used > HELD_IDS:
             self.forget()
-        word = np.fromiter((self.known.get(w, -1) for w in names), np.int64, len(names))
+        word = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
         at = np.flatnonzero(word < 0)
         if len(at):
             new = [names[i] for i in at.tolist()]

@@ -59,6 +59,33 @@ def test_ids_are_those_of_whole_texts(tokenizer):
             enc.forget()
 
 
+def test_pieces_give_the_ids_of_whole_texts(tokenizer):
+    """Words are cut between letters, digits and marks, and share their pieces;
+    the ids stay those of the whole text."""
+    model = open(token_ids.vocabulary_path(), encoding="utf-8").read()
+    enc = token_ids.Encoder(model)
+    enc(pa.array(["Word, word WORD. (word) 'word' été. 7word", None, "WORD"]))
+    assert set(enc.known) == {b"word", b",", b".", b"(", b")", b"'word", b"'", "été".encode(), b"7"}
+    r = random.Random(11)
+    marks = ["'", "'s", "'LL", "'Re", "s", "S", "ll", "D", "é", "É", "ß", "×", "÷", "Σ", "日", "。", "\u0338", "\u0301", "\u212a", "İ", "1", "٣",
+             ".", ",", "=", "|", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "\x00", "\x0b", "\x7f", "\xa0", " ", " ", "\n", "abc", "A"]
+    texts = ["".join(r.choice(marks) for _ in range(r.randint(0, 40))) for _ in range(6000)]
+    ids, size = enc(pa.array(texts))
+    for t, own in zip(texts, np.split(ids, np.cumsum(size)[:-1])):
+        assert own.tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_only_known_forms_are_cut():
+    """Another split or normalization, or a special token that cuts would part: words stay whole."""
+    import json
+    model = json.load(open(token_ids.vocabulary_path(), encoding="utf-8"))
+    model["model"] = {}
+    assert token_ids.Cutter.of(json.dumps(model))
+    special = {**model["added_tokens"][0], "content": "PAD"}
+    for other in ({"normalizer": None}, {"pre_tokenizer": None}, {"added_tokens": [special]}, {"added_tokens": [{**special, "content": "a1<"}]}):
+        assert token_ids.Cutter.of(json.dumps({**model, **other})) is None
+
+
 def test_marks_between_words(tokenizer, monkeypatch):
     """Plain words need no places of ids; words that give the mark's id do."""
     model = open(token_ids.vocabulary_path(), encoding="utf-8").read()
