@@ -93,21 +93,26 @@ def make_estimator(kind: str, **overrides):
     raise ValueError(kind)
 
 
-#: Trees of a forest that are fitted together (see ``forest_parts``).
-FOREST_PART = 20
+#: Trees of a forest that are grown together, and nodes of which the driver
+#: holds some models of trees at once (see ``forest_parts``).
+FOREST_PART, PART_NODES = 20, 1 << 18
 
 
 def forest_parts(train: DataFrame, part: int = FOREST_PART, **overrides):
-    """The random forest (I3) as (first tree's number, model) of ``part``
-    trees each, fitted one after the other with seeds of their own. A
-    forest's trees are independent, so the parts together are the forest, and
-    the driver holds the nodes of one part at a time: 200 trees of depth 20
-    are more than a small heap takes (``operators.trees`` joins the parts)."""
+    """The random forest (I3) as (first tree's number, model) of at most ``part``
+    trees each, one after the other. A forest's trees are independent, so the
+    parts together are the forest. Trees are grown ``part`` at a time, their nodes
+    stay with the executors; the driver holds the models of trees of some
+    ``PART_NODES`` nodes at a time: 20 trees of depth 20 are more than a small
+    heap takes (``operators.trees`` joins the parts)."""
     trees = overrides.pop("numTrees", RF_PARAMS["numTrees"])
     seed = overrides.pop("seed", RF_PARAMS["seed"])
     for first in range(0, trees, part):
         est = make_estimator("Random Forest", numTrees=min(part, trees - first), seed=seed + first, **overrides)
-        yield first, est.fit(train)
+        for model in est.fit_parts(train, PART_NODES):
+            yield first, model
+            first += len(model.trees)
+            train.sparkSession._jvm.System.gc()          # models and what was broadcast of them go before the next ones come
 
 
 def regression_metrics(pred: DataFrame, label: str = "label",

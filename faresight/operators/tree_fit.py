@@ -414,6 +414,13 @@ def _store(est, nodes: DataFrame, features: int, trees: int | None) -> str:
     return path
 
 
+def _loaded(kind, path: str):
+    """The stored model, with its place: ``trees.node_table`` reads that again."""
+    model = kind.load(path)
+    model.stored_at = path
+    return model
+
+
 def _plain(est, train: DataFrame) -> bool:
     """Whether the settings and the features are those handled here."""
     attrs = train.schema[est.getFeaturesCol()].metadata.get("ml_attr", {}).get("attrs", {})
@@ -439,17 +446,42 @@ class GrownTree(DecisionTreeRegressor):
         if not _plain(self, dataset):
             return super()._fit(dataset)
         nodes = grow(dataset, **_settings(self))
-        return DecisionTreeRegressionModel.load(_store(self, nodes, _features(dataset, self.getFeaturesCol()), None))
+        return _loaded(DecisionTreeRegressionModel, _store(self, nodes, _features(dataset, self.getFeaturesCol()), None))
 
 
 class GrownForest(RandomForestRegressor):
     """``RandomForestRegressor`` whose fit is ``grow``."""
 
-    def _fit(self, dataset):
+    def _grown(self, dataset) -> tuple[DataFrame, int] | None:
+        """The nodes and the number of features; none where Spark ML fits."""
         some = {"sqrt": lambda f: math.ceil(math.sqrt(f)), "all": lambda f: f, "onethird": lambda f: math.ceil(f / 3.0),
                 "log2": lambda f: max(1, math.ceil(math.log2(f)))}.get(self.getFeatureSubsetStrategy())
         if not _plain(self, dataset) or some is None:
+            return None
+        features = _features(dataset, self.getFeaturesCol())
+        return grow(dataset, trees=self.getNumTrees(), some=some(features), bagged=self.getBootstrap(), **_settings(self)), features
+
+    def _fit(self, dataset):
+        got = self._grown(dataset)
+        if got is None:
             return super()._fit(dataset)
-        features, trees = _features(dataset, self.getFeaturesCol()), self.getNumTrees()
-        nodes = grow(dataset, trees=trees, some=some(features), bagged=self.getBootstrap(), **_settings(self))
-        return RandomForestRegressionModel.load(_store(self, nodes, features, trees))
+        return _loaded(RandomForestRegressionModel, _store(self, *got, self.getNumTrees()))
+
+    def fit_parts(self, dataset, most: int) -> Iterator[RandomForestRegressionModel]:
+        """The forest as models of consecutive trees, of ``most`` nodes each or
+        one tree, loaded one after the other. It is grown once."""
+        got = self._grown(dataset)
+        if got is None:
+            yield super()._fit(dataset)
+            return
+        nodes, features = got
+        size = {r["tree"]: r["count"] for r in nodes.groupBy("tree").count().collect()}      # one row a tree
+        first, trees = 0, self.getNumTrees()
+        while first < trees:
+            end = first + 1
+            while end < trees and sum(size[t] for t in range(first, end + 1)) <= most:
+                end += 1
+            own = nodes.where(F.col("tree").between(first, end - 1)).withColumn("tree", F.col("tree") - first)
+            path = _store(self.copy({self.numTrees: end - first}), own, features, end - first)
+            yield _loaded(RandomForestRegressionModel, path)
+            first = end

@@ -45,7 +45,7 @@ class _Fit:
 
 def _fitted(spark, sf_dir, kind) -> _Fit:
     """One fit a session and table, shared by the queries that read it. The
-    forest is fitted in parts, whose nodes are written before the next one."""
+    forest comes in parts, one model on the driver at a time."""
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key in _FITS:
         return _FITS[key]
@@ -58,7 +58,7 @@ def _fitted(spark, sf_dir, kind) -> _Fit:
     nodes, theirs, imp, trees, depth = [], [], [], 0, 0
     for first, model in parts:
         own = getattr(model, "trees", [model])
-        nodes.append(materialize(tr.node_table(spark, model).withColumn("tree", F.col("tree") + first), "nodes"))
+        nodes.append(tr.node_table(spark, model).withColumn("tree", F.col("tree") + first))
         theirs.append(materialize(model.transform(mx).select("row", "prediction", F.lit(len(own)).alias("n")), "predictions"))
         imp.append(md.feature_importances(spark, model).withColumn("n", F.lit(len(own))))
         trees, depth = trees + len(own), max(depth, *(t.depth for t in own))

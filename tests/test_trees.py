@@ -114,6 +114,39 @@ def test_forest_in_parts_is_the_whole_forest(spark, matrix, monkeypatch):
     assert len({t.toDebugString for t in nodes[3]}) == 3
 
 
+def test_forest_is_loaded_in_parts_of_few_nodes(spark, matrix, monkeypatch):
+    """One growth, models of some nodes at a time: all trees, and the scores of the whole."""
+    from faresight.operators import tree_fit as tf
+    grown, grow = [], tf.grow
+    monkeypatch.setattr(tf, "grow", lambda *a, **k: grown.append(1) or grow(*a, **k))
+    train = matrix.where("is_train").select("features", "label")
+    whole = md.make_estimator("Random Forest", numTrees=5, maxDepth=5).fit(train)
+    most = 2 * max(t.numNodes for t in whole.trees)
+    monkeypatch.setattr(md, "PART_NODES", most)
+    parts = list(md.forest_parts(train, numTrees=5, maxDepth=5))
+    assert len(grown) == 2 and len(parts) > 1
+    assert [first for first, _ in parts] == [sum(len(m.trees) for _, m in parts[:i]) for i in range(len(parts))]
+    assert all(sum(t.numNodes for t in m.trees) <= most for _, m in parts)
+    assert [t.toDebugString.split("\n")[1:] for _, m in parts for t in m.trees] == [t.toDebugString.split("\n")[1:] for t in whole.trees]
+    held = [tr.node_table(spark, m).count() for _, m in parts]
+    assert held == [sum(t.numNodes for t in m.trees) for _, m in parts]
+
+
+def test_deep_trees_are_walked_whole(spark):
+    """A tree of more levels than one generated method walks; missing values go right."""
+    deep = 2 * tr.LEVELS + 3
+    nodes = [(0, 1.0, 2 * i, 0, float(deep - i), 2 * i + 2, 2 * i + 1, -1.0) for i in range(deep)]        # smaller values go on
+    nodes += [(0, 1.0, 2 * i + 1, None, None, -1, -1, float(i)) for i in range(deep)] + [(0, 1.0, 2 * deep, None, None, -1, -1, 99.0)]
+    table = spark.createDataFrame(nodes, "tree int, weight double, node int, feature int, threshold double, left int, right int, value double")
+    table = table.withColumn("categories", F.lit(None).cast("array<double>"))
+    rows = spark.createDataFrame([(k, [v]) for k, v in enumerate([0.0, 1.5, 7.0, deep + 1.0, None, math.nan])], "row int, x array<double>")
+    got = {r["row"]: r for r in tr.walk(rows, table, 1, deep, path=True).collect()}
+    assert [got[k]["leaf_value"] for k in range(6)] == [99.0, deep - 1.0, deep - 6.0, 0.0, 0.0, 0.0]
+    assert got[0]["path"] == [2 * i for i in range(deep + 1)] and got[3]["path"] == [0, 1]
+    short = {r["row"]: r["leaf"] for r in tr.walk(rows, table, 1, 2).collect()}
+    assert short[0] == 4 and short[3] == 1                # cut off where ``depth`` says
+
+
 def test_dealt_rows_are_not_shuffled_again(spark, matrix):
     model = md.make_estimator("Gradient Boosting", **KINDS["Gradient Boosting"]).fit(matrix.where("is_train"))
     rows = matrix.select("row", "label", "x")
