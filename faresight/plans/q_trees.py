@@ -119,7 +119,7 @@ def boosting_agreement(spark, sf_dir):
 @query("forest_eval")
 def forest_eval(spark, sf_dir):
     """Train and test errors of the forest's twenty trees (I3, I7), natively scored."""
-    scored = tr.score(_walked(spark, sf_dir, "Random Forest"), "row")
+    scored = materialize(tr.score(_walked(spark, sf_dir, "Random Forest"), "row"), "scored")       # read for both parts
     rows = _fitted(spark, sf_dir, "Random Forest").matrix.join(scored, "row")
     parts = [md.regression_metrics(rows.where(f"is_train = {t}")).withColumn("is_train", F.lit(t)) for t in (True, False)]
     return parts[0].unionByName(parts[1])
