@@ -47,10 +47,12 @@ def node_table(spark, model) -> DataFrame:
 def read_nodes(spark, path: str, ensemble: bool, boosted: bool = False) -> DataFrame:
     """The node table of a model stored by ``model_store`` or Spark ML."""
     data = spark.read.parquet(os.path.join(path, "data"))
-    if ensemble:
+    if boosted:
         trees = spark.read.parquet(os.path.join(path, "treesMetadata")).select(
-            F.col("_1").alias("tree"), (F.col("_3") if boosted else F.lit(1.0)).alias("weight"))     # one row a tree
+            F.col("_1").alias("tree"), F.col("_3").alias("weight"))                                  # one row a tree
         data = data.select(F.col("treeID").alias("tree"), "nodeData.*").join(F.broadcast(trees), "tree")
+    elif ensemble:                                       # all weigh 1: no table to join for each part of a forest
+        data = data.select(F.col("treeID").alias("tree"), "nodeData.*", F.lit(1.0).alias("weight"))
     else:
         data = data.withColumns({"tree": F.lit(0), "weight": F.lit(1.0)})
     split, inner = F.col("split"), F.col("leftChild") >= 0
